@@ -2,44 +2,50 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from runsift.functions.text import is_blank, matches, strip
+from runsift.functions.binding import bind
+from runsift.functions.text import is_blank, strip
 
 
-def coerce_test_cmd(raw: Column) -> Column:
-    """Commands in the JSON text of a `test_cmd` value.
+def coerce_commands(value: Column, kind: Column) -> Column:
+    """Commands of a `test_cmd` value, given with its kind.
 
     A string gives one command, a list its non-blank strings, in the original
     spelling. Anything else, or nothing left, gives null.
     """
-    value = F.try_parse_json(raw)
-    kind = F.schema_of_variant(value)
     items = F.try_variant_get(value, "$", "array<variant>")
     texts = F.transform(
-        F.filter(items, lambda v: F.schema_of_variant(v) == "STRING"),
-        lambda v: F.try_variant_get(v, "$", "string"),
+        items, lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
     )
-    listed = F.when(kind == "STRING", F.array(F.try_variant_get(value, "$", "string"))).when(
-        kind.startswith("ARRAY"), texts
-    )
-    kept = F.filter(listed, lambda c: ~is_blank(c))
-    return F.when(F.size(kept) > 0, kept)
-
-
-# Fixed values of the cutting rules: which characters quote, open and close.
-QUOTES = "'\"`"
+    one = F.array(F.try_variant_get(value, "$", "string"))
+    listed = F.when(kind == "STRING", one).when(kind.startswith("ARRAY"), texts)
+    kept = F.filter(listed, lambda c: c.isNotNull() & ~is_blank(c))
+    return F.nullif(kept, F.array().cast("array<string>"))
+
+
+def coerce_test_cmd(rows: DataFrame, raw: str, name: str = "commands") -> DataFrame:
+    """Add the commands in a column with the JSON text of `test_cmd` values."""
+    parsed = bind(rows, _value=F.try_parse_json(raw))
+    kinds = bind(parsed, _kind=F.schema_of_variant("_value"))
+    return bind(kinds, **{name: coerce_commands(F.col("_value"), F.col("_kind"))}).drop("_value", "_kind")
+
+
+# Pieces of a command: an escaped character, a quoted text (to the end if it is
+# not closed), `&&`, a bracket, a plain run, anything else.
+PIECES = (
+    r"(?s)(\\.|'[^'\\]*+(?:\\.[^'\\]*+)*+(?:'|\\?\z)"
+    r'|"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\\?\z)'
+    r"|`[^`\\]*+(?:\\.[^`\\]*+)*+(?:`|\\?\z)"
+    r"""|&&|[(){}\[\]]|[^\\'"`&(){}\[\]]++|.)"""
+)
 OPENERS, CLOSERS = "({[", ")}]"
 
 
-def split_stages(command: Column) -> Column:
-    """Stages of a shell command, cut at `&&` outside quotes and brackets.
+def _cut(command: Column) -> Column:
+    """Texts between the `&&` outside quotes and brackets, stripped.
 
-    The command is first cut into tokens (an escape pair, `&&`, or a single
-    character); a fold over the tokens tracks the open quote and the three
-    bracket depths and marks the cuts. A blank stage makes the command whole.
+    A fold over the pieces of the command tracks the three bracket depths.
     """
-    tokens = F.regexp_extract_all(command, F.lit(r"(?s)(\\.|&&|.)"), F.lit(1))
     start = F.struct(
-        F.lit("").alias("quote"),
         F.lit(0).alias("round"),
         F.lit(0).alias("curly"),
         F.lit(0).alias("square"),
@@ -47,49 +53,37 @@ def split_stages(command: Column) -> Column:
         F.array().cast("array<string>").alias("done"),
     )
 
-    def depth(now: Column, token: Column, live: Column, kind: int) -> Column:
-        return (
-            F.when(live & (token == OPENERS[kind]), now + 1)
-            .when(live & (token == CLOSERS[kind]), F.greatest(now - 1, F.lit(0)))
-            .otherwise(now)
-        )
+    def depth(now: Column, piece: Column, kind: int) -> Column:
+        opened, closed = piece == OPENERS[kind], piece == CLOSERS[kind]
+        return F.when(opened, now + 1).when(closed, F.greatest(now - 1, F.lit(0))).otherwise(now)
 
-    def step(state: Column, token: Column) -> Column:
-        quote = state["quote"]
-        live = quote == ""
-        flat = (state["round"] == 0) & (state["curly"] == 0) & (state["square"] == 0)
-        cut = live & flat & (token == "&&")
+    def step(state: Column, piece: Column) -> Column:
+        cut = (piece == "&&") & (state["round"] + state["curly"] + state["square"] == 0)
         return F.struct(
-            F.when(live & F.lit(QUOTES).contains(token) & (F.char_length(token) == 1), token)
-            .when(token == quote, "")
-            .otherwise(quote)
-            .alias("quote"),
-            depth(state["round"], token, live, 0).alias("round"),
-            depth(state["curly"], token, live, 1).alias("curly"),
-            depth(state["square"], token, live, 2).alias("square"),
-            F.when(cut, "").otherwise(F.concat(state["stage"], token)).alias("stage"),
-            F.when(cut, F.concat(state["done"], F.array(strip(state["stage"]))))
-            .otherwise(state["done"])
-            .alias("done"),
+            depth(state["round"], piece, 0).alias("round"),
+            depth(state["curly"], piece, 1).alias("curly"),
+            depth(state["square"], piece, 2).alias("square"),
+            F.when(cut, "").otherwise(F.concat(state["stage"], piece)).alias("stage"),
+            F.when(cut, F.concat(state["done"], F.array(state["stage"]))).otherwise(state["done"]).alias("done"),
         )
 
-    cut = F.aggregate(
-        tokens, start, step, lambda s: F.concat(s["done"], F.array(strip(s["stage"])))
-    )
-    whole = F.array(command)
-    return F.when(~command.contains("&&"), F.array(strip(command))).otherwise(
-        F.when(F.exists(cut, lambda s: s == ""), whole).otherwise(cut)
+    pieces = F.regexp_extract_all(command, F.lit(PIECES), F.lit(1))
+    return F.aggregate(
+        pieces, start, step, lambda s: F.transform(F.concat(s["done"], F.array(s["stage"])), strip)
     )
 
 
 def command_stages(tasks: DataFrame, commands: str = "commands") -> DataFrame:
-    """One row per stage: (instance_id, command_index, stage_index, stage)."""
-    by_command = tasks.select("instance_id", F.posexplode(commands).alias("command_index", "command"))
-    return by_command.select(
-        "instance_id",
-        "command_index",
-        F.posexplode(split_stages(F.col("command"))).alias("stage_index", "stage"),
-    )
+    """One row per stage: (instance_id, command_index, stage_index, stage).
+
+    Commands are cut at top-level `&&`; a blank stage makes the command whole.
+    """
+    rows = tasks.select("instance_id", F.posexplode(commands).alias("command_index", "command"))
+    joined = F.col("command").contains("&&")
+    rows = bind(rows, cut=F.when(joined, _cut(F.col("command"))).otherwise(F.array(strip(F.col("command")))))
+    whole = joined & F.exists("cut", lambda s: s == "")
+    stages = F.when(whole, F.array("command")).otherwise(F.col("cut"))
+    return rows.select("instance_id", "command_index", F.posexplode(stages).alias("stage_index", "stage"))
 
 
 def stage_exit_rollup(runs: DataFrame, marker: str = "TEST_COMMAND_END") -> DataFrame:
@@ -120,7 +114,3 @@ def stage_exit_rollup(runs: DataFrame, marker: str = "TEST_COMMAND_END") -> Data
 def is_ordinary_exit(code: Column) -> Column:
     """0 and 1 are outcomes of a test suite; other codes are broken runs."""
     return F.coalesce(code.between(0, 1), F.lit(False))
-
-
-def usable_commands(commands: Column) -> Column:
-    return F.coalesce(F.exists(commands, lambda c: ~is_blank(c)), F.lit(False))

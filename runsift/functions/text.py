@@ -32,8 +32,9 @@ def rx(pattern: str, nocase: bool = False, lines: bool = False) -> str:
     `\\s` and `\\S` must stand outside brackets. With `lines`, `^` and `$` match
     at every line and `\\s` stays within a line.
     """
-    blank = r"[\s\x1c-\x1f&&[^\n]]" if lines else r"[\s\x1c-\x1f]"
-    solid = r"[^\s\x1c-\x1f]"
+    # Single characters beside \\s keep the set a quick look-up; ranges would not.
+    blank = r"[\s\x1c\x1d\x1e\x1f&&[^\n]]" if lines else r"[\s\x1c\x1d\x1e\x1f]"
+    solid = r"[^\s\x1c\x1d\x1e\x1f]"
     flags = "dU" + ("iu" if nocase else "") + ("m" if lines else "")
     return f"(?{flags})" + pattern.replace(r"\S", solid).replace(r"\s", blank)
 
@@ -74,21 +75,28 @@ def before(text: Column, mark: str) -> Column:
 
 
 def strip_ansi(text: Column) -> Column:
-    return F.when(text.contains("\x1b"), F.regexp_replace(text, ANSI, "")).otherwise(text)
+    return F.regexp_replace(text, ANSI, "")
 
 
 def normalize_test_name(name: Column, passes: int = 1) -> Column:
-    """Remove escapes and timings from a test name, then strip it.
+    """Remove escapes and timings from a test name, then strip it; never null.
 
     One pass is not always a fixpoint (`x [2 ms] (1s)`), so callers say how
     many they need: grading uses two, phase checks one.
+
+    Few names hold anything to remove. A name without an escape, without `sec`
+    and without a closing bracket at its end cannot match, at any pass, so the
+    patterns run on the other names only.
     """
+    end = F.right(rstrip(name), F.lit(1))
+    suspect = name.contains("\x1b") | F.lower(name).contains("sec") | name.contains("ſ") | end.isin("]", ")")
+    cleaned = name
     for _ in range(passes):
-        name = strip_ansi(name)
+        cleaned = strip_ansi(cleaned)
         for pattern in TIMINGS:
-            name = remove(name, pattern, nocase=True)
-        name = strip(name)
-    return name
+            cleaned = remove(cleaned, pattern, nocase=True)
+        cleaned = strip(cleaned)
+    return F.coalesce(F.when(suspect, cleaned).otherwise(strip(name)), F.lit(""))
 
 
 def bound_text(text: Column, limit: int, label: str = "output truncated") -> Column:

@@ -7,9 +7,9 @@ def as_text(value: Column, path: str = "$") -> Column:
     return F.try_variant_get(value, path, "string")
 
 
-def is_true(value: Column) -> Column:
+def is_true(value: Column, kind: Column | None = None) -> Column:
     """Truth of a JSON value: absent, null, false, zero and empty are false."""
-    kind = F.schema_of_variant(value)
+    kind = F.schema_of_variant(value) if kind is None else kind
     return F.coalesce(
         F.when(kind == "VOID", F.lit(False))
         .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
@@ -21,9 +21,9 @@ def is_true(value: Column) -> Column:
     )
 
 
-def as_index(value: Column) -> Column:
+def as_index(value: Column, kind: Column | None = None) -> Column:
     """A JSON number (cut to whole), true/false, or digits in a string."""
-    kind = F.schema_of_variant(value)
+    kind = F.schema_of_variant(value) if kind is None else kind
     text = F.trim(as_text(value))
     digits = F.regexp_replace(text, "_", "").try_cast("bigint")
     return (

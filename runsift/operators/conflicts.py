@@ -71,9 +71,13 @@ def normalize_results(results: DataFrame, passes: int = 1) -> DataFrame:
     """
     final = normalize_test_name(F.col("test_id"), passes)
     rows = results.withColumn("final_id", final).repartition("run_id", "final_id")
-    for _ in range(passes):
-        renamed = rows.withColumn("test_id", normalize_test_name(F.col("test_id")))
-        rows = renamed.groupBy("run_id", "final_id", "test_id").agg(
+    for left in reversed(range(passes)):
+        # After the last pass the name is the final one.
+        keys = ["run_id", "final_id"]
+        if left:
+            rows = rows.withColumn("test_id", normalize_test_name(F.col("test_id")))
+            keys.append("test_id")
+        rows = rows.groupBy(*keys).agg(
             F.max(F.struct("first_pos", "status")).getField("status").alias("status"),
             F.min("first_pos").alias("first_pos"),
         )

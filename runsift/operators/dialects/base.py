@@ -72,31 +72,35 @@ def log_lines(runs: DataFrame, line_end: str = LINE_FEED, text: str = "log") ->
     )
 
 
-def emit(found: DataFrame, one: Column) -> DataFrame:
-    """Rows with at most one event each."""
-    return (
-        found.select("run_id", "part", F.col("seq").cast("bigint").alias("seq"), F.lit(0).alias("sub"), one.alias("e"))
-        .where("e.test_id is not null")
-        .select("run_id", "part", "seq", "sub", "e.*")
+def _columns(rows: DataFrame) -> DataFrame:
+    """Event columns; the name is marked as never null, so that joins on it
+    need no null check."""
+    name = F.coalesce("test_id", F.lit("")).alias("test_id")
+    return rows.select("run_id", "part", "seq", "sub", name, "status", "prio", "sign")
+
+
+def emit(found: DataFrame, one: Column, certain: bool = False, named_only: bool = False) -> DataFrame:
+    """Rows with at most one event each, or exactly one if that is certain."""
+    rows = found.select(
+        "run_id", "part", F.col("seq").cast("bigint").alias("seq"), F.lit(0).alias("sub"), F.inline(F.array(one))
     )
+    if named_only:
+        rows = rows.where("test_id <> ''")
+    elif not certain:
+        rows = rows.where("test_id is not null")
+    return _columns(rows)
 
 
 def emit_each(found: DataFrame, several: Column) -> DataFrame:
     """Rows with an array of events each, in order; null events are left out."""
-    return (
-        found.select("run_id", "part", F.col("seq").cast("bigint").alias("seq"), F.posexplode(several).alias("sub", "e"))
-        .where("e.test_id is not null")
-        .select("run_id", "part", "seq", "sub", "e.*")
-    )
+    rows = found.select("run_id", "part", F.col("seq").cast("bigint").alias("seq"), F.posexplode(several).alias("sub", "e"))
+    return _columns(rows.where("e.test_id is not null").select("run_id", "part", "seq", "sub", "e.*"))
 
 
 def emit_log(runs: DataFrame, several: Column) -> DataFrame:
     """Events computed for a log as a whole: their order gives the place."""
-    return (
-        runs.select("run_id", "part", F.posexplode(several).alias("seq", "e"))
-        .where("e.test_id is not null")
-        .select("run_id", "part", F.col("seq").cast("bigint").alias("seq"), F.lit(0).alias("sub"), "e.*")
-    )
+    rows = runs.select("run_id", "part", F.posexplode(several).alias("place", "e")).where("e.test_id is not null")
+    return _columns(rows.select("run_id", "part", F.col("place").cast("bigint").alias("seq"), F.lit(0).alias("sub"), "e.*"))
 
 
 def later(events: DataFrame) -> DataFrame:
@@ -200,14 +204,16 @@ class LineRules:
     rank: Callable[[Column, Column], Column] | None = None
 
     def event(self, line: Column) -> Column:
+        """Event of a line that at least one rule applies to."""
+
         def one(rule: Rule) -> Column:
             key, status = rule.name(line), rule.outcome(line)
             if self.rank:
                 return self.rank(key, status)
             return weak(key, status) if rule.weak else strong(key, status)
 
-        found = F.coalesce(*[F.when(rule.applies(line), one(rule)) for rule in self.rules])
-        return F.when(found["test_id"] != "", found) if self.named_only else found
+        *others, last = self.rules
+        return F.coalesce(*[F.when(rule.applies(line), one(rule)) for rule in others], one(last))
 
     def read(self, runs: DataFrame) -> DataFrame:
         lines = log_lines(runs, self.line_end).withColumn("line", self.prepare(F.col("line")))
@@ -215,7 +221,7 @@ class LineRules:
         if self.ignore:
             lines = lines.where(~self.ignore(line))
         lines = lines.where(reduce(Column.__or__, [rule.applies(line) for rule in self.rules]))
-        return emit(lines, self.event(line))
+        return emit(lines, self.event(line), certain=True, named_only=self.named_only)
 
     def dialect(self) -> Dialect:
         return Dialect(self.name, self.read)

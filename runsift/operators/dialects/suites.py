@@ -45,7 +45,7 @@ def read_phpunit(runs: DataFrame) -> DataFrame:
     lines = section_lines(cut, "suite").where(matches(line, shape))
     name = strip(remove(group(line, shape, 2), r"\s*\[\s*\d+(?:\.\d+)?\s*(?:ms|s)\s*\]\s*$", nocase=True))
     status = lookup(group(line, shape, 1), {"✔": PASSED, "✘": FAILED, "↩": SKIPPED})
-    return emit(lines, strong(F.concat("suite", F.lit(" > "), name), status))
+    return emit(lines, strong(F.concat("suite", F.lit(" > "), name), status), certain=True)
 
 
 # --- Ruby: one capitalised word above test lines; the worst sighting counts --
@@ -67,7 +67,7 @@ def read_ruby_tests(runs: DataFrame) -> DataFrame:
     status = lookup(group(line, shape, 2), words)
     name = strip(group(line, shape, 1))
     key = F.when(F.col("suite").isNull(), name).otherwise(F.concat("suite", F.lit("::"), name))
-    return emit(lines, ranked(key, status, {PASSED: 0, SKIPPED: 0, FAILED: 1, ERROR: 2}, sign=-1))
+    return emit(lines, ranked(key, status, {PASSED: 0, SKIPPED: 0, FAILED: 1, ERROR: 2}, sign=-1), certain=True)
 
 
 # --- Maven, one test per build ----------------------------------------------
@@ -124,7 +124,7 @@ def read_kotlin(runs: DataFrame) -> DataFrame:
     failures, errors, skipped = (F.regexp_extract("body", shape, i).cast("decimal(38,0)") for i in (2, 3, 4))
     name = group(head, r"^Running\s+(.+)$", 1)
     counted = cut.where(matches(head, r"^Running\s+.+$") & F.col("body").rlike(shape))
-    return emit(counted.withColumn("seq", F.col("section")), strong(name, class_status(failures, errors, skipped)))
+    return emit(counted.withColumn("seq", F.col("section")), strong(name, class_status(failures, errors, skipped)), certain=True)
 
 
 def surefire_events(log: Column) -> tuple[Column, Column]:

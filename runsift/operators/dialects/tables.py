@@ -70,7 +70,7 @@ def read_cpp(runs: DataFrame) -> DataFrame:
         found = (F if found is None else found).when(hit, one)
     above = above.where(line.rlike("PASSED|FAILED|SKIPPED|ERROR"))
     below = lines_between(runs.where(F.col("log").contains(BANNER)), is_banner).where(line.startswith("____") & matches(line, FAILED_HEADER))
-    return emit(above, found).unionByName(later(emit(below, strong(group(line, FAILED_HEADER, 1), FAILED))))
+    return emit(above, found).unionByName(later(emit(below, strong(group(line, FAILED_HEADER, 1), FAILED), certain=True)))
 
 
 def read_cpp_summary(runs: DataFrame) -> DataFrame:
@@ -221,7 +221,7 @@ def read_marked_lines(runs: DataFrame) -> DataFrame:
         .when(mark.isin(*SKIP_MARKS), strong(name, SKIPPED))
         .otherwise(strong(bare, SKIPPED))
     )
-    return emit(lines, F.when(found["test_id"] != "", found))
+    return emit(lines, found, named_only=True)
 
 
 # --- Scala: colour codes around marked lines ---------------------------------------
@@ -256,7 +256,7 @@ def read_ocaml(runs: DataFrame) -> DataFrame:
     parts = F.array(*[strip(group(line, shape, i)) for i in (2, 3, 4)])
     key = F.array_join(F.filter(parts, lambda p: p != ""), " ")
     status = lookup(group(line, shape, 1), OCAML_WORDS, ERROR)
-    return emit(lines, F.when(status == PASSED, weak(key, PASSED)).otherwise(strong(key, status)))
+    return emit(lines, F.when(status == PASSED, weak(key, PASSED)).otherwise(strong(key, status)), certain=True)
 
 
 # --- Dart: a test that is named twice has passed ----------------------------------
@@ -276,7 +276,7 @@ def read_dart_counts(runs: DataFrame) -> DataFrame:
     )
     seen = seen.groupBy("run_id", "key").agg(F.min(F.struct("part", "seq")).alias("at"), F.count(F.lit(1)).alias("n"))
     seen = seen.select("run_id", "at.part", "at.seq", "key", "n")
-    return emit(seen, strong(F.col("key"), occurrence_status(F.col("n"))))
+    return emit(seen, strong(F.col("key"), occurrence_status(F.col("n"))), certain=True)
 
 
 # --- Browser runner: failures in the whole text ------------------------------------

@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from runsift.functions.binding import bind
 from runsift.functions.text import normalize_test_name
 from runsift.operators.extract import dialect_of
 from runsift.sources.catalogue import config_columns
@@ -18,9 +19,9 @@ def group_overlap(tasks: DataFrame) -> DataFrame:
     def normal(names: Column) -> Column:
         return F.transform(names, lambda n: normalize_test_name(n))
 
-    tasks = tasks.withColumn("verbatim", F.array_sort(F.array_intersect(f2p, p2p)))
+    tasks = bind(tasks, verbatim=F.array_sort(F.array_intersect(f2p, p2p)))
     shared = F.array_intersect(normal(f2p), normal(p2p))
-    return tasks.withColumn("aliases", F.array_sort(F.array_except(shared, normal(F.col("verbatim")))))
+    return bind(tasks, aliases=F.array_sort(F.array_except(shared, normal(F.col("verbatim")))))
 
 
 def validate_metadata(tasks: DataFrame) -> DataFrame:
@@ -55,7 +56,8 @@ def validate_metadata(tasks: DataFrame) -> DataFrame:
         ),
         *[F.when(F.coalesce(F.col(c), F.lit("")) == "", f"{c} is empty or not a string") for c in NEEDED],
     ]
-    found = F.filter(F.array(*errors), lambda e: e.isNotNull())
+    rows = bind(rows, found=F.filter(F.array(*errors), lambda e: e.isNotNull()))
+    found = F.col("found")
     indexes = [c for c in ("index", "raw_index", "public_index") if c in tasks.columns]
     return rows.select(
         *indexes,

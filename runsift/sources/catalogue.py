@@ -4,7 +4,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
-from runsift.functions.commands import coerce_test_cmd, usable_commands
+from runsift.functions.binding import bind
+from runsift.functions.commands import coerce_commands
 from runsift.functions.variants import as_text
 
 # Rows of one file that are numbered together.
@@ -53,36 +54,36 @@ def config_columns(tasks: DataFrame) -> DataFrame:
     """Add `commands`, `log_parser`, `config_kind`, `cmd_kind` from install_config.
 
     install_config is JSON text or a struct; test_cmd is a string or a list.
-    The kinds tell an object from other values and from broken text.
+    The kinds tell an object from other values and from broken text. Each JSON
+    text is parsed once per row.
     """
     kind = tasks.schema["install_config"].dataType
     if isinstance(kind, StructType):
-        config = F.col("install_config")
-        names = set(kind.names)
-        raw = F.to_json(F.to_variant_object(F.array(config["test_cmd"]))) if "test_cmd" in names else F.lit(None)
-        one = F.regexp_extract(raw, r"(?s)^\[(.*)\]$", 1)
-        return tasks.select(
-            "*",
-            coerce_test_cmd(one).alias("commands"),
-            (config["log_parser"] if "log_parser" in names else F.lit(None).cast("string")).alias("log_parser"),
-            F.when(config.isNull(), "VOID").otherwise("OBJECT").alias("config_kind"),
-            F.schema_of_variant(F.try_parse_json(one)).alias("cmd_kind"),
-        )
-    parsed = F.try_parse_json("install_config")
-    with_config = tasks.withColumn("_config", parsed)
-    command = F.try_variant_get("_config", "$.test_cmd", "variant")
-    parser = F.try_variant_get("_config", "$.log_parser", "variant")
-    return with_config.select(
-        "*",
-        coerce_test_cmd(F.to_json(command)).alias("commands"),
-        F.when(F.schema_of_variant(parser) == "STRING", as_text(parser)).alias("log_parser"),
-        F.when(F.col("install_config").isNull(), "VOID")
+        config = F.to_variant_object(F.col("install_config"))
+    else:
+        config = F.try_parse_json("install_config")
+    rows = bind(tasks, _config=config)
+    rows = bind(
+        rows,
+        _cmd=F.try_variant_get("_config", "$.test_cmd", "variant"),
+        _parser=F.try_variant_get("_config", "$.log_parser", "variant"),
+        config_kind=F.when(F.col("install_config").isNull(), "VOID")
         .when(F.col("_config").isNull(), "BROKEN")
         .when(F.schema_of_variant("_config").startswith("OBJECT"), "OBJECT")
-        .otherwise("OTHER")
-        .alias("config_kind"),
-        F.schema_of_variant(command).alias("cmd_kind"),
-    ).drop("_config")
+        .otherwise("OTHER"),
+    )
+    rows = bind(rows, cmd_kind=F.schema_of_variant("_cmd"))
+    rows = bind(
+        rows,
+        commands=coerce_commands(F.col("_cmd"), F.col("cmd_kind")),
+        log_parser=F.when(F.schema_of_variant("_parser") == "STRING", as_text(F.col("_parser"))),
+    )
+    return rows.drop("_config", "_cmd", "_parser")
+
+
+def is_usable() -> Column:
+    """The config is an object with at least one command."""
+    return (F.col("config_kind") == "OBJECT") & F.col("commands").isNotNull()
 
 
 def test_list(raw: Column) -> Column:
@@ -128,7 +129,7 @@ def normalize_tasks(tasks: DataFrame, quarantine: bool = False) -> DataFrame:
 
 def valid_tasks(tasks: DataFrame) -> DataFrame:
     """Tasks whose config is an object with at least one command."""
-    return config_columns(tasks).where((F.col("config_kind") == "OBJECT") & usable_commands(F.col("commands")))
+    return config_columns(tasks).where(is_usable())
 
 
 def task_index(tasks: DataFrame) -> DataFrame:
@@ -144,8 +145,7 @@ def task_index(tasks: DataFrame) -> DataFrame:
         F.col("_metadata.row_index").alias("row"),
         F.floor(F.col("_metadata.row_index") / BLOCK_ROWS).cast("bigint").alias("block"),
     )
-    usable = (F.col("config_kind") == "OBJECT") & usable_commands(F.col("commands"))
-    flagged = config_columns(placed).select("path", "block", "row", usable.alias("usable"))
+    flagged = config_columns(placed).select("path", "block", "row", is_usable().alias("usable"))
     blocks = flagged.groupBy("path", "block").agg(F.count_if("usable").alias("used"), F.count(F.lit(1)).alias("rows"))
     files = blocks.groupBy("path").agg(F.sum("used").alias("file_used"), F.sum("rows").alias("file_rows"))
     earlier_files = Window.orderBy(F.split("path", "/")).rowsBetween(Window.unboundedPreceding, -1)
@@ -168,9 +168,8 @@ def task_index(tasks: DataFrame) -> DataFrame:
 
 def index_totals(tasks: DataFrame) -> DataFrame:
     """Number of rows and of usable rows."""
-    usable = (F.col("config_kind") == "OBJECT") & usable_commands(F.col("commands"))
     return config_columns(tasks.select("install_config")).agg(
-        F.count(F.lit(1)).alias("total_rows"), F.count_if(usable).alias("num_valid")
+        F.count(F.lit(1)).alias("total_rows"), F.count_if(is_usable()).alias("num_valid")
     )
 
 

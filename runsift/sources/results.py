@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from runsift.functions.binding import bind
 from runsift.functions.variants import as_index, is_true
 
 
@@ -18,14 +19,22 @@ def parse_results(lines: DataFrame) -> DataFrame:
     records, since distributed files have no line numbers.
     """
     kept = [c for c in lines.columns if c != "value"]
-    record = lines.select(*kept, F.try_parse_json("value").alias("r"))
-    record = record.where(F.schema_of_variant("r").startswith("OBJECT"))
-    return record.select(
+    rows = bind(lines, r=F.try_parse_json("value"))
+    rows = bind(
+        rows,
         *kept,
-        as_index(F.try_variant_get("r", "$.index", "variant")).alias("index"),
-        is_true(F.try_variant_get("r", "$.valid", "variant")).alias("valid"),
-        F.try_variant_get("r", "$.seq", "bigint").alias("seq"),
-    ).where(F.col("index").isNotNull())
+        "r",
+        i=F.try_variant_get("r", "$.index", "variant"),
+        v=F.try_variant_get("r", "$.valid", "variant"),
+        seq=F.try_variant_get("r", "$.seq", "bigint"),
+    )
+    rows = bind(rows, i_kind=F.schema_of_variant("i"), v_kind=F.schema_of_variant("v"))
+    rows = bind(
+        rows,
+        index=as_index(F.col("i"), F.col("i_kind")),
+        valid=is_true(F.col("v"), F.col("v_kind")),
+    )
+    return rows.where(F.col("index").isNotNull()).select(*kept, "index", "valid", "seq")
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
