@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from runsift.operators.conflicts import settle
-from runsift.operators.dialects import base, line_rules, nested, python_tests, suites, tables, xml_reports
+from runsift.operators.dialects import base, line_rules, nested, python_tests, scripted, suites, tables, xml_reports
 
 REGISTRY = base.Registry()
 for _family in (line_rules, python_tests, suites, tables, xml_reports, nested):
@@ -106,6 +106,10 @@ def register_extractor(name: str, find: Callable[[str], Iterable[tuple[str, str]
     REGISTRY.add(base.Dialect(name, read))
 
 
+for _name, _find in scripted.EXTRACTORS.items():
+    register_extractor(_name, _find)
+
+
 def dialects_in(runs: DataFrame) -> list[str]:
     """Dialects that occur in the runs: one pass over one narrow column.
 
