@@ -92,7 +92,7 @@ def test_list(raw: Column) -> Column:
     Broken text raises, as reading the task does; `lists_are_sound` finds such
     rows beforehand.
     """
-    parsed = F.from_json(raw, "array<string>", {"mode": "FAILFAST"})
+    parsed = F.from_json(F.nullif(F.trim(raw), F.lit("null")), "array<string>", {"mode": "FAILFAST"})
     return F.coalesce(parsed, F.array().cast("array<string>"))
 
 
