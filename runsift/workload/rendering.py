@@ -12,7 +12,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-PART_ROWS = 512
+PART_ROWS = 32_768
 
 
 def fill(template: str, values: Mapping[str, Column]) -> Column:
@@ -34,4 +34,4 @@ def assemble(lines: DataFrame, keys: tuple[str, ...], head: Column | str = "", t
 
 
 def part_of(seq: Column) -> Column:
-    return F.floor(seq / PART_ROWS).cast("bigint")
+    return F.shiftright(seq, PART_ROWS.bit_length() - 1)

@@ -1,6 +1,7 @@
 """Score and phase queries over runs rendered from lineitem.
 
-An order is a run and its own task, a line a test. Lines with return flag R
+An order is a run and its own task, a line a test; orders without lines are
+runs that expect nothing. Lines with return flag R
 fail; lines with number 3 are left out of the log; line status F puts a test
 into the fail-to-pass group, O into pass-to-pass. The test name holds every
 column its status depends on, so equal names never disagree.
@@ -12,10 +13,11 @@ from runsift.operators.assess import assess_detail, assess_phases, expected_stat
 from runsift.operators.conflicts import normalize_results
 from runsift.operators.extract import extract_test_results
 from runsift.operators.scoring import expected_vs_observed, run_facts, score_counts, status_detail, with_reward
+from runsift.functions.binding import spread
 from runsift.functions.text import normalize_test_name
 from runsift.schema import UNREADABLE
 from runsift.workload.registry import entry, table
-from runsift.workload.rendering import PART_ROWS, assemble, fill
+from runsift.workload.rendering import fill
 
 NAME = "t/{flag}/p{part}.py::t{line}_s{supp}"
 SQL_NAME = "'t/' || l_returnflag || '/p' || l_partkey || '.py::t' || l_linenumber || '_s' || l_suppkey"
@@ -31,54 +33,59 @@ def run_id() -> Column:
 
 
 def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem with its place in the file, which bounds the log parts."""
+    """lineitem with its place in the file, which orders the log."""
     raw = table(spark, sf_dir, "lineitem")
-    placed = raw.select("*", F.col("_metadata.row_index").alias("row"), F.col("_metadata.file_path").alias("path"))
+    placed = raw.select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_partkey", "l_suppkey", F.col("_metadata.row_index").alias("row"))
     values = {"flag": F.col("l_returnflag"), "part": F.col("l_partkey"), "line": F.col("l_linenumber"), "supp": F.col("l_suppkey")}
-    return placed.select(
-        "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "row", "path", fill(NAME, values).alias("id")
+    return spread(placed).select(
+        "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "row", fill(NAME, values).alias("id")
     )
 
 
 def log_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """runs(run_id, instance_id, parser, part, log, exit_code, phase)."""
+    """runs(run_id, instance_id, parser, part, log).
+
+    The lines of an order lie all over the table, so its log arrives in as many
+    parts, each with some noise around it. Nothing has to be gathered, whatever
+    the share of one order.
+    """
     rows = sightings(spark, sf_dir).where("l_linenumber <> 3")
-    status = F.when(F.col("l_returnflag") == "R", "FAILED").otherwise("PASSED")
-    lines = rows.select(
-        "l_orderkey",
-        "path",
-        F.floor(F.col("row") / PART_ROWS).cast("bigint").alias("part"),
-        F.col("row").alias("seq"),
-        F.concat(status, F.lit(" "), "id", F.lit(" - some words")).alias("text"),
-    )
-    logs = assemble(lines, ("l_orderkey", "path"), "collected items\n", "done\n")
-    return logs.select(
-        run_id().alias("run_id"), F.col("l_orderkey").cast("string").alias("instance_id"), F.lit("parse_log_pytest").alias("parser"), "part", "log"
+    values = {"word": F.when(F.col("l_returnflag") == "R", "FAILED").otherwise("PASSED"), "id": F.col("id")}
+    return rows.select(
+        run_id().alias("run_id"),
+        F.col("l_orderkey").cast("string").alias("instance_id"),
+        F.lit("parse_log_pytest").alias("parser"),
+        F.col("row").alias("part"),
+        fill("collected items\n{word} {id} - some words\n  at line 3\n\ndone PASSED\n", values).alias("log"),
     )
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per run: its task, exit code and phase, whether or not it left a log."""
-    orders = table(spark, sf_dir, "lineitem").select("l_orderkey").distinct()
-    return orders.select(
-        run_id().alias("run_id"),
-        F.col("l_orderkey").cast("string").alias("instance_id"),
-        (F.col("l_orderkey") % 4).cast("int").alias("exit_code"),
+    """One row per run: its task and exit code, whether or not it left a log."""
+    key = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("run-"), key.cast("string")).alias("run_id"),
+        key.cast("string").alias("instance_id"),
+        (key % 4).cast("int").alias("exit_code"),
     )
 
 
 def expected(spark: SparkSession, sf_dir: str, passes: int = 2) -> DataFrame:
-    rows = sightings(spark, sf_dir)
-    tests = rows.select(
+    tests = sightings(spark, sf_dir).select(
         F.col("l_orderkey").cast("string").alias("instance_id"),
         F.when(F.col("l_linestatus") == "F", "F2P").otherwise("P2P").alias("grp"),
-        F.col("row").cast("int").alias("pos"),
+        F.col("row").alias("pos"),
         F.col("id").alias("raw_id"),
+        normalize_test_name(F.col("id"), passes).alias("norm_id"),
     )
-    probes = rows.select("l_orderkey").distinct().select(
-        F.col("l_orderkey").cast("string").alias("instance_id"), F.lit("PROBE").alias("grp"), F.lit(-1).alias("pos"), F.lit(UNREADABLE).alias("raw_id")
+    probes = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("instance_id"),
+        F.lit("PROBE").alias("grp"),
+        F.lit(-1).cast("bigint").alias("pos"),
+        F.lit(UNREADABLE).alias("raw_id"),
+        F.lit(UNREADABLE).alias("norm_id"),
     )
-    return tests.unionByName(probes).withColumn("norm_id", normalize_test_name(F.col("raw_id"), passes))
+    return tests.unionByName(probes)
 
 
 def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +98,7 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_COUNTS = f"""with {SQL_ROWS}, counts as (
-  select 'run-' || l_orderkey as run_id, exit_code,
+  select 'run-' || o_orderkey as run_id, o_orderkey % 4 as exit_code,
     count(*) filter (where grp = 'F2P' and status = 'PASSED') as f2p_passed,
     count(*) filter (where grp = 'F2P') as f2p_total,
     count(*) filter (where grp = 'P2P' and status = 'PASSED') as p2p_passed,
@@ -100,16 +107,17 @@ SQL_COUNTS = f"""with {SQL_ROWS}, counts as (
     count(*) filter (where grp = 'P2P' and status = 'NOT_FOUND') as p2p_not_found,
     count(*) filter (where grp = 'F2P' and status <> 'PASSED') as f2p_nonpassing,
     count(*) filter (where grp = 'P2P' and status <> 'PASSED') as p2p_nonpassing
-  from rows group by l_orderkey, exit_code),
+  from orders left join rows on l_orderkey = o_orderkey group by o_orderkey),
 scored as (
   select *, case when f2p_passed = f2p_total and p2p_passed = p2p_total then 1.0::double else 0.0::double end as binary_reward,
     case when f2p_total > 0 and p2p_total > 0 then (f2p_passed::double / f2p_total + p2p_passed::double / p2p_total) / 2.0::double
-         when f2p_total > 0 then f2p_passed::double / f2p_total else p2p_passed::double / p2p_total end as partial_reward
+         when f2p_total > 0 then f2p_passed::double / f2p_total
+         when p2p_total > 0 then p2p_passed::double / p2p_total else 1.0::double end as partial_reward
   from counts)
 """
 
 
-@entry("expected_vs_observed", f"with {SQL_ROWS} select 'run-' || l_orderkey as run_id, grp, id as raw_id, status from rows")
+@entry("expected_vs_observed", f"with {SQL_ROWS} select 'run-' || o_orderkey as run_id, grp, id as raw_id, status from orders left join rows on l_orderkey = o_orderkey where grp is not null")
 def _(spark, sf_dir):
     return observed(spark, sf_dir).where("grp <> 'PROBE'").select("run_id", "grp", "raw_id", "status")
 
@@ -150,13 +158,13 @@ def _(spark, sf_dir):
 # Each run is assessed in both phases. Tests whose supplier number is divisible
 # by 7 are listed in both groups.
 
-SQL_STATES = f"""with {SQL_ROWS.replace("from lineitem)", "from lineitem)")}, listed as (
+SQL_STATES = f"""with {SQL_ROWS}, listed as (
   select 'run-' || l_orderkey as run_id, l_orderkey, exit_code, id, max(status) as status,
     count(*) filter (where grp = 'F2P' or supp % 7 = 0) as in_f2p, count(*) filter (where grp = 'P2P' or supp % 7 = 0) as in_p2p
   from (select *, cast(split_part(id, '_s', 2) as bigint) as supp from rows) group by all)
 """
 SQL_CHECKS = """, checks as (
-  select run_id, l_orderkey, exit_code,
+  select 'run-' || o_orderkey as run_id, o_orderkey as l_orderkey, o_orderkey % 4 as exit_code,
     count(*) filter (where status <> 'NOT_FOUND') as parsed_test_count,
     count(*) filter (where status = 'NOT_FOUND') as missing_count,
     count(*) filter (where in_f2p > 0 and in_p2p > 0) as shared_expected_count,
@@ -166,7 +174,7 @@ SQL_CHECKS = """, checks as (
     count(*) filter (where in_f2p > 0 and status in ('FAILED', 'ERROR')) as base_seen,
     coalesce(sum(in_f2p) filter (where status <> 'PASSED'), 0)::bigint as gold_f,
     coalesce(sum(in_p2p) filter (where status <> 'PASSED'), 0)::bigint as gold_p
-  from listed group by run_id, l_orderkey, exit_code)
+  from orders left join listed on l_orderkey = o_orderkey group by o_orderkey)
 """
 SQL_BASE = """select run_id, parsed_test_count, missing_count, base_f as wrong_fail_to_pass_count, base_p as wrong_pass_to_pass_count,
   base_s as wrong_shared_count, base_seen as observed_fail_to_pass_failure_count, shared_expected_count,
