@@ -65,12 +65,14 @@ def normalize_results(results: DataFrame, passes: int = 1) -> DataFrame:
 
     Names that fall together keep the status of the raw name that was first
     seen last, even where another raw name was updated later; so the place of
-    the first sighting travels with every row. Each pass is its own step, but
-    all of them work within one partitioning by (run_id, final name), which
-    the join with the expected tests uses as well.
+    the first sighting travels with every row. Each pass is its own step.
+
+    Every step combines before it shuffles, so thousands of raw names that
+    differ in their timing only do not gather in one task. The last one leaves
+    the rows partitioned by (run_id, name), as the join with the expected tests
+    needs them.
     """
-    final = normalize_test_name(F.col("test_id"), passes)
-    rows = results.withColumn("final_id", final).repartition("run_id", "final_id")
+    rows = results.withColumn("final_id", normalize_test_name(F.col("test_id"), passes))
     for left in reversed(range(passes)):
         # After the last pass the name is the final one.
         keys = ["run_id", "final_id"]

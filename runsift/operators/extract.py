@@ -130,22 +130,30 @@ def extract_events(runs: DataFrame, dialects: Iterable[str] | None = None) -> Da
     unknown = [n for n in names if n not in REGISTRY.entries]
     if unknown:
         raise ValueError(f"unknown dialects: {unknown}")
-    if not names:
-        names = ["pytest"]
     accepted = parser_names()
+    shares = []
+    if dialects is None:
+        # Runs whose parser nobody knows cannot be read; the log is not touched.
+        lost = runs.where(dialect_of(F.col("parser")).isNull())
+        lost = lost.select("run_id", F.col("part").cast("bigint").alias("part"), F.lit(0).alias("seq"))
+        shares.append(base.emit(lost, base.unreadable(), certain=True))
 
     def share(name: str) -> DataFrame:
         known = [n for n, d in accepted.items() if d == name] + [name]
         mine = runs.where(F.col("parser").isin(known))
         return REGISTRY.entries[name].read(mine.select("run_id", F.col("part").cast("bigint").alias("part"), "log"))
 
-    return reduce(DataFrame.unionByName, [share(name) for name in names]).select(*base.EVENT_COLUMNS)
+    shares += [share(name) for name in names]
+    if not shares:
+        raise ValueError("no dialects to read")
+    return reduce(DataFrame.unionByName, shares).select(*base.EVENT_COLUMNS)
 
 
 def extract_test_results(runs: DataFrame, dialects: Iterable[str] | None = None) -> DataFrame:
     """runs(run_id, parser, part, log) -> (run_id, test_id, status, first_pos).
 
     `dialects` names the dialects to read; left out, the runs are asked which
-    ones occur. A log that breaks its dialect yields the row UNREADABLE.
+    ones occur, and runs whose parser is unknown yield the row UNREADABLE, as
+    does every log that breaks its dialect.
     """
     return settle(extract_events(runs, dialects))

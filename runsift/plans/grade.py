@@ -26,9 +26,10 @@ def grade_runs(
     """One row per run: counts per group and the reward.
 
     The raw log leaves the plan in its first stage. What is shuffled is one
-    row per (run, test): once to settle repeated sightings, once by (run,
-    normalised name), where it meets the expected tests; the last exchange
-    carries one partial row per run and task.
+    row per (run, test): to settle repeated sightings and for each pass of
+    normalising names, combined on the map side every time. The last of these
+    partitionings, by (run, name), is where results meet the expected tests;
+    the final exchange carries one partial row per run and task.
     """
     observed = observe_runs(runs, tasks, dialects)
     return with_reward(score_counts(observed, ("run_id", "instance_id", "exit_code")), mode)

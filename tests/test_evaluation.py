@@ -58,6 +58,26 @@ def test_broken_log_and_unknown_task_give_nothing(spark):
     assert (rows["s"]["f2p_not_found"], rows["s"]["reward"]) == (1, 0.0)
 
 
+def test_unknown_parser_is_unreadable(spark):
+    tasks = spark.createDataFrame([("t", [], [])], LISTS)
+    rows = [("r", "t", "parse_log_nobody_knows", 0, "x", 0), ("s", "t", None, 0, "x", 0), ("u", "t", "parse_log_jq", 0, "x", 0)]
+    graded = grade_runs(spark.createDataFrame(rows, RUNS), tasks)
+    assert {r["run_id"]: (r["unreadable"], r["reward"]) for r in graded.collect()} == {
+        "r": (True, 0.0), "s": (True, 0.0), "u": (False, 1.0),
+    }
+
+
+def test_many_timings_of_one_name(spark):
+    tasks = spark.createDataFrame([("t", ["x"], [])], LISTS)
+    log = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(3000)), lambda i: F.concat(F.lit("[PASSED] x ["), i.cast("string"), F.lit(" ms]"))), "\n")
+    runs = spark.range(2).select(
+        F.col("id").cast("string").alias("run_id"), F.lit("t").alias("instance_id"), F.lit("jest_json").alias("parser"),
+        F.lit(0).cast("bigint").alias("part"), F.concat(log, F.when(F.col("id") == 1, "\n[FAILED] x [9999 ms]").otherwise("")).alias("log"),
+        F.lit(0).alias("exit_code"),
+    )
+    assert {r["run_id"]: r["reward"] for r in grade_runs(runs, tasks, ["jest_json"]).collect()} == {"0": 1.0, "1": 0.0}
+
+
 def test_one_name_in_both_groups_and_duplicates(spark):
     row = grade(spark, "--- PASS: a (1s) (1s)", ["a (2s)", "a (3s)"], ["a"], parser="gotest")
     assert (row["f2p_passed"], row["f2p_total"], row["p2p_passed"]) == (2, 2, 1)
