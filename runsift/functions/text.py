@@ -116,7 +116,7 @@ def bound_text(text: Column, limit: int, label: str = "output truncated") -> Col
 
 
 def bound_excerpt(text: Column, limit: int) -> Column:
-    """The shorter marker used for excerpts kept with phase verdicts."""
+    """The shorter marker (fixed wording) of excerpts kept with phase verdicts."""
     head = limit // 2
     size = F.char_length(text)
     return F.when(size <= limit, text).otherwise(

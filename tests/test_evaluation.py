@@ -13,7 +13,7 @@ from runsift.operators.scoring import expected_tests
 from runsift.operators.select import in_ranges, modulo_shard, out_of_range, parse_ranges, stratified_sample
 from runsift.operators.validate import validate_metadata
 from runsift.plans.grade import observe_runs
-from runsift.plans.preflight import check_tasks, select_tasks
+from runsift.plans.checking import check_tasks, select_tasks
 from runsift.plans.storage import read_runs, write_runs
 from runsift.schema import RUNS, TASKS
 from runsift.sources.catalogue import (
