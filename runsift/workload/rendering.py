@@ -26,7 +26,14 @@ def fill(template: str, values: Mapping[str, Column]) -> Column:
 
 
 def assemble(lines: DataFrame, keys: tuple[str, ...], head: Column | str = "", tail: Column | str = "") -> DataFrame:
-    """lines(keys..., part, seq, text) -> one log per key and part, lines by seq."""
+    """lines(keys..., part, seq, text) -> one log per key and part, lines by seq.
+
+    The logs are few bytes and much work, so they keep at least one partition
+    per core; adaptive coalescing goes by bytes and would put them in one task.
+    """
+    spark = lines.sparkSession
+    wide = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    lines = lines.repartition(wide, *keys, "part")
     by_part = lines.groupBy(*keys, "part").agg(F.sort_array(F.collect_list(F.struct("seq", "text"))).alias("all"))
     as_column = lambda v: F.lit(v) if isinstance(v, str) else v
     body = F.array_join(F.col("all.text"), "\n")
