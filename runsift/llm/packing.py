@@ -64,7 +64,7 @@ class WordIds(dict):
         return value
 
     def learn(self, words: list[bytes]) -> None:
-        new = list(set(words).difference(self))
+        new = [w for w in set(words) if w not in self]
         if len(self) + len(new) > WORDS_KEPT:
             self.clear()
         plain = [w for w in new if self.MARK not in w and len(w) < 100] if len(self.mark) == 1 else []
