@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from runsift.llm.common import stored
+from runsift.llm.jaccard import near_duplicates
 from runsift.llm.packing import pack
 from runsift.workload.registry import Entry
 
@@ -28,3 +29,8 @@ def tokenizer_path() -> str:
 @entry("op10_best_fit_packing")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(stored(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@entry("op9_ngram_jaccard_join")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(stored(spark, sf_dir, "documents"))
