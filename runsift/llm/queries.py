@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runsift.llm.common import stored
+from runsift.llm.decontam import leaks
 from runsift.llm.jaccard import near_duplicates
+from runsift.llm.line_dedup import MIN_SITES, MIN_WORDS, without_shared_lines
 from runsift.llm.packing import pack
+from runsift.llm.quality import quality_scores
 from runsift.workload.registry import Entry
 
 ENTRIES: dict[str, Entry] = {}
@@ -34,3 +37,51 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @entry("op9_ngram_jaccard_join")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(stored(spark, sf_dir, "documents"))
+
+
+SQL_LINE_DEDUP = f"""
+with lines as (
+  select doc_id, source, unnest(range(len(string_split(text, chr(10))))) as pos, unnest(string_split(text, chr(10))) as raw from documents),
+counted as (
+  select *, trim(raw, ' ') as line, len(trim(raw, ' ')) - len(replace(trim(raw, ' '), ' ', '')) + 1 >= {MIN_WORDS} and trim(raw, ' ') <> '' as long from lines),
+shared as (
+  select line, min(row(doc_id, pos)) as first from counted where long group by line having count(distinct source) >= {MIN_SITES}),
+judged as (
+  select c.doc_id, c.pos, c.raw, s.line is not null and row(c.doc_id, c.pos) <> s.first as gone from counted c left join shared s on c.long and c.line = s.line)
+select doc_id, coalesce(string_agg(raw, chr(10) order by pos) filter (where not gone), '') as text, count(*) filter (where gone) as n_removed
+from judged group by doc_id"""
+
+
+@entry("op4_line_dedup", SQL_LINE_DEDUP)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = without_shared_lines(stored(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", F.col("_line_removed").cast("long").alias("n_removed"))
+
+
+SQL_TOKENS = r"""list_transform(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> ''), lambda w: hash(w))"""
+
+#: Thirteen tokens with at most two exchanged hold four in a row that are the same: another way to all places.
+SQL_LEAKS = f"""
+with d as (select doc_id, {SQL_TOKENS} as w from documents), b as (select item_id, {SQL_TOKENS} as w from benchmark),
+df as (select doc_id, i, hash(w[i], w[i + 1], w[i + 2], w[i + 3]) as h from (select *, unnest(range(1, len(w) - 2)) as i from d)),
+bf as (select item_id, i, hash(w[i], w[i + 1], w[i + 2], w[i + 3]) as h from (select *, unnest(range(1, len(w) - 2)) as i from b where len(w) >= 9)),
+met as (select distinct doc_id, item_id, df.i - bf.i as shift from df join bf using (h)),
+beside as (
+  select doc_id, item_id, least(len(b.w), 13) as compared,
+    list_transform(range(greatest(1, 1 - shift), least(len(b.w), len(d.w) - shift) + 1), lambda k: case when d.w[k + shift] = b.w[k] then 1 else 0 end) as same
+  from met join d using (doc_id) join b using (item_id)),
+best as (
+  select doc_id, item_id, compared, list_max(list_transform(range(1, len(same) - compared + 2), lambda k: list_sum(same[k:k + compared - 1]))) as matched
+  from beside where len(same) >= compared)
+select doc_id, item_id, cast(max(matched) as integer) as matched, cast(max(compared) as integer) as compared from best
+where compared - matched <= floor(compared * 2 / 13) group by doc_id, item_id"""
+
+
+@entry("op6_benchmark_decontamination", SQL_LEAKS)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(stored(spark, sf_dir, "documents"), stored(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "matched", "compared")
+
+
+@entry("op2_quality_classifier")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(stored(spark, sf_dir, "documents"), stored(spark, sf_dir, "labels"))
