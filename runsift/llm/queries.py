@@ -10,6 +10,8 @@ from runsift.llm.jaccard import near_duplicates
 from runsift.llm.line_dedup import MIN_SITES, MIN_WORDS, without_shared_lines
 from runsift.llm.packing import pack
 from runsift.llm.quality import quality_scores
+from runsift.llm.secrets import secret_scan
+from runsift.llm.topk import top_k
 from runsift.workload.registry import Entry
 
 ENTRIES: dict[str, Entry] = {}
@@ -85,3 +87,22 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @entry("op2_quality_classifier")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(stored(spark, sf_dir, "documents"), stored(spark, sf_dir, "labels"))
+
+
+SQL_TOP_K = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings),
+scored as (
+  select q.vec_id as query_id, d.vec_id, cast(list_inner_product(q.v, d.v) as bigint) as score
+  from v q join v d on q.vec_id % 50 = 0 and d.vec_id <> q.vec_id),
+ranked as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 5"""
+
+
+@entry("op1_voronoi_top_k", SQL_TOP_K)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(stored(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@entry("op5_secret_ownership")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(stored(spark, sf_dir, "documents"))
