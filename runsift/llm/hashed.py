@@ -1,15 +1,18 @@
 """Hashed word n-grams, and linear models on them.
 
-A text's features are hashes of its words, of pairs of neighbouring words and of
-runs of one to three word forms, where a form keeps what kinds of characters a
-word has (`Aa`, `9`, `a%`) and a word that repeats the one before it has a form of
-its own. Each feature's value is its share of the words, times `SCALE`. Scores are
-sparse dot products, computed as sums of weights looked up by index.
+A feature function turns a text into indices and a factor: a feature's value is
+how often its index is there, times the factor. `shares` has hashes of words, of
+pairs of neighbouring words and of runs of one to three word forms, by their
+share of the text; a form keeps what kinds of characters a word has (`Aa`, `9`,
+`a%`), and a word that repeats the one before it has a form of its own. `presence` has
+lower-cased words, their beginnings and pairs of words, each once. Scores are sparse dot products,
+computed as sums of weights looked up by index.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -41,34 +44,63 @@ def _pair(word: str) -> int:
 _WORD = Memo(_pair, WORDS_KEPT)
 
 
-def indices(text: str | None, forms: bool = True) -> tuple[np.ndarray, int]:
-    """The text's features, repeated as often as they occur, and its number of words."""
+Features = Callable[[str | None], tuple[np.ndarray, float]]
+
+
+def shares(text: str | None) -> tuple[np.ndarray, float]:
     words = text.split() if text else []
     n = len(words)
     if not n:
-        return np.zeros(0, np.int64), 0
+        return np.zeros(0, np.int64), 0.0
     both = np.fromiter(map(_WORD.__getitem__, words), np.uint64, n)
     word = both >> np.uint64(16)
-    found = [word * _M1, (word[1:] * _M2) ^ (word[:-1] * _M1)]
-    if forms:
-        kind = (both & np.uint64(0xFFFF)) + np.uint64(1)
-        kind[1:][word[1:] == word[:-1]] = np.uint64(0)
-        f1 = (kind + np.uint64(3)) * _M3
-        f2 = (f1[1:] * _M2) ^ (f1[:-1] * _M1)
-        found += [f1 * _M2, f2 * _M3, (f2[1:] * _M1) ^ (f1[:-2] * _M3)]
-    return (np.concatenate(found) >> _SHIFT).astype(np.int64), n
+    kind = (both & np.uint64(0xFFFF)) + np.uint64(1)
+    kind[1:][word[1:] == word[:-1]] = np.uint64(0)
+    f1 = (kind + np.uint64(3)) * _M3
+    f2 = (f1[1:] * _M2) ^ (f1[:-1] * _M1)
+    found = [word * _M1, (word[1:] * _M2) ^ (word[:-1] * _M1), f1 * _M2, f2 * _M3, (f2[1:] * _M1) ^ (f1[:-2] * _M3)]
+    return (np.concatenate(found) >> _SHIFT).astype(np.int64), SCALE / n
+
+
+def bare(word: str) -> str:
+    return word.strip(_MARKS).lower()
+
+
+def _parts(word: str) -> int:
+    """Places, 18 bits each, of a word and of its first four and five characters."""
+    word = bare(word)
+    out = 0
+    for k, part in enumerate((word, "4" + word[:4], "5" + word[:5])):
+        out |= (xxhash.xxh3_64_intdigest(part) >> 46) << (18 * k)
+    return out
+
+
+_MARKS = ".,;:!?\"'()[]{}<>*#$%&|-_=+~`\u201c\u201d\u2018\u2019\u00ab\u00bb\u00bf\u00a1"
+_PARTS = Memo(_parts, WORDS_KEPT)
+_PLACE = np.uint64(WIDTH - 1)
+
+
+def presence(text: str | None) -> tuple[np.ndarray, float]:
+    words = text.split() if text else []
+    if not words:
+        return np.zeros(0, np.int64), 0.0
+    parts = np.fromiter(map(_PARTS.__getitem__, words), np.uint64, len(words))
+    word = parts & _PLACE
+    pairs = ((word[1:] * _M2) ^ (word[:-1] * _M1)) >> _SHIFT
+    parts = np.unique(parts)
+    return np.unique(np.concatenate([parts & _PLACE, (parts >> np.uint64(18)) & _PLACE, (parts >> np.uint64(36)) & _PLACE, pairs])).astype(np.int64), 1.0
 
 
-def training_rows(rows: DataFrame, target: str, forms: bool = True) -> pd.DataFrame:
+def training_rows(rows: DataFrame, target: str, features: Features) -> pd.DataFrame:
     """Features of a bounded sample of rows (id, text, target), on the driver: id, target, index and value arrays as bytes."""
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         index, value = [], []
         for text in batch.column(1).to_pylist():
-            found, n = indices(text, forms)
+            found, factor = features(text)
             at, count = np.unique(found, return_counts=True)
             index.append(at.astype("<i4").tobytes())
-            value.append((count * (SCALE / max(n, 1))).astype("<f4").tobytes())
+            value.append((count * factor).astype("<f4").tobytes())
         return pa.record_batch([batch.column(0), batch.column(2), pa.array(index, pa.binary()), pa.array(value, pa.binary())], ["id", "target", "index", "value"])
 
     found = map_arrow(rows.select(F.col("id").cast("long"), "text", F.col(target).cast("double")), of, "id long, target double, index binary, value binary")
@@ -108,7 +140,7 @@ def ftrl(rows: pd.DataFrame, epochs: int = 4, alpha: float = 0.1, beta: float =
     return out[:WIDTH].astype(np.float32), float(out[WIDTH])
 
 
-def scores(docs: DataFrame, weights: np.ndarray, intercept: float, forms: bool = True) -> DataFrame:
+def scores(docs: DataFrame, weights: np.ndarray, intercept: float, features: Features) -> DataFrame:
     """docs (its own columns kept, text last) with text replaced by score."""
     held = docs.sparkSession.sparkContext.broadcast(weights)  # 1 MB
     fields = [f for f in docs.schema.fields if f.name != "text"]
@@ -116,9 +148,8 @@ def scores(docs: DataFrame, weights: np.ndarray, intercept: float, forms: bool =
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
         w, out = held.value, np.full(batch.num_rows, intercept)
         for i, text in enumerate(batch.column(len(fields)).to_pylist()):
-            found, n = indices(text, forms)
-            if n:
-                out[i] += float(w[found].sum(dtype=np.float64)) * SCALE / n
+            found, factor = features(text)
+            out[i] += float(w[found].sum(dtype=np.float64)) * factor
         p = 1 / (1 + np.exp(-np.clip(out, -35, 35)))
         return pa.record_batch([*(batch.column(k) for k in range(len(fields))), pa.array(p)], [*(f.name for f in fields), "score"])
 

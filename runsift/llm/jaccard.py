@@ -231,16 +231,17 @@ def similar_sizes(x: str, y: str):
     return (OF * F.least(x, y)) >= (NUMBER * F.greatest(x, y))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Components of documents under links of Jaccard similarity >= 0.8 on five-word shingles.
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each row of docs: doc_id, th (the text's hash), n_shingles, component_id and keep_th.
 
-    Returns doc_id, n_shingles, component_id: a row for each row of docs.
+    The row with the smallest id of a component, and among these the smallest
+    hash keep_th, stands for it.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     first = saved(docs.mapInArrow(_first_pass, _FIRST_TYPES))
     rows = first.where("counts is null")
     some = rows.where("n > 0")
-    nodes = saved(some.groupBy("sig").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    nodes = saved(some.groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th")).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")))
 
     # Groups: what a leader of the same band key is linked with.
     banded = nodes.select("sig", "n", F.explode("keys").alias("key"))
@@ -268,8 +269,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = verified(opened, nodes, docs)
 
     whole = saved(components(links.unionAll(more)))
-    named = nodes.select("sig", "low").join(whole.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "low", F.coalesce("root", "sig").alias("root"))
-    lowest = saved(named.groupBy("root").agg(F.min("low").alias("component_id")))
-    of_sig = saved(named.join(lowest, "root").select("sig", "component_id"))
-    out = some.join(of_sig, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionAll(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    named = nodes.select("sig", "rep").join(whole.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "rep", F.coalesce("root", "sig").alias("root"))
+    lowest = saved(named.groupBy("root").agg(F.min("rep").alias("keep")))
+    of_sig = saved(named.join(lowest, "root").select("sig", "keep"))
+    out = some.join(of_sig, "sig").select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("keep.doc_id").alias("component_id"), F.col("keep.th").alias("keep_th"))
+    return out.unionAll(rows.where("n = 0").select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("th").alias("keep_th")))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Components of documents under links of Jaccard similarity >= 0.8 on five-word shingles.
+
+    Returns doc_id, n_shingles, component_id: a row for each row of docs.
+    """
+    return classes(docs, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component, unchanged; rows without any word all stay, but for repeated ones."""
+    kept = classes(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("keep_th")))
+    kept = saved(kept.select(F.col("doc_id").alias("_kept_id"), F.col("th").alias("_kept_th")).distinct())
+    rows = docs.withColumn("_kept_key", F.xxhash64(text_col))
+    out = rows.join(kept, (F.col("_kept_key") == F.col("_kept_th")) & F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")))
+    return out.dropDuplicates([id_col, "_kept_key"]).select(*docs.columns)

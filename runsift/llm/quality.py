@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from runsift.llm.common import fold, sample_ids
-from runsift.llm.hashed import WIDTH, ftrl, scores, training_rows
+from runsift.llm.hashed import WIDTH, ftrl, scores, shares, training_rows
 
 FOLDS, THRESHOLD = 5, 0.3
 SAMPLE = 4000
@@ -33,14 +33,14 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_c
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    rows = training_rows(labelled(docs, labels, label, id_col, text_col, sample), label)
+    rows = training_rows(labelled(docs, labels, label, id_col, text_col, sample), label, shares)
     return ftrl(rows) if len(rows) else (np.zeros(WIDTH, np.float32), 0.0)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     weights, intercept = train(docs, labels, "quality", id_col, text_col, sample)
-    scored = scores(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), weights, intercept)
+    scored = scores(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), weights, intercept, shares)
     return scored.select("doc_id", (fold(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -49,5 +49,5 @@ def of_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     weights, intercept = train(docs, labels, "quality", id_col, text_col, sample)
     names = docs.columns
     copied = docs.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)]).alias("_row"), F.col(text_col).alias("text"))
-    kept = scores(copied, weights, intercept).where(F.col("score") >= threshold)
+    kept = scores(copied, weights, intercept, shares).where(F.col("score") >= threshold)
     return kept.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(names)])
