@@ -4,9 +4,8 @@ A feature function turns a text into indices and a factor: a feature's value is
 how often its index is there, times the factor. `shares` has hashes of words, of
 pairs of neighbouring words and of runs of one to three word forms, by their
 share of the text; a form keeps what kinds of characters a word has (`Aa`, `9`,
-`a%`), and a word that repeats the one before it has a form of its own. `presence` has
-lower-cased words, their beginnings and pairs of words, each once. Scores are sparse dot products,
-computed as sums of weights looked up by index.
+`a%`), and a word that repeats the one before it has a form of its own. Scores are
+sparse dot products, computed as sums of weights looked up by index.
 """
 
 from __future__ import annotations
@@ -66,29 +65,7 @@ def bare(word: str) -> str:
     return word.strip(_MARKS).lower()
 
 
-def _parts(word: str) -> int:
-    """Places, 18 bits each, of a word and of its first four and five characters."""
-    word = bare(word)
-    out = 0
-    for k, part in enumerate((word, "4" + word[:4], "5" + word[:5])):
-        out |= (xxhash.xxh3_64_intdigest(part) >> 46) << (18 * k)
-    return out
-
-
 _MARKS = ".,;:!?\"'()[]{}<>*#$%&|-_=+~`\u201c\u201d\u2018\u2019\u00ab\u00bb\u00bf\u00a1"
-_PARTS = Memo(_parts, WORDS_KEPT)
-_PLACE = np.uint64(WIDTH - 1)
-
-
-def presence(text: str | None) -> tuple[np.ndarray, float]:
-    words = text.split() if text else []
-    if not words:
-        return np.zeros(0, np.int64), 0.0
-    parts = np.fromiter(map(_PARTS.__getitem__, words), np.uint64, len(words))
-    word = parts & _PLACE
-    pairs = ((word[1:] * _M2) ^ (word[:-1] * _M1)) >> _SHIFT
-    parts = np.unique(parts)
-    return np.unique(np.concatenate([parts & _PLACE, (parts >> np.uint64(18)) & _PLACE, (parts >> np.uint64(36)) & _PLACE, pairs])).astype(np.int64), 1.0
 
 
 def training_rows(rows: DataFrame, target: str, features: Features) -> pd.DataFrame:

@@ -12,6 +12,7 @@ from runsift.llm.packing import pack
 from runsift.llm.quality import quality_scores
 from runsift.llm.secrets import secret_scan
 from runsift.llm.topk import top_k
+from runsift.llm.toxicity import toxicity_scores
 from runsift.workload.registry import Entry
 
 ENTRIES: dict[str, Entry] = {}
@@ -106,3 +107,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @entry("op5_secret_ownership")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(stored(spark, sf_dir, "documents"))
+
+
+@entry("op8_weak_toxicity")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(stored(spark, sf_dir, "documents"), stored(spark, sf_dir, "labels"))
