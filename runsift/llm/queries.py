@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from runsift.llm.common import stored
 from runsift.llm.decontam import leaks
 from runsift.llm.jaccard import near_duplicates
+from runsift.llm.language import language_id
 from runsift.llm.line_dedup import MIN_SITES, MIN_WORDS, without_shared_lines
 from runsift.llm.packing import pack
 from runsift.llm.quality import quality_scores
@@ -112,3 +113,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @entry("op8_weak_toxicity")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(stored(spark, sf_dir, "documents"), stored(spark, sf_dir, "labels"))
+
+
+@entry("op7_crf_language_id")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(stored(spark, sf_dir, "documents"))
