@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runsift.llm.common import stored
 from runsift.llm.decontam import leaks
+from runsift.llm.html_extract import extract
 from runsift.llm.jaccard import near_duplicates
 from runsift.llm.language import language_id
 from runsift.llm.line_dedup import MIN_SITES, MIN_WORDS, without_shared_lines
@@ -118,3 +119,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @entry("op7_crf_language_id")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(stored(spark, sf_dir, "documents"))
+
+
+@entry("op3_crf_html_extraction")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(stored(spark, sf_dir, "pages"))
