@@ -40,6 +40,8 @@ WORD_PARTS = 3
 WINDOW = 25
 #: Of windows without votes, one in so many is used for training, at most TRAINED windows in all.
 CLEAN_IN, TRAINED = 6, 60_000
+#: Updates in training, as far as 6 to 40 rounds make them.
+STEPS = 240_000
 VOTERS = WORD_PARTS + len(BEGINNINGS) + 4
 #: An entry's likelihood ratio statistic, and its share of toxic among its documents.
 EVIDENCE, SHARE = 27.0, 0.7
@@ -227,6 +229,6 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     picked = sample_ids(narrow.select(F.col("doc_id").alias("id")).where("id is not null").distinct(), "id", sample)
     rows = training_windows(narrow.join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("id", "text"), entries)
     rows["target"] = model.posterior(unpacked(rows["votes"].to_numpy(np.int64)))
-    weights, intercept = ftrl(rows, epochs=4, alpha=0.1, l1=1.0, l2=0.1)
-    intercept -= float(np.log(CLEAN_IN))  # clean windows were drawn
+    weights, intercept = ftrl(rows, epochs=int(np.clip(STEPS // max(len(rows), 1), 6, 40)), alpha=0.1, l1=float(np.clip(len(rows) / 20_000, 0.05, 1)), l2=0.1)
+    intercept -= float(np.log(CLEAN_IN))  # fewer clean windows were seen than there are, and a text has many: in doubt it is clean
     return window_scores(narrow, weights, intercept).select("doc_id", held_out, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
