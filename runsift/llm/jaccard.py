@@ -38,6 +38,8 @@ SHARED = 4
 BANDS, PER_BAND = 4, 2
 #: Counters by which shingles are ordered; a wrong order costs time, not links.
 COUNTERS = 1 << 18
+#: Members of a group that a set is compared with before all others.
+SCOUTS = 16
 #: Chosen tokens that one task compares at a time.
 BUCKET = 400_000
 WORDS_KEPT, SETS_SEEN = 700_000, 1_000_000
@@ -227,6 +229,19 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return saved(map_arrow(both, close, "a long, b long"))
 
 
+def opened(met: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the sets in met with members of the groups they met, as far as sizes and shared tokens allow.
+
+    Of two linked sets let x be the one whose chosen tokens end first. What of
+    these the other does not share, it does not hold at all; so the
+    intersection is at most what they share and x's tokens beyond the chosen.
+    """
+    left = lambda n: F.greatest(F.col(n) - (F.col(n) - F.ceil(F.col(n) * NUMBER / OF) + SHARED), F.lit(0))
+    least = F.ceil((F.col("n") + F.col("nb")) * NUMBER / (OF + NUMBER))
+    enough = F.col("shared") + F.greatest(left("n"), left("nb")) >= least
+    return met.join(members, "g").where(similar_sizes("n", "nb") & enough).select(F.col("sig").alias("a"), "b")
+
+
 def similar_sizes(x: str, y: str):
     return (OF * F.least(x, y)) >= (NUMBER * F.greatest(x, y))
 
@@ -262,13 +277,21 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     unions = sized.select("token", F.col("grp").alias("g"), F.col("size").alias("g_size")).distinct()
     # The smaller group's sets are the queries. Their tokens in the other's union bound the overlap.
     met = sized.join(unions, "token").where("grp <> g and (size < g_size or (size = g_size and grp < g))")
-    met = met.groupBy("sig", "n", "g").agg(F.count(F.lit(1)).alias("shared"))
+    met = met.groupBy("sig", "n", "g", "g_size").agg(F.count(F.lit(1)).alias("shared"))
     met = saved(met.where(F.col("shared") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * NUMBER / OF))))
     members = nodes.select(F.col("sig").alias("b"), F.col("n").alias("nb")).join(grouped.withColumnRenamed("node", "b"), "b", "left").select("b", "nb", F.coalesce("root", "b").alias("g"))
-    opened = met.join(saved(members), "g").where(similar_sizes("n", "nb")).select(F.col("sig").alias("a"), "b")
-    more = verified(opened, nodes, docs)
-
-    whole = saved(components(links.unionAll(more)))
+    members = saved(members.withColumn("slot", F.pmod(F.hash("b"), F.lit(SCOUTS))))
+    # First a few members of each group, as most sets that belong to a large one are linked with any of them; then all others.
+    scouts = saved(members.groupBy("g", "slot").agg(F.min(F.struct("b", "nb")).alias("scout")).select("g", "slot", "scout.b", "scout.nb"))
+    links = links.unionAll(verified(opened(met, scouts), nodes, docs))
+    whole = saved(components(links))
+    others = members.join(scouts.select("g", "slot", "b"), ["g", "slot", "b"], "left_anti")
+    roots = whole.select(F.col("node").alias("sig"), F.col("root").alias("q_root"))
+    apart = met.where("g_size > 1").join(roots, "sig", "left").join(roots.select(F.col("sig").alias("g"), F.col("q_root").alias("g_root")), "g", "left")
+    apart = saved(apart.where("coalesce(q_root, sig) <> coalesce(g_root, g)").select("sig", "n", "g", "shared"))
+    more = verified(opened(apart, saved(others)), nodes, docs)
+    if more.take(1):
+        whole = saved(components(links.unionAll(more)))
     named = nodes.select("sig", "rep").join(whole.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "rep", F.coalesce("root", "sig").alias("root"))
     lowest = saved(named.groupBy("root").agg(F.min("rep").alias("keep")))
     of_sig = saved(named.join(lowest, "root").select("sig", "keep"))
