@@ -1,4 +1,4 @@
-"""Evaluating expensive expressions once, and using all cores."""
+"""Evaluating expensive expressions once."""
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -12,14 +12,3 @@ def bind(rows: DataFrame, *keep: str, **columns: Column) -> DataFrame:
     """
     record = F.struct(*[c.alias(name) for name, c in columns.items()])
     return rows.select(*(keep or ("*",)), F.inline(F.array(record)))
-
-
-def spread(rows: DataFrame) -> DataFrame:
-    """Use all cores for heavy expressions on a table that is one small file.
-
-    A row group is one task, however many cores there are. Where the scan has
-    fewer tasks than the session has cores, the rows are dealt out first; on
-    tables with enough tasks this does nothing.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

@@ -146,18 +146,20 @@ def assess_detail(runs: DataFrame, states: DataFrame) -> DataFrame:
     )
 
 
-def task_verdicts(metadata: DataFrame, phases: DataFrame) -> DataFrame:
-    """A task is valid if its definition is and every phase is.
+def task_verdicts(metadata: DataFrame, phases: DataFrame, executed: bool = True) -> DataFrame:
+    """A task is valid if its definition is, and its base and its gold phase are there and valid.
 
-    Tasks with an invalid definition are not run, so they have no phases.
+    Tasks with an invalid definition are not run, so they have no phases. With
+    executed=False only definitions were checked, and phases count as far as there are any.
     """
+    both = F.lit(True) if not executed else F.bool_or(F.col("phase") == BASE) & F.bool_or(F.col("phase") == GOLD)
     per_task = phases.groupBy("instance_id").agg(
-        F.bool_and("valid").alias("phases_valid"), F.count(F.lit(1)).alias("phases")
+        (F.bool_and("valid") & both).alias("phases_valid"), F.count(F.lit(1)).alias("phases")
     )
     joined = metadata.select("instance_id", F.col("valid").alias("metadata_valid")).join(per_task, "instance_id", "left")
     return joined.select(
         "instance_id",
         "metadata_valid",
         F.coalesce("phases", F.lit(0)).alias("phases"),
-        (F.col("metadata_valid") & F.coalesce("phases_valid", F.lit(True))).alias("valid"),
+        (F.col("metadata_valid") & F.coalesce("phases_valid", F.lit(not executed))).alias("valid"),
     )

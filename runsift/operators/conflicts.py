@@ -19,11 +19,11 @@ def settle(events: DataFrame) -> DataFrame:
     """
     sign = F.col("sign")
     rank = F.struct(
-        F.col("prio"), (sign * F.col("part")).alias("part"), (sign * F.col("seq")).alias("seq"), (sign * F.col("sub")).alias("sub")
+        F.col("prio"), (sign * F.col("reading")).alias("reading"), (sign * F.col("part")).alias("part"), (sign * F.col("seq")).alias("seq"), (sign * F.col("sub")).alias("sub")
     )
     return events.groupBy("run_id", "test_id").agg(
         F.max(F.struct(rank.alias("rank"), F.col("status"))).getField("status").alias("status"),
-        F.min(F.struct("part", "seq", "sub")).alias("first_pos"),
+        F.min(F.struct("reading", "part", "seq", "sub")).alias("first_pos"),
     )
 
 

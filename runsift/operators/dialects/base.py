@@ -1,9 +1,10 @@
 """Building blocks for reading log dialects.
 
 A dialect turns rows (run_id, part, log) into events: "at this place the log
-says this test has this status". Everything here works within one log row, so
-reading logs needs no shuffle; only `operators.conflicts` brings the events of
-one test together.
+says this test has this status". Everything here works within one log row. A
+dialect in which every line stands for itself reads the parts of a log as they
+are, without a shuffle; for all others the parts of a run are joined first, so
+that the answer does not depend on how a log was cut.
 
 How repeated sightings of a test are settled is carried by two numbers, `prio`
 and `sign`: the event with the highest prio wins, and among equals the last
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from runsift.functions.text import LINE_END, group, matches, remove, rx, strip
 from runsift.schema import ERROR, UNREADABLE
 
-EVENT_COLUMNS = ("run_id", "part", "seq", "sub", "test_id", "status", "prio", "sign")
+EVENT_COLUMNS = ("run_id", "reading", "part", "seq", "sub", "test_id", "status", "prio", "sign")
 
 LINE_FEED = "\n"
 
@@ -31,6 +32,8 @@ class Dialect:
 
     name: str
     read: Callable[[DataFrame], DataFrame]
+    #: Every line stands for itself, so a log may be read in parts.
+    by_line: bool = False
 
 
 def event(key: Column, status: Column | str, prio: int | Column = 1, sign: int = 1) -> Column:
@@ -72,11 +75,11 @@ def log_lines(runs: DataFrame, line_end: str = LINE_FEED, text: str = "log") ->
     )
 
 
-def _columns(rows: DataFrame) -> DataFrame:
+def event_columns(rows: DataFrame) -> DataFrame:
     """Event columns; the name is marked as never null, so that joins on it
     need no null check."""
     name = F.coalesce("test_id", F.lit("")).alias("test_id")
-    return rows.select("run_id", "part", "seq", "sub", name, "status", "prio", "sign")
+    return rows.select("run_id", F.lit(0).alias("reading"), "part", "seq", "sub", name, "status", "prio", "sign")
 
 
 def emit(found: DataFrame, one: Column, certain: bool = False, named_only: bool = False) -> DataFrame:
@@ -88,24 +91,37 @@ def emit(found: DataFrame, one: Column, certain: bool = False, named_only: bool
         rows = rows.where("test_id <> ''")
     elif not certain:
         rows = rows.where("test_id is not null")
-    return _columns(rows)
+    return event_columns(rows)
 
 
 def emit_each(found: DataFrame, several: Column) -> DataFrame:
     """Rows with an array of events each, in order; null events are left out."""
     rows = found.select("run_id", "part", F.col("seq").cast("bigint").alias("seq"), F.posexplode(several).alias("sub", "e"))
-    return _columns(rows.where("e.test_id is not null").select("run_id", "part", "seq", "sub", "e.*"))
+    return event_columns(rows.where("e.test_id is not null").select("run_id", "part", "seq", "sub", "e.*"))
 
 
 def emit_log(runs: DataFrame, several: Column) -> DataFrame:
     """Events computed for a log as a whole: their order gives the place."""
     rows = runs.select("run_id", "part", F.posexplode(several).alias("place", "e")).where("e.test_id is not null")
-    return _columns(rows.select("run_id", "part", F.col("place").cast("bigint").alias("seq"), F.lit(0).alias("sub"), "e.*"))
+    return event_columns(rows.select("run_id", "part", F.col("place").cast("bigint").alias("seq"), F.lit(0).alias("sub"), "e.*"))
 
 
 def later(events: DataFrame) -> DataFrame:
-    """Events of a second reading of the log: they come after all of the first."""
-    return events.withColumn("seq", F.col("seq") + F.lit(2**40))
+    """Events of a second reading of the log: they come after all of the first, whatever part they are in."""
+    return events.withColumn("reading", F.lit(1))
+
+
+def whole_logs(runs: DataFrame) -> DataFrame:
+    """Joins the parts of each run, in order; a part without a final line end gets one.
+
+    For dialects in which a line's meaning hangs on others far from it. A
+    run's log then is one row, as it is for whoever wrote it.
+    """
+    parts = F.sort_array(F.collect_list(F.struct("part", "log")))
+    joined = runs.groupBy("run_id").agg(parts.alias("parts"))
+    ended = F.transform("parts", lambda p: F.when(p["log"].endswith("\n") | (p["log"] == ""), p["log"]).otherwise(F.concat(p["log"], F.lit("\n"))))
+    log = F.when(F.size("parts") == 1, F.col("parts")[0]["log"]).otherwise(F.array_join(ended, ""))
+    return joined.select("run_id", F.lit(0).cast("bigint").alias("part"), log.alias("log"))
 
 
 def one_line_per_feed(text: Column) -> Column:
@@ -224,7 +240,7 @@ class LineRules:
         return emit(lines, self.event(line), certain=True, named_only=self.named_only)
 
     def dialect(self) -> Dialect:
-        return Dialect(self.name, self.read)
+        return Dialect(self.name, self.read, by_line=True)
 
 
 @dataclass

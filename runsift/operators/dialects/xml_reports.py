@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from runsift.functions.nesting import enclosing_by_brackets
 from runsift.functions.text import rx, strip
-from runsift.operators.dialects.base import Dialect, emit_log, event, strong, unreadable
+from runsift.operators.dialects.base import Dialect, emit_log, event, event_columns, strong, unreadable
 from runsift.schema import ERROR, FAILED, PASSED, SKIPPED
 
 # --- Reports read as text: fragments may sit in broken or mixed logs ----------
@@ -128,9 +128,8 @@ def case_events(cases: DataFrame, key: Column, order: tuple[str, ...]) -> DataFr
     words = {"failure": FAILED, "error": ERROR, "skipped": SKIPPED}
     for child in order:
         status = (F if status is None else status).when(F.col(child).isNotNull(), words[child])
-    return cases.select(
-        "run_id", "part", "seq", F.lit(0).alias("sub"), strong(key, status.otherwise(PASSED)).alias("e")
-    ).select("run_id", "part", "seq", "sub", "e.*")
+    found = cases.select("run_id", "part", "seq", F.lit(0).alias("sub"), strong(key, status.otherwise(PASSED)).alias("e"))
+    return event_columns(found.select("run_id", "part", "seq", "sub", "e.*"))
 
 
 SUITES_DOCUMENT = r"(?s)<\?xml.*?</testsuites>"
@@ -216,7 +215,7 @@ def read_doctest(runs: DataFrame) -> DataFrame:
             F.concat("case", F.lit(" > "), "name"), F.when(F.col("failed"), FAILED).otherwise(PASSED)
         ).alias("e"),
     ).select("run_id", "part", "seq", "sub", "e.*")
-    return found.unionByName(emit_log(broken, F.array(unreadable())))
+    return event_columns(found).unionByName(emit_log(broken, F.array(unreadable())))
 
 
 DIALECTS = (

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from runsift.operators.conflicts import settle
-from runsift.operators.dialects import base, line_rules, nested, python_tests, scripted, suites, tables, xml_reports
+from runsift.operators.dialects import base, line_rules, nested, python_tests, suites, tables, xml_reports
 
 REGISTRY = base.Registry()
 for _family in (line_rules, python_tests, suites, tables, xml_reports, nested):
@@ -106,10 +106,6 @@ def register_extractor(name: str, find: Callable[[str], Iterable[tuple[str, str]
     REGISTRY.add(base.Dialect(name, read))
 
 
-for _name, _find in scripted.EXTRACTORS.items():
-    register_extractor(_name, _find)
-
-
 def dialects_in(runs: DataFrame) -> list[str]:
     """Dialects that occur in the runs: one pass over one narrow column.
 
@@ -141,7 +137,9 @@ def extract_events(runs: DataFrame, dialects: Iterable[str] | None = None) -> Da
     def share(name: str) -> DataFrame:
         known = [n for n, d in accepted.items() if d == name] + [name]
         mine = runs.where(F.col("parser").isin(known))
-        return REGISTRY.entries[name].read(mine.select("run_id", F.col("part").cast("bigint").alias("part"), "log"))
+        mine = mine.select("run_id", F.col("part").cast("bigint").alias("part"), "log")
+        dialect = REGISTRY.entries[name]
+        return dialect.read(mine if dialect.by_line else base.whole_logs(mine))
 
     shares += [share(name) for name in names]
     if not shares:

@@ -1,9 +1,10 @@
 """Expected tests against observed statuses, reduced to rewards."""
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from runsift.functions.commands import is_ordinary_exit
 from runsift.functions.text import normalize_test_name
+from runsift.operators.select import first_of_each
 from runsift.schema import NOT_FOUND, PASSED, UNREADABLE
 
 F2P, P2P, PROBE = "F2P", "P2P", "PROBE"
@@ -95,15 +96,14 @@ def with_reward(counts: DataFrame, mode: str = "binary") -> DataFrame:
 def status_detail(observed: DataFrame, grp: str, limit: int = 200, only_nonpassing: bool = False) -> DataFrame:
     """Listing of one group per run: the first `limit` tests and a closing line.
 
-    The ranked listing is cut inside each task before it is shuffled (the rank
-    filter is pushed into the window), so a run with millions of tests sends
-    at most `limit` rows per task; the count of the rest is an aggregate.
+    The listing is ranked within slices of a run before it is ranked as a whole, so of
+    a run with millions of tests at most `limit` rows of each slice meet in one
+    task; the count of the rest is an aggregate.
     """
     rows = observed.where(F.col("grp") == grp)
     if only_nonpassing:
         rows = rows.where(F.col("status") != PASSED)
-    by_place = Window.partitionBy("run_id").orderBy("pos")
-    shown = rows.withColumn("n", F.row_number().over(by_place)).where(F.col("n") <= max(limit, 0))
+    shown = first_of_each(rows, ("run_id",), (F.col("pos"),), max(limit, 0), F.col("pos"), "n")
     shown = shown.select(
         "run_id", "n", F.concat(F.lit("  "), "raw_id", F.lit(": "), "status").alias("text")
     )

@@ -4,8 +4,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from runsift.functions.tasks import image_cache_key
 
-# Ranges meet ids through buckets of this many numbers.
-BUCKET = 4096
+# Ranges are cut into aligned blocks of 1, 16, 256, ... numbers.
+BLOCK_BITS, BLOCK_SIZES = 4, 15
+# Slices of a key that are ranked on their own.
+SLICES = 64
 
 
 def parse_ranges(spark: SparkSession, spec: str) -> DataFrame:
@@ -30,19 +32,32 @@ def reversed_ranges(ranges: DataFrame) -> DataFrame:
 def in_ranges(tasks: DataFrame, ranges: DataFrame, key: str = "public_index") -> DataFrame:
     """Tasks inside at least one range, each once.
 
-    Ranges are cut at bucket borders, which makes this an equality semi-join
-    on the bucket with the exact bounds as a second condition. A range costs
-    one row per bucket it touches; repeated pieces are merged first.
+    A range is cut into aligned blocks of growing size, at most 30 of each, and
+    a task looks for the blocks of each size that it lies in: an equality join
+    on (size, block), however wide a range is.
     """
-    cut = ranges.select("lo", "hi", F.explode(F.expr(f"sequence(lo div {BUCKET}, hi div {BUCKET})")).alias("b"))
-    pieces = cut.select(
-        "b",
-        F.greatest("lo", F.col("b") * BUCKET).alias("lo"),
-        F.least("hi", (F.col("b") + 1) * BUCKET - 1).alias("hi"),
-    ).distinct()
-    keyed = tasks.withColumn("_b", F.expr(f"{key} div {BUCKET}"))
-    hit = (keyed["_b"] == pieces["b"]) & keyed[key].between(pieces["lo"], pieces["hi"])
-    return keyed.join(pieces, hit, "left_semi").drop("_b")
+
+    def border(size: int, column: Column, up: bool) -> Column:
+        width = 1 << (BLOCK_BITS * size)
+        return F.shiftright(column + (width - 1 if up else 0), BLOCK_BITS * size)
+
+    def blocks(size: int) -> Column:
+        """Blocks of a size that lie in the range, but not in a larger block that does."""
+        low, high = border(size, F.col("lo"), True), border(size, F.col("hi") + 1, False)
+        if size == BLOCK_SIZES - 1:
+            pieces = F.array(F.struct(low.alias("a"), high.alias("b")))
+        else:
+            left, right = border(size + 1, F.col("lo"), True) * 16, border(size + 1, F.col("hi") + 1, False) * 16
+            cut = F.array(F.struct(low.alias("a"), F.least(high, left).alias("b")), F.struct(F.greatest(low, right).alias("a"), high.alias("b")))
+            pieces = F.when(left >= right, F.array(F.struct(low.alias("a"), high.alias("b")))).otherwise(cut)
+        listed = F.flatten(F.transform(pieces, lambda p: F.when(p["a"] < p["b"], F.sequence(p["a"], p["b"] - 1)).otherwise(F.array().cast("array<bigint>"))))
+        return F.transform(listed, lambda x: F.struct(F.lit(size).alias("size"), x.alias("block")))
+
+    bounds = ranges.select(F.greatest("lo", F.lit(0)).cast("bigint").alias("lo"), F.col("hi").cast("bigint").alias("hi")).where("lo <= hi")
+    cut = bounds.select(F.inline(F.concat(*[blocks(n) for n in range(BLOCK_SIZES)]))).distinct()
+    mine = F.array(*[F.struct(F.lit(n).alias("size"), F.shiftright(F.col(key).cast("bigint"), BLOCK_BITS * n).alias("block")) for n in range(BLOCK_SIZES)])
+    hits = tasks.where(F.col(key) >= 0).select(key, F.inline(mine)).join(cut, ["size", "block"], "left_semi").select(key).distinct()
+    return tasks.join(hits, key, "left_semi")
 
 
 def out_of_range(ranges: DataFrame, total: int, show: int = 10) -> DataFrame:
@@ -76,17 +91,29 @@ def stratum(language: Column) -> Column:
 def stratified_sample(tasks: DataFrame, per_language: int | None, seed: int = 0, key: str = "public_index") -> DataFrame:
     """At most `per_language` tasks of each language, the same ones for a seed.
 
-    Tasks are drawn in the order of a seeded hash. The rank filter is pushed
-    into the window, so each task sends at most `per_language` rows per
-    language, even if one language holds most of the catalogue.
+    Tasks are drawn in the order of a seeded hash. They are ranked within
+    slices of each language first, so that only `per_language` rows of each
+    slice meet in one task, however common a language is.
     """
     if per_language is not None and per_language < 1:
         raise ValueError("per_language must be at least 1")
     named = tasks.withColumn("stratum", stratum(F.col("language")))
     if per_language is None:
         return named
-    draw = Window.partitionBy("stratum").orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key))
-    return named.withColumn("_n", F.row_number().over(draw)).where(F.col("_n") <= per_language).drop("_n")
+    order = (F.xxhash64(F.lit(seed), F.col(key)), F.col(key))
+    return first_of_each(named, ("stratum",), order, per_language, F.col(key), "_n").drop("_n")
+
+
+def first_of_each(rows: DataFrame, keys: tuple[str, ...], order: tuple[Column, ...], limit: int, spread: Column, number: str) -> DataFrame:
+    """The first `limit` rows of each key, numbered from 1.
+
+    First within SLICES slices by the hash of `spread`, then among what is
+    left, so one key's rows need not all sort in one task.
+    """
+    sliced = rows.withColumn("_slice", F.pmod(F.hash(F.lit(17), spread), F.lit(SLICES)))
+    some = sliced.withColumn(number, F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*order)))
+    some = some.where(F.col(number) <= limit).drop(number, "_slice")
+    return some.withColumn(number, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(number) <= limit)
 
 
 def cached_only(tasks: DataFrame, listing: DataFrame, reference: Column) -> DataFrame:

@@ -3,14 +3,12 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def write_runs(runs: DataFrame, path: str, mode: str = "append", salt: int = 32) -> None:
+def write_runs(runs: DataFrame, path: str, mode: str = "append") -> None:
     """Store runs by parser: reading one dialect then opens its folders only.
 
-    Rows are spread over `salt` tasks per parser before writing, so a parser
-    that most runs use does not end in one task.
+    Rows are rebalanced by parser: a parser that most runs use is split by size.
     """
-    spread = F.pmod(F.xxhash64("run_id", "part"), F.lit(salt))
-    runs.repartition("parser", spread).write.mode(mode).partitionBy("parser").parquet(path)
+    runs.hint("rebalance", F.col("parser")).write.mode(mode).partitionBy("parser").parquet(path)
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:

@@ -8,16 +8,16 @@ TASKS = (
 )
 
 # One row per part of a log. A run whose log fits in one row has part 0 only.
-# Very long logs arrive as several parts, cut where the dialect starts afresh
-# (any line for line dialects, a suite or a document for the others); every
-# part is read on its own and the parts' findings are merged in part order.
+# Long logs may arrive as several parts, cut between any two lines. Dialects in
+# which every line stands for itself read each part on its own; for the others
+# the parts are joined first. Either way the answer is that of the whole log.
 RUNS = "run_id STRING, instance_id STRING, parser STRING, part BIGINT, log STRING, exit_code INT"
 
 EXPECTED = "instance_id STRING, grp STRING, pos INT, raw_id STRING, norm_id STRING"
 
 RESULTS = (
     "run_id STRING, test_id STRING, status STRING, "
-    "first_pos STRUCT<part: BIGINT, seq: BIGINT, sub: INT>"
+    "first_pos STRUCT<reading: INT, part: BIGINT, seq: BIGINT, sub: INT>"
 )
 
 PASSED, FAILED, SKIPPED, ERROR = "PASSED", "FAILED", "SKIPPED", "ERROR"

@@ -14,6 +14,7 @@ def local_session(cpus: str = "*", app: str = "runsift") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.files.maxPartitionBytes", "4m")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -26,11 +27,13 @@ def local_session(cpus: str = "*", app: str = "runsift") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder for tables that must outlive an executor.
 
-    The cluster names it in spark.checkpoint.dir. Only where that is unset, as
-    in local tests, a fresh temporary folder takes its place.
+    The cluster names it in spark.checkpoint.dir. Only a local session, where
+    driver and tasks share one disk, gets a temporary folder if that is unset.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="runsift-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -1,6 +1,5 @@
 """The task catalogue: sharded parquet, row numbers, the index of usable tasks."""
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
@@ -14,17 +13,16 @@ BLOCK_ROWS = 65_536
 
 def read_tasks(spark: SparkSession, folder: str, fallback: str | None = "data/data.parquet") -> DataFrame:
     """`data.parquet` alone if the folder has one, else every parquet file below it."""
-    try:
+    if path_exists(spark, f"{folder}/data.parquet"):
         return spark.read.parquet(f"{folder}/data.parquet")
-    except AnalysisException:
-        pass
-    try:
-        everything = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
-        return everything.parquet(folder)
-    except AnalysisException:
-        if fallback is None:
-            raise
+    if fallback is not None and not path_exists(spark, folder):
         return spark.read.parquet(fallback)
+    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(folder)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
 def shard_layout(rows: DataFrame) -> DataFrame:

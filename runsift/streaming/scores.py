@@ -44,7 +44,7 @@ def keep_latest(results: DataFrame, out: str, checkpoint: str, keys: tuple[str,
     from the version before; readers take the highest complete version.
     A repeated batch rewrites its own version from the same input.
     """
-    newest = F.max_by(F.struct("*"), F.col("seq")).alias("r")
+    newest = F.max_by(F.struct("*"), F.coalesce("seq", F.lit(-1))).alias("r")
 
     def one_batch(batch: DataFrame, number: int) -> None:
         rows = batch

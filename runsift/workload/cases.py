@@ -97,8 +97,6 @@ CASES: dict[str, Case] = {
     "calypso": case((P, "  Suite {s}\n    ✓ {n} (3ms)"), (F_, "  Suite {s}\n    ✕ {n}"), key="Suite {s} - {n}", head="run ./node_modules/.bin/jest --ci\n", tail="Test Suites: 1 passed\n    ✓ not read (1ms)\n"),
     "haskell_v2": case((P, "M{s}\n  {n}"), (F_, "M{s}\n  {n} FAILED [1]"), (S, "M{s}\n  {n} PENDING why"), key="M{s}.{n}", head="noise\nTest suite x: RUNNING...\n\n", tail="\nFailures:\n\n  nothing listed\n"),
     "js_3": case((P, "ok 1 - suite{s} {\n    ok 2 - {n} # time=1ms\n}"), (F_, "ok 1 - suite{s} {\n    not ok 2 - {n} (3ms)\n}"), key="suite{s} :: {n}", policy="override", also=(("suite{s}", P, "override"),)),
-    "karma": case((P, "  Suite\n    ✔ {n}"), (F_, "    ✖ {n}"), key="Suite > {n}", head="Starting browser X\n  Suite\n", tail="SUMMARY:\n    ✖ not read\n"),
-    "p5js": case((F_, "  1) Suite {s}\n       {n}:"), key="Suite {s}:{n}", head="data {\n 1) not: read\n}\n"),
     "dart": case((P, '{"test":{"id":{i},"name":"{n}"},"type":"testStart"}\n{"testID":{i},"result":"success","hidden":false,"type":"testDone"}'), (F_, '[{"test":{"id":{i},"name":"{n}"},"type":"testStart"}]\n{"testID":{i},"result":"failure","type":"testDone"}'), (E, '{"test":{"id":{i},"name":"{n}"},"type":"testStart"}\n{"testID":{i},"result":"error","type":"testDone"}'), (S, '{"test":{"id":{i},"name":"{n}"},"type":"testStart"}\n{"testID":{i},"skipped":true,"type":"testDone"}')),
     "java_mvn": case((P, "[INFO] Running c.{n}\n[INFO] Tests run: 3, Failures: 0, Errors: 0, Skipped: 0, Time elapsed: 1 s - in c.{n}"), (F_, "[INFO] Running c.{n}\nTests run: 3, Failures: 1, Errors: 0, Skipped: 0"), (S, "Running c.{n}\nTests run: 3, Failures: 0, Errors: 0, Skipped: 1 in c.{n}."), key="c.{n}", policy="first"),
 }

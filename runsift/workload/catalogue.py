@@ -6,7 +6,7 @@ An order is a task. Its customer number decides how the config is written
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from runsift.functions.binding import bind, spread
+from runsift.functions.binding import bind
 from runsift.functions.commands import coerce_test_cmd, command_stages
 from runsift.functions.tasks import image_cache_key, image_reference, render_prompt
 from runsift.functions.text import bound_text, normalize_test_name, strip_ansi
@@ -77,7 +77,7 @@ def with_config(orders: DataFrame) -> DataFrame:
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_config(spread(table(spark, sf_dir, "orders"))).select(
+    return with_config((table(spark, sf_dir, "orders"))).select(
         "o_orderkey",
         "o_custkey",
         "o_orderstatus",
@@ -191,7 +191,7 @@ def _(spark, sf_dir):
         .when(F.col("o_custkey") % 6 == 3, "17")
         .when(F.col("o_custkey") % 6 == 4, '["\\t"]')
     )
-    rows = spread(table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw")))
+    rows = (table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw")))
     return coerce_test_cmd(rows, "raw").select("o_orderkey", F.array_join("commands", "|").alias("commands"))
 
 
@@ -265,7 +265,7 @@ def _(spark, sf_dir):
 
 @entry("strip_ansi", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag || ' ' || l_partkey as text from lineitem")
 def _(spark, sf_dir):
-    lines = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))
+    lines = (table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))
     painted = F.concat(
         F.lit("\x1b[1;31m"), "l_returnflag", F.lit("\x1b[0m \x1b[K"), F.col("l_partkey").cast("string"), F.lit("\x1bM"),
     )
@@ -278,7 +278,7 @@ def _(spark, sf_dir):
       'p' || l_partkey || ' case' || case when l_linenumber % 5 = 4 then ' [2 ms]' else '' end as once from lineitem""",
 )
 def _(spark, sf_dir):
-    lines = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    lines = (table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
     noise = (
         F.when(F.col("l_linenumber") % 5 == 0, F.concat(F.lit(" ["), F.col("l_suppkey").cast("string"), F.lit(".5 ms] ")))
         .when(F.col("l_linenumber") % 5 == 1, " (1.2S)")
@@ -438,7 +438,7 @@ def result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "signup", "").otherwise(F.concat(F.lit(', "valid": '), valid)), F.lit("}"),
     )
     line = F.when(key % 17 == 4, '{"index": 1, "va').when(key % 17 == 5, "[1, 2]").otherwise(good)
-    return spread(table(spark, sf_dir, "events")).select(line.alias("value"))
+    return (table(spark, sf_dir, "events")).select(line.alias("value"))
 
 
 SQL_LATEST = f"""(select user_id as "index", arg_max(event_type not in ('error', 'signup'), event_id) as valid

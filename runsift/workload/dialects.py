@@ -1,8 +1,10 @@
 """Round-trip queries: orders become logs, logs become statuses again."""
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from runsift.operators.extract import extract_test_results
+from runsift.operators.extract import REGISTRY, extract_test_results, register_extractor
 from runsift.workload.cases import CASES, FAMILIES, Case
 from runsift.workload.registry import entry, table
 from runsift.workload.rendering import assemble, fill, part_of
@@ -103,6 +105,40 @@ def _family_query(members: tuple[str, ...]):
     return query
 
 
+# --- a dialect of the user's own ----------------------------------------------------
+
+OWN = "custom_marks"
+
+
+def marked_tests(log: str) -> Iterator[tuple[str, str]]:
+    """`+ name` passed, `- name` failed."""
+    for line in log.split("\n"):
+        mark, _, name = line.partition(" ")
+        if mark in ("+", "-"):
+            yield name, "PASSED" if mark == "+" else "FAILED"
+
+
+if OWN not in REGISTRY.entries:
+    register_extractor(OWN, marked_tests)
+
+
+@entry(
+    "extract_custom",
+    f"""select 'own-' || o_custkey as run_id, 'case_' || (o_orderkey % {TESTS}) as test_id,
+      arg_max(case when o_orderstatus = 'F' then 'FAILED' else 'PASSED' end, o_orderkey) as status from orders group by 1, 2""",
+)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mark = F.when(F.col("o_orderstatus") == "F", "- ").otherwise("+ ")
+    lines = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("own-"), F.col("o_custkey").cast("string")).alias("run_id"),
+        part_of(F.col("o_orderkey")).alias("part"),
+        F.col("o_orderkey").alias("seq"),
+        F.concat(mark, sighting_values()["n"]).alias("text"),
+    )
+    runs = assemble(lines, ("run_id",), "started\n").withColumn("parser", F.lit(OWN))
+    return extract_test_results(runs, [OWN]).select("run_id", "test_id", "status")
+
+
 for _name in CASES:
     entry(f"dialect_{_name}", case_sql(_name))(_dialect_query(_name))
 for _family, _members in FAMILIES.items():

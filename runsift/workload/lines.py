@@ -150,8 +150,8 @@ def _(spark, sf_dir):
 
 @entry(
     "stage_exit_rollup",
-    f"""select user_id as run_id, event_id // {PART_ROWS} as part, count(*) as stages, count(*) filter (where event_id % 4 > 0) as failed_stages,
-      coalesce(arg_min(event_id % 4, event_id) filter (where event_id % 4 > 0), 0)::bigint as exit_code from events group by 1, 2""",
+    """select user_id as run_id, count(*) as stages, count(*) filter (where event_id % 4 > 0) as failed_stages,
+      coalesce(arg_min(event_id % 4, event_id) filter (where event_id % 4 > 0), 0)::bigint as exit_code from events group by 1""",
 )
 def _(spark, sf_dir):
     key = F.col("event_id")
@@ -160,10 +160,8 @@ def _(spark, sf_dir):
         F.lit(" exit_code="), (key % 4).cast("string"), F.lit("]"),
     )
     lines = table(spark, sf_dir, "events").select("user_id", part_of(key).alias("part"), key.alias("seq"), line.alias("text"))
-    logs = assemble(lines, ("user_id",)).select(F.struct("user_id", "part").alias("run_id"), "log")
-    return stage_exit_rollup(logs).select(
-        "run_id.user_id", "run_id.part", "stages", "failed_stages", F.col("exit_code").cast("bigint").alias("exit_code")
-    ).withColumnRenamed("user_id", "run_id")
+    logs = assemble(lines, ("user_id",)).select(F.col("user_id").alias("run_id"), "log")
+    return stage_exit_rollup(logs).select("run_id", "stages", "failed_stages", F.col("exit_code").cast("bigint").alias("exit_code"))
 
 
 @entry(

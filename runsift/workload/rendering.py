@@ -10,7 +10,7 @@ unique number, so that no run gathers an unbounded group in one task.
 import re
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 PART_ROWS = 32_768
 
@@ -28,16 +28,18 @@ def fill(template: str, values: Mapping[str, Column]) -> Column:
 def assemble(lines: DataFrame, keys: tuple[str, ...], head: Column | str = "", tail: Column | str = "") -> DataFrame:
     """lines(keys..., part, seq, text) -> one log per key and part, lines by seq.
 
-    The logs are few bytes and much work, so they keep at least one partition
-    per core; adaptive coalescing goes by bytes and would put them in one task.
+    The head comes before the first part of a key, the tail after its last.
     """
-    spark = lines.sparkSession
-    wide = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    lines = lines.repartition(wide, *keys, "part")
     by_part = lines.groupBy(*keys, "part").agg(F.sort_array(F.collect_list(F.struct("seq", "text"))).alias("all"))
     as_column = lambda v: F.lit(v) if isinstance(v, str) else v
-    body = F.array_join(F.col("all.text"), "\n")
-    return by_part.select(*keys, "part", F.concat(as_column(head), body, F.lit("\n"), as_column(tail)).alias("log"))
+    body = F.concat(F.array_join(F.col("all.text"), "\n"), F.lit("\n"))
+    if isinstance(head, str) and isinstance(tail, str) and not head + tail:
+        return by_part.select(*keys, "part", body.alias("log"))
+    parts = Window.partitionBy(*keys).orderBy("part")
+    first, last = F.lag("part").over(parts).isNull(), F.lead("part").over(parts).isNull()
+    placed = by_part.withColumn("first", first).withColumn("last", last)
+    log = F.concat(F.when(F.col("first"), as_column(head)).otherwise(""), body, F.when(F.col("last"), as_column(tail)).otherwise(""))
+    return placed.select(*keys, "part", log.alias("log"))
 
 
 def part_of(seq: Column) -> Column:

@@ -13,7 +13,6 @@ from runsift.operators.assess import assess_detail, assess_phases, expected_stat
 from runsift.operators.conflicts import normalize_results
 from runsift.operators.extract import extract_test_results
 from runsift.operators.scoring import expected_vs_observed, run_facts, score_counts, status_detail, with_reward
-from runsift.functions.binding import spread
 from runsift.functions.text import normalize_test_name
 from runsift.schema import UNREADABLE
 from runsift.workload.registry import entry, table
@@ -37,7 +36,7 @@ def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "lineitem")
     placed = raw.select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_partkey", "l_suppkey", F.col("_metadata.row_index").alias("row"))
     values = {"flag": F.col("l_returnflag"), "part": F.col("l_partkey"), "line": F.col("l_linenumber"), "supp": F.col("l_suppkey")}
-    return spread(placed).select(
+    return (placed).select(
         "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "row", fill(NAME, values).alias("id")
     )
 
@@ -235,7 +234,7 @@ def _(spark, sf_dir):
     SQL_STATES
     + SQL_CHECKS
     + f""", both_phases as (
-    select l_orderkey, b.valid and g.valid as valid from checks c join ({SQL_BASE}) b using (run_id) join ({SQL_GOLD}) g using (run_id))
+    select l_orderkey, b.valid and g.valid and l_orderkey % 7 not in (1, 2, 3) as valid from checks c join ({SQL_BASE}) b using (run_id) join ({SQL_GOLD}) g using (run_id))
     select l_orderkey::varchar as instance_id, l_orderkey % 3 <> 0 as metadata_valid, valid and l_orderkey % 3 <> 0 as valid from both_phases""",
 )
 def _(spark, sf_dir):
@@ -243,7 +242,10 @@ def _(spark, sf_dir):
     runs = facts(spark, sf_dir)
     phases = F.explode(F.array(F.lit("base"), F.lit("gold")))
     # One run id per phase; both phases of a task share the states of its run.
-    both = runs.withColumn("phase", phases)
+    # Some tasks lack the base phase, some the gold one, some both.
+    seventh = F.col("instance_id").cast("bigint") % 7
+    missing = ((seventh == 1) & (F.col("phase") == "base")) | ((seventh == 2) & (F.col("phase") == "gold")) | (seventh == 3)
+    both = runs.withColumn("phase", phases).where(~missing)
     verdicts = assess_phases(both, states)
     metadata = runs.select("instance_id", (F.col("instance_id").cast("bigint") % 3 != 0).alias("valid"))
     return task_verdicts(metadata, verdicts).select("instance_id", "metadata_valid", "valid")

@@ -14,7 +14,8 @@ from runsift.sources.results import parse_results
 from runsift.workload.registry import entry, table
 from runsift.workload.rendering import fill
 
-FILES = 3
+# Rows of a file that lands: the number of files and of batches grows with the data.
+FILE_ROWS = 5000
 # A customer is a task and an order of the customer a run with one log line.
 
 
@@ -40,7 +41,7 @@ def _(spark, sf_dir):
         F.lit(0).alias("exit_code"),
     )
     landing, out, checkpoint = (fresh(spark, n) for n in ("landing", "scores", "progress"))
-    runs.repartition(FILES, "run_id").write.parquet(landing)
+    runs.write.option("maxRecordsPerFile", FILE_ROWS).parquet(landing)
     expected = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").cast("string").alias("instance_id"), F.lit("F2P").alias("grp"), F.lit(0).alias("pos"),
         F.concat(F.lit("Test"), F.col("c_custkey").cast("string")).alias("raw_id"),
@@ -59,7 +60,7 @@ def _(spark, sf_dir):
 @entry("incremental_latest", f"select * from {SQL_LATEST}")
 def _(spark, sf_dir):
     landing, out, checkpoint = (fresh(spark, n) for n in ("records", "latest", "progress"))
-    parse_results(result_lines(spark, sf_dir)).repartition(FILES, "seq").write.parquet(landing)
+    parse_results(result_lines(spark, sf_dir)).write.option("maxRecordsPerFile", FILE_ROWS).parquet(landing)
     arriving = spark.readStream.schema("index BIGINT, valid BOOLEAN, seq BIGINT").option("maxFilesPerTrigger", 1).parquet(landing)
     keep_latest(arriving, out, checkpoint).awaitTermination()
     return latest_version(spark, out).select("index", "valid")

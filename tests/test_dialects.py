@@ -104,8 +104,6 @@ LOGS = [
     ("combined_test_reports", '<?xml version="1.0"?><testsuites><testcase name="a &amp; b"/><!-- <testcase name="no"/> --></testsuites> <?xml version="1.0"?><testsuites><open></testsuites> <?xml version="1.0"?><testsuites><testcase classname="c" name="z"><x><failure/></x><skipped/></testcase></testsuites>', {"None::a & b": P, "c::z": S}),
     ("swift", "Test Case 'A.b' passed (0.1 seconds)\nTest Case 'A.c' failed (1.0 seconds)", {"A.b": P, "A.c": F_}),
     ("csharp", "  Passed a [3 ms]\n  Failed b [1 s]\n  Skipped c\n[xUnit.net 00:00:01.2]   a [FAIL]\nPassed d [1 ms]", {"a": F_, "b": F_, "c": S}),
-    ("karma", "Starting browser X\n\n  Suite\n    ✔ a\n    ✖ b\nSUMMARY:\n    ✔ c", {"Suite > a": P, "Suite > b": F_}),
-    ("p5js", 'ignored {\n 1) in json:\n}\n  1) Suite\n       inner name:\n  2) flat\n flat:\n<a>3) x\n  y:</a>\n', {"Suite:inner name": F_}),
 ]
 
 
@@ -129,6 +127,27 @@ def test_dialect(found, number):
         assert got == expected
 
 
+@pytest.fixture(scope="module")
+def found_in_parts(spark):
+    """The same logs, with every line a part of its own."""
+    rows = [(str(i), name, n, part) for i, (name, log, _) in enumerate(LOGS) for n, part in enumerate(cut_at_line_feeds(log))]
+    runs = spark.createDataFrame(rows, "run_id STRING, parser STRING, part BIGINT, log STRING").repartition(4)
+    by_run: dict[str, dict[str, str]] = {}
+    for row in extract_test_results(runs).collect():
+        by_run.setdefault(row["run_id"], {})[row["test_id"]] = row["status"]
+    return by_run
+
+
+def cut_at_line_feeds(log: str) -> list[str]:
+    pieces = log.split("\n")
+    return [p + "\n" for p in pieces[:-1]] + [pieces[-1]]
+
+
+@pytest.mark.parametrize("number", range(len(LOGS)), ids=[f"{i}-{name}" for i, (name, _, _) in enumerate(LOGS)])
+def test_parts_do_not_change_the_answer(found, found_in_parts, number):
+    assert found_in_parts.get(str(number), {}) == found.get(str(number), {})
+
+
 def test_every_dialect_has_a_log():
     from runsift.operators.extract import REGISTRY
 
