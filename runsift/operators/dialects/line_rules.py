@@ -153,7 +153,7 @@ TABLE = (
     ),
     of_any_lines(
         "ruby_v2",
-        line("{a}#{b}_=_9.9_s_=_{s}", {".": PASSED, "F": FAILED, "E": FAILED, "S": SKIPPED}, key="{a}#{b}", has="#"),
+        line("{a}#{m}_=_9.9_s_=_{s}", {".": PASSED, "F": FAILED, "E": FAILED, "S": SKIPPED}, key="{a}#{m}", has="#"),
     ),
     of_any_lines(
         "haskell",

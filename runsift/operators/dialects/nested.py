@@ -18,7 +18,8 @@ from runsift.operators.dialects.base import (
     unreadable,
     weak,
 )
-from runsift.operators.dialects.line_rules import JS_TIMING
+from runsift.operators.dialects.line_rules import JS_TIMING, OK_NOT
+from runsift.operators.dialects.shapes import part, starts, whole
 from runsift.operators.dialects.suites import build_events, surefire_events, with_prio
 from runsift.operators.dialects.xml_reports import text_case_events
 from runsift.schema import ERROR, FAILED, PASSED, SKIPPED
@@ -78,8 +79,8 @@ def read_indented_jest(runs: DataFrame) -> DataFrame:
     marked = path_items(rows, enclosing_by_level(F.col("items.level"))).where(F.col("mark").isNotNull())
 
     line = F.col("line")
-    timed, plain = r"^\s+[✓✕]\s(.*)\(\d+ms\)$", r"^\s+[✓✕]\s(.*)"
-    is_timed = matches(line, r"\(\d+ms\)")
+    timed, plain = whole("_{✓|✕}·{N?}(9ms)"), starts("_{✓|✕}·{N?}")
+    is_timed = matches(line, part("(9ms)"))
     fits = F.when(is_timed, matches(line, timed)).otherwise(matches(line, plain))
     name = F.when(is_timed, group(line, timed, 1)).otherwise(group(line, plain, 1))
     key = strip(F.concat(F.array_join("path", " - "), F.lit(" - "), name))
@@ -138,8 +139,7 @@ def read_spec_tree(runs: DataFrame) -> DataFrame:
     past = F.when(F.col("end") > 0, F.col("end")).otherwise(F.size("all") + 1)
     logs = logs.withColumn("tree", F.slice("all", first, F.greatest(past - first, F.lit(0))))
 
-    pending = r"^(.*?)\s+(?:PENDING|SKIPPED)\b.*$"
-    failed = r"^(.*?)\s+FAILED\s*\[\d+\]$"
+    pending, failed = whole("{n?}_{PENDING|SKIPPED}¦…"), whole("{n?}_FAILED~[9]")
 
     def item(line: Column) -> Column:
         text = strip(line)
@@ -168,7 +168,7 @@ def read_spec_tree(runs: DataFrame) -> DataFrame:
     listed = listed.withColumn("stop", stop)
     shown = F.when(F.col("stop") > 0, F.slice("all", F.lit(1), F.col("stop") - 1)).otherwise(F.col("all"))
     listed = listed.select("run_id", "part", F.posexplode(shown).alias("seq", "line"))
-    header = r"^\s*\d+\)\s+(.*)$"
+    header = whole("~9)_{N?}")
     line = F.col("line")
     parts = F.transform(F.split(strip(group(line, header, 1)), ","), strip)
     return tree_events.unionByName(
@@ -181,7 +181,7 @@ def read_spec_tree(runs: DataFrame) -> DataFrame:
 
 def read_braced_tap(runs: DataFrame) -> DataFrame:
     """`ok 1 - name {` opens a block, a line of `}` closes as many."""
-    shape = r"^(not ok|ok)\s+\d+\s+-\s+(.*?)(?:\s+#.*)?$"
+    shape = whole("{s}_9_-_{n?}<_#…>", OK_NOT)
     lines = F.filter(F.transform(F.split("log", LINE_END), strip), lambda x: x != "")
 
     def item(line: Column) -> Column:
