@@ -8,6 +8,9 @@ from runsift.operators.select import first_of_each
 from runsift.schema import NOT_FOUND, PASSED, UNREADABLE
 
 F2P, P2P, PROBE = "F2P", "P2P", "PROBE"
+# Stage and message of a failure that kept a run from being tested: a patch that
+# did not apply, a phase that broke, a parser that raised. Null for sound runs.
+ERROR_COLUMNS = ("error_stage", "error")
 
 
 def expected_tests(tasks: DataFrame, passes: int = 1, probe: bool = False) -> DataFrame:
@@ -33,8 +36,11 @@ def expected_tests(tasks: DataFrame, passes: int = 1, probe: bool = False) -> Da
 
 
 def run_facts(runs: DataFrame) -> DataFrame:
-    """One row per run, whatever the number of log parts; the log is not read."""
-    return runs.select("run_id", "instance_id", "exit_code").distinct()
+    """One row per run, whatever the number of log parts; the log is not read.
+
+    Where runs say why they failed (`error_stage`, `error`), that is kept.
+    """
+    return runs.select("run_id", "instance_id", "exit_code", *[c for c in ERROR_COLUMNS if c in runs.columns]).distinct()
 
 
 def expected_vs_observed(runs: DataFrame, expected: DataFrame, results: DataFrame) -> DataFrame:
@@ -85,9 +91,12 @@ def score_counts(observed: DataFrame, keys: tuple[str, ...] = ("run_id",)) -> Da
 
 
 def with_reward(counts: DataFrame, mode: str = "binary") -> DataFrame:
-    """Reward of the tests, and the final one: 0.0 for broken runs."""
+    """Reward of the tests, and the final one: 0.0 for broken runs, among them those with an error."""
     tests = reward(F.col("f2p_passed"), F.col("f2p_total"), F.col("p2p_passed"), F.col("p2p_total"), mode)
     sound = is_ordinary_exit(F.col("exit_code")) & ~F.col("unreadable") & ~F.col("unknown_task")
+    for column in ERROR_COLUMNS:
+        if column in counts.columns:
+            sound = sound & F.col(column).isNull()
     return counts.withColumn("test_reward", tests).withColumn(
         "reward", F.when(sound, F.col("test_reward")).otherwise(F.lit(0.0))
     )

@@ -9,6 +9,7 @@ from runsift.sources.catalogue import config_columns
 
 NEEDED = ("instance_id", "base_commit", "image_name", "patch", "test_patch")
 PREVIEW = 20
+SCHEMA_VERSION = 1
 
 
 def group_overlap(tasks: DataFrame) -> DataFrame:
@@ -60,6 +61,8 @@ def validate_metadata(tasks: DataFrame) -> DataFrame:
     found = F.col("found")
     indexes = [c for c in ("index", "raw_index", "public_index") if c in tasks.columns]
     return rows.select(
+        F.lit(SCHEMA_VERSION).alias("schema_version"),
+        F.lit("metadata").alias("mode"),
         *indexes,
         "instance_id",
         "image_name",
@@ -68,8 +71,8 @@ def validate_metadata(tasks: DataFrame) -> DataFrame:
         F.coalesce(F.size(F.when(is_object, F.col("commands"))), F.lit(0)).alias("test_command_count"),
         F.size("FAIL_TO_PASS").alias("fail_to_pass_count"),
         F.size("PASS_TO_PASS").alias("pass_to_pass_count"),
-        F.size("aliases").alias("alias_count"),
-        F.slice("aliases", 1, PREVIEW).alias("aliases"),
+        F.size("aliases").alias("normalized_cross_group_alias_count"),
+        F.slice("aliases", 1, PREVIEW).alias("normalized_cross_group_aliases"),
         (F.size(found) == 0).alias("valid"),
         found.alias("errors"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from runsift.operators.conflicts import normalize_results
 from runsift.operators.extract import extract_test_results
-from runsift.operators.scoring import expected_tests, expected_vs_observed, run_facts, score_counts, with_reward
+from runsift.operators.scoring import ERROR_COLUMNS, expected_tests, expected_vs_observed, run_facts, score_counts, with_reward
 
 # Grading normalises names when they are read and again when they are scored.
 GRADING_PASSES = 2
@@ -32,4 +32,5 @@ def grade_runs(
     the final exchange carries one partial row per run and task.
     """
     observed = observe_runs(runs, tasks, dialects)
-    return with_reward(score_counts(observed, ("run_id", "instance_id", "exit_code")), mode)
+    told = [c for c in ERROR_COLUMNS if c in runs.columns]
+    return with_reward(score_counts(observed, ("run_id", "instance_id", "exit_code", *told)), mode)

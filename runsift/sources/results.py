@@ -1,5 +1,7 @@
 """Result logs: JSON lines that grow from run to run."""
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runsift.functions.binding import bind
@@ -7,7 +9,12 @@ from runsift.functions.variants import as_index, is_true
 
 
 def write_results(records: DataFrame, path: str, resume: bool = False) -> None:
-    """One JSON object per line with sorted fields; appended on resume."""
+    """One JSON object per line with sorted fields; appended on resume.
+
+    Every record gets the time of this write in `written`, in microseconds, so
+    that what was appended later counts as later.
+    """
+    records = records.withColumn("written", F.lit(time.time_ns() // 1000))
     records.select(sorted(records.columns)).write.mode("append" if resume else "overwrite").json(path)
 
 
@@ -38,12 +45,24 @@ def parse_results(lines: DataFrame) -> DataFrame:
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    return parse_results(spark.read.text(path))
+    """The records of a log, with `place`: time of writing, file, line.
+
+    Logs written elsewhere have no time of writing; theirs is that of the file.
+    """
+    lines = spark.read.text(path).select(
+        "value",
+        F.coalesce(F.get_json_object("value", "$.written").cast("bigint"), F.unix_micros("_metadata.file_modification_time")).alias("written"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    return parse_results(lines.select("value", F.struct("written", "file", "block", "line").alias("place")))
 
 
 def latest_results(results: DataFrame) -> DataFrame:
-    """The last record of each index."""
-    return results.groupBy("index").agg(F.max_by("valid", F.coalesce("seq", F.lit(-1))).alias("valid"))
+    """The last record of each index: by `seq`, and where there is none by `place`."""
+    order = F.struct(F.coalesce("seq", F.lit(-1)), *[c for c in ("place",) if c in results.columns])
+    return results.groupBy("index").agg(F.max_by("valid", order).alias("valid"))
 
 
 def run_summary(selected: DataFrame, results: DataFrame) -> DataFrame:

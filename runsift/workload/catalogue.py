@@ -4,6 +4,8 @@ An order is a task. Its customer number decides how the config is written
 (string, list, blank, empty list, none), so usable and unusable rows mix.
 """
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from runsift.functions.binding import bind
@@ -16,7 +18,9 @@ from runsift.operators.validate import group_overlap, validate_metadata
 from runsift.sources.catalogue import (
     config_columns,
     index_totals,
+    load_index,
     normalize_tasks,
+    read_tasks,
     selected_tasks,
     shard_layout,
     task_at,
@@ -24,8 +28,10 @@ from runsift.sources.catalogue import (
     valid_tasks,
     with_public_index,
     with_raw_index,
+    write_index,
 )
-from runsift.sources.results import latest_results, parse_results, pending, run_summary
+from runsift.session import shared_folder
+from runsift.sources.results import latest_results, parse_results, pending, read_results, run_summary, write_results
 from runsift.workload.registry import entry, table
 
 TABLES = (
@@ -129,6 +135,31 @@ def _(spark, sf_dir):
     return with_public_index(named, task_index(orders)).select("instance_id", "raw_index", "public_index")
 
 
+@entry("task_source", "select o_orderkey, count(*) as times from orders group by o_orderkey")
+def _(spark, sf_dir):
+    # A folder of shards, then the same folder with one data.parquet, which alone counts.
+    folder = f"{shared_folder(spark)}/tasks-{uuid.uuid4().hex}"
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    orders.where("o_orderkey % 2 = 0").write.parquet(f"{folder}/shards/even.parquet")
+    orders.where("o_orderkey % 2 = 1").write.parquet(f"{folder}/shards/odd.parquet")
+    whole = f"{folder}/whole"
+    orders.where("o_orderkey < 0").write.parquet(f"{whole}/other.parquet")
+    orders.write.parquet(f"{whole}/data.parquet")
+    sharded = read_tasks(spark, f"{folder}/shards")
+    return sharded.intersectAll(read_tasks(spark, whole)).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("times"))
+
+
+@entry(
+    "index_roundtrip",
+    f"select o_orderkey as raw_index, row_number() over (order by o_orderkey) - 1 as public_index from orders where {SQL_USABLE}",
+)
+def _(spark, sf_dir):
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    orders = table(spark, sf_dir, "orders")
+    write_index(task_index(with_config(orders)), path)
+    return load_index(spark, path, orders.count()).select("raw_index", "public_index")
+
+
 @entry("index_totals", f"select count(*) as total_rows, count(*) filter (where {SQL_USABLE}) as num_valid from orders")
 def _(spark, sf_dir):
     return index_totals(with_config(table(spark, sf_dir, "orders")))
@@ -314,20 +345,28 @@ def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(lo.alias("lo"), (lo + F.col("n_regionkey") * 60 + 5).alias("hi"))
 
 
+def wide_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, and one from the middle of the catalogue to far beyond its end."""
+    beyond = table(spark, sf_dir, "region").where("r_regionkey = 1").select(F.lit(7001).cast("bigint").alias("lo"), F.lit(10**15).alias("hi"))
+    return ranges(spark, sf_dir).unionByName(beyond)
+
+
 SQL_RANGES = "(select n_nationkey * 131 as lo, n_nationkey * 131 + n_regionkey * 60 + 5 as hi from nation)"
+SQL_WIDE = f"(select * from {SQL_RANGES} union all select 7001, 1000000000000000 from region where r_regionkey = 1)"
 
 
-@entry("range_select", f"select o_orderkey from orders where exists (select 1 from {SQL_RANGES} r where o_orderkey between r.lo and r.hi)")
+@entry("range_select", f"select o_orderkey from orders where exists (select 1 from {SQL_WIDE} r where o_orderkey between r.lo and r.hi)")
 def _(spark, sf_dir):
-    return in_ranges(tasks(spark, sf_dir), ranges(spark, sf_dir)).select("o_orderkey")
+    return in_ranges(tasks(spark, sf_dir), wide_ranges(spark, sf_dir)).select("o_orderkey")
 
 
 @entry(
     "out_of_range",
-    f"select distinct u.id from (select unnest(range(lo, hi + 1)) as id from {SQL_RANGES}) u where u.id >= 1000 order by u.id limit 10",
+    f"""select distinct u.id from (select unnest(range(greatest(lo, n.total), least(hi, n.total + 20) + 1)) as id
+      from {SQL_WIDE}, (select count(*) as total from orders) n where hi >= n.total) u order by u.id limit 10""",
 )
 def _(spark, sf_dir):
-    return out_of_range(ranges(spark, sf_dir), 1000)
+    return out_of_range(wide_ranges(spark, sf_dir), table(spark, sf_dir, "orders").count())
 
 
 @entry("modulo_shard", "select o_orderkey from orders where o_orderkey % 8 = 3 order by o_orderkey limit 100")
@@ -408,7 +447,7 @@ def _(spark, sf_dir):
         "instance_id",
         F.col("test_command_count").cast("bigint").alias("test_command_count"),
         F.col("fail_to_pass_count").cast("bigint").alias("fail_to_pass_count"),
-        F.col("alias_count").cast("bigint").alias("alias_count"),
+        F.col("normalized_cross_group_alias_count").cast("bigint").alias("alias_count"),
         "valid",
         F.array_join("errors", "|").alias("errors"),
     )
@@ -450,6 +489,22 @@ def _(spark, sf_dir):
     return latest_results(parse_results(result_lines(spark, sf_dir)))
 
 
+@entry(
+    "results_roundtrip",
+    """select user_id as "index", coalesce(max(event_type = 'view') filter (where event_type in ('view', 'click')),
+      max(event_type = 'purchase')) as valid from events where event_type in ('view', 'click', 'purchase') group by user_id""",
+)
+def _(spark, sf_dir):
+    # Two writes to one log, without numbers of their own: what is written later counts.
+    path = f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events").where("event_type in ('view', 'click', 'purchase')")
+    early = events.where("event_type = 'purchase'").select(F.col("user_id").alias("index"), F.lit(True).alias("valid")).distinct()
+    late = events.where("event_type <> 'purchase'").groupBy(F.col("user_id").alias("index")).agg(F.max(F.col("event_type") == "view").alias("valid"))
+    write_results(early, path)
+    write_results(late, path, resume=True)
+    return latest_results(read_results(spark, path))
+
+
 def wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("index"))
 

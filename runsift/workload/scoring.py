@@ -132,6 +132,16 @@ def _(spark, sf_dir):
     return scored.select("run_id", "f2p_passed", "f2p_total", "p2p_passed", "p2p_total", F.col("test_reward").alias("reward"))
 
 
+@entry("reward_errors", SQL_COUNTS + """select run_id, case when split_part(run_id, '-', 2)::bigint % 5 = 0 then 'patch' end as error_stage,
+  case when exit_code in (0, 1) and split_part(run_id, '-', 2)::bigint % 5 > 0 then binary_reward else 0.0::double end as reward from scored""")
+def _(spark, sf_dir):
+    failed = F.col("instance_id").cast("bigint") % 5 == 0
+    told = facts(spark, sf_dir).withColumn("error_stage", F.when(failed, "patch")).withColumn("error", F.when(failed, "hunk 3 failed"))
+    results = normalize_results(extract_test_results(log_runs(spark, sf_dir), ["pytest"]), 2)
+    seen = expected_vs_observed(told, expected(spark, sf_dir), results)
+    return with_reward(score_counts(seen, ("run_id", "exit_code", "error_stage", "error"))).select("run_id", "error_stage", "reward")
+
+
 @entry("reward_partial", SQL_COUNTS + "select run_id, partial_reward as reward from scored")
 def _(spark, sf_dir):
     return with_reward(counts(spark, sf_dir), " Partial").select("run_id", F.col("test_reward").alias("reward"))

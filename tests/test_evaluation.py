@@ -166,7 +166,7 @@ def test_metadata(spark):
     assert got["parser"]["errors"] == ["unknown log parser: 'what'"]
     assert got["empty"]["errors"] == ["FAIL_TO_PASS is empty"]
     assert got["twice"]["errors"] == ["1 test(s) occur verbatim in both FAIL_TO_PASS and PASS_TO_PASS"]
-    assert got["alias"]["valid"] and got["alias"]["aliases"] == ["a"]
+    assert got["alias"]["valid"] and got["alias"]["normalized_cross_group_aliases"] == ["a"]
     assert got["nopatch"]["errors"] == ["patch is empty or not a string"]
 
 
