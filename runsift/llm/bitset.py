@@ -22,12 +22,12 @@ def bitset(keys: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def only_keys(rows: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
-    """Rows whose key may be among the keys of the bits, before a join that decides."""
+def only_keys(rows: DataFrame, column: str, bits: np.ndarray, among: bool = True) -> DataFrame:
+    """Rows whose key may be among the keys of the bits, before a join that decides; or all others, which are surely not."""
     at = rows.columns.index(column)
 
     def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
         slot = np.mod(batch.column(at).to_numpy(zero_copy_only=False).astype(np.int64), BITS)
-        return batch.filter(pa.array((bits[slot >> 6] >> (slot & 63)) & 1 == 1))
+        return batch.filter(pa.array((bits[slot >> 6] >> (slot & 63)) & 1 == int(among)))
 
     return map_arrow(rows, keep, rows.schema)

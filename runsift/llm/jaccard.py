@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from runsift.llm.bitset import bitset, only_keys
 from runsift.llm.common import Memo, map_arrow, saved
@@ -40,6 +40,8 @@ BANDS, PER_BAND = 4, 2
 COUNTERS = 1 << 18
 #: Members of a group that a set is compared with before all others.
 SCOUTS = 16
+#: Turns in which sets are compared with one likely partner, before all.
+TURNS = 3
 #: Chosen tokens that one task compares at a time.
 BUCKET = 400_000
 WORDS_KEPT, SETS_SEEN = 700_000, 1_000_000
@@ -229,17 +231,46 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return saved(map_arrow(both, close, "a long, b long"))
 
 
-def opened(met: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the sets in met with members of the groups they met, as far as sizes and shared tokens allow.
+def enough_shared(shared: str, n: str, nb: str) -> Column:
+    """Whether sets of sizes n and nb that share so many of their chosen tokens can be linked.
 
     Of two linked sets let x be the one whose chosen tokens end first. What of
     these the other does not share, it does not hold at all; so the
     intersection is at most what they share and x's tokens beyond the chosen.
     """
-    left = lambda n: F.greatest(F.col(n) - (F.col(n) - F.ceil(F.col(n) * NUMBER / OF) + SHARED), F.lit(0))
-    least = F.ceil((F.col("n") + F.col("nb")) * NUMBER / (OF + NUMBER))
-    enough = F.col("shared") + F.greatest(left("n"), left("nb")) >= least
-    return met.join(members, "g").where(similar_sizes("n", "nb") & enough).select(F.col("sig").alias("a"), "b")
+    left = lambda n: F.greatest(F.ceil(F.col(n) * NUMBER / OF) - SHARED, F.lit(0))
+    least = F.ceil((F.col(n) + F.col(nb)) * NUMBER / (OF + NUMBER))
+    return similar_sizes(n, nb) & (F.col(shared) + F.greatest(left(n), left(nb)) >= least)
+
+
+def opened(met: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the sets in met with members of the groups they met, as far as sizes and shared tokens allow."""
+    return met.join(members, "g").where(enough_shared("shared", "n", "nb")).select(F.col("sig").alias("a"), "b")
+
+
+def crossing(tokens: DataFrame, grouped: DataFrame) -> DataFrame:
+    """(token, sig, grp) of the tokens that stand in more than one group."""
+    placed = tokens.select("token", "sig").join(grouped.withColumnRenamed("node", "sig"), "sig", "left")
+    placed = saved(placed.select("token", "sig", F.coalesce("root", "sig").alias("grp")))
+    apart = placed.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high")
+    return saved(placed.join(saved(apart.select("token")), "token", "left_semi"))
+
+
+def likely(tokens: DataFrame, grouped: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
+    """At most one likely link for each set, to merge large families before the whole matrix is searched.
+
+    On each token one member of its largest group leads; a set is paired with
+    the leader it meets most often. As many rows as tokens, however large groups are.
+    """
+    sizes = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("size")).withColumnRenamed("root", "grp")
+    placed = saved(tokens.join(sizes, "grp", "left").select("token", "sig", "grp", F.coalesce("size", F.lit(1)).alias("size")))
+    cells = placed.groupBy("token", "grp", "size").agg(F.min_by("sig", F.hash("sig", F.lit(turn))).alias("pick"))
+    leaders = cells.groupBy("token").agg(F.max(F.struct("size", "grp", "pick")).alias("lead"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    leaders = saved(leaders.select("token", F.col("lead.pick").alias("b"), F.col("lead.grp").alias("b_grp")))
+    met = placed.join(leaders, "token").where("grp <> b_grp").groupBy("sig", "b").agg(F.count(F.lit(1)).alias("shared"))
+    met = met.groupBy("sig").agg(F.max(F.struct("shared", "b")).alias("most")).select("sig", "most.shared", "most.b")
+    sized = met.join(nodes.select("sig", "n"), "sig").join(nodes.select(F.col("sig").alias("b"), F.col("n").alias("nb")), "b")
+    return sized.where(enough_shared("shared", "n", "nb")).select(F.col("sig").alias("a"), "b")
 
 
 def similar_sizes(x: str, y: str):
@@ -264,15 +295,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     pairs = banded.join(leaders, "key").where((F.col("sig") != F.col("b")) & similar_sizes("n", "nb")).select(F.col("sig").alias("a"), "b")
     links = verified(pairs, nodes, docs)
     grouped = saved(components(links))
-    sizes = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
 
     # The matrix, of tokens that stand in different groups.
     total = some.agg(F.sum(F.least("n", F.col("n") - F.ceil(F.col("n") * NUMBER / OF) + SHARED))).first()[0] or 0
-    tokens = saved(matrix_tokens(docs, shingle_counts(first), max(1, -(-int(total) // BUCKET))))
-    placed = tokens.join(grouped.withColumnRenamed("node", "sig"), "sig", "left").select("token", "sig", F.coalesce("root", "sig").alias("grp"))
-    cells = saved(placed.groupBy("token", "grp").agg(F.min("sig").alias("sig"), F.max("sig").alias("other")))
-    crossing = saved(cells.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token"))
-    sized = placed.join(crossing, "token").join(sizes.withColumnRenamed("root", "grp"), "grp", "left").join(nodes.select("sig", "n"), "sig")
+    tokens = crossing(saved(matrix_tokens(docs, shingle_counts(first), max(1, -(-int(total) // BUCKET)))), grouped)
+    for turn in range(TURNS):
+        found = verified(likely(tokens, grouped, nodes, turn), nodes, docs)
+        if not found.take(1):
+            break
+        links = links.unionAll(found)
+        grouped = saved(components(links))
+        tokens = crossing(tokens, grouped)
+    sizes = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    sized = tokens.join(sizes.withColumnRenamed("root", "grp"), "grp", "left").join(nodes.select("sig", "n"), "sig")
     sized = saved(sized.select("token", "sig", "grp", "n", F.coalesce("size", F.lit(1)).alias("size")))
     unions = sized.select("token", F.col("grp").alias("g"), F.col("size").alias("g_size")).distinct()
     # The smaller group's sets are the queries. Their tokens in the other's union bound the overlap.
@@ -308,9 +343,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component, unchanged; rows without any word all stay, but for repeated ones."""
-    kept = classes(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("keep_th")))
-    kept = saved(kept.select(F.col("doc_id").alias("_kept_id"), F.col("th").alias("_kept_th")).distinct())
+    """docs with one row of each component, unchanged; rows without any word all stay, but for repeated ones.
+
+    Only rows that may have to go, by a bit set of their keys, meet the decisions in a join.
+    """
+    every = saved(classes(docs, id_col, text_col).groupBy("doc_id", "th").agg(F.first("component_id").alias("component_id"), F.first("keep_th").alias("keep_th"), F.count(F.lit(1)).alias("n")))
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("keep_th"))
+    touched = bitset(every.where(~stays | (F.col("n") > 1)), "th")
+    kept = saved(every.where(stays).select(F.col("doc_id").alias("_kept_id"), F.col("th").alias("_kept_th")))
     rows = docs.withColumn("_kept_key", F.xxhash64(text_col))
-    out = rows.join(kept, (F.col("_kept_key") == F.col("_kept_th")) & F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")))
-    return out.dropDuplicates([id_col, "_kept_key"]).select(*docs.columns)
+    doubtful = only_keys(rows, "_kept_key", touched)
+    out = doubtful.join(kept.hint("merge"), (F.col("_kept_key") == F.col("_kept_th")) & F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")))
+    out = out.dropDuplicates([id_col, "_kept_key"]).select(*docs.columns)
+    return out.unionAll(only_keys(rows, "_kept_key", touched, among=False).select(*docs.columns))
