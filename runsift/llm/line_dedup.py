@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from runsift.llm.bitset import bitset, only_keys
 from runsift.llm.common import saved
 
 MIN_SITES, MIN_WORDS = 3, 4
@@ -49,11 +50,18 @@ def shared_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = M
 
 
 def without_shared_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
-    """The documents with shared lines removed; _line_removed counts them."""
+    """The documents with shared lines removed; _line_removed counts them.
+
+    Only documents that may lose lines, by a bit set of their keys, meet the decisions in a join.
+    """
     rows, shared = shared_lines(docs, min_sites, min_words, id_col, text_col, site_col)
     gone = rows.join(shared, "line").where("not (_line_key = keep_key and _line_at = keep_at)")
     gone = saved(gone.groupBy("_line_key").agg(F.collect_set("_line_at").alias("_line_gone")))
-    out = docs.withColumn("_line_key", F.xxhash64(id_col, text_col)).join(gone, "_line_key", "left")
+    rows = docs.withColumn("_line_key", F.xxhash64(id_col, text_col))
+    touched = bitset(gone, "_line_key")
     kept = F.filter(lines_of(F.col(text_col)), lambda _, i: ~F.array_contains("_line_gone", i))
     text = F.when(F.col("_line_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return out.withColumn(text_col, text).withColumn("_line_removed", F.coalesce(F.size("_line_gone"), F.lit(0))).drop("_line_key", "_line_gone")
+    cut = only_keys(rows, "_line_key", touched).join(gone.hint("merge"), "_line_key", "left")
+    cut = cut.withColumn(text_col, text).withColumn("_line_removed", F.coalesce(F.size("_line_gone"), F.lit(0))).drop("_line_key", "_line_gone")
+    whole = only_keys(rows, "_line_key", touched, among=False).withColumn("_line_removed", F.lit(0)).drop("_line_key")
+    return cut.unionByName(whole)
