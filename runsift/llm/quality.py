@@ -29,7 +29,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_c
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), FOLDS) != 0))
     known = known.groupBy(F.col("doc_id").alias("id")).agg((F.avg(label) >= 0.5).cast("int").alias(label))
     picked = F.broadcast(sample_ids(known, "id", sample))  # at most `sample` rows
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(picked, "id")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(picked, "id").dropDuplicates(["id"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, float]:

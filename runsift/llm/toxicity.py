@@ -227,7 +227,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     model = LabelModel(patterns, counts, np.where(patterns.sum(1) >= 1, 0.8, 0.01))
 
     picked = sample_ids(narrow.select(F.col("doc_id").alias("id")).where("id is not null").distinct(), "id", sample)
-    rows = training_windows(narrow.join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("id", "text"), entries)
+    rows = training_windows(narrow.join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("id", "text").dropDuplicates(["id"]), entries)
     rows["target"] = model.posterior(unpacked(rows["votes"].to_numpy(np.int64)))
     weights, intercept = ftrl(rows, epochs=int(np.clip(STEPS // max(len(rows), 1), 6, 40)), alpha=0.1, l1=float(np.clip(len(rows) / 20_000, 0.05, 1)), l2=0.1)
     intercept -= float(np.log(CLEAN_IN))  # fewer clean windows were seen than there are, and a text has many: in doubt it is clean
