@@ -1,6 +1,7 @@
 """Toxicity by weak supervision: voters, a generative label model, a linear classifier on its posteriors.
 
-Texts are judged by windows of `WINDOW` words, as few words make a text toxic. The
+Texts are judged by all windows of `WINDOW` words in a row, as few words make a text toxic, wherever they stand.
+Windows reach over the ends of a text, so each word of a short or long text is in `WINDOW` of them. The
 lexicons (whole words, and word beginnings of several lengths, for languages that
 inflect) are learned from at most `SAMPLE` labelled rows outside the held-out fold:
 entries found far more often in toxic than in other documents. Twelve voters look at a window
@@ -11,7 +12,7 @@ expectation-maximisation, estimates every voter's hit rates in either class and
 correlations that remain within a class, by which voters that say the same thing
 are weighed down; a voter that does not hit abstains, and a window that none hits
 is a vote for the clean class. Its posteriors are the targets of a logistic
-regression on hashed words and word beginnings, trained on windows of at most `SAMPLE`
+regression on hashed words and word beginnings, trained on windows (every `STEP` words) of at most `SAMPLE`
 documents; a document's score is that of its worst window. Labels serve to find the lexicons, nothing else.
 
 Edge cases: null and empty texts have no features and get the intercept's score;
@@ -38,6 +39,8 @@ THRESHOLD, SAMPLE = 0.5, 6000
 BEGINNINGS = (4, 5, 6, 7, 8)
 WORD_PARTS = 3
 WINDOW = 25
+#: Words between the windows that are used for training; votes and scores are of every window.
+STEP = WINDOW // 2
 #: Of windows without votes, one in so many is used for training, at most TRAINED windows in all.
 CLEAN_IN, TRAINED = 6, 60_000
 #: Updates in training, as far as 6 to 40 rounds make them.
@@ -82,8 +85,10 @@ def lexicon(sample: DataFrame) -> np.ndarray:
     return np.sort(kept.select("entry").toPandas()["entry"].to_numpy(np.int64))
 
 
-def window_starts(words: list[str]) -> np.ndarray:
-    return np.arange(0, len(words), WINDOW)
+def window_sums(values: np.ndarray) -> np.ndarray:
+    """Sums of the values of each window, in order of the windows' last places: from the first on to WINDOW - 1 beyond the end."""
+    total = np.cumsum(np.pad(values, (WINDOW, WINDOW - 1)))
+    return total[WINDOW:] - total[:-WINDOW]
 
 
 def votes(words: list[str], known: Memo) -> np.ndarray:
@@ -91,9 +96,12 @@ def votes(words: list[str], known: Memo) -> np.ndarray:
     if not words:
         return np.zeros(0, np.int64)
     hits = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-    starts, first = window_starts(words), WORD_PARTS + len(BEGINNINGS)
-    n = np.add.reduceat((hits > 0).astype(np.int64), starts)
-    return np.bitwise_or.reduceat(hits, starts) | ((n >= 2).astype(np.int64) << first) | ((n >= 4).astype(np.int64) << (first + 1))
+    n, first = window_sums((hits > 0).astype(np.int64)), WORD_PARTS + len(BEGINNINGS)
+    some, span = np.pad(hits, WINDOW - 1), 1
+    while 2 * span <= WINDOW:  # some: of span words from each on
+        some, span = some[:-span] | some[span:], 2 * span
+    some = some[: len(n)] | some[WINDOW - span :]
+    return some | ((n >= 2).astype(np.int64) << first) | ((n >= 4).astype(np.int64) << (first + 1))
 
 
 def places(word: str) -> tuple[int, ...]:
@@ -132,7 +140,7 @@ def vote_counts(texts: DataFrame, entries: np.ndarray) -> pd.DataFrame:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    np.add.at(seen, votes(text.split(), known), 1)
+                    seen += np.bincount(votes(text.split(), known), minlength=len(seen))
         there = np.flatnonzero(seen)
         yield pa.record_batch([pa.array(there.astype(np.int32)), pa.array(seen[there])], ["votes", "n"])
 
@@ -147,10 +155,10 @@ def training_windows(chosen: DataFrame, entries: np.ndarray) -> pd.DataFrame:
         known, where, out = word_voters(held.value), Memo(places, WORDS_KEPT), ([], [], [], [])
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             words = (text or "").split()
-            for k, bits in enumerate(votes(words, known).tolist()):
+            for k, bits in zip(range(0, len(words), STEP), votes(words, known)[WINDOW - 1 :: STEP].tolist()):
                 draw = xxhash.xxh3_64_intdigest(f"{i}:{k}") >> 1
                 if bits or draw % CLEAN_IN == 0:
-                    at, n = np.unique([p for w in words[k * WINDOW : (k + 1) * WINDOW] for p in where[w]], return_counts=True)
+                    at, n = np.unique([p for w in words[k : k + WINDOW] for p in where[w]], return_counts=True)
                     for column, x in zip(out, (draw, bits, at.astype("<i4").tobytes(), n.astype("<f4").tobytes())):
                         column.append(x)
         return pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], ["draw", "votes", "index", "value"])
@@ -170,7 +178,7 @@ def window_scores(docs: DataFrame, weights: np.ndarray, intercept: float) -> Dat
             out = np.full(batch.num_rows, intercept)
             for i, text in enumerate(batch.column(1).to_pylist()):
                 if words := (text or "").split():
-                    out[i] += np.add.reduceat(np.fromiter(map(each.__getitem__, words), np.float64, len(words)), window_starts(words)).max()
+                    out[i] += window_sums(np.fromiter(map(each.__getitem__, words), np.float64, len(words))).max()
             yield pa.record_batch([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(score, "doc_id long, score double")

@@ -12,7 +12,7 @@ from runsift.llm.crf import Trainer, forward_backward, viterbi
 from runsift.llm.html_extract import blocks, extract, main_text, train
 from runsift.llm.language import language_id
 from runsift.llm.quality import of_quality, quality_scores
-from runsift.llm.toxicity import LabelModel, toxicity_scores
+from runsift.llm.toxicity import WINDOW, LabelModel, places, toxicity_scores, votes, window_scores
 
 
 def test_forward_backward_and_viterbi_against_all_paths():
@@ -104,6 +104,26 @@ def test_label_model_finds_voters_and_weighs_copies_down():
     assert model.correlation[2, 3] > 0.9 and model.weight[2] < 0.6 < model.weight[0]
 
 
+def test_windows_start_at_every_word(spark):
+    rng = random.Random(5)
+    for n in (1, 2, 24, 25, 26, 49, 50, 51, 200):
+        words = [rng.choice(("a", "b", "c", *"x" * 12)) for _ in range(n)]
+        plain = []
+        for at in range(1 - WINDOW, n):
+            hits = [{"a": 1, "b": 2, "c": 128}[w] for w in words[max(0, at) : at + WINDOW] if w != "x"]
+            plain.append(sum(set(hits)) | (len(hits) >= 2) << 8 | (len(hits) >= 4) << 9)
+        assert votes(words, {"a": 1, "b": 2, "c": 128, "x": 0}).tolist() == plain
+    weights = np.zeros(1 << 18, np.float32)
+    weights[list(places("abuse"))] = 0.5
+    texts = [["so"] * 60 for _ in range(3)]
+    for words, at in zip(texts, ((23, 24, 25, 26), (1, 25), (0, 25))):
+        for k in at:
+            words[k] = "abuse"
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)] + [(3, "abuse"), (4, "")], "doc_id long, text string")
+    found = {r.doc_id: np.log(r.score / (1 - r.score)) for r in window_scores(docs, weights, -2.0).collect()}
+    assert np.allclose([found[i] for i in range(5)], [4.0, 1.0, -0.5, -0.5, -2.0])
+
+
 def test_language(frame, corpus):
     docs, _, _ = corpus
     rows = language_id(docs).collect()
