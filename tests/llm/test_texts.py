@@ -176,3 +176,16 @@ def test_secrets(frame):
     assert got[12].spans == got[13].spans == "" and got[12].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert got[None].n_hex == 1
     assert secret_scan(frame([])).count() == 0
+
+
+def test_copied_secrets_of_further_kinds_are_kept(frame):
+    pem = "-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----"
+    url = "https://user:hunter22@example.org/x"
+    rows = [(i, f"{pem} {url}", "en", f"s{i}") for i in range(4)] + [(9, f"{url} {pem[:-1]}", "en", "s1"), (10, "none", "en", "s1")]
+    rows.append((11, pem.replace("abc", "own"), "en", "s1"))
+    got = {r.doc_id: r for r in secret_scan(frame(rows)).collect()}
+    at = len(pem) + 1 + 13
+    for i in range(4):
+        assert (got[i].copied_spans, got[i].n_copied, got[i].n_live, got[i].n_repos) == (f"pem:0:{len(pem)},url:{at}:{at + 8}", 2, 0, 5)
+    assert got[9].copied_spans == "url:13:21" and got[10].copied_spans == "" and got[10].n_repos == 0
+    assert (got[11].spans, got[11].copied_spans, got[11].n_copied, got[11].n_live, got[11].n_repos) == (f"pem:0:{len(pem)}", "", 0, 1, 1)
