@@ -32,7 +32,10 @@ WIDTH = 1 << 14
 # Tag names by what they do.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br nobr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea template svg iframe noembed noframes xmp math object".split())
+RAW = frozenset("script style title textarea template svg iframe noembed noframes xmp".split())
+#: Tags that may be closed in themselves.
+FOREIGN = frozenset(("svg", "math"))
+SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/\s*$""")
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: A tag that starts ends an open one of these, up to an enclosing one of those.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -60,6 +63,21 @@ def described(tag: str, attributes: str) -> tuple[str, str]:
     return tag, " ".join(dict.fromkeys(words))
 
 
+def after_svg(page: str, at: int) -> int:
+    """Where the svg ends whose start tag ends at a place; those within it are counted."""
+    depth = 1
+    while m := TAG.search(page, at):
+        at = m.end()
+        if (m[2] or m[5] or "").lower() == "svg":
+            if m[1] or m[4]:
+                depth -= 1
+            elif not SELF_CLOSED.search(m[3] or m[6] or ""):
+                depth += 1
+            if not depth:
+                return at
+    return len(page)
+
+
 def blocks(page: str | None) -> list[Block]:
     """(text, ancestors, share of text in links, label by data-main) of the page's leaf blocks, in order."""
     out: list[Block] = []
@@ -108,6 +126,10 @@ def blocks(page: str | None) -> list[Block]:
             add(" ")
         if m[1] or m[4]:
             close({tag})
+        elif tag in FOREIGN and SELF_CLOSED.search(m[3] or m[6] or ""):
+            continue
+        elif tag == "svg":
+            at = after_svg(page, at)
         elif tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.IGNORECASE).search(page, at)
             at = end.end() if end else len(page)

@@ -183,3 +183,14 @@ def test_broken_pages_are_read(page, reader):
     assert isinstance(main_text(page, *reader), str)
 
 
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ("<p>one <svg class='icon'/> two</p><p>three</p>", ["one", "two", "three"]),
+        ("<p>one<math/></p><p>two</p>", ["one", "two"]),
+        ("<p>a</p><svg><text>no</text><svg><g/></svg><text>no</text></svg><p>b</p>", ["a", "b"]),
+        ("<p>a <math><mi>x</mi></math> b</p><object data=x><p>other text</p></object>", ["a", "x", "b", "other text"]),
+    ],
+)
+def test_foreign_tags_lose_no_text(page, texts):
+    assert [b[0] for b in blocks(page)] == texts
