@@ -74,6 +74,30 @@ def before(text: Column, mark: str) -> Column:
     return F.substring_index(text, mark, 1)
 
 
+def before_last(text: Column, mark: str) -> Column:
+    """Text before the last `mark`, or all of it."""
+    tail = F.substring_index(text, mark, -1)
+    return F.when(text.contains(mark), F.left(text, F.char_length(text) - F.char_length(tail) - F.lit(len(mark)))).otherwise(text)
+
+
+def without_right(text: Column, n: Column) -> Column:
+    """A text without its last n characters."""
+    return F.left(text, F.char_length(text) - n)
+
+
+def last_word(text: Column) -> Column:
+    """The last blank-separated word; empty if there is none."""
+    return F.substring_index(F.translate(strip(text), "\t ", "  "), " ", -1)
+
+
+def without_time(text: Column, opening: str, closing: str) -> Column:
+    """A name without a duration in brackets at its end: `name (1.2 ms)`."""
+    bare = rstrip(text)
+    inside = F.rtrim(F.substring_index(bare, opening, -1), F.lit(closing))
+    timed = bare.endswith(closing) & bare.contains(opening) & inside.rlike(r"(?iU)^\s*\d+(\.\d+)?\s*m?s\s*$")
+    return F.when(timed, rstrip(before_last(bare, opening))).otherwise(text)
+
+
 def strip_ansi(text: Column) -> Column:
     return F.regexp_replace(text, ANSI, "")
 

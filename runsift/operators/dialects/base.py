@@ -1,10 +1,10 @@
 """Building blocks for reading log dialects.
 
 A dialect turns rows (run_id, part, log) into events: "at this place the log
-says this test has this status". Everything here works within one log row. A
-dialect in which every line stands for itself reads the parts of a log as they
-are, without a shuffle; for all others the parts of a run are joined first, so
-that the answer does not depend on how a log was cut.
+says this test has this status". Everything here works within one log row, and no
+log leaves its row. What lines need from earlier parts of their log is carried
+over by small rows (`parts`, `nesting`), so that the answer does not depend on how
+a log was cut.
 
 How repeated sightings of a test are settled is carried by two numbers, `prio`
 and `sign`: the event with the highest prio wins, and among equals the last
@@ -32,8 +32,8 @@ class Dialect:
 
     name: str
     read: Callable[[DataFrame], DataFrame]
-    #: Every line stands for itself, so a log may be read in parts.
-    by_line: bool = False
+    #: It sees one text at a time and needs the whole log in it (extractors of users).
+    whole: bool = False
 
 
 def event(key: Column, status: Column | str, prio: int | Column = 1, sign: int = 1) -> Column:
@@ -114,8 +114,8 @@ def later(events: DataFrame) -> DataFrame:
 def whole_logs(runs: DataFrame) -> DataFrame:
     """Joins the parts of each run, in order; a part without a final line end gets one.
 
-    For dialects in which a line's meaning hangs on others far from it. A
-    run's log then is one row, as it is for whoever wrote it.
+    Only for extractors that users write as a function of one text: a run's log
+    then is one row, as it is for whoever wrote it.
     """
     parts = F.sort_array(F.collect_list(F.struct("part", "log")))
     joined = runs.groupBy("run_id").agg(parts.alias("parts"))
@@ -240,7 +240,7 @@ class LineRules:
         return emit(lines, self.event(line), certain=True, named_only=self.named_only)
 
     def dialect(self) -> Dialect:
-        return Dialect(self.name, self.read, by_line=True)
+        return Dialect(self.name, self.read)
 
 
 @dataclass

@@ -1,15 +1,20 @@
-"""Dialects in which nesting names the test: trees, braces, event streams."""
+"""Dialects in which nesting names the test: trees, braces, event streams.
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+Within a part, Arrow helpers keep a stack and give the wanted items the names they
+stand in; what a part leaves open for later parts is one small row (`nesting`).
+"""
 
-from runsift.functions.nesting import enclosing_by_brackets, enclosing_by_level
-from runsift.functions.text import LINE_END, group, matches, remove, strip
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from runsift.functions.text import LINE_END, before_last, matches, remove, rstrip, strip, without_time, word
 from runsift.functions.variants import as_text, is_true
+from runsift.operators.context import latest_start
 from runsift.operators.dialects.base import (
     LINE_FEED,
     Dialect,
     emit,
-    emit_log,
     event_columns,
     later,
     log_lines,
@@ -19,9 +24,10 @@ from runsift.operators.dialects.base import (
     weak,
 )
 from runsift.operators.dialects.line_rules import JS_TIMING, OK_NOT
-from runsift.operators.dialects.shapes import part, starts, whole
-from runsift.operators.dialects.suites import build_events, surefire_events, with_prio
-from runsift.operators.dialects.xml_reports import text_case_events
+from runsift.operators.dialects.parts import from_earlier
+from runsift.operators.dialects.suites import announced_classes, read_builds, read_class_counters
+from runsift.operators.dialects.xml_reports import read_junit_text
+from runsift.operators.nesting import with_bracket_paths, with_level_paths
 from runsift.schema import ERROR, FAILED, PASSED, SKIPPED
 
 
@@ -33,20 +39,10 @@ def any_blanks_ahead(line: Column) -> Column:
     return F.char_length(line) - F.char_length(remove(line, r"^\s+"))
 
 
-def path_items(rows: DataFrame, inside: Column) -> DataFrame:
-    """One row per item of the array `items`, with the names it stands in."""
-    placed = rows.withColumn("inside", inside).withColumn("names", F.col("items.name"))
-    path = F.transform(
-        "inside", lambda at: F.transform(at, lambda i: F.element_at(F.col("names"), i + 1))
-    )
-    return placed.select(
-        "run_id", "part", F.posexplode(F.arrays_zip("items", path.alias("path"))).alias("seq", "z")
-    ).select("run_id", "part", "seq", "z.items.*", "z.path")
-
-
 # --- Jest behind a build command: indented suites -------------------------------
 
 JEST_COMMAND = " ./node_modules/.bin/jest "
+JEST_MARKS = {"✓": PASSED, "✕": FAILED}
 
 
 def read_indented_jest(runs: DataFrame) -> DataFrame:
@@ -54,38 +50,43 @@ def read_indented_jest(runs: DataFrame) -> DataFrame:
 
     Reading stops at the summary of a command and goes on with the next one;
     the suites stay open in between. A marked line of another shape breaks
-    the log.
+    the log. A part may begin within the output of an earlier part's command: it
+    is read both ways, and the way that the earlier parts tell stays.
     """
     chunks = F.split("log", r"\Q" + JEST_COMMAND + r"\E")
 
+    def summary(x: Column) -> Column:
+        return x.startswith("Test Suites") | x.startswith("  ● ")
+
     def reported(chunk: Column) -> Column:
         lines = F.split(chunk, LINE_FEED)
-        stop = F.array_position(
-            F.transform(lines, lambda x: x.startswith("Test Suites") | x.startswith("  ● ")), True
-        ).cast("int")
+        stop = F.array_position(F.transform(lines, summary), True).cast("int")
         return F.when(stop > 0, F.slice(lines, F.lit(1), stop - 1)).otherwise(lines)
 
-    lines = F.flatten(F.transform(F.slice(chunks, 2, F.size(chunks)), reported))
-
     def item(line: Column) -> Column:
         mark = F.substring(strip(line), 1, 1)
+        is_mark, deep = mark.isin(*JEST_MARKS), any_blanks_ahead(line)
         return F.struct(
-            line.alias("line"), F.when(mark.isin("✓", "✕"), mark).alias("mark"), strip(line).alias("name"),
-            F.when(~mark.isin("✓", "✕") & (any_blanks_ahead(line) > 0), any_blanks_ahead(line)).alias("level"),
+            F.when(~is_mark & (deep > 0), deep).alias("level"), strip(line).alias("name"), is_mark.alias("wanted"), deep.alias("deep"),
         )
 
-    rows = runs.where(F.col("log").contains(JEST_COMMAND)).select("run_id", "part", F.transform(lines, item).alias("items"))
-    rows = rows.withColumn("items", F.filter("items", lambda i: i["mark"].isNotNull() | i["level"].isNotNull()))
-    marked = path_items(rows, enclosing_by_level(F.col("items.level"))).where(F.col("mark").isNotNull())
-
-    line = F.col("line")
-    timed, plain = whole("_{✓|✕}·{N?}(9ms)"), starts("_{✓|✕}·{N?}")
-    is_timed = matches(line, part("(9ms)"))
-    fits = F.when(is_timed, matches(line, timed)).otherwise(matches(line, plain))
-    name = F.when(is_timed, group(line, timed, 1)).otherwise(group(line, plain, 1))
-    key = strip(F.concat(F.array_join("path", " - "), F.lit(" - "), name))
-    status = F.when(F.col("mark") == "✓", PASSED).otherwise(FAILED)
-    return emit(marked, F.when(fits, strong(key, status)).otherwise(unreadable()))
+    own = F.flatten(F.transform(F.slice(chunks, 2, F.size(chunks)), reported))
+    ways = F.array(F.struct(F.lit(False).alias("inside"), own.alias("lines")), F.when(F.col("part") > 0, F.struct(F.lit(True).alias("inside"), F.concat(reported(chunks[0]), own).alias("lines"))))
+    rows = runs.select("run_id", "part", F.explode(ways).alias("w")).where("w is not null")
+    items = F.filter(F.transform("w.lines", item), lambda i: i["wanted"] | i["level"].isNotNull())
+    last = F.try_element_at(chunks, F.lit(-1))
+    ends_open = F.when(F.size(chunks) > 1, ~F.exists(F.split(last, LINE_FEED), summary)).when(F.exists(F.split(chunks[0], LINE_FEED), summary), False)
+    before_part = from_earlier(runs, inside=ends_open)
+    begun = before_part.select("run_id", "part", F.coalesce("inside", F.lit(False)).alias("way"))
+    rows = rows.select("run_id", "part", F.col("w.inside").alias("way"), (F.col("part") == 0).alias("sure"), items.alias("items"))
+    told = with_level_paths(rows, begun)
+
+    # `✓ name (3ms)`, the time only needed for nothing but the name.
+    mark, behind = F.left(F.col("name"), F.lit(1)), F.substr(F.col("name"), F.lit(2))
+    name = F.when(matches(behind, r"\(\d+ms\)$"), before_last(behind, "(")).otherwise(behind)
+    fits = (F.col("deep") > 0) & matches(behind, r"^\s") & F.when(matches(behind, r"\(\d+ms\)"), matches(behind, r"\(\d+ms\)$")).otherwise(True)
+    key = strip(F.concat(F.array_join("path", " - "), F.lit(" - "), F.substr(rstrip(name), F.lit(2))))
+    return emit(told, F.when(fits, strong(key, lookup(mark, JEST_MARKS))).otherwise(unreadable()))
 
 
 # --- Haskell: a tree of two blanks per level --------------------------------------
@@ -104,76 +105,87 @@ def first_match(lines: Column, test) -> Column:
     return F.array_position(F.transform(lines, test), True).cast("int")
 
 
-def starts_any(line: Column, heads: tuple[str, ...]) -> Column:
-    hit = line.startswith(heads[0])
-    for head in heads[1:]:
-        hit = hit | line.startswith(head)
-    return hit
+def any_of(tests) -> Column:
+    return reduce(Column.__or__, tests)
 
 
-def leaf_flags(levels: Column) -> Column:
-    """An item is a leaf unless the next one is deeper."""
-    follow = F.concat(F.slice(levels, 2, F.size(levels)), F.array(F.lit(-1)))
-    return F.zip_with(levels, follow, lambda own, nxt: nxt <= own)
+def first_part(runs: DataFrame, **places: Column) -> DataFrame:
+    """One row for each run: the first part in which a place is over 0, by name."""
+    found = [F.min(F.when(place > 0, F.col("part"))).alias(name) for name, place in places.items()]
+    return runs.groupBy(F.col("run_id").alias("of_run")).agg(*found)
 
 
 def read_spec_tree(runs: DataFrame) -> DataFrame:
     """Leaves of the tree between the start line and `Failures:`.
 
-    The names listed below `Failures:` fail whatever the tree says.
+    The names listed below `Failures:` fail whatever the tree says. The tree begins
+    below the first start line of the run; in runs without one at the first line
+    that looks like a tree, or else at the first line. A part is read in each way that
+    may hold for it, and the way that the run's first such lines tell stays.
     """
     logs = runs.select("run_id", "part", F.split("log", LINE_END).alias("all"))
-    end = first_match(F.col("all"), lambda x: strip(x) == "Failures:")
-    start = first_match(F.col("all"), lambda x: x.startswith("Test suite ") & x.contains(": RUNNING..."))
 
     def looks_like_tree(line: Column) -> Column:
-        noise = F.lit(False)
-        for text in BUILD_NOISE:
-            noise = noise | line.contains(text)
-        return (line != "") & ~line.startswith(" ") & line.contains(".") & ~noise
-
-    guess = first_match(F.col("all"), looks_like_tree)
-    logs = logs.withColumn("end", end).withColumn("start", start)
-    # Places count from 1: the tree starts after the start line, or at the guess.
-    first = F.when(F.col("start") > 0, F.col("start") + 1).otherwise(F.greatest(guess, F.lit(1)))
+        return (line != "") & ~line.startswith(" ") & line.contains(".") & ~any_of([line.contains(t) for t in BUILD_NOISE])
+
+    logs = logs.withColumns({
+        "end": first_match(F.col("all"), lambda x: strip(x) == "Failures:"),
+        "start": first_match(F.col("all"), lambda x: x.startswith("Test suite ") & x.contains(": RUNNING...")),
+        "guess": first_match(F.col("all"), looks_like_tree),
+    })
+    bounds = first_part(logs, end_part=F.col("end"), start_part=F.col("start"), guess_part=F.col("guess"))
+
+    # Ways to read a part: from a line on (counted from 1).
+    ways = F.array(
+        F.when(F.col("start") > 0, F.struct(F.lit("start").alias("way"), (F.col("start") + 1).alias("first"))),
+        F.when(F.col("guess") > 0, F.struct(F.lit("guess").alias("way"), F.col("guess").alias("first"))),
+        F.struct(F.lit("whole").alias("way"), F.lit(1).alias("first")),
+    )
+    sure = (F.col("part") == 0) & (F.col("start") > 0)
+    ways = F.when(sure, F.slice(ways, 1, 1)).otherwise(ways)
+    cut = logs.select("run_id", "part", "all", "end", sure.alias("sure"), F.explode(ways).alias("w")).where("w is not null").select("run_id", "part", "all", "end", "sure", "w.*")
     past = F.when(F.col("end") > 0, F.col("end")).otherwise(F.size("all") + 1)
-    logs = logs.withColumn("tree", F.slice("all", first, F.greatest(past - first, F.lit(0))))
-
-    pending, failed = whole("{n?}_{PENDING|SKIPPED}¦…"), whole("{n?}_FAILED~[9]")
+    tree = F.slice("all", F.col("first"), F.greatest(past - F.col("first"), F.lit(0)))
 
     def item(line: Column) -> Column:
         text = strip(line)
-        is_failed, is_pending = matches(text, failed), matches(text, pending, nocase=True)
-        name = F.when(is_failed, strip(group(text, failed, 1))).when(is_pending, strip(group(text, pending, 1, nocase=True)))
+        # `name FAILED [1]`; `name PENDING why`, whatever the case.
+        is_failed = matches(text, r"\sFAILED\s*\[\d+\]$")
+        waits = F.regexp_extract(text, r"(?iU)^(.*?)\s+(?:PENDING|SKIPPED)\b", 1)
+        is_pending = matches(text, r"\s(?:PENDING|SKIPPED)\b", nocase=True)
+        name = F.when(is_failed, rstrip(before_last(text, "FAILED"))).when(is_pending, strip(waits)).otherwise(text)
         return F.struct(
-            F.coalesce(name, text).alias("name"),
+            F.floor(blanks_ahead(line) / 2).cast("int").alias("level"),
+            name.alias("name"),
+            F.lit(True).alias("wanted"),
             F.when(is_failed, FAILED).when(is_pending, SKIPPED).otherwise(PASSED).alias("status"),
             blanks_ahead(line).alias("indent"),
         )
 
-    kept = F.filter("tree", lambda x: (strip(x) != "") & (strip(x) != UNCHANGED))
-    rows = logs.select("run_id", "part", F.transform(kept, item).alias("items"))
-    flags = F.zip_with(
-        F.col("items"),
-        leaf_flags(F.col("items.indent")),
-        lambda i, leaf: F.struct(i["name"], i["status"], F.floor(i["indent"] / 2).cast("int").alias("level"), leaf.alias("leaf")),
-    )
-    rows = rows.withColumn("items", flags)
-    leaves = path_items(rows, enclosing_by_level(F.col("items.level"))).where("leaf")
+    items = F.transform(F.filter(tree, lambda x: (strip(x) != "") & (strip(x) != UNCHANGED)), item)
+    rows = cut.select("run_id", "part", "way", "sure", items.alias("items"))
+    of_run = F.col("run_id") == F.col("of_run")
+    chosen = runs.select("run_id", "part").join(bounds, of_run).where(F.coalesce(F.col("end_part") >= F.col("part"), F.lit(True)))
+    chosen = chosen.select(
+        "run_id", "part",
+        F.when(F.col("start_part") == F.col("part"), "start").when(F.col("start_part") < F.col("part"), "whole").when(F.col("start_part") > F.col("part"), "none")
+        .when(F.col("guess_part") == F.col("part"), "guess").when(F.col("guess_part") > F.col("part"), "none").otherwise("whole").alias("way"),
+    )
+    leaves = with_level_paths(rows, chosen, leaves_by="indent")
     key = F.array_join(F.filter(F.concat("path", F.array("name")), lambda s: s != ""), ".")
     tree_events = emit(leaves, strong(key, F.col("status")))
 
-    listed = logs.where("end > 0").select("run_id", "part", F.transform(F.slice("all", F.col("end") + 1, F.size("all")), strip).alias("all"))
-    stop = first_match(F.col("all"), lambda x: starts_any(x, FAILURES_END))
-    listed = listed.withColumn("stop", stop)
-    shown = F.when(F.col("stop") > 0, F.slice("all", F.lit(1), F.col("stop") - 1)).otherwise(F.col("all"))
-    listed = listed.select("run_id", "part", F.posexplode(shown).alias("seq", "line"))
-    header = whole("~9)_{N?}")
+    # `1) A, b, c` below the first `Failures:`, up to the first line that ends the list.
+    listed = logs.select("run_id", "part", F.posexplode(F.transform("all", strip)).alias("seq", "line"), "end")
     line = F.col("line")
-    parts = F.transform(F.split(strip(group(line, header, 1)), ","), strip)
-    return tree_events.unionByName(
-        later(emit(listed, F.when(matches(line, header), strong(F.array_join(parts, "."), FAILED))))
-    )
+    stop = any_of([line.startswith(t) for t in FAILURES_END])
+    listed = listed.where(stop | matches(line, r"^\d+\)\s"))
+    first_end = logs.where("end > 0").groupBy(F.col("run_id").alias("of_run")).agg(F.min(F.struct("part", F.col("end").alias("seq"))).alias("from"))
+    listed = listed.join(first_end, of_run).where(F.struct("part", "seq") >= F.col("from"))
+    closed = listed.where(stop).groupBy(F.col("of_run").alias("closed_run")).agg(F.min(F.struct("part", "seq")).alias("to"))
+    listed = listed.where(~stop).join(closed, F.col("run_id") == F.col("closed_run"), "left").where(F.coalesce(F.struct("part", "seq") < F.col("to"), F.lit(True)))
+    names = F.transform(F.split(strip(F.substr(line, F.instr(line, ")") + 1)), ","), strip)
+    return tree_events.unionByName(later(emit(listed, strong(F.array_join(names, "."), FAILED), certain=True)))
 
 
 # --- TAP with braces ----------------------------------------------------------------
@@ -181,32 +193,29 @@ def read_spec_tree(runs: DataFrame) -> DataFrame:
 
 def read_braced_tap(runs: DataFrame) -> DataFrame:
     """`ok 1 - name {` opens a block, a line of `}` closes as many."""
-    shape = whole("{s}_9_-_{n?}<_#…>", OK_NOT)
     lines = F.filter(F.transform(F.split("log", LINE_END), strip), lambda x: x != "")
 
     def item(line: Column) -> Column:
         closing = F.replace(line, F.lit("}"), F.lit("")) == ""
         opens = line.endswith("{")
-        text = F.when(opens, remove(line, r"\s*\{$")).otherwise(line)
-        raw = group(text, shape, 2)
-        name = strip(remove(strip(remove(raw, r"\s+#(?s:.*)$")), JS_TIMING))
-        named = ~closing & matches(text, shape) & (name != "")
+        text = F.when(opens, rstrip(F.rtrim(line, F.lit("{")))).otherwise(line)
+        told = F.regexp_extract(text, r"(?U)^(?:not )?ok\s+\d+\s+-\s+(.*)$", 1)
+        bare = strip(remove(told, r"\s+#(?s:.*)$"))
+        name = strip(remove(bare, JS_TIMING))
+        named = ~closing & (name != "")
         return F.struct(
             F.when(closing, F.char_length(line)).otherwise(0).alias("closes"),
             (named & opens).alias("opens"),
             F.when(named, name).alias("name"),
-            F.lower(raw).rlike("# skip|# todo").alias("skip"),
-            (group(text, shape, 1) == "ok").alias("ok"),
+            named.alias("wanted"),
+            F.when(F.lower(told).rlike("# skip|# todo"), SKIPPED).otherwise(lookup(F.when(text.startswith("ok"), "ok").otherwise("not ok"), OK_NOT)).alias("status"),
         )
 
-    rows = runs.select("run_id", "part", F.transform(lines, item).alias("items"))
-    rows = rows.withColumn("items", F.filter("items", lambda i: i["name"].isNotNull() | (i["closes"] > 0)))
-    named = path_items(rows, enclosing_by_brackets(F.col("items.closes"), F.col("items.opens"))).where(F.col("name").isNotNull())
+    items = F.filter(F.transform(lines, item), lambda i: i["wanted"] | (i["closes"] > 0))
+    named = with_bracket_paths(runs.select("run_id", "part", items.alias("items")))
     key = F.array_join(F.concat("path", F.array("name")), " :: ")
-    return emit(
-        named,
-        F.when(F.col("skip"), strong(key, SKIPPED)).when(F.col("ok"), weak(key, PASSED)).otherwise(strong(key, FAILED)),
-    )
+    status = F.col("status")
+    return emit(named, F.when(status == PASSED, weak(key, PASSED)).otherwise(strong(key, status)))
 
 
 # --- Dart: a stream of JSON events ----------------------------------------------------
@@ -215,8 +224,8 @@ def read_braced_tap(runs: DataFrame) -> DataFrame:
 def read_dart_events(runs: DataFrame) -> DataFrame:
     """`testStart` gives an id its name, `testDone` gives it a result.
 
-    Only these two kinds of events, a few fields each, meet in the window that
-    finds the latest start of an id before its end.
+    Only these two kinds of events, a few fields each, meet by id: within their
+    part, and by one row for each id and part beyond it.
     """
     lines = log_lines(runs, LINE_END).withColumn("line", strip(F.col("line")))
     lines = lines.where((F.col("line").startswith("{") | F.col("line").startswith("[")) & F.col("line").contains("test"))
@@ -265,9 +274,8 @@ def read_dart_events(runs: DataFrame) -> DataFrame:
         ).alias("status"),
         is_broken.alias("broken"),
     )
-    so_far = Window.partitionBy("run_id", "part", "id").orderBy("seq", "sub")
-    events = events.withColumn("name", F.last("name", ignorenulls=True).over(so_far))
-    events = events.where("broken or (status is not null and name is not null)")
+    started = latest_start(events, F.col("name").isNotNull(), F.col("name"), "announced", order=("seq", "sub"))
+    events = started.withColumn("name", F.coalesce("name", "announced")).where("broken or (status is not null and name is not null)")
     one = F.when(F.col("broken"), unreadable()).otherwise(strong(F.col("name"), F.col("status")))
     told = events.select("run_id", "part", F.col("seq").cast("bigint").alias("seq"), "sub", one.alias("e"))
     return event_columns(told.select("run_id", "part", "seq", "sub", "e.*"))
@@ -279,19 +287,11 @@ def read_dart_events(runs: DataFrame) -> DataFrame:
 def read_surefire(runs: DataFrame) -> DataFrame:
     """Surefire lines first; reports and single builds fill in what is unknown.
 
-    A log that yields nothing else has its announced classes as passed.
+    A run that yields nothing else has its announced classes as passed.
     """
-    log = F.col("log")
-    own, announced = surefire_events(log)
-    logs = runs.select("run_id", "part", "log", own.alias("own"), announced.alias("announced"))
-    everything = F.concat(
-        "own",
-        F.filter(text_case_events(log), lambda e: e["test_id"].isNotNull()),
-        with_prio(build_events(log), 0),
-    )
-    logs = logs.select("run_id", "part", "announced", everything.alias("events"))
-    fallback = F.transform("announced", lambda name: strong(name, PASSED))
-    return emit_log(logs, F.when(F.size("events") > 0, F.col("events")).otherwise(fallback))
+    found = read_class_counters(runs).unionByName(read_junit_text(runs)).unionByName(read_builds(runs, prio=0))
+    bare = announced_classes(runs).join(found.select("run_id").distinct(), "run_id", "left_anti")
+    return found.unionByName(bare.select(found.columns))
 
 
 DIALECTS = (

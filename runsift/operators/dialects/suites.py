@@ -1,12 +1,14 @@
 """Dialects in which a header names the suite of the lines below it.
 
-The log is cut before each header (`sections`), so the header is carried down
-by the cut itself and no line leaves its log row.
+Within a part the log is cut before each header (`sections`), so that the header is
+carried down by the cut itself. Lines above the first header of a part inherit the
+last header of the parts before it (`parts.inherit`).
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from runsift.functions.text import LINE_END, before, group, is_blank, matches, remove, rstrip, rx, strip, word
+from runsift.functions.text import LINE_END, before, before_last, last_word, matches, rstrip, rx, strip, without_right, without_time, word
+from runsift.operators.context import latest_start
 from runsift.operators.dialects.base import (
     LINE_FEED,
     Dialect,
@@ -24,89 +26,98 @@ from runsift.operators.dialects.base import (
     unreadable,
     weak,
 )
-from runsift.operators.dialects.line_rules import WORST, contains_any
-from runsift.operators.dialects.shapes import ends, part, starts, whole
+from runsift.operators.dialects.line_rules import WORST
+from runsift.operators.dialects.parts import inherit, last_like
 from runsift.schema import ERROR, FAILED, PASSED, SKIPPED
 
 
+
+
 def first_line(body: Column) -> Column:
     return before(body, "\n")
 
 
+def after(text: Column, mark: str) -> Column:
+    """Text behind the first `mark`; empty if there is none."""
+    at = F.instr(text, mark)
+    return F.when(at > 0, F.substr(text, at + len(mark))).otherwise("")
+
+
 # --- PHP: `Suite (Class)` above marked lines -------------------------------
 
+SUITE_AND_CLASS = r"\w.* \(.+\)$"
+PHP_MARKS = {"✔": PASSED, "✘": FAILED, "↩": SKIPPED}
+
 
 def read_phpunit(runs: DataFrame) -> DataFrame:
-    header = part("{v} ({X})") + "$"
-    cut = sections(runs, header, any_line_end=False)
-    head = first_line(F.col("body"))
-    cut = cut.withColumn("suite", F.when(matches(head, "^" + header), group(head, "^" + header, 1)).otherwise("None"))
-    line = F.col("line")
-    marks = {"✔": PASSED, "✘": FAILED, "↩": SKIPPED}
-    shape = whole("~{s}~{N?}", marks)
-    lines = section_lines(cut, "suite").where(matches(line, shape))
-    name = strip(remove(group(line, shape, 2), ends("~[~9.9~{ms|s}~]~"), nocase=True))
-    status = lookup(group(line, shape, 1), marks)
-    return emit(lines, strong(F.concat("suite", F.lit(" > "), name), status), certain=True)
+    def suite(head: Column) -> Column:
+        return F.when(matches(head, "^" + SUITE_AND_CLASS), before_last(head, " ("))
+
+    cut = sections(runs, SUITE_AND_CLASS, any_line_end=False).withColumn("suite", suite(first_line(F.col("body"))))
+    line = strip(F.col("line"))
+    mark = F.left(line, F.lit(1))
+    lines = section_lines(cut, "suite").where(mark.isin(*PHP_MARKS))
+    name = without_time(strip(F.substr(line, F.lit(2))), "[", "]")
+    lines = lines.select("run_id", "part", "seq", "suite", name.alias("name"), lookup(mark, PHP_MARKS).alias("status"))
+    lines = inherit(lines, runs, "suite", suite(last_like(F.col("log"), SUITE_AND_CLASS)))
+    key = F.concat(F.coalesce("suite", F.lit("None")), F.lit(" > "), "name")
+    return emit(lines, strong(key, F.col("status")), certain=True)
 
 
 # --- Ruby: one capitalised word above test lines; the worst sighting counts --
 
+CAPITALISED = r"[A-Z][A-Za-z0-9_]*\s*$"
+RUBY_WORDS = {
+    "PASS": PASSED, "PASSED": PASSED, "FAIL": FAILED, "FAILURE": FAILED,
+    "ERROR": ERROR, "SKIP": SKIPPED, "SKIPPED": SKIPPED,
+}
+
 
 def read_ruby_tests(runs: DataFrame) -> DataFrame:
-    header = r"[A-Z][A-Za-z0-9_]*\s*$"
-    cut = sections(runs, header)
+    """A test's name begins with `test` and has no capitals; its status is the last word before the time."""
     head = first_line(F.col("body"))
-    cut = cut.withColumn("suite", F.when(matches(head, "^" + header), rstrip(head)))
-    line = F.col("line")
-    words = {
-        "PASS": PASSED, "PASSED": PASSED, "FAIL": FAILED, "FAILURE": FAILED,
-        "ERROR": ERROR, "SKIP": SKIPPED, "SKIPPED": SKIPPED,
-    }
-    # A test's name has no capitals, its status only such.
-    shape = whole("~{n}_{s!}<~(9.9s)>", words)
-    lines = section_lines(cut, "suite").withColumn("line", rstrip(line))
-    lines = lines.where(~line.startswith("Finished in ") & matches(line, shape))
-    lines = lines.where(strip(group(line, shape, 1)).startswith("test") & ~group(line, shape, 1).rlike("[A-Z]"))
-    status = lookup(group(line, shape, 2), words)
-    name = strip(group(line, shape, 1))
-    key = F.when(F.col("suite").isNull(), name).otherwise(F.concat("suite", F.lit("::"), name))
-    return emit(lines, ranked(key, status, {PASSED: 0, SKIPPED: 0, FAILED: 1, ERROR: 2}, sign=-1), certain=True)
+    cut = sections(runs, CAPITALISED).withColumn("suite", F.when(matches(head, "^" + CAPITALISED), rstrip(head)))
+    bare = without_time(strip(F.col("line")), "(", ")")
+    status = last_word(bare)
+    lines = section_lines(cut, "suite").where(strip(F.col("line")).startswith("test") & status.isin(*RUBY_WORDS))
+    lines = lines.select("run_id", "part", "seq", "suite", rstrip(without_right(bare, F.length(status))).alias("name"), lookup(status, RUBY_WORDS).alias("status"))
+    lines = lines.where((F.col("name") != "") & ~F.col("name").rlike("[A-Z]"))
+    lines = inherit(lines, runs, "suite", rstrip(last_like(one_line_per_feed(F.col("log")), CAPITALISED)))
+    key = F.concat(F.coalesce(F.concat("suite", F.lit("::")), F.lit("")), "name")
+    return emit(lines, ranked(key, F.col("status"), {PASSED: 0, SKIPPED: 0, FAILED: 1, ERROR: 2}, sign=-1), certain=True)
 
 
 # --- Maven, one test per build ----------------------------------------------
 
 BUILD_WORDS = {"SUCCESS": PASSED, "FAILURE": FAILED}
 NO_TEST_NAME = "---NO TEST NAME FOUND YET---"
+TEST_OPTION = "-Dtest="
+BUILD_OF_TEST = rf".*{TEST_OPTION}\S.*"
 
 
-def build_events(log: Column) -> Column:
-    """Events of `-Dtest=name` lines followed by BUILD SUCCESS or FAILURE."""
-    parts = F.split(log, rx(r"(?=^.*-Dtest=\S)", lines=True))
-
-    def of_part(part: Column) -> Column:
-        named = whole("…-Dtest={w}…")
-        head = strip(first_line(part))
-        name = F.when(matches(head, named), group(head, named, 1)).otherwise(NO_TEST_NAME)
-        results = F.regexp_extract_all(part, F.lit(rx(whole("…BUILD {s}~", BUILD_WORDS), lines=True)), F.lit(1))
-        return F.transform(results, lambda r: strong(name, lookup(r, BUILD_WORDS)))
+def read_builds(runs: DataFrame, prio: int = 1) -> DataFrame:
+    """`-Dtest=name` lines, and below each lines that end with BUILD SUCCESS or FAILURE."""
 
-    return F.flatten(F.transform(parts, of_part))
+    def test_name(head: Column) -> Column:
+        return F.when(matches(head, f"^{BUILD_OF_TEST}"), word(F.substring_index(head, TEST_OPTION, -1), 0))
 
-
-def read_maven(runs: DataFrame) -> DataFrame:
-    return emit_log(runs.where(F.col("log").contains("BUILD ")), build_events(F.col("log")))
+    cut = sections(runs.where(F.col("log").contains("BUILD ")), BUILD_OF_TEST, any_line_end=False)
+    lines = section_lines(cut.withColumn("name", test_name(first_line(F.col("body")))), "name")
+    word_at_end = last_word(F.col("line"))
+    lines = lines.where(F.col("line").contains("BUILD ") & word_at_end.isin(*BUILD_WORDS) & rstrip(F.col("line")).endswith(F.concat(F.lit("BUILD "), word_at_end)))
+    lines = lines.select("run_id", "part", "seq", "name", lookup(word_at_end, BUILD_WORDS).alias("status"))
+    lines = inherit(lines, runs, "name", test_name(last_like(F.col("log"), BUILD_OF_TEST)))
+    return emit(lines, event(F.coalesce("name", F.lit(NO_TEST_NAME)), F.col("status"), prio), certain=True)
 
 
 # --- Surefire: `Running class`, then a line of counters ----------------------
 
-COUNTERS = part("Tests run:~{d},~Failures:~{d},~Errors:~{d},~Skipped:~{d}")
-RUNNING = "<[INFO]_>Running_{c}"
+COUNTERS = r",\s*".join(rf"{label}:\s*(\d+)" for label in ("Tests run", "Failures", "Errors", "Skipped"))
 
 
-def counter_values(line: Column) -> list[Column]:
+def counter_values(text: Column) -> list[Column]:
     """Tests, failures, errors, skipped; exact at any size."""
-    return [group(line, COUNTERS, i).cast("decimal(38,0)") for i in (1, 2, 3, 4)]
+    return [F.regexp_extract(text, rx(COUNTERS), i).try_cast("decimal(38,0)") for i in (1, 2, 3, 4)]
 
 
 def class_status(failures: Column, errors: Column, skipped: Column) -> Column:
@@ -123,78 +134,81 @@ def suite_status(tests: Column, failures: Column, errors: Column, skipped: Colum
 
 def read_kotlin(runs: DataFrame) -> DataFrame:
     """Only the first counters below `Running class` belong to the class."""
-    header = part("~Running_{w}…") + "$"
-    cut = sections(runs, header)
-    head = strip(first_line(F.col("body")))
-    shape = rx(starts("~Tests run:_{d},_Failures:_{d},_Errors:_{d},_Skipped:_{d}"), lines=True)
-    failures, errors, skipped = (F.regexp_extract("body", shape, i).cast("decimal(38,0)") for i in (2, 3, 4))
-    name = group(head, whole("Running_{N}"), 1)
-    counted = cut.where(matches(head, whole("Running_{N}")) & F.col("body").rlike(shape))
-    return emit(counted.withColumn("seq", F.col("section")), strong(name, class_status(failures, errors, skipped)), certain=True)
+    header, counted = r"\s*Running\s+\S.*", rf"\s*{COUNTERS}"
+
+    def class_name(head: Column) -> Column:
+        return F.when(matches(head, f"^{header}"), strip(after(head, "Running")))
+
+    first = F.regexp_extract("body", rx(rf"^{counted}.*$", lines=True), 0)
+    cut = sections(runs, header).withColumn("name", class_name(first_line(F.col("body")))).withColumn("first", first)
+    rows = cut.where("first <> ''").select("run_id", "part", F.col("section").alias("seq"), "name", class_status(*counter_values(F.col("first"))[1:]).alias("status"))
+    # Whoever counted last has used up the class announced before.
+    latest = last_like(one_line_per_feed(F.col("log")), rf"(?:{header}|{counted}.*)")
+    rows = inherit(rows, runs, "name", F.when(latest.isNotNull(), F.coalesce(class_name(latest), F.lit(""))))
+    return emit(rows, strong(F.nullif("name", F.lit("")), F.col("status")))
+
+
+CLASS = r"[\w.$]+"
+ANNOUNCED = rf"\s*(?:\[INFO\]\s+)?Running\s+({CLASS})\s*$"
+METHOD_FAILED = rf"^\[ERROR\]\s+({CLASS})\.({CLASS}?)(?::\d+)?\b"
+
 
+def announced_class(line: Column) -> Column:
+    return F.nullif(F.regexp_extract(line, rx(f"^{ANNOUNCED}"), 1), F.lit(""))
 
-def surefire_events(log: Column) -> tuple[Column, Column]:
-    """Events of class counters and failure lines, and the classes announced.
+
+def read_class_counters(runs: DataFrame) -> DataFrame:
+    """Class counters and failure lines.
 
     `[ERROR] class.method` overwrites and makes the class FAILED where nothing
     is known; counters count only where nothing is known. Counters without
     ` in class` belong to the class announced before, if they come first.
     """
-    announced = whole(RUNNING)
-    failure = starts("[ERROR]_{c}.{c?}<:9>¦")
-    parts = F.split(one_line_per_feed(log), rx(f"(?={whole(f'~{RUNNING}~')})", lines=True))
-
-    def of_part(part: Column) -> Column:
-        head = strip(first_line(part))
-        running = F.when(matches(head, announced), group(head, announced, 1))
-        lines = F.filter(
-            F.transform(F.split(part, LINE_FEED), strip),
-            lambda x: matches(x, failure) | (matches(x, COUNTERS) & ~matches(x, announced)),
-        )
-        places = F.transform(lines, lambda x, i: F.when(~matches(x, failure), i))
-        first = F.array_min(places)
-
-        def of_line(line: Column, index: Column) -> Column:
-            owner, method = group(line, failure, 1), group(line, failure, 2)
-            status = F.when(line.contains("Exception") & ~line.contains("AssertionError"), ERROR).otherwise(FAILED)
-            _, failures, errors, skipped = counter_values(line)
-            named = F.rtrim(strip(F.substring_index(line, " in ", -1)), F.lit(".:;"))
-            counted = F.when(line.contains(" in "), named).when(index == first, running)
-            return F.when(
-                matches(line, failure),
-                F.array(
-                    event(F.concat(owner, F.lit("."), method), status, prio=3),
-                    event(owner, FAILED, prio=2, sign=-1),
-                ),
-            ).otherwise(
-                F.array(event(F.nullif(counted, F.lit("")), class_status(failures, errors, skipped), prio=2, sign=-1))
-            )
-
-        return F.flatten(F.transform(lines, of_line))
-
-    names = F.regexp_extract_all(
-        one_line_per_feed(log), F.lit(rx(whole(f"~{RUNNING}~"), lines=True)), F.lit(1)
-    )
-    return F.filter(F.flatten(F.transform(parts, of_part)), lambda e: e["test_id"].isNotNull()), names
-
-
-def with_prio(events: Column, prio: int) -> Column:
-    return F.transform(events, lambda e: event(e["test_id"], e["status"], prio=prio))
+    cut = sections(runs, ANNOUNCED).withColumn("running", announced_class(first_line(F.col("body"))))
+    text = F.transform(F.split("body", LINE_FEED), strip)
+    told = F.filter(text, lambda x: x.rlike(rx(METHOD_FAILED)) | x.rlike(rx(COUNTERS)))
+    kinds = F.transform(told, lambda x: F.struct(x.alias("line"), x.rlike(rx(METHOD_FAILED)).alias("failed")))
+    counted = F.array_position(F.transform(kinds, lambda k: k["failed"]), False)
+    rows = cut.withColumn("kinds", kinds).withColumn("counted", counted).select("run_id", "part", "section", "running", "counted", F.posexplode("kinds").alias("row", "k"))
+    line = F.col("k.line")
+    named = F.when(line.contains(" in "), F.rtrim(strip(F.substring_index(line, " in ", -1)), F.lit(".:;")))
+    owner, method = F.regexp_extract(line, rx(METHOD_FAILED), 1), F.regexp_extract(line, rx(METHOD_FAILED), 2)
+    first = F.col("row") + 1 == F.col("counted")
+    rows = rows.select(
+        "run_id", "part", (F.col("section").cast("bigint") * 2**31 + F.col("row")).alias("seq"), F.col("k.failed").alias("failed"),
+        # Counters with a name, or behind the first ones, need no class from above.
+        F.when(F.col("k.failed") | named.isNotNull() | ~first, F.coalesce(named, F.lit(""))).otherwise(F.col("running")).alias("owner"),
+        F.when(F.col("k.failed"), F.concat(owner, F.lit("."), method)).alias("method"), owner.alias("class"),
+        F.when(~F.col("k.failed"), class_status(*counter_values(line)[1:]))
+        .when(line.contains("Exception") & ~line.contains("AssertionError"), ERROR).otherwise(FAILED).alias("status"),
+    )
+    latest = last_like(one_line_per_feed(F.col("log")), rf"(?:{ANNOUNCED}|.*{COUNTERS}.*)")
+    rows = inherit(rows, runs, "owner", F.when(latest.isNotNull(), F.coalesce(announced_class(latest), F.lit(""))))
+    of_method = F.array(event(F.col("method"), F.col("status"), prio=3), event(F.col("class"), FAILED, prio=2, sign=-1))
+    of_class = F.array(event(F.nullif("owner", F.lit("")), F.col("status"), prio=2, sign=-1))
+    return emit_each(rows, F.when(F.col("failed"), of_method).otherwise(of_class))
+
+
+def announced_classes(runs: DataFrame) -> DataFrame:
+    names = F.regexp_extract_all(one_line_per_feed(F.col("log")), F.lit(rx(f"^{ANNOUNCED}", lines=True)), F.lit(1))
+    return emit_log(runs.where(F.col("log").contains("Running")), F.transform(names, lambda name: strong(name, PASSED)))
+
+
+MODULE_WORDS = {"SUCCESS": PASSED, "FAILURE": FAILED, "SKIPPED": SKIPPED}
 
 
 def read_maven_modules(runs: DataFrame) -> DataFrame:
-    """Module lines of a build, and one entry for the whole suite."""
-    words = {"SUCCESS": PASSED, "FAILURE": FAILED, "SKIPPED": SKIPPED}
-    module = starts("[INFO]_{n}_.•_{s!}", words)
+    """`[INFO] module ..... WORD` lines of a build, and one entry for the whole suite from the first counters."""
     line = F.col("line")
     lines = log_lines(runs, LINE_END).withColumn("line", strip(line))
-    lines = lines.where(matches(line, module) | matches(line, COUNTERS))
-    return emit(
-        lines,
-        F.when(matches(line, module), strong(group(line, module, 1), lookup(group(line, module, 2), words))).otherwise(
-            weak(F.lit("__suite__"), suite_status(*counter_values(line)))
-        ),
-    )
+    # The name ends before the dots, the word stands behind them.
+    dotted = rx(r"\s\.+\s+(" + "|".join(MODULE_WORDS) + r")\b.*$")
+    told = strip(after(line, "[INFO]"))
+    is_module = line.startswith("[INFO]") & matches(line, r"^\[INFO\]\s") & told.rlike(dotted)
+    lines = lines.where(is_module | matches(line, COUNTERS))
+    name = rstrip(F.regexp_replace(told, dotted, ""))
+    module = strong(F.nullif(name, F.lit("")), lookup(F.regexp_extract(told, dotted, 1), MODULE_WORDS))
+    return emit(lines, F.when(is_module, module).otherwise(weak(F.lit("__suite__"), suite_status(*counter_values(line)))))
 
 
 # --- Scala: a suite line above test lines ------------------------------------
@@ -208,56 +222,51 @@ SCALA_MARKS = {
     "PASSED": PASSED, "FAILED": FAILED, "ERROR": ERROR, "ABORTED": ERROR, "SKIPPED": SKIPPED,
     "IGNORED": SKIPPED, "CANCELED": SKIPPED, "CANCELLED": SKIPPED, "PENDING": SKIPPED,
 }
+#: An [info] line that is no test (a dash after one blank) and no build message.
+SCALA_SUITE = rf"\s*(?!\[info\] -)\[info\]\s(?!-)(?!.*(?:{'|'.join(NOT_A_SUITE)})).*\S.*$"
 
 
 def read_scala_suites(runs: DataFrame) -> DataFrame:
-    header = rf"\s*(?!\[info\] -)\[info\]\s+(?=.*\S)(?!.*(?:{'|'.join(NOT_A_SUITE)}))[^\-\n].*$"
-    cut = sections(runs, header)
-    head = strip(first_line(F.col("body")))
-    bare = whole("[info]_{N^-}")
-    cut = cut.withColumn(
-        "suite",
-        F.when(
-            head.startswith("[info]") & ~head.startswith("[info] -") & matches(head, bare)
-            & ~contains_any(*NOT_A_SUITE)(head),
-            F.nullif(strip(group(head, bare, 1)), F.lit("")),
-        ),
-    )
-    line = F.col("line")
-    lines = section_lines(cut, "suite").withColumn("line", strip(line)).where(line.startswith("[info] -"))
-    shape = whole("[info]_-_{n?}<_***_{C}_***>")
-    name = remove(strip(group(line, shape, 1)), ends("~(9_{w})"))
-    key = F.when(F.col("suite").isNull(), name).otherwise(F.concat("suite", F.lit(": "), name))
-    mark = group(line, shape, 2)
-    status = F.coalesce(lookup(mark, SCALA_MARKS), mark)
-    found = F.when(mark == "", weak(key, PASSED)).otherwise(strong(key, status))
-    return emit(lines, F.when(matches(line, shape), found))
+    def suite(head: Column) -> Column:
+        return F.when(matches(head, f"^{SCALA_SUITE}"), F.nullif(strip(after(head, "[info]")), F.lit("")))
+
+    cut = sections(runs, SCALA_SUITE).withColumn("suite", suite(first_line(F.col("body"))))
+    line = strip(F.col("line"))
+    lines = section_lines(cut, "suite").where(line.startswith("[info] -") & matches(line, r"^\[info\] -\s+\S"))
+    told = strip(after(line, "-"))
+    # ` *** MARK ***` at the end, or else a time in parentheses.
+    mark = F.regexp_extract(told, r"\*\*\* ([A-Z]+) \*\*\*$", 1)
+    bare = F.when(mark != "", rstrip(without_right(told, F.length(mark) + 8))).otherwise(told)
+    name = strip(F.regexp_replace(bare, r"\(\d+ \S+\)$", ""))
+    lines = lines.select("run_id", "part", "seq", "suite", name.alias("name"), mark.alias("mark"))
+    lines = inherit(lines, runs, "suite", suite(last_like(one_line_per_feed(F.col("log")), SCALA_SUITE)))
+    key = F.concat(F.coalesce(F.concat("suite", F.lit(": ")), F.lit("")), "name")
+    mark = F.col("mark")
+    return emit(lines, F.when(mark == "", weak(key, PASSED)).otherwise(strong(key, F.coalesce(lookup(mark, SCALA_MARKS), mark))), certain=True)
 
 
 # --- Clojure: `lein test namespace` above failure lines -----------------------
 
+LEIN = r"\s*lein test .*\S.*"
+
 
 def read_lein(runs: DataFrame) -> DataFrame:
-    shape = whole("lein test {N}")
-    cut = sections(runs, r"\s*lein test .*\S")
-    head = strip(first_line(F.col("body")))
-    words = F.split(strip(group(head, shape, 1)), rx(r"\s+"))
-    only = F.element_at(words, 1) == ":only"
-    target = F.nullif(strip(before(F.array_join(F.slice(words, 2, F.size(words)), " "), "/")), F.lit(""))
-    spaces = F.when(only, F.when(target.isNotNull(), F.array(target)).otherwise(F.array().cast("array<string>"))).otherwise(words)
-    cut = cut.withColumn("spaces", F.when(matches(head, shape), spaces))
-    lines = section_lines(cut, "spaces").withColumn("line", strip(F.col("line")))
-    line, spaces = F.col("line"), F.col("spaces")
-    lines = lines.where(
-        F.col("spaces").isNotNull()
-        & ((F.col("row") == 0) | line.startswith("FAIL in") | line.startswith("ERROR in"))
-    )
-    current = F.try_element_at(spaces, F.lit(-1))
-    events = (
-        F.when(F.col("row") == 0, F.transform(spaces, lambda s: weak(s, PASSED)))
-        .when(line.startswith("FAIL in"), F.array(strong(current, FAILED)))
-        .otherwise(F.array(strong(current, ERROR)))
-    )
+    """`lein test a b` announces namespaces, `lein test :only a/t` one; a failure belongs to the latest."""
+
+    def spaces(head: Column) -> Column:
+        words = F.split(strip(after(head, "lein test ")), rx(r"\s+"))
+        only = F.filter(F.array(before(F.array_join(F.slice(words, 2, F.size(words)), " "), "/")), lambda s: s != "")
+        return F.when(matches(head, f"^{LEIN}"), F.when(words[0] == ":only", only).otherwise(words))
+
+    cut = sections(runs, LEIN).withColumn("spaces", spaces(first_line(F.col("body"))))
+    line = strip(F.col("line"))
+    failed = F.when(line.startswith("FAIL in"), FAILED).when(line.startswith("ERROR in"), ERROR)
+    is_head = F.col("spaces").isNotNull() & (F.col("row") == 0)
+    lines = section_lines(cut, "spaces").where(is_head | failed.isNotNull())
+    lines = lines.select("run_id", "part", "seq", "spaces", F.when(~is_head, failed).alias("failed"))
+    lines = inherit(lines, runs, "spaces", spaces(last_like(one_line_per_feed(F.col("log")), LEIN)))
+    current = F.try_element_at("spaces", F.lit(-1))
+    events = F.when(F.col("failed").isNull(), F.transform("spaces", lambda s: weak(s, PASSED))).otherwise(F.array(strong(current, F.col("failed"))))
     return emit_each(lines, events)
 
 
@@ -273,86 +282,89 @@ def read_package_checks(runs: DataFrame) -> DataFrame:
     """`* checking x ... WORD`, or the word at the head of a later line.
 
     A check without its word waits for the next line that starts with one and
-    swallows all lines before it. So the log is cut before every line that
-    starts with a word; in each piece the first waiting check, if any, ends
-    the reading, and the head of the next piece is its outcome.
+    swallows all lines before it. So lines that start with a word part a run
+    into stretches: in each the first waiting check, if any, ends the reading,
+    and the word that opens the next stretch is its outcome.
     """
-    lead = r"\s*[.:!]*\s*(?:{})(?:(?=\s)|[.:!]*\s*(?=\n|\z))".format("|".join(CHECK_WORDS))
-    text = one_line_per_feed(F.col("log"))
-    pieces = F.split(text, rx(rf"(?=^{lead})", nocase=True, lines=True))
-    nexts = F.concat(F.slice(pieces, 2, F.size(pieces)), F.array(F.lit(None).cast("string")))
-    cut = runs.select("run_id", "part", F.posexplode(F.arrays_zip(pieces.alias("body"), nexts.alias("next"))).alias("section", "p"))
-    cut = cut.select("run_id", "part", "section", "p.body", first_line(F.col("p.next")).alias("next"))
-
-    waiting, stated = whole("* checking {n} ..."), whole("* checking {n} ... {C}")
-    lines = F.transform(F.split("body", LINE_FEED), strip)
-    place = F.array_position(F.transform(lines, lambda x: matches(x, waiting)), True)
-    cut = cut.withColumn("lines", lines).withColumn("place", place)
-    open_lines = F.when(F.col("place") > 0, F.slice("lines", F.lit(1), F.col("place").cast("int") - 1)).otherwise(F.col("lines"))
-    swallowed = F.when(
-        F.col("place") > 0, F.slice("lines", F.col("place").cast("int") + 1, F.size("lines"))
-    )
-    check = group(F.element_at("lines", F.greatest(F.col("place").cast("int"), F.lit(1))), waiting, 1)
-    token = F.upper(word(F.btrim(strip(F.col("next")), F.lit(".:!")), 0))
-    outcome = (
-        F.when(F.exists(swallowed, lambda x: matches(x, r"^[.:!]+\s*[.:!]*$")), unreadable())
-        .when(F.col("next").isNull(), weak(check, PASSED))
-        .otherwise(strong(check, lookup(token, CHECK_WORDS)))
-    )
-    stated_events = F.transform(
-        F.filter(open_lines, lambda x: matches(x, stated)),
-        lambda x: strong(group(x, stated, 1), lookup(group(x, stated, 2), CHECK_WORDS, PASSED)),
-    )
-    events = F.concat(stated_events, F.array(F.when(F.col("place") > 0, outcome)))
-    return emit_each(cut.withColumn("seq", F.col("section")), events)
+    line = F.col("line")
+    lines = log_lines(runs, LINE_END).withColumn("line", strip(line))
+    bare = strip(F.ltrim(line, F.lit(".:!")))
+    lead = F.upper(word(bare, 0))
+    bare_lead = F.rtrim(lead, F.lit(".:!"))
+    lead_word = F.when(bare_lead.isin(*CHECK_WORDS) & ((lead == bare_lead) | word(bare, 1).isNull()), bare_lead)
+    told = strip(after(line, "* checking "))
+    is_check = line.startswith("* checking ") & told.contains(" ...")
+    stated = F.when(is_check & ~told.endswith("..."), F.struct(before_last(told, " ... ").alias("name"), F.substring_index(told, " ... ", -1).alias("word")))
+    stated = F.when(stated["word"].rlike("^[A-Z]+$"), stated)
+    waiting = F.when(is_check & told.endswith(" ..."), before_last(told, " ..."))
+    noise = matches(line, r"^[.:!]+\s*[.:!]*$")
+    lines = lines.select("run_id", "part", "seq", lead_word.alias("word"), stated.alias("stated"), waiting.alias("waiting"), noise.alias("noise"))
+    lines = lines.where("word is not null or stated is not null or waiting is not null or noise")
+
+    # The stretch of a line: the place of the latest word at or above it.
+    within = Window.partitionBy("run_id", "part").orderBy("seq")
+    lines = lines.withColumn("stretch", F.last(F.when(F.col("word").isNotNull(), F.struct("part", "seq")), ignorenulls=True).over(within))
+    opened = F.when(F.col("word").isNotNull(), F.struct("part", "seq"))
+    latest = lines.groupBy("run_id", "part").agg(F.max(opened).alias("stretch"))
+    every_part = runs.select("run_id", "part").join(latest, ["run_id", "part"], "left")
+    lines = inherit(lines, every_part, "stretch", F.col("stretch"))
+    stretches = lines.groupBy("run_id", "stretch").agg(F.min(F.when(F.col("waiting").isNotNull(), F.struct("part", "seq", "waiting"))).alias("first"), F.max("word").alias("word"))
+    follow = Window.partitionBy("run_id").orderBy(F.col("stretch").asc_nulls_first())  # one small row for each word
+    stretches = stretches.withColumn("next", F.lead("word").over(follow)).where("first is not null")
+    outcome = F.when(F.col("next").isNull(), weak(F.col("first.waiting"), PASSED)).otherwise(strong(F.col("first.waiting"), lookup(F.col("next"), CHECK_WORDS)))
+    ended = emit(stretches.select("run_id", F.col("first.part").alias("part"), F.col("first.seq").alias("seq"), "next", "first"), outcome, certain=True)
+
+    of_run = stretches.select(F.col("run_id").alias("of_run"), F.col("stretch").alias("of"), "first")
+    placed = lines.where("stated is not null or noise").join(of_run, F.col("of").eqNullSafe(F.col("stretch")) & (F.col("run_id") == F.col("of_run")), "left")
+    swallowed = F.coalesce(F.struct("part", "seq") > F.struct("first.part", "first.seq"), F.lit(False))
+    found = F.when(F.col("noise") & swallowed, unreadable()).when(F.col("stated").isNotNull() & ~swallowed, strong(F.col("stated.name"), lookup(F.col("stated.word"), CHECK_WORDS, PASSED)))
+    return ended.unionByName(emit(placed, found))
 
 
 # --- OCaml builds: announced runs and their numbered outputs -------------------
 
+ANNOUNCED_RUN, OUTPUT_OF_RUN = r"\s*Running\[\d+\]:\s+\(.+\)\s*$", r"\s*Output\[\d+\]:"
+
 
 def read_dune(runs: DataFrame) -> DataFrame:
     """`Running[3]: (command)` names run 3, `Output[3]:` opens its output.
 
-    Each output is reduced to its verdict inside the log row; only announcements
-    and verdicts (one small row per section) meet in the window that looks up
-    the latest announcement of the same number.
+    A piece of an output is reduced to what it says inside its log row; pieces of
+    one output in several parts are put together, and announcements and outputs
+    meet by number, one small row each.
     """
-    announced, opened = whole("Running[{d}]:_({N})"), starts("Output[{d}]:")
-    cut = sections(runs, f"(?:{part('~Running[9]:_({X})~')}$|{part('~Output[9]:')})")
-    steps = cut.withColumn("head", strip(first_line(F.col("body"))))
+    header = f"(?:{ANNOUNCED_RUN}|{OUTPUT_OF_RUN})"
+    cut = sections(runs, header).withColumn("head", strip(first_line(F.col("body"))))
     head = F.col("head")
-    is_run = matches(head, announced)
-    steps = steps.where(is_run | matches(head, opened))
-    number = F.when(is_run, group(head, announced, 1)).otherwise(group(head, opened, 1))
-    steps = steps.withColumn("number", F.regexp_replace(number, "^0+(?=.)", ""))
-    command = strip(F.substring_index(group(head, announced, 2), "&&", -1))
-    command = strip(remove(command, "^exec "))
-    binary = F.substring_index(word(remove(command, r"^\./"), 0), "/", -1)
-    name = F.coalesce(F.nullif(binary, F.lit("")), F.concat(F.lit("run_"), "number"))
-
-    said = F.filter(F.transform(F.split(F.col("body"), LINE_FEED), lambda x: F.upper(strip(x))), lambda x: x != "")
-    said = F.slice(said, 2, F.size(said))
-    failed = F.exists(said, lambda x: x.rlike("FAIL|ERROR|EXCEPTION|CRASH|FATAL"))
-    skipped = F.exists(said, lambda x: x.rlike("SKIP"))
-    verdict = F.when(F.size(said) == 0, None).when(failed, FAILED).when(skipped, SKIPPED).otherwise(PASSED)
-    steps = steps.select(
-        "run_id",
-        "part",
-        "section",
-        "number",
-        F.when(is_run, name).alias("name"),
-        F.when(~is_run, verdict).alias("verdict"),
-    )
-    so_far = Window.partitionBy("run_id", "part", "number").orderBy("section")
-    steps = steps.withColumn("name", F.last("name", ignorenulls=True).over(so_far))
-    steps = steps.where(F.col("verdict").isNotNull() & F.col("name").isNotNull())
-    return emit(steps.withColumn("seq", F.col("section")), ranked(F.col("name"), F.col("verdict"), WORST, sign=1))
+    is_run, is_output = matches(head, f"^{ANNOUNCED_RUN}"), matches(head, f"^{OUTPUT_OF_RUN}")
+    number = F.ltrim(F.regexp_extract(head, r"\[(\d+)\]", 1), F.lit("0"))
+    command = strip(F.substring_index(F.regexp_extract(head, r"\((.*)\)$", 1), "&&", -1))
+    command = strip(F.when(command.startswith("exec "), F.substr(command, F.lit(6))).otherwise(command))
+    command = F.when(command.startswith("./"), F.substr(command, F.lit(3))).otherwise(command)
+    name = F.coalesce(F.nullif(F.substring_index(word(command, 0), "/", -1), F.lit("")), F.concat(F.lit("run_"), number))
+    said = F.filter(F.transform(F.split("body", LINE_FEED), lambda x: F.upper(strip(x))), lambda x: x != "")
+    said = F.when(is_run | is_output, F.slice(said, 2, F.size(said))).otherwise(said)
+    pieces = cut.select(
+        "run_id", "part",
+        F.when(is_run | is_output, F.struct("part", "section")).alias("at"),
+        F.when(is_run | is_output, F.struct(is_run.alias("is_run"), number.alias("number"), F.when(is_run, name).alias("name"))).alias("opens"),
+        (F.size(said) > 0).alias("said"),
+        F.exists(said, lambda x: x.rlike("FAIL|ERROR|EXCEPTION|CRASH|FATAL")).alias("failed"),
+        F.exists(said, lambda x: x.contains("SKIP")).alias("skipped"),
+    )
+    heads = F.size(F.split(one_line_per_feed(F.col("log")), rx(rf"(?=^{header})", lines=True))) - 1
+    pieces = inherit(pieces, runs, "at", F.when(last_like(one_line_per_feed(F.col("log")), header).isNotNull(), F.struct(F.col("part"), heads.alias("section"))))
+    steps = pieces.where("at is not null").groupBy("run_id", "at").agg(F.max("opens").alias("opens"), F.max("said").alias("said"), F.max("failed").alias("failed"), F.max("skipped").alias("skipped"))
+    verdict = F.when(F.col("opens.is_run") | ~F.col("said"), None).when(F.col("failed"), FAILED).when(F.col("skipped"), SKIPPED).otherwise(PASSED)
+    steps = steps.select("run_id", F.col("at.part").alias("part"), F.col("at.section").alias("seq"), F.col("opens.number").alias("id"), F.col("opens.is_run").alias("is_run"), F.col("opens.name").alias("announced"), verdict.alias("verdict"))
+    steps = latest_start(steps, F.col("is_run"), F.col("announced"), "name")
+    return emit(steps.where("verdict is not null and name is not null"), ranked(F.col("name"), F.col("verdict"), WORST, sign=1), certain=True)
 
 
 DIALECTS = (
     Dialect("phpunit", read_phpunit),
     Dialect("ruby_v1", read_ruby_tests),
-    Dialect("maven", read_maven),
+    Dialect("maven", read_builds),
     Dialect("kotlin_junit", read_kotlin),
     Dialect("java_mvn_v2", read_maven_modules),
     Dialect("scala_v3", read_scala_suites),

@@ -1,8 +1,10 @@
 """Dialects with tables, gated parts or a second reading of the log."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
 
-from runsift.functions.text import BLANKS, LINE_END, before, group, matches, remove, rstrip, rx, strip
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from runsift.functions.text import BLANKS, LINE_END, before, before_last, last_word, matches, remove, rstrip, rx, strip, strip_ansi, without_right, without_time
 from runsift.operators.dialects.base import (
     LINE_FEED,
     Dialect,
@@ -12,11 +14,12 @@ from runsift.operators.dialects.base import (
     log_lines,
     lookup,
     one_line_per_feed,
+    sections,
     strong,
     weak,
 )
 from runsift.operators.dialects.line_rules import JS_TIMING
-from runsift.operators.dialects.shapes import ends, part, whole
+from runsift.operators.dialects.parts import from_earlier, has_line, last_like
 from runsift.schema import ERROR, FAILED, PASSED, SKIPPED
 
 
@@ -29,74 +32,79 @@ def first_place(lines: Column, test) -> Column:
     return F.array_position(F.transform(lines, test), True).cast("int")
 
 
-def lines_between(runs: DataFrame, start, stop=None) -> DataFrame:
-    """Lines after the first `start` line and before the next `stop` line."""
-    cut = runs.select("run_id", "part", clean_lines(F.col("log")).alias("all"))
-    cut = cut.withColumn("from", first_place(F.col("all"), start)).where("from > 0")
-    cut = cut.withColumn("all", F.slice("all", F.col("from") + 1, F.size("all")))
-    if stop:
-        cut = cut.withColumn("to", first_place(F.col("all"), stop))
-        cut = cut.withColumn("all", F.when(F.col("to") > 0, F.slice("all", F.lit(1), F.col("to") - 1)).otherwise(F.col("all")))
-    return cut.select("run_id", "part", F.posexplode("all").alias("seq", "line"))
-
-
-def lines_before(runs: DataFrame, stop) -> DataFrame:
-    """Lines before the first `stop` line, or all of them."""
-    cut = runs.select("run_id", "part", clean_lines(F.col("log")).alias("all"))
-    cut = cut.withColumn("to", first_place(F.col("all"), stop))
-    kept = F.when(F.col("to") > 0, F.slice("all", F.lit(1), F.col("to") - 1)).otherwise(F.col("all"))
-    return cut.select("run_id", "part", F.posexplode(kept).alias("seq", "line"))
+def either(tests: list[Column]) -> Column:
+    return reduce(Column.__or__, tests)
 
 
 # --- C++ bindings tested from Python ------------------------------------------
 
 BANNER = "=================================== FAILURES ==================================="
-FAILED_HEADER = r"^___________________________ (.*?) ___________________________$"
+UNDERLINE = "_" * 27
+CPP_STATUSES = (PASSED, FAILED, SKIPPED, ERROR)
 
 
 def read_cpp(runs: DataFrame) -> DataFrame:
-    """`path::name STATUS` lines up to the failures banner, then headers only."""
-
-    def is_banner(line: Column) -> Column:
-        return line.startswith(BANNER)
+    """`path::name STATUS` lines up to the failures banner, then headers only.
 
+    The first banner of a run may stand in an earlier part.
+    """
     line = F.col("line")
-    above = lines_before(runs, is_banner)
+
+    def banner(x: Column) -> Column:
+        return x.startswith(BANNER)
+
+    cut = runs.select("run_id", "part", clean_lines(F.col("log")).alias("all")).withColumn("banner", first_place(F.col("all"), banner))
+    lines = cut.select("run_id", "part", "banner", F.posexplode("all").alias("seq", "line"))
+    # `____ name ____`: the name lies between the underlines.
+    headed = line.startswith(UNDERLINE + " ") & line.endswith(" " + UNDERLINE)
+    told = F.translate(line, "\t", " ")
+    lines = lines.where(headed | either([told.contains(f" {s}") for s in CPP_STATUSES]))
+    above = (F.col("banner") == 0) | (F.col("seq") + 1 < F.col("banner"))
+    lines = lines.withColumn("above", above)
+    # Below the banner for sure, above it for sure, or above it unless an earlier part has one.
+    first = runs.where(has_line(one_line_per_feed(F.col("log")), rf"\s*{BANNER}")).groupBy(F.col("run_id").alias("of_run")).agg(F.min("part").alias("first_part"))
+    unsure = lines.where("above and part > 0").join(first, (F.col("run_id") == F.col("of_run")) & (F.col("first_part") < F.col("part")), "left")
+    unsure = unsure.withColumn("above", F.col("first_part").isNull()).drop("of_run", "first_part")
+    lines = lines.where("not above or part = 0").unionByName(unsure)
     found = None
-    for status in (PASSED, FAILED, SKIPPED, ERROR):
-        shape = rf"^(.*?)\s+{status}"
-        name = F.substring_index(group(line, shape, 1), "::", -1)
+    for status in CPP_STATUSES:
+        name = F.substring_index(rstrip(before(told, f" {status}")), "::", -1)
         one = weak(name, status) if status == PASSED else strong(name, status)
-        hit = line.contains(status) & matches(line, shape)
-        found = (F if found is None else found).when(hit, one)
-    above = above.where(line.rlike("PASSED|FAILED|SKIPPED|ERROR"))
-    below = lines_between(runs.where(F.col("log").contains(BANNER)), is_banner).where(line.startswith("____") & matches(line, FAILED_HEADER))
-    return emit(above, found).unionByName(later(emit(below, strong(group(line, FAILED_HEADER, 1), FAILED), certain=True)))
+        found = (F if found is None else found).when(told.contains(f" {status}"), one)
+    header = F.when(headed, strong(strip(F.btrim(line, F.lit("_"))), FAILED))
+    return emit(lines.where("above"), found).unionByName(later(emit(lines.where("not above"), header)))
+
+
+KEYWORDS = ((r"(?i)\bSKIPPED\b", SKIPPED), (r"(?i)\b(FAILED|FAIL|FAILURE)\b", FAILED), (r"(?i)\b(OK|PASSED)\b", PASSED))
 
 
 def read_cpp_summary(runs: DataFrame) -> DataFrame:
-    """Group summaries, `name... WORD` lines, and lines that hold a keyword."""
+    """`group ran N tests in T msec outcome`, `[i/n] name... WORD` lines, and lines that hold a keyword."""
     line = F.col("line")
-    summary = whole("{n?}_ran_{d}_tests_in_9.9_{msec|sec}_{N}")
-    dotted = whole("<[9/9]~>{n?}~...~{w}")
-    has_skip = matches(line, part("¦SKIPPED¦"), nocase=True)
-    has_fail = matches(line, part("¦{FAILED|FAIL|Failure}¦"), nocase=True)
-    has_pass = matches(line, part("¦{OK|PASSED}¦"), nocase=True)
-    keyword = F.when(has_skip, SKIPPED).when(has_fail, FAILED).when(has_pass, PASSED)
-
+    keyword = None
+    for pattern, status in KEYWORDS:
+        keyword = (F if keyword is None else keyword).when(line.rlike(pattern), status)
     lines = log_lines(runs, LINE_END).withColumn("line", strip(line))
-    is_summary = F.lower(line).contains("ran") & matches(line, summary, nocase=True)
-    is_dotted = line.contains("...") & matches(line, dotted)
+
+    # group, "ran", count, "tests in", time, unit, outcome
+    ran = F.split(F.regexp_replace(line, r"(?i)\s+ran\s+(?=\d+\s+tests\s+in\s+\d)", "\x00"), "\x00")
+    words = F.split(F.try_element_at(ran, F.lit(2)), rx(r"\s+"))
+    word_at = lambda i: F.try_element_at(words, F.lit(i))
+    is_summary = (F.size(ran) == 2) & (F.size(words) > 5) & word_at(4).try_cast("double").isNotNull() & F.lower(word_at(5)).isin("msec", "sec")
+    outcome = F.array_join(F.slice(words, 6, F.size(words)), " ")
+    key = F.concat_ws(" ", strip(ran[0]), F.lit("ran"), word_at(1), F.lit("tests"), outcome)
+    summary = strong(key, F.when(outcome.rlike(r"(?i)\bfailed\b"), FAILED).otherwise(PASSED))
+
+    # The last three dots with one word behind them end the name.
+    state = strip(F.substring_index(line, "...", -1))
+    named = strip(before_last(line, "..."))
+    named = F.when(matches(named, r"^\[\d+/\d+\]"), strip(F.substr(named, F.instr(named, "]") + 1))).otherwise(named)
+    is_dotted = line.contains("...") & (state != "") & ~matches(state, r"\s")
     lines = lines.where(is_dotted | keyword.isNotNull() | is_summary)
-    tail = strip(group(line, summary, 3, nocase=True))
-    key = F.concat_ws(
-        " ", strip(group(line, summary, 1, nocase=True)), F.lit("ran"), group(line, summary, 2, nocase=True), F.lit("tests"), tail
-    )
-    outcome = F.when(matches(tail, part("¦failed¦"), nocase=True), FAILED).otherwise(PASSED)
     return emit(
         lines,
-        F.when(is_summary, strong(key, outcome))
-        .when(is_dotted, strong(strip(group(line, dotted, 1)), F.coalesce(keyword, F.lit(ERROR))))
+        F.when(is_summary, summary)
+        .when(is_dotted, strong(named, F.coalesce(keyword, F.lit(ERROR))))
         .when(keyword.isNotNull(), strong(line, keyword)),
     )
 
@@ -125,70 +133,81 @@ def table_status(numbers: Column, lead: Column, has_fail: Column, has_error: Col
     )
 
 
+SUMMARY, COLUMNS = "Test Summary:", "| Pass"
+
+
 def read_julia(runs: DataFrame) -> DataFrame:
-    """Rows below `Test Summary:`; a header that names `| Pass` sets the columns."""
+    """Rows below `Test Summary:`; a header that names `| Pass` sets the columns.
+
+    Which columns the latest header has, and whether any summary line came before,
+    may be known from earlier parts only.
+    """
+    header = r"(?=.*Test Summary:)(?=.*\| Pass).*"
+
+    def columns(head: Column) -> Column:
+        named = F.try_element_at(F.split(head, r"\|"), F.lit(2))
+        return F.when(head.contains(SUMMARY) & head.contains(COLUMNS), F.concat(F.when(named.contains("Fail"), "F").otherwise(""), F.when(named.contains("Error"), "E").otherwise("")))
+
     text = one_line_per_feed(F.col("log"))
-    header = r"(?=^.*Test Summary:)(?=^.*\| Pass).*$"
-    cut = runs.where(F.col("log").contains("Test Summary:")).select(
-        "run_id", "part", F.posexplode(F.split(text, rx(rf"(?={header})", lines=True))).alias("section", "body")
-    )
-    head = before(F.col("body"), "\n")
-    headed = head.contains("Test Summary:") & head.contains("| Pass")
-    columns = F.try_element_at(F.split(head, r"\|"), F.lit(2))
-    # What stands before the first header with columns counts from the first
-    # summary line on, without known columns.
-    opened = F.when(
-        F.col("body").contains("Test Summary:"), F.expr("substring(body, instr(body, 'Test Summary:'))")
-    )
-    cut = cut.select(
-        "run_id",
-        "part",
-        "section",
-        F.when(headed, F.col("body")).otherwise(opened).alias("body"),
-        (headed & columns.contains("Fail")).alias("has_fail"),
-        (headed & columns.contains("Error")).alias("has_error"),
-    )
-    rows = cut.select(
-        "run_id", "part", "section", "has_fail", "has_error", F.posexplode(F.split("body", LINE_FEED)).alias("row", "line")
-    ).withColumn("seq", F.col("section").cast("bigint") * 2**31 + F.col("row"))
+    cut = sections(runs, header).withColumn("columns", columns(before(F.col("body"), "\n")))
+    cut = cut.withColumn("all", F.split("body", LINE_FEED)).withColumn("opened", F.array_position(F.transform("all", lambda x: x.contains(SUMMARY)), True))
+    rows = cut.select("run_id", "part", "section", "columns", "opened", F.posexplode("all").alias("row", "line"))
     line = F.col("line")
-    shape = whole("{b}{n}_|{N}")
-    rows = rows.where((F.col("row") > 0) & ~line.contains("Test Summary:") & matches(line, shape))
-    cells = group(line, shape, 3)
+    cells = F.substr(line, F.instr(line, "|") + 1)
     numbers = F.filter(F.split(strip(cells), rx(r"\s+")), lambda p: p.rlike(r"(?U)^\d+$"))
-    lead = F.char_length(cells) - F.char_length(F.ltrim(cells, F.lit(BLANKS)))
-    status = table_status(numbers, lead, F.col("has_fail"), F.col("has_error"))
-    return emit(rows, F.when(F.size(numbers) >= 2, strong(strip(group(line, shape, 2)), status)))
+    rows = rows.where(line.contains("|") & ~line.contains(SUMMARY) & (F.size(numbers) >= 2) & matches(line, r"\S\s+\|"))
+    rows = rows.select(
+        "run_id", "part", (F.col("section").cast("bigint") * 2**31 + F.col("row")).alias("seq"), "columns",
+        F.when((F.col("opened") > 0) & (F.col("row") >= F.col("opened")), True).alias("opened"),
+        strip(before(line, "|")).alias("name"), numbers.alias("numbers"), (F.char_length(cells) - F.char_length(F.ltrim(cells, F.lit(BLANKS)))).alias("lead"),
+    )
+    # A row in the first section of a later part waits for both.
+    waits = F.col("columns").isNull() & (F.col("part") > 0)
+    far = from_earlier(runs, far_columns=columns(last_like(text, header)), far_opened=F.when(text.contains(SUMMARY), True))
+    given = rows.where(waits).join(far, ["run_id", "part"], "left").withColumns({"columns": F.col("far_columns"), "opened": F.coalesce("opened", "far_opened")}).drop("far_columns", "far_opened")
+    rows = rows.where(~waits).unionByName(given).where("opened or columns is not null")
+    known = F.coalesce("columns", F.lit(""))
+    status = table_status(F.col("numbers"), F.col("lead"), known.contains("F"), known.contains("E"))
+    return emit(rows, strong(F.col("name"), status))
 
 
 # --- R: context lines, then the failures part ------------------------------------
 
-R_TIMING = ends("~[~9.9~{w}]")
+FAILED_TESTS, RESULTS = ("── Failed tests ──", "== Failed tests =="), ("[ FAIL", "══ Results ══")
 
 
 def read_r(runs: DataFrame) -> DataFrame:
+    """`✔ | 60 | name [1.2s]` lines; then the first failed-tests part, which may reach over several parts of the log."""
     line = F.col("line")
-
-    def name(shape: str, place: int = 1) -> Column:
-        return strip(remove(strip(group(line, shape, place)), R_TIMING))
-
-    passed, failed = whole("✔_|{x}|_{N}"), whole("✖_|{x}|_{N}")
-    context = log_lines(runs, LINE_END).withColumn("line", strip(line))
-    context = context.where(line.startswith("✔") | line.startswith("✖"))
-    found = F.when(matches(line, passed), strong(name(passed, 2), PASSED)).when(
-        matches(line, failed), strong(name(failed, 2), FAILED)
-    )
-
-    failure, error = whole("Failure_(…):_{N}"), whole("Error_(…):_{N}")
-    details = lines_between(
-        runs.where(F.col("log").contains("Failed tests")),
-        lambda x: x.startswith("── Failed tests ──") | x.startswith("== Failed tests =="),
-        lambda x: x.startswith("[ FAIL") | x.startswith("══ Results ══"),
-    )
-    told = F.when(matches(line, failure), strong(name(failure), FAILED)).when(
-        matches(line, error), strong(name(error), ERROR)
-    )
-    return emit(context, found).unionByName(later(emit(details, told)))
+    context = log_lines(runs, LINE_END).withColumn("line", strip(line)).where(line.startswith("✔ ") | line.startswith("✖ ") | matches(line, r"^[✔✖]\s"))
+    cells = F.split(line, r"\|", 3)
+    named = without_time(strip(F.try_element_at(cells, F.lit(3))), "[", "]")
+    passed = F.substring(line, 1, 1) == "✔"
+    told = F.when((strip(F.substring(cells[0], 2, 1 << 20)) == "") & (strip(named) != ""), strong(named, F.when(passed, PASSED).otherwise(FAILED)))
+
+    all_lines = clean_lines(F.col("log"))
+    starts = lambda x: either([x.startswith(t) for t in FAILED_TESTS])
+    stops = lambda x: either([x.startswith(t) for t in RESULTS])
+    cut = runs.where(either([F.col("log").contains(t) for t in ("Failed tests", "[ FAIL", "Results", "Failure", "Error")])).select("run_id", "part", all_lines.alias("all"))
+    cut = cut.withColumn("start", first_place(F.col("all"), starts)).withColumn("stop", first_place(F.col("all"), stops))
+    stop_after = first_place(F.slice("all", F.col("start") + 1, F.size("all")), stops)
+    cut = cut.withColumn("end", F.when((F.col("start") > 0) & (stop_after > 0), F.col("start") + stop_after).otherwise(0))
+    details = cut.select("run_id", "part", "start", "end", "stop", F.posexplode("all").alias("seq", "line"))
+    details = details.where((line.startswith("Failure") | line.startswith("Error")) & matches(line, r"^(Failure|Error)\s+\([^)]+\):\s+\S"))
+    place = F.col("seq") + 1
+    within = (F.col("start") > 0) & (place > F.col("start")) & ((F.col("end") == 0) | (place < F.col("end")))
+
+    # Of the earlier parts: the first one with a start, whether it ended there, and the last one with a stop.
+    so_far = Window.partitionBy("run_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    marks = cut.where("start > 0 or stop > 0 or part > 0").select("run_id", "part", "start", "end", "stop")
+    opened = F.when(F.col("start") > 0, F.struct("part", (F.col("end") > 0).alias("ended")))
+    far = marks.select("run_id", "part", F.first(opened, ignorenulls=True).over(so_far).alias("opened"), F.max(F.when(F.col("stop") > 0, F.col("part"))).over(so_far).alias("stopped")).where("part > 0")
+    given = details.where("part > 0").join(far, ["run_id", "part"], "left")
+    reached = F.col("opened").isNotNull() & ~F.col("opened.ended") & (F.coalesce(F.col("stopped"), F.col("opened.part")) <= F.col("opened.part"))
+    given = given.where(F.when(F.col("opened").isNull(), within).otherwise(reached & ((F.col("stop") == 0) | (place < F.col("stop")))))
+    details = details.where("part = 0").where(within).unionByName(given.select(details.columns))
+    name = without_time(strip(F.substr(line, F.instr(line, "):") + 2)), "[", "]")
+    return emit(context, told).unionByName(later(emit(details, strong(name, F.when(line.startswith("Failure"), FAILED).otherwise(ERROR)), certain=True)))
 
 
 # --- JavaScript: a mark in front -------------------------------------------------
@@ -228,21 +247,19 @@ def read_marked_lines(runs: DataFrame) -> DataFrame:
 # --- Scala: colour codes around marked lines ---------------------------------------
 
 
-SCALA_TIME = "9.9<{m|μ|n}>s"
+SCALA_MARKS = {"+": PASSED, "x": FAILED}
 
 
 def read_coloured_scala(runs: DataFrame) -> DataFrame:
-    line, clean = F.col("line"), F.col("clean")
-    lines = log_lines(runs, LINE_END).withColumn("line", strip(line))
-    lines = lines.withColumn("clean", F.regexp_replace(line, r"\x1b\[[0-9;]*m|\[(?:[0-9]{1,2}m)", ""))
-    shapes = (
-        (line, whole("~x_[0m[31m{n?}[0m_[`90m" + SCALA_TIME + "[0m~"), FAILED),
-        (clean, whole("~x_{n?}_" + SCALA_TIME + "~"), FAILED),
-        (line, whole("~+_[0m[32m{n?}[0m_[`90m" + SCALA_TIME + "[0m~"), PASSED),
-        (clean, whole("~+_{n?}_" + SCALA_TIME + "~"), PASSED),
-    )
-    found = F.coalesce(*[F.when(matches(text, shape), strong(group(text, shape, 1), status)) for text, shape, status in shapes])
-    return emit(lines.where(clean.contains("x") | clean.contains("+")), found)
+    """`+ name 3ms` and `x name 3ms` once colours are off, with or without their escape sign."""
+    line = F.col("line")
+    lines = log_lines(runs, LINE_END).withColumn("line", strip(F.regexp_replace(strip_ansi(line), r"\[[0-9]{1,2}m", "")))
+    mark = F.left(line, F.lit(1))
+    told = strip(F.substr(line, F.lit(2)))
+    name = rstrip(without_right(told, F.char_length(last_word(told))))
+    timed = last_word(told).rlike("^[0-9]+([.][0-9]+)?(m|μ|n)?s$")
+    spaced = matches(line, r"^.\s") & (name != "")
+    return emit(lines.where(mark.isin(*SCALA_MARKS) & timed & spaced), strong(name, lookup(mark, SCALA_MARKS)), certain=True)
 
 
 # --- OCaml: suite, number and name behind the status ------------------------------
@@ -254,12 +271,18 @@ OCAML_WORDS = {
 
 
 def read_ocaml(runs: DataFrame) -> DataFrame:
+    """`[WORD]  suite  3  name`: the parts without the word make the key."""
     line = F.col("line")
-    shape = whole("~[{C}]_{n?}_{d}_{N}")
-    lines = log_lines(runs, LINE_END).withColumn("line", rstrip(line)).where(line.contains("[") & matches(line, shape))
-    parts = F.array(*[strip(group(line, shape, i)) for i in (2, 3, 4)])
-    key = F.array_join(F.filter(parts, lambda p: p != ""), " ")
-    status = lookup(group(line, shape, 1), OCAML_WORDS, ERROR)
+    lines = log_lines(runs, LINE_END).withColumn("line", strip(line)).where(line.startswith("[") & line.contains("]"))
+    told = F.substr(line, F.instr(line, "]") + 1)
+    # suite, number and name; the first number with blanks around it parts them
+    number = F.regexp_extract(told, rx(r"\s(\d+)\s"), 1)
+    place = F.regexp_instr(told, F.lit(rx(r"\s\d+\s")))
+    suite, name = strip(F.left(told, place)), strip(F.substr(told, place + 1 + F.char_length(number)))
+    word = F.substr(before(line, "]"), F.lit(2))
+    lines = lines.where((number != "") & matches(told, r"^\s") & word.rlike("^[A-Z]+$") & (name != ""))
+    key = F.array_join(F.filter(F.array(suite, number, name), lambda p: p != ""), " ")
+    status = lookup(word, OCAML_WORDS, ERROR)
     return emit(lines, F.when(status == PASSED, weak(key, PASSED)).otherwise(strong(key, status)), certain=True)
 
 
@@ -271,13 +294,13 @@ def occurrence_status(sightings: Column) -> Column:
 
 
 def read_dart_counts(runs: DataFrame) -> DataFrame:
+    """`[pkg]: 00:01 +3: /p/t.dart: name`; sightings are counted over all parts."""
     line = F.col("line")
-    shape = whole("[{n]}]:_9:9_+9:_{p}:_{N}")
     lines = log_lines(runs, LINE_END).withColumn("line", strip(line))
-    lines = lines.where(~F.lower(line).contains("loading") & line.contains(".dart") & matches(line, shape))
-    seen = lines.select(
-        "run_id", "part", F.col("seq").cast("bigint").alias("seq"), F.concat(group(line, shape, 2), F.lit(": "), group(line, shape, 3)).alias("key")
-    )
+    lines = lines.where(line.startswith("[") & line.contains(".dart:") & ~F.lower(line).contains("loading") & matches(line, r"^\[[^\]]+\]:\s+\d+:\d+\s+\+\d+:\s+/[^:]+\.dart:\s+\S"))
+    path = F.regexp_extract(line, r"(/[^:]+\.dart):", 1)
+    name = strip(F.substr(line, F.instr(line, ".dart:") + 6))
+    seen = lines.select("run_id", "part", F.col("seq").cast("bigint").alias("seq"), F.concat(path, F.lit(": "), name).alias("key"))
     seen = seen.groupBy("run_id", "key").agg(F.min(F.struct("part", "seq")).alias("at"), F.count(F.lit(1)).alias("n"))
     seen = seen.select("run_id", "at.part", "at.seq", "key", "n")
     return emit(seen, strong(F.col("key"), occurrence_status(F.col("n"))), certain=True)
@@ -286,11 +309,18 @@ def read_dart_counts(runs: DataFrame) -> DataFrame:
 # --- Browser runner: failures in the whole text ------------------------------------
 
 
+BROWSER = r"[\d.]+[^\S\r\n]\(.+?\)[^\S\r\n](.*)FAILED$"
+
+
 def read_browser_failures(runs: DataFrame) -> DataFrame:
-    shape = r"(?dUm)Chrome\s[\d.]+[^\S\r\n]\(.+?\)[^\S\r\n](.*)FAILED$"
-    text = F.regexp_replace("log", r"\x1B(?:[@-Z\\-_]|\[[0-?]*[ -/]*[@-~])", "")
-    names = F.regexp_extract_all(text, F.lit(shape), F.lit(1))
-    return emit_log(runs.where(F.col("log").contains("FAILED")), F.transform(names, lambda n: strong(n, FAILED)))
+    """`Chrome 1.2 (OS) nameFAILED`; the version may stand on the line below, and that in the next part."""
+    text = strip_ansi(F.col("log"))
+    names = F.regexp_extract_all(text, F.lit(rf"(?dUm)Chrome\s{BROWSER}"), F.lit(1))
+    inside = emit_log(runs.where(F.col("log").contains("FAILED")), F.transform(names, lambda n: strong(n, FAILED)))
+    first = before(text, "\n")
+    heads = runs.where("part > 0").select("run_id", "part", F.lit(-1).alias("seq"), F.when(first.rlike(rf"(?dU)^{BROWSER}"), F.regexp_extract(first, rf"(?dU)^{BROWSER}", 1)).alias("name")).where("name is not null")
+    ended = from_earlier(runs, ended=text.endswith("Chrome\n")).where("ended")
+    return inside.unionByName(emit(heads.join(ended, ["run_id", "part"]), strong(F.col("name"), FAILED)))
 
 
 DIALECTS = (

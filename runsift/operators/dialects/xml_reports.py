@@ -219,9 +219,9 @@ def read_doctest(runs: DataFrame) -> DataFrame:
 
 
 DIALECTS = (
-    Dialect("junit", read_junit_text),
-    Dialect("combined_test_reports", read_combined_reports),
-    Dialect("gradlew_v1", read_suite_reports),
-    Dialect("r_junit", read_first_report),
-    Dialect("doctest", read_doctest),
+    Dialect("junit", read_junit_text, whole=True),
+    Dialect("combined_test_reports", read_combined_reports, whole=True),
+    Dialect("gradlew_v1", read_suite_reports, whole=True),
+    Dialect("r_junit", read_first_report, whole=True),
+    Dialect("doctest", read_doctest, whole=True),
 )

@@ -103,7 +103,7 @@ def register_extractor(name: str, find: Callable[[str], Iterable[tuple[str, str]
         events = F.transform(found, lambda e: base.strong(e["test_id"], e["status"]))
         return base.emit_log(runs, events)
 
-    REGISTRY.add(base.Dialect(name, read))
+    REGISTRY.add(base.Dialect(name, read, whole=True))
 
 
 def dialects_in(runs: DataFrame) -> list[str]:
@@ -139,7 +139,7 @@ def extract_events(runs: DataFrame, dialects: Iterable[str] | None = None) -> Da
         mine = runs.where(F.col("parser").isin(known))
         mine = mine.select("run_id", F.col("part").cast("bigint").alias("part"), "log")
         dialect = REGISTRY.entries[name]
-        return dialect.read(mine if dialect.by_line else base.whole_logs(mine))
+        return dialect.read(base.whole_logs(mine) if dialect.whole else mine)
 
     shares += [share(name) for name in names]
     if not shares:
