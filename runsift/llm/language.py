@@ -21,14 +21,14 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from runsift.llm.common import Memo, fold, sample_ids
+from runsift.llm.common import fold, sample_ids
 from runsift.llm.crf import Trainer, forward_backward
 
 FOLDS, HELD_OUT = 4, 2
@@ -36,22 +36,73 @@ SAMPLE, LANGUAGES = 3000, 256
 #: Words of a document that training sees: from its middle. Scoring sees all words.
 TRAIN_WORDS = 60
 WIDTH = 1 << 17
-WORDS_KEPT = 400_000
+#: Distinct words whose features are found at a time.
+WORDS_AT_ONCE = 20_000
+LETTER = re.compile(r"[^\W\d_]")
 MARKS = ".,;:!?\"'()[]{}<>*#$%&|=+~`“”‘’«»¿¡…-_/0123456789"
 #: Chains of one walk in step, and rows labelled at a time.
 CHAINS, STEP_ROWS = 4096, 4000
 
 
-def features(word: str) -> list[int]:
-    """Indices of a word's features; none if it has no letter."""
-    word = word.strip(MARKS).lower()
-    if not any(c.isalpha() for c in word):
-        return []
-    word = word[:40]
-    edged = f"<{word}>"
-    found = [f"w{word}", *(f"p{word[:k]}" for k in (1, 2, 3) if len(word) >= k), *(f"s{word[-k:]}" for k in (1, 2, 3) if len(word) >= k)]
-    found += [edged[i : i + k] for k in (2, 3) for i in range(len(edged) - k + 1)]
-    return [xxhash.xxh3_64_intdigest(x) % WIDTH for x in found]
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def runs_of(at: np.ndarray, chars: np.ndarray, k: int, kind: int) -> np.ndarray:
+    """Feature indices of the k characters from each place on."""
+    x = np.full(len(at), kind, np.uint64)
+    for i in range(k):
+        x = mixed(x * np.uint64(0x9E3779B97F4A7C15) + chars[at + i])
+    return (x % np.uint64(WIDTH)).astype(np.int64)
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the words' features, and for each index its word's number; a word without a letter has none.
+
+    The word, its first and last one to three characters, and its runs of two and
+    three characters with its ends marked; whole words, however long.
+    """
+    bare = [w.strip(MARKS).lower() for w in words]
+    lettered = [i for i, w in enumerate(bare) if w.isalpha() or LETTER.search(w)]
+    if not lettered:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    number = np.array(lettered)
+    text = "".join([f"<{bare[i]}>" for i in lettered])
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    size = np.array([len(bare[i]) for i in lettered])
+    first = np.cumsum(size + 2) - size - 1  # of each word, behind its opening mark
+    of = np.repeat(np.arange(len(size)), size + 2)
+    place = np.arange(len(chars)) - (first - 1)[of]
+    whole = np.add.reduceat(mixed(chars * np.uint64(0xC2B2AE3D27D4EB4F) + place.astype(np.uint64)), first - 1)
+    found, owner = [(mixed(whole) % np.uint64(WIDTH)).astype(np.int64)], [number]
+    for k in (1, 2, 3):
+        there = np.flatnonzero(size >= k)
+        found += [runs_of(first[there], chars, k, 10 + k), runs_of(first[there] + size[there] - k, chars, k, 20 + k)]
+        owner += [number[there]] * 2
+    for k in (2, 3):
+        there = np.flatnonzero(place + k <= size[of] + 2)
+        found.append(runs_of(there, chars, k, k))
+        owner.append(number[of[there]])
+    return np.concatenate(found), np.concatenate(owner)
+
+
+def by_word(words: list[str]) -> list[list[int]]:
+    index, owner = features(words)
+    order = np.argsort(owner, kind="stable")
+    return [x.tolist() for x in np.split(index[order], np.searchsorted(owner[order], np.arange(1, len(words))))]
+
+
+def potentials(words: list[str], weights: np.ndarray) -> np.ndarray:
+    """(words, labels): exp of each word's scores, the largest of them 1."""
+    score = np.zeros((len(words), weights.shape[1]))
+    for at in range(0, len(words), WORDS_AT_ONCE):
+        some = words[at : at + WORDS_AT_ONCE]
+        index, owner = features(some)
+        for c in range(weights.shape[1]):
+            score[at : at + len(some), c] = np.bincount(owner, weights[index, c], len(some))
+    return np.exp(np.maximum(score - score.max(1, keepdims=True), -60))
 
 
 def train(texts: list[tuple[str, int]], labels: int, epochs: int = 4, rate: float = 0.5, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +112,7 @@ def train(texts: list[tuple[str, int]], labels: int, epochs: int = 4, rate: floa
     for text, label in texts:
         words = text.split()
         a = max(0, (len(words) - TRAIN_WORDS) // 2)
-        cut.append(([features(w) for w in words[a : a + TRAIN_WORDS]], label))
+        cut.append((by_word(words[a : a + TRAIN_WORDS]), label) if words else ([], label))
     cut = [(f, y) for f, y in cut if f]
     field = Trainer(WIDTH, labels, rate)
     for _ in range(epochs):
@@ -79,7 +130,7 @@ def train(texts: list[tuple[str, int]], labels: int, epochs: int = 4, rate: floa
     return field.weights, field.moves
 
 
-def label_words(texts: list[str | None], weights: np.ndarray, moves: np.ndarray, known: Memo) -> list[np.ndarray | None]:
+def label_words(texts: list[str | None], weights: np.ndarray, moves: np.ndarray) -> list[np.ndarray | None]:
     """Marginals (words, labels) of each text; None for a text without words."""
     transition = np.exp(moves - moves.max())
     split = [(t or "").split() for t in texts]
@@ -88,27 +139,16 @@ def label_words(texts: list[str | None], weights: np.ndarray, moves: np.ndarray,
     for k in range(0, len(order), CHAINS):
         part = order[k : k + CHAINS]
         lengths = np.array([len(split[i]) for i in part])
-        raw = b"".join(known[w] for i in part for w in split[i])
-        potentials = np.frombuffer(raw, np.float32).reshape(-1, weights.shape[1]).astype(np.float64)
-        marginal = forward_backward(potentials, lengths, transition)
+        # Every distinct word of these texts is scored once.
+        distinct = list(set().union(*(split[i] for i in part)))
+        place = dict(zip(distinct, range(len(distinct))))
+        at = np.fromiter((p for i in part for p in map(place.__getitem__, split[i])), np.int64, int(lengths.sum()))
+        marginal = forward_backward(potentials(distinct, weights)[at], lengths, transition)
         for i, m in zip(part, np.split(marginal, np.cumsum(lengths)[:-1])):
             out[i] = m
     return out
 
 
-_KNOWN: dict[int, Memo] = {}
-
-
-def potentials_of(weights: np.ndarray) -> Memo:
-    """word -> its potentials as bytes."""
-
-    def of(word: str) -> bytes:
-        score = weights[features(word)].sum(0)
-        return np.exp(np.maximum(score - score.max(), -60)).astype(np.float32).tobytes()
-
-    return Memo(of, WORDS_KEPT)
-
-
 def training_texts(docs: DataFrame, sample: int) -> list[tuple[str, str]]:
     """(text, lang) of at most `sample` rows outside the held-out fold, each cut to the words that training sees."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
@@ -136,17 +176,12 @@ def word_languages(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id"
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, m = held.value
-        model = xxhash.xxh3_64_intdigest(w.tobytes())
-        if model not in _KNOWN:  # tasks of one worker share what they know of words
-            _KNOWN.clear()
-            _KNOWN[model] = potentials_of(w)
-        known = _KNOWN[model]
         for whole in batches:
             for at in range(0, whole.num_rows, STEP_ROWS):
                 batch = whole.slice(at, STEP_ROWS)
                 texts = batch.column(1).to_pylist()
                 letters, sums, switches = [], [], []
-                for text, marginal in zip(texts, label_words(texts, w, m, known)):
+                for text, marginal in zip(texts, label_words(texts, w, m)):
                     there = marginal is not None and any(c.isalpha() for c in text)
                     letters.append(there)
                     sums.append(marginal.sum(0).tolist() if there else [0.0] * n)
