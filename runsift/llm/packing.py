@@ -29,7 +29,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from runsift.llm.common import map_arrow, saved
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
-WORDS_KEPT = 700_000
+#: Words of a generation, and the length from which a word is not kept.
+WORDS_KEPT, LONG_WORD = 250_000, 100
+#: Texts whose words are taken up together, by bytes.
+TOGETHER = 1 << 20
 #: Pieces of one length are numbered in groups of about this many.
 NUMBERED = 20_000
 #: A pattern may leave this share of a sequence empty.
@@ -45,6 +48,9 @@ class WordIds(dict):
     call of the tokenizer costs more than a word. The tokenizer drops white
     space and sees no further than a word, so a text's ids are its words' ids
     in order.
+
+    Two generations of words are kept: when the younger is full it becomes the older,
+    and what was in the older only is forgotten, so frequent words stay.
     """
 
     MARK = b"\x01"
@@ -55,19 +61,28 @@ class WordIds(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = np.array(self.encode(self.MARK), "<u4")
+        self.older: dict[bytes, bytes] = {}
 
     def encode(self, text: bytes) -> list[int]:
         return self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids
 
     def __missing__(self, word: bytes) -> bytes:
-        value = self[word] = np.array(self.encode(word), "<u4").tobytes()
+        value = np.array(self.encode(word), "<u4").tobytes()
+        if len(word) < LONG_WORD:
+            self[word] = value
         return value
 
-    def learn(self, words: list[bytes]) -> None:
-        new = [w for w in set(words) if w not in self]
+    def learn(self, words: set[bytes]) -> None:
+        """Takes up the words of some texts; words with a mark or of some length are left to the look-up."""
+        new = words.difference(self)
         if len(self) + len(new) > WORDS_KEPT:
+            self.older = dict(self)
             self.clear()
-        plain = [w for w in new if self.MARK not in w and len(w) < 100] if len(self.mark) == 1 else []
+            new = words
+        known = new.intersection(self.older)
+        self.update(zip(known, map(self.older.__getitem__, known)))
+        new = new.difference(known)
+        plain = [w for w in new if len(w) < LONG_WORD and self.MARK not in w] if len(self.mark) == 1 else []
         for k in range(0, len(plain), 256):
             part = plain[k : k + 256]
             ids = np.array(self.encode((b" " + self.MARK + b" ").join(part)), "<u4")
@@ -88,17 +103,25 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id
     def pieces(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = _WORDS.get(tokenizer) or _WORDS.setdefault(tokenizer, WordIds(tokenizer))
         where, piece, start, length, crc = [], [], [], [], []
-        for i, text in enumerate(batch.column(1).to_pylist()):
-            split = text.encode().split() if text else []
-            words.learn(split)
-            ids = b"".join(map(words.__getitem__, split)) + end
-            for n, at in enumerate(range(0, len(ids), width)):
-                part = ids[at : at + width]
-                where.append(i)
-                piece.append(n)
-                start.append(at // 4)
-                length.append(len(part) // 4)
-                crc.append(zlib.crc32(part))
+        texts = batch.column(1).cast(pa.binary()).to_pylist()
+        at = 0
+        while at < len(texts):
+            some, read = [], 0
+            while at + len(some) < len(texts) and read < TOGETHER:
+                text = texts[at + len(some)]
+                read += len(text or b"")
+                some.append(text.split() if text else [])
+            words.learn(set().union(*some))
+            for i, split in enumerate(some, at):
+                ids = b"".join(map(words.__getitem__, split)) + end
+                for n, first in enumerate(range(0, len(ids), width)):
+                    part = ids[first : first + width]
+                    where.append(i)
+                    piece.append(n)
+                    start.append(first // 4)
+                    length.append(len(part) // 4)
+                    crc.append(zlib.crc32(part))
+            at += len(some)
         ids = batch.column(0).take(pa.array(where, pa.int64()))
         return pa.record_batch([ids.cast(pa.int64()), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
