@@ -23,7 +23,7 @@ from runsift.llm.common import Memo, map_arrow
 
 WIDTH = 1 << 18
 SCALE = 20.0
-WORDS_KEPT = 700_000
+WORDS_KEPT = 150_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _SHIFT = np.uint64(64 - 18)
 _KINDS = ((re.compile(r"[^\W\d_]+"), lambda m: "Aa" if m[0][:1].isupper() and m[0][1:].islower() else "A" if m[0].isupper() else "a"), (re.compile(r"\d+"), lambda m: "9"), (re.compile(r"([^\w\s])\1+"), lambda m: m[1] * 2))

@@ -44,7 +44,7 @@ SCOUTS = 16
 TURNS = 3
 #: Chosen tokens that one task compares at a time.
 BUCKET = 400_000
-WORDS_KEPT, SETS_SEEN = 700_000, 1_000_000
+WORDS_KEPT, SETS_SEEN = 100_000, 200_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(5).integers(1, 2**63, BANDS * PER_BAND, np.uint64) * np.uint64(2) + np.uint64(1)
