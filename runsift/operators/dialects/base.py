@@ -11,14 +11,12 @@ and `sign`: the event with the highest prio wins, and among equals the last
 one (sign 1) or the first one (sign -1).
 """
 
-import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from runsift.functions.text import LINE_END, group, matches, remove, rx, strip
+from runsift.functions.text import LINE_END, rx, strip
 from runsift.schema import ERROR, UNREADABLE
 
 EVENT_COLUMNS = ("run_id", "reading", "part", "seq", "sub", "test_id", "status", "prio", "sign")
@@ -34,6 +32,8 @@ class Dialect:
     read: Callable[[DataFrame], DataFrame]
     #: It sees one text at a time and needs the whole log in it (extractors of users).
     whole: bool = False
+    #: Set if every line stands for itself.
+    lines: "LineReader | None" = None
 
 
 def event(key: Column, status: Column | str, prio: int | Column = 1, sign: int = 1) -> Column:
@@ -82,14 +82,12 @@ def event_columns(rows: DataFrame) -> DataFrame:
     return rows.select("run_id", F.lit(0).alias("reading"), "part", "seq", "sub", name, "status", "prio", "sign")
 
 
-def emit(found: DataFrame, one: Column, certain: bool = False, named_only: bool = False) -> DataFrame:
+def emit(found: DataFrame, one: Column, certain: bool = False) -> DataFrame:
     """Rows with at most one event each, or exactly one if that is certain."""
     rows = found.select(
         "run_id", "part", F.col("seq").cast("bigint").alias("seq"), F.lit(0).alias("sub"), F.inline(F.array(one))
     )
-    if named_only:
-        rows = rows.where("test_id <> ''")
-    elif not certain:
+    if not certain:
         rows = rows.where("test_id is not null")
     return event_columns(rows)
 
@@ -151,47 +149,6 @@ def section_lines(cut: DataFrame, *carried: str) -> DataFrame:
     return exploded.withColumn("seq", F.col("section").cast("bigint") * 2**31 + F.col("row"))
 
 
-@dataclass(frozen=True)
-class Rule:
-    """One line shape: what it looks like, which test it names, its status.
-
-    `status` is a status, or a mapping from the text of group `token` to one.
-    `key` is a template over the groups of the pattern.
-    """
-
-    pattern: str
-    status: str | Mapping[str, str]
-    key: str = "{1}"
-    token: int = 0
-    other: str | None = None
-    weak: bool = False
-    nocase: bool = False
-    has: str | None = None
-    drop: tuple[str, ...] = ()
-    tidy: bool = False
-
-    def applies(self, line: Column) -> Column:
-        hit = matches(line, self.pattern, self.nocase)
-        return line.contains(self.has) & hit if self.has else hit
-
-    def name(self, line: Column) -> Column:
-        parts = [
-            group(line, self.pattern, int(piece[1:-1]), self.nocase) if re.fullmatch(r"\{\d\}", piece) else F.lit(piece)
-            for piece in re.split(r"(\{\d\})", self.key)
-            if piece
-        ]
-        key = parts[0] if len(parts) == 1 else F.concat(*parts)
-        for pattern in self.drop:
-            key = remove(key, pattern)
-        return strip(key) if self.tidy else key
-
-    def outcome(self, line: Column) -> Column:
-        if isinstance(self.status, str):
-            return F.lit(self.status)
-        token = group(line, self.pattern, self.token, self.nocase)
-        return lookup(F.upper(token) if self.nocase else token, self.status, self.other)
-
-
 def lookup(text: Column, table: Mapping[str, str], other: str | None = None) -> Column:
     result = F.lit(other)
     by_status: dict[str, list[str]] = {}
@@ -208,39 +165,36 @@ def as_is(line: Column) -> Column:
 
 
 @dataclass(frozen=True)
-class LineRules:
-    """A dialect in which every line stands for itself."""
+class LineReader:
+    """How a dialect reads a line that stands for itself: the line's event, or null."""
 
-    name: str
-    rules: tuple[Rule, ...]
+    event: Callable[[Column], Column]
     line_end: str = LINE_END
     prepare: Callable[[Column], Column] = strip
-    ignore: Callable[[Column], Column] | None = None
-    named_only: bool = False
-    rank: Callable[[Column, Column], Column] | None = None
-
-    def event(self, line: Column) -> Column:
-        """Event of a line that at least one rule applies to."""
-
-        def one(rule: Rule) -> Column:
-            key, status = rule.name(line), rule.outcome(line)
-            if self.rank:
-                return self.rank(key, status)
-            return weak(key, status) if rule.weak else strong(key, status)
-
-        *others, last = self.rules
-        return F.coalesce(*[F.when(rule.applies(line), one(rule)) for rule in others], one(last))
-
-    def read(self, runs: DataFrame) -> DataFrame:
-        lines = log_lines(runs, self.line_end).withColumn("line", self.prepare(F.col("line")))
-        line = F.col("line")
-        if self.ignore:
-            lines = lines.where(~self.ignore(line))
-        lines = lines.where(reduce(Column.__or__, [rule.applies(line) for rule in self.rules]))
-        return emit(lines, self.event(line), certain=True, named_only=self.named_only)
-
-    def dialect(self) -> Dialect:
-        return Dialect(self.name, self.read)
+
+    def dialect(self, name: str) -> Dialect:
+        def read(runs: DataFrame) -> DataFrame:
+            return read_lines(runs.withColumn("dialect", F.lit(name)), {name: self})
+
+        return Dialect(name, read, lines=self)
+
+
+def read_lines(runs: DataFrame, readers: Mapping[str, LineReader]) -> DataFrame:
+    """runs(run_id, part, log, dialect) -> events of all dialects that read line by line, in one pass.
+
+    Lines are prepared once, as rows; each is then read by its own dialect's forms.
+    """
+    ways: dict[tuple, list[str]] = {}
+    for name, reader in readers.items():
+        ways.setdefault((reader.line_end, reader.prepare), []).append(name)
+    lines = found = None
+    for (line_end, prepare), names in ways.items():
+        cut = F.split("log", line_end)
+        lines = (F if lines is None else lines).when(F.col("dialect").isin(names), cut if prepare is as_is else F.transform(cut, prepare))
+    for name, reader in readers.items():
+        found = (F if found is None else found).when(F.col("dialect") == name, reader.event(F.col("line")))
+    rows = runs.select("run_id", "part", "dialect", F.posexplode(lines).alias("seq", "line"))
+    return emit(rows, found)
 
 
 @dataclass

@@ -12,6 +12,7 @@ from runsift.operators.context import latest_start
 from runsift.operators.dialects.base import (
     LINE_FEED,
     Dialect,
+    LineReader,
     emit,
     emit_each,
     emit_log,
@@ -197,18 +198,15 @@ def announced_classes(runs: DataFrame) -> DataFrame:
 MODULE_WORDS = {"SUCCESS": PASSED, "FAILURE": FAILED, "SKIPPED": SKIPPED}
 
 
-def read_maven_modules(runs: DataFrame) -> DataFrame:
+def maven_module_line(line: Column) -> Column:
     """`[INFO] module ..... WORD` lines of a build, and one entry for the whole suite from the first counters."""
-    line = F.col("line")
-    lines = log_lines(runs, LINE_END).withColumn("line", strip(line))
     # The name ends before the dots, the word stands behind them.
     dotted = rx(r"\s\.+\s+(" + "|".join(MODULE_WORDS) + r")\b.*$")
     told = strip(after(line, "[INFO]"))
     is_module = line.startswith("[INFO]") & matches(line, r"^\[INFO\]\s") & told.rlike(dotted)
-    lines = lines.where(is_module | matches(line, COUNTERS))
     name = rstrip(F.regexp_replace(told, dotted, ""))
     module = strong(F.nullif(name, F.lit("")), lookup(F.regexp_extract(told, dotted, 1), MODULE_WORDS))
-    return emit(lines, F.when(is_module, module).otherwise(weak(F.lit("__suite__"), suite_status(*counter_values(line)))))
+    return F.when(is_module, module).when(matches(line, COUNTERS), weak(F.lit("__suite__"), suite_status(*counter_values(line))))
 
 
 # --- Scala: a suite line above test lines ------------------------------------
@@ -316,7 +314,7 @@ def read_package_checks(runs: DataFrame) -> DataFrame:
 
     of_run = stretches.select(F.col("run_id").alias("of_run"), F.col("stretch").alias("of"), "first")
     placed = lines.where("stated is not null or noise").join(of_run, F.col("of").eqNullSafe(F.col("stretch")) & (F.col("run_id") == F.col("of_run")), "left")
-    swallowed = F.coalesce(F.struct("part", "seq") > F.struct("first.part", "first.seq"), F.lit(False))
+    swallowed = F.col("first").isNotNull() & (F.struct("part", "seq") > F.struct("first.part", "first.seq"))
     found = F.when(F.col("noise") & swallowed, unreadable()).when(F.col("stated").isNotNull() & ~swallowed, strong(F.col("stated.name"), lookup(F.col("stated.word"), CHECK_WORDS, PASSED)))
     return ended.unionByName(emit(placed, found))
 
@@ -366,7 +364,7 @@ DIALECTS = (
     Dialect("ruby_v1", read_ruby_tests),
     Dialect("maven", read_builds),
     Dialect("kotlin_junit", read_kotlin),
-    Dialect("java_mvn_v2", read_maven_modules),
+    LineReader(maven_module_line).dialect("java_mvn_v2"),
     Dialect("scala_v3", read_scala_suites),
     Dialect("lein", read_lein),
     Dialect("r_v2", read_package_checks),

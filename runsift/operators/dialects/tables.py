@@ -8,6 +8,7 @@ from runsift.functions.text import BLANKS, LINE_END, before, before_last, last_w
 from runsift.operators.dialects.base import (
     LINE_FEED,
     Dialect,
+    LineReader,
     emit,
     emit_log,
     later,
@@ -78,13 +79,11 @@ def read_cpp(runs: DataFrame) -> DataFrame:
 KEYWORDS = ((r"(?i)\bSKIPPED\b", SKIPPED), (r"(?i)\b(FAILED|FAIL|FAILURE)\b", FAILED), (r"(?i)\b(OK|PASSED)\b", PASSED))
 
 
-def read_cpp_summary(runs: DataFrame) -> DataFrame:
+def cpp_summary_line(line: Column) -> Column:
     """`group ran N tests in T msec outcome`, `[i/n] name... WORD` lines, and lines that hold a keyword."""
-    line = F.col("line")
     keyword = None
     for pattern, status in KEYWORDS:
         keyword = (F if keyword is None else keyword).when(line.rlike(pattern), status)
-    lines = log_lines(runs, LINE_END).withColumn("line", strip(line))
 
     # group, "ran", count, "tests in", time, unit, outcome
     ran = F.split(F.regexp_replace(line, r"(?i)\s+ran\s+(?=\d+\s+tests\s+in\s+\d)", "\x00"), "\x00")
@@ -100,12 +99,10 @@ def read_cpp_summary(runs: DataFrame) -> DataFrame:
     named = strip(before_last(line, "..."))
     named = F.when(matches(named, r"^\[\d+/\d+\]"), strip(F.substr(named, F.instr(named, "]") + 1))).otherwise(named)
     is_dotted = line.contains("...") & (state != "") & ~matches(state, r"\s")
-    lines = lines.where(is_dotted | keyword.isNotNull() | is_summary)
-    return emit(
-        lines,
+    return (
         F.when(is_summary, summary)
         .when(is_dotted, strong(named, F.coalesce(keyword, F.lit(ERROR))))
-        .when(keyword.isNotNull(), strong(line, keyword)),
+        .when(keyword.isNotNull(), strong(line, keyword))
     )
 
 
@@ -218,30 +215,24 @@ SKIP_MARKS = ("○", "◌", "◦", "⚪")
 SKIP_WORDS = ("(skipped)", "[skip]", "[skipped]", "[pending]", "[todo]")
 
 
-def read_marked_lines(runs: DataFrame) -> DataFrame:
+def marked_line(line: Column) -> Column:
     """Lines led by one of four sets of marks, or holding a word for skipped."""
-    line = F.col("line")
-    lines = log_lines(runs, LINE_END).withColumn("line", strip(line))
     mark = F.substring(line, 1, 1)
-    marked = mark.isin(*PASS_MARKS, *FAIL_MARKS, *SKIP_MARKS)
-    worded = F.lower(line).rlike(r"\(skipped\)|\[skip\]|\[skipped\]|\[pending\]|\[todo\]")
-    lines = lines.where(marked | worded)
-
-    told = strip(F.expr("substring(line, 2)"))
-    told = F.when(told.startswith("[") & told.contains("]:"), strip(F.regexp_replace(told, r"(?s)^.*?\]:", ""))).otherwise(told)
-    told = F.when(told.startswith(":"), strip(F.regexp_replace(told, "^:", ""))).otherwise(told)
+    worded = either([F.lower(line).contains(text) for text in SKIP_WORDS])
+    told = strip(F.substr(line, F.lit(2)))
+    told = F.when(told.startswith("[") & told.contains("]:"), strip(F.substr(told, F.instr(told, "]:") + 2))).otherwise(told)
+    told = F.when(told.startswith(":"), strip(F.substr(told, F.lit(2)))).otherwise(told)
     name = strip(remove(told, JS_TIMING))
     bare = line
     for text in SKIP_WORDS:
         bare = F.replace(bare, F.lit(text), F.lit(""))
     bare = strip(remove(strip(bare), JS_TIMING))
-    found = (
-        F.when(mark.isin(*PASS_MARKS), weak(name, PASSED))
-        .when(mark.isin(*FAIL_MARKS), strong(name, FAILED))
-        .when(mark.isin(*SKIP_MARKS), strong(name, SKIPPED))
-        .otherwise(strong(bare, SKIPPED))
+    return (
+        F.when(mark.isin(*PASS_MARKS) & (name != ""), weak(name, PASSED))
+        .when(mark.isin(*FAIL_MARKS) & (name != ""), strong(name, FAILED))
+        .when(mark.isin(*SKIP_MARKS) & (name != ""), strong(name, SKIPPED))
+        .when(~mark.isin(*PASS_MARKS, *FAIL_MARKS, *SKIP_MARKS) & worded & (bare != ""), strong(bare, SKIPPED))
     )
-    return emit(lines, found, named_only=True)
 
 
 # --- Scala: colour codes around marked lines ---------------------------------------
@@ -250,16 +241,18 @@ def read_marked_lines(runs: DataFrame) -> DataFrame:
 SCALA_MARKS = {"+": PASSED, "x": FAILED}
 
 
-def read_coloured_scala(runs: DataFrame) -> DataFrame:
+def bare_colours(line: Column) -> Column:
+    return strip(F.regexp_replace(strip_ansi(line), r"\[[0-9]{1,2}m", ""))
+
+
+def coloured_scala_line(line: Column) -> Column:
     """`+ name 3ms` and `x name 3ms` once colours are off, with or without their escape sign."""
-    line = F.col("line")
-    lines = log_lines(runs, LINE_END).withColumn("line", strip(F.regexp_replace(strip_ansi(line), r"\[[0-9]{1,2}m", "")))
     mark = F.left(line, F.lit(1))
     told = strip(F.substr(line, F.lit(2)))
     name = rstrip(without_right(told, F.char_length(last_word(told))))
     timed = last_word(told).rlike("^[0-9]+([.][0-9]+)?(m|μ|n)?s$")
     spaced = matches(line, r"^.\s") & (name != "")
-    return emit(lines.where(mark.isin(*SCALA_MARKS) & timed & spaced), strong(name, lookup(mark, SCALA_MARKS)), certain=True)
+    return F.when(mark.isin(*SCALA_MARKS) & timed & spaced, strong(name, lookup(mark, SCALA_MARKS)))
 
 
 # --- OCaml: suite, number and name behind the status ------------------------------
@@ -270,20 +263,18 @@ OCAML_WORDS = {
 }
 
 
-def read_ocaml(runs: DataFrame) -> DataFrame:
+def ocaml_suite_line(line: Column) -> Column:
     """`[WORD]  suite  3  name`: the parts without the word make the key."""
-    line = F.col("line")
-    lines = log_lines(runs, LINE_END).withColumn("line", strip(line)).where(line.startswith("[") & line.contains("]"))
     told = F.substr(line, F.instr(line, "]") + 1)
     # suite, number and name; the first number with blanks around it parts them
     number = F.regexp_extract(told, rx(r"\s(\d+)\s"), 1)
     place = F.regexp_instr(told, F.lit(rx(r"\s\d+\s")))
     suite, name = strip(F.left(told, place)), strip(F.substr(told, place + 1 + F.char_length(number)))
     word = F.substr(before(line, "]"), F.lit(2))
-    lines = lines.where((number != "") & matches(told, r"^\s") & word.rlike("^[A-Z]+$") & (name != ""))
+    hit = line.startswith("[") & line.contains("]") & (number != "") & matches(told, r"^\s") & word.rlike("^[A-Z]+$") & (name != "")
     key = F.array_join(F.filter(F.array(suite, number, name), lambda p: p != ""), " ")
     status = lookup(word, OCAML_WORDS, ERROR)
-    return emit(lines, F.when(status == PASSED, weak(key, PASSED)).otherwise(strong(key, status)), certain=True)
+    return F.when(hit, F.when(status == PASSED, weak(key, PASSED)).otherwise(strong(key, status)))
 
 
 # --- Dart: a test that is named twice has passed ----------------------------------
@@ -325,12 +316,12 @@ def read_browser_failures(runs: DataFrame) -> DataFrame:
 
 DIALECTS = (
     Dialect("cpp", read_cpp),
-    Dialect("cpp_v3", read_cpp_summary),
+    LineReader(cpp_summary_line).dialect("cpp_v3"),
     Dialect("julia", read_julia),
     Dialect("r", read_r),
-    Dialect("js_4", read_marked_lines),
-    Dialect("scala_v2", read_coloured_scala),
-    Dialect("ocaml", read_ocaml),
+    LineReader(marked_line).dialect("js_4"),
+    LineReader(coloured_scala_line, prepare=bare_colours).dialect("scala_v2"),
+    LineReader(ocaml_suite_line).dialect("ocaml"),
     Dialect("dart_v2", read_dart_counts),
     Dialect("chart_js", read_browser_failures),
 )

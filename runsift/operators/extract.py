@@ -118,9 +118,10 @@ def dialects_in(runs: DataFrame) -> list[str]:
 def extract_events(runs: DataFrame, dialects: Iterable[str] | None = None) -> DataFrame:
     """Events of all runs, before repeated sightings are settled.
 
-    Each dialect reads its own share of the runs; with the runs stored by
-    parser (`plans.storage.write_runs`) a share is a set of directories, and
-    otherwise a filter that the scan gets pushed down.
+    Dialects whose lines stand for themselves read their runs in one pass, each
+    other dialect its own share; with the runs stored by parser
+    (`plans.storage.write_runs`) a share is a set of directories, and otherwise a
+    filter that the scan gets pushed down.
     """
     names = list(dialects) if dialects is not None else dialects_in(runs)
     unknown = [n for n in names if n not in REGISTRY.entries]
@@ -134,14 +135,23 @@ def extract_events(runs: DataFrame, dialects: Iterable[str] | None = None) -> Da
         lost = lost.select("run_id", F.col("part").cast("bigint").alias("part"), F.lit(0).alias("seq"))
         shares.append(base.emit(lost, base.unreadable(), certain=True))
 
-    def share(name: str) -> DataFrame:
-        known = [n for n, d in accepted.items() if d == name] + [name]
-        mine = runs.where(F.col("parser").isin(known))
-        mine = mine.select("run_id", F.col("part").cast("bigint").alias("part"), "log")
+    def share(*of: str) -> DataFrame:
+        """Runs of some dialects, with the dialect's name."""
+        known = {d: [n for n, given in accepted.items() if given == d] + [d] for d in of}
+        mine = runs.where(F.col("parser").isin([n for each in known.values() for n in each]))
+        dialect = None
+        for d, each in known.items():
+            dialect = (F if dialect is None else dialect).when(F.col("parser").isin(each), d)
+        return mine.select("run_id", F.col("part").cast("bigint").alias("part"), "log", dialect.alias("dialect"))
+
+    by_line = {name: REGISTRY.entries[name].lines for name in names if REGISTRY.entries[name].lines}
+    if by_line:
+        shares.append(base.read_lines(share(*by_line), by_line))
+    for name in names:
         dialect = REGISTRY.entries[name]
-        return dialect.read(base.whole_logs(mine) if dialect.whole else mine)
-
-    shares += [share(name) for name in names]
+        if not dialect.lines:
+            mine = share(name).drop("dialect")
+            shares.append(dialect.read(base.whole_logs(mine) if dialect.whole else mine))
     if not shares:
         raise ValueError("no dialects to read")
     return reduce(DataFrame.unionByName, shares).select(*base.EVENT_COLUMNS)

@@ -4,8 +4,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from runsift.functions.tasks import image_cache_key
 
-# Ranges are cut into aligned blocks of 1, 16, 256, ... numbers.
-BLOCK_BITS, BLOCK_SIZES = 4, 15
+# Tasks and ranges meet in blocks of 65,536 ids.
+BLOCK_BITS = 16
 # Slices of a key that are ranked on their own.
 SLICES = 64
 
@@ -32,32 +32,24 @@ def reversed_ranges(ranges: DataFrame) -> DataFrame:
 def in_ranges(tasks: DataFrame, ranges: DataFrame, key: str = "public_index") -> DataFrame:
     """Tasks inside at least one range, each once.
 
-    A range is cut into aligned blocks of growing size, at most 30 of each, and
-    a task looks for the blocks of each size that it lies in: an equality join
-    on (size, block), however wide a range is.
+    A task is inside if the farthest end of all ranges that start at or below it
+    reaches it. Tasks and starts of ranges meet in blocks of ids, where that end is
+    a running maximum; what reaches into a block from below is one row for each
+    block. So a task is shuffled once, however many and wide the ranges are.
     """
-
-    def border(size: int, column: Column, up: bool) -> Column:
-        width = 1 << (BLOCK_BITS * size)
-        return F.shiftright(column + (width - 1 if up else 0), BLOCK_BITS * size)
-
-    def blocks(size: int) -> Column:
-        """Blocks of a size that lie in the range, but not in a larger block that does."""
-        low, high = border(size, F.col("lo"), True), border(size, F.col("hi") + 1, False)
-        if size == BLOCK_SIZES - 1:
-            pieces = F.array(F.struct(low.alias("a"), high.alias("b")))
-        else:
-            left, right = border(size + 1, F.col("lo"), True) * 16, border(size + 1, F.col("hi") + 1, False) * 16
-            cut = F.array(F.struct(low.alias("a"), F.least(high, left).alias("b")), F.struct(F.greatest(low, right).alias("a"), high.alias("b")))
-            pieces = F.when(left >= right, F.array(F.struct(low.alias("a"), high.alias("b")))).otherwise(cut)
-        listed = F.flatten(F.transform(pieces, lambda p: F.when(p["a"] < p["b"], F.sequence(p["a"], p["b"] - 1)).otherwise(F.array().cast("array<bigint>"))))
-        return F.transform(listed, lambda x: F.struct(F.lit(size).alias("size"), x.alias("block")))
-
-    bounds = ranges.select(F.greatest("lo", F.lit(0)).cast("bigint").alias("lo"), F.col("hi").cast("bigint").alias("hi")).where("lo <= hi")
-    cut = bounds.select(F.inline(F.concat(*[blocks(n) for n in range(BLOCK_SIZES)]))).distinct()
-    mine = F.array(*[F.struct(F.lit(n).alias("size"), F.shiftright(F.col(key).cast("bigint"), BLOCK_BITS * n).alias("block")) for n in range(BLOCK_SIZES)])
-    hits = tasks.where(F.col(key) >= 0).select(key, F.inline(mine)).join(cut, ["size", "block"], "left_semi").select(key).distinct()
-    return tasks.join(hits, key, "left_semi")
+    block = lambda at: F.shiftright(at, BLOCK_BITS)
+    ids = F.col(key).cast("bigint")
+    starts = ranges.select(F.greatest("lo", F.lit(0)).cast("bigint").alias("_at"), F.col("hi").cast("bigint").alias("_to")).where("_at <= _to")
+    starts = starts.groupBy("_at").agg(F.max("_to").alias("_to")).withColumn("_block", block(F.col("_at")))
+    blocks = tasks.where(ids >= 0).select(block(ids).alias("_block")).distinct().withColumn("_to", F.lit(None).cast("bigint"))
+    blocks = blocks.unionByName(starts.select("_block", "_to")).groupBy("_block").agg(F.max("_to").alias("_to"))
+    below = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row for each block
+    from_below = blocks.select("_block", F.lit(-1).cast("bigint").alias("_at"), F.max("_to").over(below).alias("_to"))
+    placed = tasks.where(ids >= 0).withColumns({"_at": ids, "_block": block(ids), "_task": F.lit(True)})
+    both = placed.unionByName(starts.unionByName(from_below), allowMissingColumns=True)
+    so_far = Window.partitionBy("_block").orderBy("_at", F.col("_task").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = both.withColumn("_to", F.max("_to").over(so_far)).where("_task and _to >= _at")
+    return reached.select(*tasks.columns)
 
 
 def out_of_range(ranges: DataFrame, total: int, show: int = 10) -> DataFrame:

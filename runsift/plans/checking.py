@@ -8,7 +8,7 @@ from runsift.operators.extract import extract_test_results
 from runsift.operators.scoring import expected_tests
 from runsift.operators.select import cached_only, in_ranges, modulo_shard, stratified_sample
 from runsift.operators.validate import validate_metadata
-from runsift.sources.results import pending
+from runsift.sources.results import latest_results, pending, read_results, run_summary, write_results, write_summary
 
 # Phase checks normalise names once on each side.
 PHASE_PASSES = 1
@@ -48,9 +48,22 @@ def check_tasks(tasks: DataFrame, runs: DataFrame, dialects: list[str] | None =
     Runs of tasks whose definition is invalid are not assessed.
     """
     metadata = validate_metadata(tasks)
-    mine = runs.join(metadata.where("valid").select("instance_id"), "instance_id", "left_semi")
-    facts = mine.select("run_id", "instance_id", "phase", "exit_code").distinct()
-    results = normalize_results(extract_test_results(mine, dialects), PHASE_PASSES)
+    facts = runs.select("run_id", "instance_id", "phase", "exit_code").distinct()
+    facts = facts.join(metadata.where("valid").select("instance_id"), "instance_id", "left_semi")
+    # All logs are read; results meet the facts by run, so that no log goes into a join.
+    results = normalize_results(extract_test_results(runs, dialects), PHASE_PASSES)
     states = expected_states(facts, expected_tests(tasks, PHASE_PASSES), results)
     phases = assess_phases(facts, states)
     return phases, task_verdicts(metadata, phases)
+
+
+def record_checks(selected: DataFrame, records: DataFrame, path: str, write_id: str | None = None) -> DataFrame:
+    """Appends records(index, valid, ...) to the result log at `path` and writes the summary beside it, which it returns.
+
+    `selected(index)` are the tasks that were to be checked; earlier records of
+    the log count for them. A repeated call with the same `write_id` adds nothing.
+    """
+    write_results(records, path, resume=True, write_id=write_id)
+    summary = run_summary(selected, latest_results(read_results(records.sparkSession, path)))
+    write_summary(summary, f"{path}.summary")
+    return records.sparkSession.read.json(f"{path}.summary")

@@ -1,6 +1,7 @@
 """Session settings the operators rely on."""
 
 import tempfile
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -27,13 +28,17 @@ def local_session(cpus: str = "*", app: str = "runsift") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder for tables that must outlive an executor.
 
-    The cluster names it in spark.checkpoint.dir. Only a local session, where
-    driver and tasks share one disk, gets a temporary folder if that is unset.
+    The cluster names it in spark.checkpoint.dir. Only a session of one process,
+    whose driver and tasks share a disk, gets a temporary folder if that is unset.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        if not spark.sparkContext.master.partition("[")[0] == "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="runsift-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _local_folder()
     return folder.rstrip("/")
+
+
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="runsift-")

@@ -1,21 +1,71 @@
-"""Result logs: JSON lines that grow from run to run."""
+"""Result logs: JSON lines that grow from run to run.
 
-import time
+A log is a folder. Every write has a folder of its own in it (`write=<id>`), which
+counts once a commit record names it; the number of the record gives the order of
+the writes. A write that fails, or is repeated with the same id, leaves no second
+copy, and records stay as the caller wrote them. Folders without commit records,
+written by others, are read as they are, in the order of their files' names.
+"""
+
+import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runsift.functions.binding import bind
 from runsift.functions.variants import as_index, is_true
 
+COMMITS = "_commits"
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it sees it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
 
-def write_results(records: DataFrame, path: str, resume: bool = False) -> None:
-    """One JSON object per line with sorted fields; appended on resume.
+def committed(spark: SparkSession, path: str) -> dict[str, int]:
+    """Ids of the writes that count, with their numbers; one small record for each."""
+    files, where = _files(spark, f"{path}/{COMMITS}")
+    if not files.exists(where):
+        return {}
+    names = [f.getPath().getName() for f in files.listStatus(where)]
+    return {name.split("-", 1)[1]: int(name.split("-", 1)[0]) for name in names if "-" in name}
 
-    Every record gets the time of this write in `written`, in microseconds, so
-    that what was appended later counts as later.
+
+def _commit(spark: SparkSession, path: str, write_id: str) -> None:
+    """Takes the next free number, which only one writer can create, and names the write with it.
+
+    A writer that is lost in between leaves a number that is never used.
     """
-    records = records.withColumn("written", F.lit(time.time_ns() // 1000))
-    records.select(sorted(records.columns)).write.mode("append" if resume else "overwrite").json(path)
+    number = max(committed(spark, path).values(), default=-1) + 1
+    while True:
+        files, where = _files(spark, f"{path}/{COMMITS}/{number:012d}")
+        try:
+            files.create(where, False).close()
+            break
+        except Exception as error:
+            if "exist" not in str(error).lower():
+                raise
+            number += 1
+    files, where = _files(spark, f"{path}/{COMMITS}/{number:012d}-{write_id}")
+    files.create(where, False).close()
+
+
+def write_results(records: DataFrame, path: str, resume: bool = False, write_id: str | None = None) -> None:
+    """One JSON object per line with sorted fields; appended on resume, else in place of what is there.
+
+    With a `write_id` of the caller's (letters, digits and dashes) a repeated
+    write finds that it has been done.
+    """
+    spark, write_id = records.sparkSession, write_id or uuid.uuid4().hex
+    if not resume:
+        files, where = _files(spark, path)
+        files.delete(where, True)
+    elif write_id in committed(spark, path):
+        return
+    records.select(sorted(records.columns)).write.mode("overwrite").json(f"{path}/write={write_id}")
+    _commit(spark, path, write_id)
 
 
 def parse_results(lines: DataFrame) -> DataFrame:
@@ -45,18 +95,18 @@ def parse_results(lines: DataFrame) -> DataFrame:
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """The records of a log, with `place`: time of writing, file, line.
+    """The records of a log, with `place`: number of the write, file, line.
 
-    Logs written elsewhere have no time of writing; theirs is that of the file.
+    A line's place in its file is the block that it lies in and its number within.
     """
-    lines = spark.read.text(path).select(
-        "value",
-        F.coalesce(F.get_json_object("value", "$.written").cast("bigint"), F.unix_micros("_metadata.file_modification_time")).alias("written"),
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"),
-    )
-    return parse_results(lines.select("value", F.struct("written", "file", "block", "line").alias("place")))
+    order = committed(spark, path)
+    source = spark.read.option("basePath", path) if order else spark.read
+    lines = source.text([f"{path}/write={write_id}" for write_id in order] if order else path)
+    name = F.col("_metadata.file_path")
+    numbers = F.from_json(F.lit(json.dumps(order)), "map<string, bigint>")
+    write = F.element_at(numbers, F.regexp_extract(name, "/write=([^/]+)/", 1)) if order else F.lit(0)
+    place = F.struct(write.cast("bigint").alias("write"), name.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return parse_results(lines.select("value", place.alias("place")))
 
 
 def latest_results(results: DataFrame) -> DataFrame:

@@ -250,6 +250,17 @@ def test_result_log(spark, tmp_path):
     write_results(more, out)
     write_results(more, out, resume=True)
     assert [r["value"] for r in spark.read.text(out).collect()] == ['{"index":3,"seq":9,"valid":true}'] * 2
+    # A repeated write adds nothing, one that was not committed does not count, and later writes win.
+    later = spark.createDataFrame([(False, 3)], "valid BOOLEAN, index BIGINT")
+    for _ in range(2):
+        write_results(later.drop("seq"), str(tmp_path / "two"), resume=True, write_id="a")
+    write_results(later.withColumn("valid", F.lit(True)), str(tmp_path / "two"), resume=True, write_id="b")
+    later.write.json(str(tmp_path / "two" / "write=lost"))
+    again = read_results(spark, str(tmp_path / "two"))
+    assert again.count() == 2 and [(r["index"], r["valid"]) for r in latest_results(again).collect()] == [(3, True)]
+    for _ in range(2):
+        summary = record_checks(selected, later, str(tmp_path / "two"), write_id="c")
+    assert [tuple(r[c] for c in ("selected", "completed", "invalid")) for r in summary.collect()] == [(3, 1, 1)]
 
 
 def test_context_across_blocks_of_one_long_run(spark):
