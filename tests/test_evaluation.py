@@ -1,11 +1,14 @@
 """Scores, phases, selection, catalogue and streams on small tables."""
 
 import json
+import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from runsift import extract_test_results, grade_runs, register_extractor
+from runsift.operators.extract import REGISTRY
 from runsift.operators.assess import assess_detail, assess_phases, expected_states
 from runsift.operators.conflicts import dedupe, normalize_results
 from runsift.operators.context import carry, leaf_lines, section_gate
@@ -13,7 +16,7 @@ from runsift.operators.scoring import expected_tests
 from runsift.operators.select import in_ranges, modulo_shard, out_of_range, parse_ranges, stratified_sample
 from runsift.operators.validate import validate_metadata
 from runsift.plans.grade import observe_runs
-from runsift.plans.checking import check_tasks, select_tasks
+from runsift.plans.checking import check_tasks, record_checks, select_tasks
 from runsift.plans.storage import read_runs, write_runs
 from runsift.schema import RUNS, TASKS
 from runsift.sources.catalogue import (
@@ -291,13 +294,34 @@ def test_hot_task_is_graded_whole(spark):
     assert graded.count() == 300 and graded.where("reward = 1.0").count() == 300
 
 
-def test_plan_keeps_logs_out_of_shuffles(spark, tmp_path):
+@pytest.mark.parametrize("name", sorted(n for n, d in REGISTRY.entries.items() if not d.whole))
+def test_plan_keeps_logs_out_of_shuffles(spark, tmp_path_factory, name):
     tasks = spark.createDataFrame([("t", ["a"], [])], LISTS)
-    runs = spark.createDataFrame([("r", "t", "gotest", 0, "--- PASS: a (1s)", 0)], RUNS)
-    path = str(tmp_path / "runs")
-    write_runs(runs, path)
-    plan = observe_runs(read_runs(spark, path), tasks, ["gotest"])._jdf.queryExecution().executedPlan().toString()
-    exchanges = [line for line in plan.split("\n") if "Exchange" in line]
-    assert exchanges and not any("log#" in line for line in exchanges)
-    assert "PartitionFilters: [parser#" in plan
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    path = str(tmp_path_factory.getbasetemp() / "stored")
+    if not os.path.exists(path):
+        write_runs(spark.createDataFrame([("r", "t", n, k, "--- PASS: a (1s)", 0) for n in REGISTRY.entries for k in (0, 1)], RUNS), path)
+    plan = observe_runs(read_runs(spark, path), tasks, [name])._jdf.queryExecution().executedPlan()
+    exchanges = [line for line in plan.toString().split("\n") if "Exchange" in line]
+    assert exchanges and "PartitionFilters: [parser#" in plan.toString()
+    assert "CartesianProduct" not in plan.toString() and "BroadcastNestedLoopJoin" not in plan.toString()
+    # Below no exchange does a column come through that is a log or a piece of one.
+    nodes = exchange_nodes(plan)
+    assert nodes and not [o for node in nodes for o in outputs_of(node) if re.match(r"(log|body|all|chunks|lines|items)#", o)]
+
+
+def exchange_nodes(plan):
+    """Exchanges of a plan, also inside adaptive ones."""
+    todo, found = [plan], []
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.initialPlan())
+            continue
+        if "Exchange" in node.nodeName():
+            found.append(node)
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def outputs_of(node):
+    return [node.output().apply(i).toString() for i in range(node.output().size())]
