@@ -28,19 +28,38 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n)).cast("int")
 
 
+#: Tables of this worker that can be computed anew; the first entry is the one in use.
+_TABLES: list = []
+
+
+def in_use(table) -> None:
+    """A worker runs tasks of one stage after another; what an earlier stage knew is forgotten when another begins."""
+    if not _TABLES or _TABLES[0] is not table:
+        for other in _TABLES:
+            if other is not table:
+                other.clear()
+        _TABLES[:] = [table]
+
+
 class Memo(dict):
     """A table that computes missing values and forgets all of them when it is full.
 
-    It bounds a worker's memory; what it holds never changes a result.
+    It bounds a worker's memory; what it holds never changes a result. Keys longer than
+    LONG_KEY are computed each time.
     """
 
+    LONG_KEY = 100
+
     def __init__(self, make: Callable, limit: int):
         super().__init__()
         self.make, self.limit = make, limit
 
     def __missing__(self, key):
+        if len(key) > self.LONG_KEY:
+            return self.make(key)
         if len(self) >= self.limit:
             self.clear()
+        in_use(self)
         value = self[key] = self.make(key)
         return value
 

@@ -26,11 +26,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from runsift.llm.common import map_arrow, saved
+from runsift.llm.common import in_use, map_arrow, saved
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
 #: Words of a generation, and the length from which a word is not kept.
-WORDS_KEPT, LONG_WORD = 250_000, 100
+WORDS_KEPT, LONG_WORD = 600_000, 100
 #: Texts whose words are taken up together, by bytes.
 TOGETHER = 1 << 20
 #: Pieces of one length are numbered in groups of about this many.
@@ -41,7 +41,7 @@ WASTE = 1 / 64
 SPLITS = (1 / 2, 2 / 5, 1 / 3, 1 / 4, 1 / 6, 1 / 10)
 
 
-class WordIds(dict):
+class WordIds:
     """Token ids of words between ASCII white space, as little-endian bytes; words are UTF-8.
 
     Words are encoded many at a time, with a mark of its own id between them: a
@@ -61,27 +61,32 @@ class WordIds(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = np.array(self.encode(self.MARK), "<u4")
+        self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
     def encode(self, text: bytes) -> list[int]:
         return self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids
 
-    def __missing__(self, word: bytes) -> bytes:
-        value = np.array(self.encode(word), "<u4").tobytes()
-        if len(word) < LONG_WORD:
-            self[word] = value
-        return value
+    def clear(self) -> None:
+        self.known, self.older = {}, {}
+
+    def ids(self, words: list[bytes]) -> bytes:
+        """Ids of a text's words, which were taken up before, but for odd ones."""
+        try:
+            return b"".join(map(self.known.__getitem__, words))
+        except KeyError:
+            return b"".join([self.known.get(w) or np.array(self.encode(w), "<u4").tobytes() for w in words])
 
     def learn(self, words: set[bytes]) -> None:
-        """Takes up the words of some texts; words with a mark or of some length are left to the look-up."""
-        new = words.difference(self)
-        if len(self) + len(new) > WORDS_KEPT:
-            self.older = dict(self)
-            self.clear()
-            new = words
-        known = new.intersection(self.older)
-        self.update(zip(known, map(self.older.__getitem__, known)))
-        new = new.difference(known)
+        """Takes up the words of some texts; words with a mark or of some length are left to be encoded where they stand."""
+        in_use(self)
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > WORDS_KEPT:
+            self.older, self.known, new = self.known, {}, words
+        if self.older:
+            older = self.older
+            self.known.update([(w, older[w]) for w in new if w in older])
+            new = new.difference(self.known)
         plain = [w for w in new if len(w) < LONG_WORD and self.MARK not in w] if len(self.mark) == 1 else []
         for k in range(0, len(plain), 256):
             part = plain[k : k + 256]
@@ -89,7 +94,7 @@ class WordIds(dict):
             cuts = np.flatnonzero(ids == self.mark[0]) * 4
             if len(cuts) == len(part) - 1:
                 raw = ids.tobytes()
-                self.update((w, raw[a:b]) for w, a, b in zip(part, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)]))
+                self.known.update((w, raw[a:b]) for w, a, b in zip(part, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)]))
 
 
 _WORDS: dict[str, WordIds] = {}
@@ -113,7 +118,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id
                 some.append(text.split() if text else [])
             words.learn(set().union(*some))
             for i, split in enumerate(some, at):
-                ids = b"".join(map(words.__getitem__, split)) + end
+                ids = words.ids(split) + end
                 for n, first in enumerate(range(0, len(ids), width)):
                     part = ids[first : first + width]
                     where.append(i)
