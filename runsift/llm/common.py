@@ -44,22 +44,24 @@ def in_use(table) -> None:
 class Memo(dict):
     """A table that computes missing values and forgets all of them when it is full.
 
-    It bounds a worker's memory; what it holds never changes a result. Keys longer than
-    LONG_KEY are computed each time.
+    It bounds a worker's memory; what it holds never changes a result. One that
+    outlives a task (`stays`) computes keys longer than LONG_KEY each time, and gives
+    way to the tables of a later stage.
     """
 
     LONG_KEY = 100
 
-    def __init__(self, make: Callable, limit: int):
+    def __init__(self, make: Callable, limit: int, stays: bool = False):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.stays = make, limit, stays
 
     def __missing__(self, key):
-        if len(key) > self.LONG_KEY:
-            return self.make(key)
+        if self.stays:
+            if len(key) > self.LONG_KEY:
+                return self.make(key)
+            in_use(self)
         if len(self) >= self.limit:
             self.clear()
-        in_use(self)
         value = self[key] = self.make(key)
         return value
 

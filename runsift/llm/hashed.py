@@ -40,7 +40,7 @@ def _pair(word: str) -> int:
     return (xxhash.xxh3_64_intdigest(word) & ~0xFFFF) | (xxhash.xxh3_64_intdigest(form(word)) & 0xFFFF)
 
 
-_WORD = Memo(_pair, WORDS_KEPT)
+_WORD = Memo(_pair, WORDS_KEPT, stays=True)
 
 
 Features = Callable[[str | None], tuple[np.ndarray, float]]

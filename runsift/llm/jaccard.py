@@ -48,7 +48,7 @@ WORDS_KEPT, SETS_SEEN = 100_000, 200_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(5).integers(1, 2**63, BANDS * PER_BAND, np.uint64) * np.uint64(2) + np.uint64(1)
-_WORD = Memo(xxhash.xxh3_64_intdigest, WORDS_KEPT)
+_WORD = Memo(xxhash.xxh3_64_intdigest, WORDS_KEPT, stays=True)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
