@@ -57,3 +57,34 @@ def enclosing_by_level(levels):
 def enclosing_by_brackets(closes, opens):
     """Each item first closes a number of open items, then may open itself."""
     return _by_brackets()(closes, opens)
+
+
+SUB_CASES = "array<struct<case: string, name: string, failed: boolean>>"
+
+
+def _sub_cases():
+    def one(kinds, closes, opens, names, results):
+        stack, found = [], []
+        for kind, closed, opened, name, result in zip(kinds, closes, opens, names, results):
+            del stack[max(0, len(stack) - (closed or 0)) :]
+            entry = {"case": None, "name": "None" if name is None else name, "failed": False}
+            if kind == "SubCase" and not closed:
+                entry["case"] = next((e["name"] for k, e in stack if k == "TestCase"), None)
+                found.append(entry)
+            if kind == "Expression" and not closed and result != "true":
+                for _, outer in stack:
+                    outer["failed"] = True
+            if opened:
+                stack.append((kind, entry))
+        return [e for e in found if e["case"] is not None]
+
+    def walk(kinds: pa.Array, closes: pa.Array, opens: pa.Array, names: pa.Array, results: pa.Array) -> pa.Array:
+        rows = [None if row[0] is None else one(*row) for row in zip(*(a.to_pylist() for a in (kinds, closes, opens, names, results)))]
+        return pa.array(rows, type=pa.list_(pa.struct([("case", pa.string()), ("name", pa.string()), ("failed", pa.bool_())])))
+
+    return F.arrow_udf(walk, SUB_CASES)
+
+
+def sub_cases(kinds, closes, opens, names, results):
+    """Sub-cases of a report's tags in order, with the test case that they stand in and whether anything within failed."""
+    return _sub_cases()(kinds, closes, opens, names, results)

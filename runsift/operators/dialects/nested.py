@@ -26,7 +26,7 @@ from runsift.operators.dialects.base import (
 from runsift.operators.dialects.line_rules import JS_TIMING, OK_NOT
 from runsift.operators.dialects.parts import from_earlier
 from runsift.operators.dialects.suites import announced_classes, read_builds, read_class_counters
-from runsift.operators.dialects.xml_reports import read_junit_text
+from runsift.operators.dialects.xml_text import read_junit_text
 from runsift.operators.nesting import with_bracket_paths, with_level_paths
 from runsift.schema import ERROR, FAILED, PASSED, SKIPPED
 

@@ -1,62 +1,17 @@
 """Dialects that print XML test reports into the log."""
 
+import re
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from runsift.functions.nesting import enclosing_by_brackets
-from runsift.functions.text import rx, strip
-from runsift.operators.dialects.base import Dialect, emit_log, event, event_columns, strong, unreadable
+from runsift.functions.nesting import sub_cases
+from runsift.functions.text import rx
+from runsift.operators.dialects.base import Dialect, emit_log, event_columns, strong, unreadable
+from runsift.operators.dialects.parts import from_earlier
+from runsift.operators.dialects.xml_text import read_junit_text
 from runsift.schema import ERROR, FAILED, PASSED, SKIPPED
 
-# --- Reports read as text: fragments may sit in broken or mixed logs ----------
-
-# Fixed value: how far an unclosed test case is looked into.
-UNCLOSED_WINDOW = 4096
-
-TEXT_CASE = (
-    r"(?dUs)<testcase\b[^>]*/[\s\x1c-\x1f]*>"
-    r'|<testcase\b(?![^>]*\bname="[^"]+")[^>]*>'
-    r"|<testcase\b[^>]*>.*?</testcase>"
-    rf"|<testcase\b[^>]*>(?=(.{{0,{UNCLOSED_WINDOW}}}))"
-)
-ATTRIBUTE = r'(?U)(\w+)="([^"]*)"'
-
-
-def text_attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute in the text of a tag; the last one if repeated."""
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(1)).alias("k"),
-        F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(2)).alias("v"),
-    )
-    return F.try_element_at(F.filter(pairs, lambda p: p["k"] == name), F.lit(-1))["v"]
-
-
-def text_case_events(log: Column, joiner: str = " ", prio: int = 1) -> Column:
-    found = F.arrays_zip(
-        F.regexp_extract_all(log, F.lit(TEXT_CASE), F.lit(0)).alias("text"),
-        F.regexp_extract_all(log, F.lit(TEXT_CASE), F.lit(1)).alias("window"),
-    )
-
-    def of_case(case: Column) -> Column:
-        tag = F.regexp_extract(case["text"], r"^<testcase\b[^>]*>", 0)
-        content = F.concat(F.regexp_replace(case["text"], r"^<testcase\b[^>]*>", ""), case["window"])
-        name = F.nullif(text_attribute(tag, "name"), F.lit(""))
-        owner = F.nullif(text_attribute(tag, "classname"), F.lit(""))
-        key = F.when(owner.isNull(), name).otherwise(strip(F.concat(owner, F.lit(joiner), name)))
-        status = (
-            F.when(content.contains("<failure"), FAILED)
-            .when(content.contains("<error"), ERROR)
-            .when(content.contains("<skipped"), SKIPPED)
-            .otherwise(PASSED)
-        )
-        return event(key, status, prio=prio)
-
-    return F.transform(found, of_case)
-
-
-def read_junit_text(runs: DataFrame) -> DataFrame:
-    return emit_log(runs.where(F.col("log").contains("<testcase")), text_case_events(F.col("log")))
-
-
 # --- Reports read as documents: a malformed document says nothing -------------
 
 XML_OPTIONS = {"mode": "PERMISSIVE", "ignoreSurroundingSpaces": "false", "nullValue": "\x00"}
@@ -118,9 +73,63 @@ def case_rows(documents: DataFrame) -> DataFrame:
     return cases.select("run_id", "part", "seq", F.inline(F.array(read_case(F.col("xml")))))
 
 
-def documents_of(runs: DataFrame, found: Column, root: str) -> DataFrame:
-    documents = runs.where(F.col("log").contains("<?xml")).select("run_id", "part", F.posexplode(found).alias("document", "body"))
-    return documents.where(has_root(F.col("body"), root))
+@dataclass(frozen=True)
+class Marks:
+    """Where a document begins and ends in a log."""
+
+    start: str
+    end: str
+    #: Both stand at the start of a line, and a new start drops a document without an end.
+    by_line: bool = False
+
+    def first(self, mark: str, closing: bool) -> str:
+        ahead = r"(?m:^)[^\S\n]*" if self.by_line else ""
+        return ahead + re.escape(mark) + (r"[^\n]*" if self.by_line and closing else "")
+
+    def whole(self) -> str:
+        """A document: up to the first end behind its start."""
+        between = rf"(?:(?!{self.first(self.start, False)}).)*?" if self.by_line else ".*?"
+        return rf"(?s){self.opening()}{between}{self.first(self.end, True)}"
+
+    def opening(self) -> str:
+        return ("(?m:^)" if self.by_line else "") + re.escape(self.start)
+
+    def head(self) -> str:
+        """What belongs to a document that began earlier, up to its end."""
+        between = rf"(?:(?!{self.first(self.start, False)}).)*?" if self.by_line else ".*?"
+        return rf"(?s)\A{between}{self.first(self.end, True)}"
+
+    def tail(self) -> str:
+        """A document without its end."""
+        again = f"(?!.*{self.first(self.start, False)})" if self.by_line else ""
+        return rf"(?s){self.opening()}{again}.*\z"
+
+
+def documents_of(runs: DataFrame, marks: Marks) -> DataFrame:
+    """Documents of logs, closed or cut off: (run_id, part, document, body).
+
+    Documents within a part are taken where they lie. A document that reaches over
+    parts is put together from its pieces, one document at a time; a part's small row says
+    whether it begins within one.
+    """
+    log = F.col("log")
+    hit = runs.where(log.contains(marks.start))
+    whole = hit.select("run_id", "part", F.posexplode(F.regexp_extract_all(log, F.lit(marks.whole()), F.lit(0))).alias("document", "body"))
+
+    # How a part leaves off: behind its last end, or all of it if it has none.
+    rest = F.regexp_replace(log, rf"(?s)\A.*{marks.first(marks.end, True)}", "")
+    tail = F.regexp_extract(rest, marks.tail(), 0)
+    has_end = log.rlike(f"(?s){marks.first(marks.end, True)}")
+    leaves = F.when(tail != "", F.struct(F.col("part").alias("of"), F.lit(True).alias("open"))).when(has_end, F.struct(F.col("part").alias("of"), F.lit(False).alias("open")))
+    begun = from_earlier(runs, doc=leaves).where("doc.open").select("run_id", "part", F.col("doc.of").alias("of"))
+
+    head = F.regexp_extract(log, marks.head(), 0)
+    piece = F.when(head != "", head).when(~has_end & ~log.rlike(f"(?s){marks.first(marks.start, False)}") | F.lit(not marks.by_line) & ~has_end, log)
+    begins = hit.where(tail != "").select("run_id", F.col("part").alias("of"), "part", tail.alias("piece"))
+    goes_on = runs.where("part > 0").select("run_id", "part", piece.alias("piece")).where("piece is not null").join(begun, ["run_id", "part"])
+    joined = begins.unionByName(goes_on).groupBy("run_id", F.col("of").alias("part")).agg(F.sort_array(F.collect_list(F.struct("part", "piece"))).alias("pieces"))
+    spanning = joined.select("run_id", "part", F.lit(1 << 30).alias("document"), F.array_join(F.col("pieces.piece"), "").alias("body"))
+    return whole.unionByName(spanning)
 
 
 def case_events(cases: DataFrame, key: Column, order: tuple[str, ...]) -> DataFrame:
@@ -132,21 +141,35 @@ def case_events(cases: DataFrame, key: Column, order: tuple[str, ...]) -> DataFr
     return event_columns(found.select("run_id", "part", "seq", "sub", "e.*"))
 
 
-SUITES_DOCUMENT = r"(?s)<\?xml.*?</testsuites>"
+SUITES = Marks("<?xml", "</testsuites>")
+SUITE_LINES = Marks("<?xml", "</testsuite>", by_line=True)
+
+
+def reports(runs: DataFrame, marks: Marks, root: str) -> DataFrame:
+    """Closed documents with that root."""
+    documents = documents_of(runs, marks)
+    return documents.where(F.col("body").rlike(rf"</{root}>\s*\z") & has_root(F.col("body"), root))
+
+
+def first_of_run(documents: DataFrame) -> DataFrame:
+    """The first document of each run; the others are told by their places before any text is compared."""
+    places = documents.groupBy(F.col("run_id").alias("of_run")).agg(F.min(F.struct("part", "document")).alias("first"))
+    same = (F.col("run_id") == F.col("of_run")) & (F.col("part") == F.col("first.part")) & (F.col("document") == F.col("first.document"))
+    return documents.join(places, same).drop("of_run", "first")
 
 
 def read_combined_reports(runs: DataFrame) -> DataFrame:
     """Every `<?xml ... </testsuites>` in the log; key `class::name`."""
-    found = F.regexp_extract_all("log", F.lit(SUITES_DOCUMENT), F.lit(0))
-    cases = case_rows(documents_of(runs, found, "testsuites"))
+    cases = case_rows(reports(runs, SUITES, "testsuites"))
     key = F.concat_ws("::", F.coalesce("_classname", F.lit("None")), F.coalesce("_name", F.lit("None")))
     return case_events(cases, key, ("failure", "skipped", "error"))
 
 
 def read_first_report(runs: DataFrame) -> DataFrame:
     """The first `<?xml ... </testsuites>` in the log."""
-    found = F.array(F.regexp_extract("log", SUITES_DOCUMENT, 0))
-    cases = case_rows(documents_of(runs, found, "testsuites"))
+    places = documents_of(runs, SUITES)
+    closed = places.where(F.col("body").endswith("</testsuites>"))
+    cases = case_rows(first_of_run(closed).where(has_root(F.col("body"), "testsuites")))
     name, owner = F.coalesce("_name", F.lit("")), F.coalesce("_classname", F.lit(""))
     key = F.when(owner == "", name).otherwise(F.concat(owner, F.lit("::"), name))
     return case_events(cases, key, ("failure", "error", "skipped"))
@@ -154,11 +177,7 @@ def read_first_report(runs: DataFrame) -> DataFrame:
 
 def read_suite_reports(runs: DataFrame) -> DataFrame:
     """Blocks from a line `<?xml` to a line `</testsuite>`; key `name (class)`."""
-    pieces = F.split("log", rx(r"(?=^\s*<\?xml)", lines=True))
-    block = rx(r"(?s)\A<\?xml.*?\n\s*</testsuite>[^\n]*", lines=True)
-    blocks = F.transform(pieces, lambda p: F.regexp_extract(p, block, 0))
-    closed = documents_of(runs, blocks, "testsuite").where(F.col("body").rlike(r"</testsuite>\s*\z"))
-    cases = case_rows(closed)
+    cases = case_rows(reports(runs, SUITE_LINES, "testsuite"))
     name, owner = F.coalesce("_name", F.lit("")), F.coalesce("_classname", F.lit(""))
     key = F.when((owner == "") | (name == ""), name).otherwise(F.concat(name, F.lit(" ("), owner, F.lit(")")))
     return case_events(cases, key, ("skipped", "failure", "error"))
@@ -166,6 +185,7 @@ def read_suite_reports(runs: DataFrame) -> DataFrame:
 
 # --- C++ doctest: nested sub-cases ---------------------------------------------
 
+DOCTEST = Marks("<doctest", "</doctest>")
 DOCTEST_TAG = rf"(?s)</?(?:TestCase|SubCase|Expression)(?=[\s/>]){INSIDE_TAG}/?>"
 TAG = "_name STRING, _success STRING"
 
@@ -173,55 +193,33 @@ TAG = "_name STRING, _success STRING"
 def read_doctest(runs: DataFrame) -> DataFrame:
     """`case > sub-case`, passed if all expressions within it succeeded.
 
-    A report that is not closed or not well-formed makes the log unreadable.
+    The first report of a run counts; one that is not closed or not well-formed makes
+    the log unreadable. A report's tags are walked within its row.
     """
-    logs = runs.where(F.col("log").contains("<doctest"))
-    body = F.regexp_extract("log", r"(?s)<doctest.*?</doctest>", 0)
-    logs = logs.select("run_id", "part", body.alias("body"))
-    good = (F.col("body") != "") & is_well_formed(F.col("body"))
-    broken = logs.where(~good).withColumn("log", F.lit(""))
-
-    tags = F.regexp_extract_all(without_hidden_text(F.col("body")), F.lit(DOCTEST_TAG), F.lit(0))
-    read = logs.where(good).withColumn("tags", tags)
-    kinds = F.transform("tags", lambda t: F.regexp_extract(t, r"^</?(\w+)", 1))
-    nests = F.transform("tags", lambda t: ~t.startswith("<Expression"))
-    closes = F.transform("tags", lambda t: F.when(t.startswith("</") & ~t.startswith("</Expression"), 1).otherwise(0))
-    opens = F.zip_with("tags", nests, lambda t, n: n & ~t.startswith("</") & ~t.endswith("/>"))
-    read = read.withColumn("kinds", kinds).withColumn("inside", enclosing_by_brackets(closes, opens))
-    items = read.select(
-        "run_id",
-        "part",
-        F.posexplode(F.arrays_zip("tags", "kinds", "inside")).alias("place", "t"),
-    ).select("run_id", "part", "place", "t.*")
-    items = items.where(~F.col("tags").startswith("</")).withColumn(
-        "x", F.from_xml(F.regexp_replace("tags", "/?>$", "/>"), TAG, XML_OPTIONS)
-    )
-    failing = (
-        items.where((F.col("kinds") == "Expression") & ~F.coalesce(F.col("x._success") == "true", F.lit(False)))
-        .select("run_id", "part", F.explode("inside").alias("place"))
-        .distinct()
-        .withColumn("failed", F.lit(True))
+    body = F.col("body")
+    documents = first_of_run(documents_of(runs, DOCTEST))
+    good = body.endswith("</doctest>") & is_well_formed(body)
+    broken = documents.where(~good).withColumn("log", F.lit(""))
+
+    tags = F.regexp_extract_all(without_hidden_text(body), F.lit(DOCTEST_TAG), F.lit(0))
+    # What a tag is, whether it closes or opens one, and its attributes.
+    item = lambda t: F.struct(
+        F.regexp_extract(t, r"^</?(\w+)", 1).alias("kind"),
+        F.when(t.startswith("</") & ~t.startswith("</Expression"), 1).otherwise(0).alias("closes"),
+        (~t.startswith("<Expression") & ~t.startswith("</") & ~t.endswith("/>")).alias("opens"),
+        F.when(~t.startswith("</"), F.from_xml(F.regexp_replace(t, "/?>$", "/>"), TAG, XML_OPTIONS)).alias("x"),
     )
-    named = items.withColumn("name", F.coalesce("x._name", F.lit("None")))
-    cases = named.where(F.col("kinds") == "TestCase").select("run_id", "part", F.col("place").alias("owner"), F.col("name").alias("case"))
-    subs = named.where(F.col("kinds") == "SubCase").withColumn("owner", F.explode("inside"))
-    subs = subs.join(cases, ["run_id", "part", "owner"]).join(failing, ["run_id", "part", "place"], "left")
-    found = subs.select(
-        "run_id",
-        "part",
-        F.col("place").cast("bigint").alias("seq"),
-        F.lit(0).alias("sub"),
-        strong(
-            F.concat("case", F.lit(" > "), "name"), F.when(F.col("failed"), FAILED).otherwise(PASSED)
-        ).alias("e"),
-    ).select("run_id", "part", "seq", "sub", "e.*")
-    return event_columns(found).unionByName(emit_log(broken, F.array(unreadable())))
+    read = documents.where(good).select("run_id", "part", F.transform(tags, item).alias("items"))
+    found = read.select("run_id", "part", F.posexplode(sub_cases(F.col("items.kind"), F.col("items.closes"), F.col("items.opens"), F.col("items.x._name"), F.col("items.x._success"))).alias("place", "f"))
+    key = F.concat("f.case", F.lit(" > "), "f.name")
+    events = found.select("run_id", "part", F.col("place").cast("bigint").alias("seq"), F.lit(0).alias("sub"), strong(key, F.when(F.col("f.failed"), FAILED).otherwise(PASSED)).alias("e"))
+    return event_columns(events.select("run_id", "part", "seq", "sub", "e.*")).unionByName(emit_log(broken, F.array(unreadable())))
 
 
 DIALECTS = (
-    Dialect("junit", read_junit_text, whole=True),
-    Dialect("combined_test_reports", read_combined_reports, whole=True),
-    Dialect("gradlew_v1", read_suite_reports, whole=True),
-    Dialect("r_junit", read_first_report, whole=True),
-    Dialect("doctest", read_doctest, whole=True),
+    Dialect("junit", read_junit_text),
+    Dialect("combined_test_reports", read_combined_reports),
+    Dialect("gradlew_v1", read_suite_reports),
+    Dialect("r_junit", read_first_report),
+    Dialect("doctest", read_doctest),
 )
