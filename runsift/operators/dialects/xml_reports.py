@@ -151,11 +151,11 @@ def reports(runs: DataFrame, marks: Marks, root: str) -> DataFrame:
     return documents.where(F.col("body").rlike(rf"</{root}>\s*\z") & has_root(F.col("body"), root))
 
 
-def first_of_run(documents: DataFrame) -> DataFrame:
-    """The first document of each run; the others are told by their places before any text is compared."""
-    places = documents.groupBy(F.col("run_id").alias("of_run")).agg(F.min(F.struct("part", "document")).alias("first"))
+def of_first(rows: DataFrame, documents: DataFrame) -> DataFrame:
+    """Rows (run_id, part, document, ...) of the first of some documents of each run; no text takes part."""
+    first = documents.groupBy(F.col("run_id").alias("of_run")).agg(F.min(F.struct("part", "document")).alias("first"))
     same = (F.col("run_id") == F.col("of_run")) & (F.col("part") == F.col("first.part")) & (F.col("document") == F.col("first.document"))
-    return documents.join(places, same).drop("of_run", "first")
+    return rows.join(first, same).drop("of_run", "first")
 
 
 def read_combined_reports(runs: DataFrame) -> DataFrame:
@@ -167,9 +167,9 @@ def read_combined_reports(runs: DataFrame) -> DataFrame:
 
 def read_first_report(runs: DataFrame) -> DataFrame:
     """The first `<?xml ... </testsuites>` in the log."""
-    places = documents_of(runs, SUITES)
-    closed = places.where(F.col("body").endswith("</testsuites>"))
-    cases = case_rows(first_of_run(closed).where(has_root(F.col("body"), "testsuites")))
+    closed = documents_of(runs, SUITES).where(F.col("body").endswith("</testsuites>"))
+    cases = case_rows(closed.where(has_root(F.col("body"), "testsuites")))
+    cases = of_first(cases.withColumn("document", F.shiftright("seq", 31)), closed)
     name, owner = F.coalesce("_name", F.lit("")), F.coalesce("_classname", F.lit(""))
     key = F.when(owner == "", name).otherwise(F.concat(owner, F.lit("::"), name))
     return case_events(cases, key, ("failure", "error", "skipped"))
@@ -197,9 +197,9 @@ def read_doctest(runs: DataFrame) -> DataFrame:
     the log unreadable. A report's tags are walked within its row.
     """
     body = F.col("body")
-    documents = first_of_run(documents_of(runs, DOCTEST))
+    documents = documents_of(runs, DOCTEST)
     good = body.endswith("</doctest>") & is_well_formed(body)
-    broken = documents.where(~good).withColumn("log", F.lit(""))
+    broken = documents.where(~good).select("run_id", "part", "document")
 
     tags = F.regexp_extract_all(without_hidden_text(body), F.lit(DOCTEST_TAG), F.lit(0))
     # What a tag is, whether it closes or opens one, and its attributes.
@@ -209,11 +209,11 @@ def read_doctest(runs: DataFrame) -> DataFrame:
         (~t.startswith("<Expression") & ~t.startswith("</") & ~t.endswith("/>")).alias("opens"),
         F.when(~t.startswith("</"), F.from_xml(F.regexp_replace(t, "/?>$", "/>"), TAG, XML_OPTIONS)).alias("x"),
     )
-    read = documents.where(good).select("run_id", "part", F.transform(tags, item).alias("items"))
-    found = read.select("run_id", "part", F.posexplode(sub_cases(F.col("items.kind"), F.col("items.closes"), F.col("items.opens"), F.col("items.x._name"), F.col("items.x._success"))).alias("place", "f"))
+    read = documents.where(good).select("run_id", "part", "document", F.transform(tags, item).alias("items"))
+    found = read.select("run_id", "part", "document", F.posexplode(sub_cases(F.col("items.kind"), F.col("items.closes"), F.col("items.opens"), F.col("items.x._name"), F.col("items.x._success"))).alias("place", "f"))
     key = F.concat("f.case", F.lit(" > "), "f.name")
-    events = found.select("run_id", "part", F.col("place").cast("bigint").alias("seq"), F.lit(0).alias("sub"), strong(key, F.when(F.col("f.failed"), FAILED).otherwise(PASSED)).alias("e"))
-    return event_columns(events.select("run_id", "part", "seq", "sub", "e.*")).unionByName(emit_log(broken, F.array(unreadable())))
+    events = of_first(found, documents).select("run_id", "part", F.col("place").cast("bigint").alias("seq"), F.lit(0).alias("sub"), strong(key, F.when(F.col("f.failed"), FAILED).otherwise(PASSED)).alias("e"))
+    return event_columns(events.select("run_id", "part", "seq", "sub", "e.*")).unionByName(emit_log(of_first(broken, documents), F.array(unreadable())))
 
 
 DIALECTS = (

@@ -6,6 +6,7 @@ from pyspark.sql.types import StructType
 from runsift.functions.binding import bind
 from runsift.functions.commands import coerce_commands
 from runsift.functions.variants import as_text
+from runsift.sources.files import path_exists
 
 # Rows of one file that are numbered together.
 BLOCK_ROWS = 65_536
@@ -20,11 +21,6 @@ def read_tasks(spark: SparkSession, folder: str, fallback: str | None = "data/da
     return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(folder)
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
 def shard_layout(rows: DataFrame) -> DataFrame:
     """(path, num_rows, offset) per file, in path order; reads no columns.
 

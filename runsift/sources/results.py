@@ -14,19 +14,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runsift.functions.binding import bind
 from runsift.functions.variants import as_index, is_true
+from runsift.sources.files import file_system
 
 COMMITS = "_commits"
 
 
-def _files(spark: SparkSession, path: str):
-    """The file system of a path, and the path as it sees it."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
 def committed(spark: SparkSession, path: str) -> dict[str, int]:
     """Ids of the writes that count, with their numbers; one small record for each."""
-    files, where = _files(spark, f"{path}/{COMMITS}")
+    files, where = file_system(spark, f"{path}/{COMMITS}")
     if not files.exists(where):
         return {}
     names = [f.getPath().getName() for f in files.listStatus(where)]
@@ -40,7 +35,7 @@ def _commit(spark: SparkSession, path: str, write_id: str) -> None:
     """
     number = max(committed(spark, path).values(), default=-1) + 1
     while True:
-        files, where = _files(spark, f"{path}/{COMMITS}/{number:012d}")
+        files, where = file_system(spark, f"{path}/{COMMITS}/{number:012d}")
         try:
             files.create(where, False).close()
             break
@@ -48,7 +43,7 @@ def _commit(spark: SparkSession, path: str, write_id: str) -> None:
             if "exist" not in str(error).lower():
                 raise
             number += 1
-    files, where = _files(spark, f"{path}/{COMMITS}/{number:012d}-{write_id}")
+    files, where = file_system(spark, f"{path}/{COMMITS}/{number:012d}-{write_id}")
     files.create(where, False).close()
 
 
@@ -60,7 +55,7 @@ def write_results(records: DataFrame, path: str, resume: bool = False, write_id:
     """
     spark, write_id = records.sparkSession, write_id or uuid.uuid4().hex
     if not resume:
-        files, where = _files(spark, path)
+        files, where = file_system(spark, path)
         files.delete(where, True)
     elif write_id in committed(spark, path):
         return
