@@ -36,7 +36,8 @@ def rx(pattern: str, nocase: bool = False, lines: bool = False) -> str:
     blank = r"[\s\x1c\x1d\x1e\x1f&&[^\n]]" if lines else r"[\s\x1c\x1d\x1e\x1f]"
     solid = r"[^\s\x1c\x1d\x1e\x1f]"
     flags = "dU" + ("iu" if nocase else "") + ("m" if lines else "")
-    return f"(?{flags})" + pattern.replace(r"\S", solid).replace(r"\s", blank)
+    # A solid character is no line feed either, so its class keeps the plain blanks.
+    return f"(?{flags})" + solid.join(part.replace(r"\s", blank) for part in pattern.split(r"\S"))
 
 
 def strip(text: Column) -> Column:
