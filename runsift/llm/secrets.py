@@ -3,11 +3,11 @@
 Texts are searched for three base kinds (assignments, access keys, hex runs) and
 three more (private key blocks, credentials in URLs, mixed tokens). Over the
 corpus, every value found is counted by distinct repositories and distinct
-owners: a value of more than `COPIED_OWNERS` owners is a copied example, others are
-owner-specific and look live. No finding is left out: `spans` has base findings and those of the
-further kinds that are owner-specific, `copied_spans` those of the further kinds that many
-owners hold; both count in n_copied and n_live. n_repos is the largest number of repositories that
-hold one of the row's values, 0 without findings.
+owners: a value of more than `COPIED_OWNERS` owners in more than `COPIED_REPOS` repositories is a
+copied example; one that stays within few repositories, or with few owners, looks live. `spans` has
+all findings, `copied_spans` the copied ones among those of the further kinds; n_copied and n_live
+count all. n_repos is the largest number of repositories that hold one of the row's values, 0
+without findings.
 
 Edge cases: a null text counts as empty; offsets count code points; a null owner or repository
 is no owner or repository; rows that repeat (same id and text) are one document
@@ -40,7 +40,7 @@ URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@]+:([^\s/:@]+)@")
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
 #: A mixed token has at least so many characters, all three classes, and so many bits a character.
 MIXED, BITS = 32, 3.5
-COPIED_OWNERS = 2
+COPIED_OWNERS, COPIED_REPOS = 2, 2
 
 Span = tuple[int, int, str, str]
 
@@ -110,20 +110,20 @@ def ownership(found: DataFrame) -> DataFrame:
     return counted.select("value", F.coalesce("n_repos", F.lit(0)).alias("n_repos"), F.coalesce("n_owners", F.lit(0)).alias("n_owners"))
 
 
-def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", copied_owners: int = COPIED_OWNERS) -> DataFrame:
+def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", copied_owners: int = COPIED_OWNERS, copied_repos: int = COPIED_REPOS) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_copied, n_live, copied_spans, n_repos: a row for each row of docs."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), F.col(text_col).alias("text"))
     found = saved(findings(narrow))
     counted = saved(ownership(found))
     spans = found.select("doc_id", "text_hash", F.inline("found")).join(counted, "value")
-    copied = F.col("n_owners") > copied_owners
+    copied = (F.col("n_owners") > copied_owners) & (F.col("n_repos") > copied_repos)
     span = F.struct("start", "kind", "end", copied.alias("copied"))
     held = saved(spans.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(span)).alias("held"), F.max("n_repos").alias("n_repos")))
     same = F.col("f.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("f.text_hash") == F.col("h.text_hash"))
     name = lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))
     out = found.drop("found").alias("f").join(held.alias("h"), same, "left")
     number = lambda flag: F.coalesce(F.size(F.filter("h.held", lambda s: s["copied"] == flag)), F.lit(0)).cast("long")
-    apart = lambda s: (s["kind"] >= 3) & s["copied"]
+    further = lambda s: (s["kind"] >= 3) & s["copied"]
     text = lambda keep: F.coalesce(F.array_join(F.transform(F.filter("h.held", keep), name), ","), F.lit(""))
-    more = text(apart).alias("copied_spans"), F.coalesce("h.n_repos", F.lit(0)).cast("long").alias("n_repos")
-    return out.select("f.doc_id", "n_assign", "n_access", "n_hex", "base_sha256", text(lambda s: ~apart(s)).alias("spans"), number(True).alias("n_copied"), number(False).alias("n_live"), *more)
+    more = text(further).alias("copied_spans"), F.coalesce("h.n_repos", F.lit(0)).cast("long").alias("n_repos")
+    return out.select("f.doc_id", "n_assign", "n_access", "n_hex", "base_sha256", text(lambda s: F.lit(True)).alias("spans"), number(True).alias("n_copied"), number(False).alias("n_live"), *more)

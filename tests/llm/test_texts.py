@@ -172,7 +172,7 @@ def test_secrets(frame):
     assert (one.n_assign, one.n_access, one.n_hex) == (2, 1, 2)
     assert one.base_sha256 == hashlib.sha256(written.encode()).hexdigest() and one.spans == written
     assert one.n_copied == 3 and one.n_live == 2  # the sample, `abcdef` and the access key are everywhere
-    assert got[10].spans == "mixed:4:38" and got[20].spans == "" and got[11].spans == "url:13:21" and got[30].spans == f"pem:0:{len(pem)}"
+    assert got[10].spans == "mixed:4:38" and got[20].spans == "mixed:7:42" and got[11].spans == "url:13:21" and got[30].spans == f"pem:0:{len(pem)}"
     assert got[12].spans == got[13].spans == "" and got[12].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert got[None].n_hex == 1
     assert secret_scan(frame([])).count() == 0
@@ -186,6 +186,10 @@ def test_copied_secrets_of_further_kinds_are_kept(frame):
     got = {r.doc_id: r for r in secret_scan(frame(rows)).collect()}
     at = len(pem) + 1 + 13
     for i in range(4):
+        assert got[i].spans == got[i].copied_spans  # all findings, whoever holds them
         assert (got[i].copied_spans, got[i].n_copied, got[i].n_live, got[i].n_repos) == (f"pem:0:{len(pem)},url:{at}:{at + 8}", 2, 0, 5)
     assert got[9].copied_spans == "url:13:21" and got[10].copied_spans == "" and got[10].n_repos == 0
+    # A value of many owners in one repository is not widely copied.
+    one = {r.doc_id: r for r in secret_scan(frame(rows), repo_col="lang").collect()}
+    assert one[0].spans == got[0].spans and (one[0].copied_spans, one[0].n_copied, one[0].n_live) == ("", 0, 2)
     assert (got[11].spans, got[11].copied_spans, got[11].n_copied, got[11].n_live, got[11].n_repos) == (f"pem:0:{len(pem)}", "", 0, 1, 1)
