@@ -17,7 +17,9 @@ through; other columns of the input are ignored.
 from __future__ import annotations
 
 import bisect
+import json
 import os
+import struct
 import zlib
 from collections import defaultdict
 
@@ -30,7 +32,14 @@ from runsift.llm.common import in_use, map_arrow, saved
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
 #: Words of a generation, and the length from which a word is not kept.
-WORDS_KEPT, LONG_WORD = 600_000, 100
+WORDS_KEPT, LONG_WORD = 500_000, 100
+# The settings of a tokenizer that lowers text, parts runs of letters from other signs, and takes a word's bytes for signs.
+LETTERS_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LOWERS = ["NFC", "Replace", "Lowercase"]
+#: Small letters that no step before the model changes.
+SMALL = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß"
+#: Marks that such a tokenizer never joins to letters before them.
+SPLIT_OFF = b".,;:!?"
 #: Texts whose words are taken up together, by bytes.
 TOGETHER = 1 << 20
 #: Pieces of one length are numbered in groups of about this many.
@@ -41,6 +50,35 @@ WASTE = 1 / 64
 SPLITS = (1 / 2, 2 / 5, 1 / 3, 1 / 4, 1 / 6, 1 / 10)
 
 
+def parts_letters(settings: dict) -> bool:
+    """Whether a tokenizer's settings are those."""
+    normal = [n["type"] for n in (settings.get("normalizer") or {}).get("normalizers", [])]
+    steps = (settings.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if normal != LOWERS or [x["type"] for x in steps] != ["Split", "ByteLevel"] or settings["model"]["type"] != "BPE":
+        return False
+    split, signs = steps
+    cut = split["pattern"].get("Regex") == LETTERS_APART and split["behavior"] == "Removed" and split["invert"]
+    return bool(cut and not signs["add_prefix_space"] and not signs["use_regex"])
+
+
+def sign_of_byte() -> dict[int, str]:
+    """Bytes that can't be seen stand as signs from 256 on, in order; all others as themselves."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_SIGNS = sign_of_byte()
+PACKED = [struct.Struct(f"<{n}I") for n in range(32)]
+
+
+def small_letters(word: bytes) -> str | None:
+    """A word of small letters as the model sees it; None for all other words."""
+    if word.isascii():
+        return word.decode() if word.isalpha() and word.islower() else None
+    return None if word.decode().strip(SMALL) else word.decode("latin-1").translate(_SIGNS)
+
+
 class WordIds:
     """Token ids of words between ASCII white space, as little-endian bytes; words are UTF-8.
 
@@ -49,6 +87,9 @@ class WordIds:
     space and sees no further than a word, so a text's ids are its words' ids
     in order.
 
+    Of a tokenizer that parts letters from other signs and lowers them, words that differ
+    in these only are encoded once: their ids are those of the core and of the marks behind it.
+
     Two generations of words are kept: when the younger is full it becomes the older,
     and what was in the older only is forgotten, so frequent words stay.
     """
@@ -61,6 +102,7 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = np.array(self.encode(self.MARK), "<u4")
+        self.parts = parts_letters(json.loads(self.tokenizer.to_str()))
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -83,10 +125,55 @@ class WordIds:
         new = words.difference(self.known)
         if len(self.known) + len(new) > WORDS_KEPT:
             self.older, self.known, new = self.known, {}, words
+        if self.parts:
+            shaped = self.shapes(new)
+            wanted = set(new)
+            wanted.difference_update(shaped)
+            for core, tail in shaped.values():
+                wanted.add(core)
+                wanted.add(tail)
+            self.take_up(wanted)
+            known = self.known
+            known.update([(w, known[core] + known[tail]) for w, (core, tail) in shaped.items() if core in known and tail in known])
+        else:
+            self.take_up(new)
+
+    def shapes(self, words: set[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
+        """word -> (core, marks behind it), for words of letters that are not all small or have such marks."""
+        found = {}
+        for word in words:
+            core = word.rstrip(SPLIT_OFF)
+            if core is word or len(core) == len(word):
+                if word.islower() or not word.isascii() or not word.isalpha():
+                    continue
+                found[word] = word.lower(), b""
+            elif core.isascii():
+                if core.isalpha():
+                    found[word] = core.lower(), word[len(core) :]
+            elif core.decode().isalpha():
+                found[word] = core, word[len(core) :]
+        return found
+
+    def take_up(self, words: set[bytes]) -> None:
+        """Encodes words that are not known, many at a time."""
+        new = words.difference(self.known)
         if self.older:
             older = self.older
             self.known.update([(w, older[w]) for w in new if w in older])
             new = new.difference(self.known)
+        if b"" in new:
+            self.known[b""] = b""
+            new.discard(b"")
+        if self.parts:  # letters need nothing of the tokenizer but its model
+            tokenize, known, rest = self.tokenizer.model.tokenize, self.known, set()
+            for word in new:
+                text = small_letters(word) if len(word) < LONG_WORD else None
+                if text is None:
+                    rest.add(word)
+                else:
+                    ids = [t.id for t in tokenize(text)]
+                    known[word] = PACKED[len(ids)].pack(*ids) if len(ids) < len(PACKED) else struct.pack(f"<{len(ids)}I", *ids)
+            new = rest
         plain = [w for w in new if len(w) < LONG_WORD and self.MARK not in w] if len(self.mark) == 1 else []
         for k in range(0, len(plain), 256):
             part = plain[k : k + 256]
