@@ -1,7 +1,6 @@
-"""Which items enclose which: the two small helpers that need a stack.
+"""Which items enclose which: small helpers that need a stack.
 
-Both work on the items of one log row and return, for every item, the places
-of the items it stands in, outermost first. They are Arrow-batched because no
+They work on the items of one row, and are Arrow-batched because no
 built-in expression keeps a stack of unbounded depth. The functions are built
 inside factories so that they travel to the executors by value.
 """
@@ -31,34 +30,11 @@ def _by_level():
     return F.arrow_udf(enclosing, PLACES)
 
 
-def _by_brackets():
-    def one(closes, opens):
-        stack, found = [], []
-        for place, (closed, opened) in enumerate(zip(closes, opens)):
-            del stack[max(0, len(stack) - (closed or 0)) :]
-            found.append(list(stack))
-            if opened:
-                stack.append(place)
-        return found
-
-    def enclosing(closes: pa.Array, opens: pa.Array) -> pa.Array:
-        pairs = zip(closes.to_pylist(), opens.to_pylist())
-        rows = [None if c is None else one(c, o) for c, o in pairs]
-        return pa.array(rows, type=pa.list_(pa.list_(pa.int32())))
-
-    return F.arrow_udf(enclosing, PLACES)
-
-
 def enclosing_by_level(levels):
     """Items enclose the deeper ones that follow; an item without a level only looks."""
     return _by_level()(levels)
 
 
-def enclosing_by_brackets(closes, opens):
-    """Each item first closes a number of open items, then may open itself."""
-    return _by_brackets()(closes, opens)
-
-
 SUB_CASES = "array<struct<case: string, name: string, failed: boolean>>"
 
 

@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from runsift.functions.text import LINE_END, before_last, matches, remove, rstrip, strip, without_time, word
+from runsift.functions.text import LINE_END, before_last, matches, remove, rstrip, strip
 from runsift.functions.variants import as_text, is_true
 from runsift.operators.context import latest_start
 from runsift.operators.dialects.base import (

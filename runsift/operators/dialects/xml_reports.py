@@ -6,7 +6,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from runsift.functions.nesting import sub_cases
-from runsift.functions.text import rx
 from runsift.operators.dialects.base import Dialect, emit_log, event_columns, strong, unreadable
 from runsift.operators.dialects.parts import from_earlier
 from runsift.operators.dialects.xml_text import read_junit_text

@@ -8,9 +8,8 @@ TASKS = (
 )
 
 # One row per part of a log. A run whose log fits in one row has part 0 only.
-# Long logs may arrive as several parts, cut between any two lines. Dialects in
-# which every line stands for itself read each part on its own; for the others
-# the parts are joined first. Either way the answer is that of the whole log.
+# Long logs may arrive as several parts, cut between any two lines; their numbers
+# grow from 0. Parts are read where they lie, and the answer is that of the whole log.
 # A run may also say why it failed, in error_stage STRING and error STRING.
 RUNS = "run_id STRING, instance_id STRING, parser STRING, part BIGINT, log STRING, exit_code INT"
 
