@@ -11,6 +11,16 @@ from runsift.sources.files import file_system, folders
 
 #: Buckets of a table that is kept up to date, and of pieces that wait for each other.
 BUCKETS = 64
+#: A backlog is worked off in about as many batches, however large it is: each batch reads
+#: the tasks, or the state of what came before, as a whole.
+BATCHES = 8
+
+
+def files_of_backlog(spark: SparkSession, path: str, least: int = 1, batches: int = BATCHES) -> int:
+    """Files for each batch, so that all that wait in a folder are read in at most `batches` batches."""
+    files, where = file_system(spark, path)
+    waiting = sum(f.isFile() and f.getPath().getName()[0] not in "._" for f in files.listStatus(where))
+    return max(least, -(-waiting // batches))
 
 
 def stream_runs(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -118,7 +128,8 @@ def keep_latest(results: DataFrame, out: str, checkpoint: str, keys: tuple[str,
         newest = F.max_by(F.struct(*[c for c in batch.columns if c not in keys]), F.coalesce("seq", F.lit(-1))).alias("r")
         if touched:
             kept = rows.groupBy("bucket", *keys).agg(newest).select("bucket", *keys, "r.*")
-            kept.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/data/batch={number}")
+            # One task writes a bucket: else every task would write a file in each.
+            kept.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/data/batch={number}")
         named = {str(b): n for b, n in (current | dict.fromkeys(touched, number)).items()}
         spark.createDataFrame([(json.dumps(named),)], "value STRING").coalesce(1).write.mode("overwrite").text(f"{out}/manifests/batch={number}")
 

@@ -9,14 +9,14 @@ from runsift.operators.extract import extract_test_results
 from runsift.operators.scoring import expected_vs_observed, score_counts, with_reward
 from runsift.schema import RUNS
 from runsift.session import shared_folder
-from runsift.streaming.scores import keep_latest, latest_version, remove_old, score_arrivals, score_pieces, stream_runs
+from runsift.streaming.scores import files_of_backlog, keep_latest, latest_version, remove_old, score_arrivals, score_pieces, stream_runs
 from runsift.sources.logs import read_logs
 from runsift.workload.catalogue import SQL_LATEST, result_lines
 from runsift.sources.results import parse_results
 from runsift.workload.registry import entry, table
 from runsift.workload.rendering import fill
 
-# Rows of a file that lands: the number of files and of batches grows with the data.
+# Rows of a file that lands: the number of files grows with the data, that of batches does up to a bound.
 FILE_ROWS = 5000
 PIECE_ROWS = 50_000
 # A customer is a task and an order of the customer a run with one log line.
@@ -64,7 +64,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     landing, out, checkpoint = (fresh(spark, n) for n in ("records", "latest", "progress"))
     parse_results(result_lines(spark, sf_dir)).write.option("maxRecordsPerFile", FILE_ROWS).parquet(landing)
-    arriving = spark.readStream.schema("index BIGINT, valid BOOLEAN, seq BIGINT").option("maxFilesPerTrigger", 1).parquet(landing)
+    arriving = spark.readStream.schema("index BIGINT, valid BOOLEAN, seq BIGINT").option("maxFilesPerTrigger", files_of_backlog(spark, landing)).parquet(landing)
     keep_latest(arriving, out, checkpoint).awaitTermination()
     remove_old(spark, out)
     return latest_version(spark, out).select("index", "valid")

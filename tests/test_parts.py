@@ -10,7 +10,7 @@ from runsift.operators.nesting import with_bracket_paths, with_level_paths
 from runsift.schema import RUNS
 from runsift.sources import logs
 from runsift.sources.logs import read_logs
-from runsift.streaming.scores import keep_latest, latest_version, remove_old, score_pieces
+from runsift.streaming.scores import files_of_backlog, keep_latest, latest_version, remove_old, score_pieces
 
 PIECES = {
     "junit": ['<testcase name="a%d" classname="c"/>', '<testcase name="b%d">', '<testcase classname="k"\n name="d%d"\n>', "</testcase>", "<failure/>", "<error>x\n", "<skipped/>", "noise\n", "<testcase >\n", "\n", '<testcase name="e%d"\n/>', "x" * 1500 + "\n"],
@@ -109,3 +109,18 @@ def test_latest_rewrites_touched_buckets_only(spark, tmp_path):
     table = latest_version(spark, out)
     assert removed > 0 and remove_old(spark, out) == 0
     assert table.count() == 1000 and sorted(r["index"] for r in table.where("valid").collect()) == [0, 1, 2, 3, 4, 7]
+
+
+def test_a_backlog_is_read_in_a_bounded_number_of_batches(spark, tmp_path):
+    kind = "index BIGINT, valid BOOLEAN, seq BIGINT"
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.range(0, 400, 1, 40).selectExpr("id % 90 as index", "id % 7 = 0 as valid", "id as seq").write.parquet(folder)
+    assert files_of_backlog(spark, folder) == 5 and files_of_backlog(spark, folder, least=60) == 60
+    arriving = spark.readStream.schema(kind).option("maxFilesPerTrigger", files_of_backlog(spark, folder)).parquet(folder)
+    keep_latest(arriving, out, str(tmp_path / "progress"), buckets=4).awaitTermination()
+    latest = {n % 90: n % 7 == 0 for n in range(400)}
+    assert {r["index"]: r["valid"] for r in latest_version(spark, out).collect()} == latest
+    assert spark.read.parquet(f"{out}/data").select("batch").distinct().count() == 8
+    # A bucket of a batch is one file, however many tasks there are.
+    files = spark.read.parquet(f"{out}/data").select("batch", "bucket", F.input_file_name().alias("file")).distinct()
+    assert files.groupBy("batch", "bucket").count().where("count > 1").count() == 0
