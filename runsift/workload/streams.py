@@ -56,7 +56,7 @@ def _(spark, sf_dir):
         seen = expected_vs_observed(facts, expected, results)
         return with_reward(score_counts(seen, ("run_id", "exit_code")))
 
-    score_arrivals(stream_runs(spark, landing, files_per_batch=1), grade, out, checkpoint).awaitTermination()
+    score_arrivals(stream_runs(spark, landing, files_of_backlog(spark, landing)), grade, out, checkpoint).awaitTermination()
     return spark.read.parquet(out).select("run_id", "f2p_passed", "f2p_total", "reward")
 
 
