@@ -95,7 +95,7 @@ def _(spark, sf_dir):
         facts = runs.select("run_id", "instance_id", "exit_code").distinct()
         return with_reward(score_counts(expected_vs_observed(facts, expected, results), ("run_id", "exit_code")))
 
-    arriving = spark.readStream.schema(RUNS + ", parts INT").option("maxFilesPerTrigger", 4).parquet(landing)
+    arriving = spark.readStream.schema(RUNS + ", parts INT").option("maxFilesPerTrigger", files_of_backlog(spark, landing, least=4)).parquet(landing)
     score_pieces(arriving, grade, out, checkpoint).awaitTermination()
     return spark.read.parquet(f"{out}/scores").select("run_id", "f2p_passed", "f2p_total", "complete")
 
