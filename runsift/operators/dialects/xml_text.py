@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from runsift.functions.binding import bind, let, share
 from runsift.functions.text import strip
 from runsift.operators.dialects.base import emit_each, event
 from runsift.schema import ERROR, FAILED, PASSED, SKIPPED
@@ -35,10 +36,17 @@ TAG = r"^<testcase\b[^>]*>"
 
 def text_attribute(tag: Column, name: str) -> Column:
     """Value of an attribute in the text of a tag; the last one if repeated."""
-    pairs = F.arrays_zip(
+    return attribute(pairs_of(tag), name)
+
+
+def pairs_of(tag: Column) -> Column:
+    return F.arrays_zip(
         F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(1)).alias("k"),
         F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(2)).alias("v"),
     )
+
+
+def attribute(pairs: Column, name: str) -> Column:
     return F.try_element_at(F.filter(pairs, lambda p: p["k"] == name), F.lit(-1))["v"]
 
 
@@ -61,13 +69,14 @@ def cases_of(text: Column) -> Column:
     )
 
     def of_case(case: Column) -> Column:
-        tag = F.regexp_extract(case["text"], TAG, 0)
-        content = F.concat(F.regexp_replace(case["text"], TAG, ""), case["window"])
-        key = case_key(text_attribute(tag, "name"), text_attribute(tag, "classname"))
-        is_open = key.isNotNull() & ~tag.rlike(r"/\s*>$") & ~case["text"].endswith(END)
-        return F.struct(key.alias("key"), status_of(content).alias("status"), is_open.alias("open"), F.char_length(case["window"]).alias("seen"))
+        return let(F.regexp_extract(case["text"], TAG, 0), lambda tag: let(pairs_of(tag), lambda pairs: of_tag(case, tag, pairs)))
 
-    return F.transform(found, of_case)
+    def of_tag(case: Column, tag: Column, pairs: Column) -> Column:
+        content = F.concat(F.substr(case["text"], F.char_length(tag) + 1), case["window"])
+        key = case_key(attribute(pairs, "name"), attribute(pairs, "classname"))
+        return let(key, lambda key: F.struct(key.alias("key"), status_of(content).alias("status"), (key.isNotNull() & ~tag.rlike(r"/\s*>$") & ~case["text"].endswith(END)).alias("open"), F.char_length(case["window"]).alias("seen")))
+
+    return F.when(text.contains("<testcase"), F.transform(found, of_case))
 
 
 def behind(text: Column, mark: str) -> Column:
@@ -80,33 +89,52 @@ def flags(text: Column) -> Column:
     return F.array(*[text.contains(child) for child, _ in CHILDREN])
 
 
+NO_CASES = "array<struct<key: string, status: string, open: boolean, seen: int>>"
+#: The children behind the first open tag (no end follows it), and a tag that the part does not finish.
+WAITING = r"(?dUs)<testcase\b(?![^>]*/\s*>)(?=[^>]*\bname=\"[^\"]+\")[^>]*>(.*)$"
+CUT_TAG = r"(?dUs)<testcase\b[^>]*\z"
+
+
+def read_way(name: Column, text: Column) -> Column:
+    """What a text says that begins outside of cases."""
+    has_case = text.contains("<testcase")
+    # Behind the last end; the rest of the text holds no open case.
+    waiting = F.when(has_case, F.regexp_extract(F.substring_index(text, END, -1), WAITING, 1)).otherwise("")
+    tail = F.when(has_case, F.regexp_extract(text, CUT_TAG, 0)).otherwise("")
+    cases = F.coalesce(cases_of(text), F.array().cast(NO_CASES))
+
+    def told(cases: Column, tail: Column, pairs: Column) -> Column:
+        first_open = F.array_position(F.transform(cases, lambda c: c["open"]), True).cast("int")
+        return F.struct(
+            name.alias("way"), cases.alias("cases"), first_open.alias("first_open"), flags(F.coalesce(waiting, F.lit(""))).alias("open_flags"),
+            (tail != "").alias("in_tag"), attribute(pairs, "name").alias("tail_name"), attribute(pairs, "classname").alias("tail_owner"),
+        )
+
+    return let(cases, lambda c: let(tail, lambda t: let(pairs_of(t), lambda p: told(c, t, p))))
+
+
 def read_ways(runs: DataFrame) -> DataFrame:
-    """runs -> (run_id, part, way, cases, first_open, tail...), one row for each way in which a part may begin."""
+    """runs -> (run_id, part, ways, what a case that began earlier finds here): one row for each part, with every way in which it may begin.
+
+    The row is computed once for all that use it, and holds names and outcomes only.
+    """
     log = F.col("log")
     way = lambda name, text: F.struct(F.lit(name).alias("way"), text.alias("text"))
-    ways = F.when(F.col("part") == 0, F.array(way("out", log))).otherwise(F.array(way("out", log), way("tag", behind(log, ">")), way("wait", behind(log, END))))
-    told = runs.where((F.col("part") > 0) | log.contains("<testcase")).select(
-        "run_id", "part", F.explode(ways).alias("w"),
-        # What a case that began earlier finds here: its end, and the children up to it; its tag's end, and attributes up to it.
-        log.contains(END).alias("has_end"), flags(F.substring_index(log, END, 1)).alias("to_end"), flags(log).alias("in_all"),
-        log.contains(">").alias("has_close"), F.substring_index(log, ">", 1).alias("head"), flags(F.coalesce(F.substring_index(behind(log, ">"), END, 1), F.lit(""))).alias("behind_tag"),
-        F.left(F.coalesce(behind(log, ">"), F.lit("")), F.lit(UNCLOSED_WINDOW)).alias("window"),
-    )
-    told = told.select(
-        "run_id", "part", "w.way", "w.text", "has_end", "to_end", "in_all", "has_close", "behind_tag", flags(F.col("window")).alias("window_flags"), F.char_length("window").alias("seen"),
-        text_attribute(F.col("head"), "name").alias("head_name"), text_attribute(F.col("head"), "classname").alias("head_owner"), F.rtrim("head").endswith("/").alias("head_closes"),
-    )
-    cases = cases_of(F.col("text"))
-    told = told.withColumn("cases", F.coalesce(cases, F.array().cast("array<struct<key: string, status: string, open: boolean, seen: int>>")))
-    first_open = F.array_position(F.transform("cases", lambda c: c["open"]), True).cast("int")
-    # The children behind the first open tag (no end follows it), and the attributes of a tag that the part does not finish.
-    waiting = r"(?dUs)<testcase\b(?![^>]*/\s*>)(?=[^>]*\bname=\"[^\"]+\")[^>]*>(.*)$"
-    opened = F.regexp_extract(F.substring_index("text", END, -1), waiting, 1)
-    tail = F.regexp_extract("text", r"(?dUs)<testcase\b[^>]*\z", 0)
-    return told.select(
-        "run_id", "part", "way", "cases", first_open.alias("first_open"), "has_end", "to_end", "in_all", "has_close", "behind_tag", "window_flags", "seen", "head_name", "head_owner", "head_closes",
-        flags(F.coalesce(opened, F.lit(""))).alias("open_flags"), (tail != "").alias("in_tag"), text_attribute(tail, "name").alias("tail_name"), text_attribute(tail, "classname").alias("tail_owner"),
+    texts = F.when(F.col("part") == 0, F.array(way("out", log))).otherwise(F.array(way("out", log), way("tag", behind(log, ">")), way("wait", behind(log, END))))
+    later = F.col("part") > 0
+    # The tag's end and attributes up to it; of interest only in parts that may begin within a tag.
+    head = F.when(later, F.substring_index(log, ">", 1))
+    told = bind(runs.where(later | log.contains("<testcase")), "run_id", "part", "log", texts=texts, behind_close=behind(log, ">"), head=head, pairs=pairs_of(head))
+    window = F.left(F.coalesce("behind_close", F.lit("")), F.lit(UNCLOSED_WINDOW))
+    told = bind(
+        told, "run_id", "part",
+        ways=F.transform("texts", lambda w: read_way(w["way"], w["text"])),
+        has_end=log.contains(END), to_end=flags(F.substring_index(log, END, 1)), in_all=flags(log),
+        has_close=log.contains(">"), behind_tag=flags(F.coalesce(F.substring_index("behind_close", END, 1), F.lit(""))),
+        window_flags=flags(window), seen=F.char_length(window),
+        head_name=attribute(F.col("pairs"), "name"), head_owner=attribute(F.col("pairs"), "classname"), head_closes=F.rtrim("head").endswith("/"),
     )
+    return share(told)
 
 
 SPAN = "array<struct<at: long, name: string, owner: string, key: string, flags: array<boolean>, seen: int>>"
@@ -217,13 +245,13 @@ def _along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_junit_text(runs: DataFrame) -> DataFrame:
     """`<testcase>` elements wherever they stand; a part's own cases, and those that reach over parts."""
-    ways = read_ways(runs)
-    open_key = F.when(F.col("first_open") > 0, F.try_element_at("cases", F.col("first_open"))["key"])
-    told = F.struct("way", open_key.alias("open_key"), "open_flags", "in_tag", "tail_name", "tail_owner")
+    told = read_ways(runs)
     same = ("has_end", "to_end", "in_all", "has_close", "behind_tag", "window_flags", "seen", "head_name", "head_owner", "head_closes")
-    # One row for each part: its ways are rows of it, put together again.
-    parts = ways.groupBy("run_id", "part").agg(F.collect_list(told).alias("ways"), *[F.first(c).alias(c) for c in same])
-    along = parts.repartition("run_id").sortWithinPartitions("run_id", "part").mapInArrow(_along, SPANNED)
+    open_key = lambda w: F.when(w["first_open"] > 0, F.get(w["cases"], w["first_open"] - 1)["key"])
+    ends = F.transform("ways", lambda w: F.struct(w["way"].alias("way"), open_key(w).alias("open_key"), *[w[c].alias(c) for c in ("open_flags", "in_tag", "tail_name", "tail_owner")]))
+    parts = told.select("run_id", "part", ends.alias("ways"), *same)
+    along = share(parts.repartition("run_id").sortWithinPartitions("run_id", "part").mapInArrow(_along, SPANNED))
+    ways = told.select("run_id", "part", F.inline("ways"))
 
     sure = F.col("part") == 0
     is_open = F.col("first_open") > 0

@@ -124,3 +124,15 @@ def test_a_backlog_is_read_in_a_bounded_number_of_batches(spark, tmp_path):
     # A bucket of a batch is one file, however many tasks there are.
     files = spark.read.parquet(f"{out}/data").select("batch", "bucket", F.input_file_name().alias("file")).distinct()
     assert files.groupBy("batch", "bucket").count().where("count > 1").count() == 0
+
+
+@pytest.mark.parametrize("name", ["junit"])
+def test_what_lines_say_is_computed_once_for_all_branches(spark, name):
+    runs = spark.createDataFrame([("r", name, 0, "x\n"), ("r", name, 1, "y\n")], "run_id STRING, parser STRING, part BIGINT, log STRING")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = extract_test_results(runs, [name])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    shared = [line for line in plan.splitlines() if "ReusedExchange" in line and "_shared" in line]
+    assert shared, plan
