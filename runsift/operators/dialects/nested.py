@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from runsift.functions.binding import share
 from runsift.functions.text import LINE_END, before_last, matches, remove, rstrip, strip
 from runsift.functions.variants import as_text, is_true
 from runsift.operators.context import latest_start
@@ -290,6 +291,7 @@ def read_surefire(runs: DataFrame) -> DataFrame:
     A run that yields nothing else has its announced classes as passed.
     """
     found = read_class_counters(runs).unionByName(read_junit_text(runs)).unionByName(read_builds(runs, prio=0))
+    found = share(found)
     bare = announced_classes(runs).join(found.select("run_id").distinct(), "run_id", "left_anti")
     return found.unionByName(bare.select(found.columns))
 

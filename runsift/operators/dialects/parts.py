@@ -8,6 +8,7 @@ it. So no log text takes part in a shuffle, however a log was cut.
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from runsift.functions.binding import share
 from runsift.functions.text import rx
 
 
@@ -34,6 +35,7 @@ def inherit(rows: DataFrame, runs: DataFrame, name: str, value: Column) -> DataF
 
     Rows of part 0 and rows that have a value stay out of the join.
     """
+    rows = share(rows)
     waits = F.col(name).isNull() & (F.col("part") > 0)
     given = rows.where(waits).drop(name).join(from_earlier(runs, **{name: value}), ["run_id", "part"], "left")
     return rows.where(~waits).unionByName(given)
