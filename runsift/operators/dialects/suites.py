@@ -5,9 +5,12 @@ carried down by the cut itself. Lines above the first header of a part inherit t
 last header of the parts before it (`parts.inherit`).
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from runsift.functions.text import LINE_END, before, before_last, last_word, matches, rstrip, rx, strip, without_right, without_time, word
+from runsift.functions.binding import bind, share
+from runsift.functions.text import BLANKS, LINE_END, before, before_last, last_word, matches, rstrip, rx, strip, without_right, without_time, word
 from runsift.operators.context import latest_start
 from runsift.operators.dialects.base import (
     LINE_FEED,
@@ -274,6 +277,8 @@ CHECK_WORDS = {
     "OK": PASSED, "NOTE": PASSED, "NOTES": PASSED, "WARNING": FAILED, "WARNINGS": FAILED,
     "ERROR": ERROR, "ERRORS": ERROR, "FAIL": FAILED, "FAILED": FAILED, "SKIPPED": SKIPPED,
 }
+#: What every word begins with.
+CHECK_STEMS = ("OK", "NOTE", "WARNING", "ERROR", "FAIL", "SKIPPED")
 
 
 def read_package_checks(runs: DataFrame) -> DataFrame:
@@ -285,19 +290,28 @@ def read_package_checks(runs: DataFrame) -> DataFrame:
     and the word that opens the next stretch is its outcome.
     """
     line = F.col("line")
-    lines = log_lines(runs, LINE_END).withColumn("line", strip(line))
+    lines = bind(log_lines(runs, LINE_END), "run_id", "part", "seq", line=strip(line))
+    # Words and checks are looked for in steps, each computed once, and only in lines that can hold one.
+    is_check = line.startswith("* checking ")
+    starts = F.ltrim(line, F.lit(".:!" + BLANKS))
+    may_lead = reduce(Column.__or__, [F.upper(F.left(starts, F.lit(len(w)))) == w for w in CHECK_STEMS])
+    may_noise = F.left(line, F.lit(1)).isin(".", ":", "!")
+    lines = lines.where(is_check | may_lead | may_noise)
     bare = strip(F.ltrim(line, F.lit(".:!")))
-    lead = F.upper(word(bare, 0))
+    lines = bind(
+        lines, "run_id", "part", "seq",
+        bare=bare, lead=F.when(may_lead, F.upper(word(bare, 0))), told=F.when(is_check, strip(after(line, "* checking "))),
+        noise=F.when(may_noise, matches(line, r"^[.:!]+\s*[.:!]*$")).otherwise(False),
+    )
+    lead, told = F.col("lead"), F.col("told")
     bare_lead = F.rtrim(lead, F.lit(".:!"))
-    lead_word = F.when(bare_lead.isin(*CHECK_WORDS) & ((lead == bare_lead) | word(bare, 1).isNull()), bare_lead)
-    told = strip(after(line, "* checking "))
-    is_check = line.startswith("* checking ") & told.contains(" ...")
-    stated = F.when(is_check & ~told.endswith("..."), F.struct(before_last(told, " ... ").alias("name"), F.substring_index(told, " ... ", -1).alias("word")))
-    stated = F.when(stated["word"].rlike("^[A-Z]+$"), stated)
+    lead_word = F.when(bare_lead.isin(*CHECK_WORDS), F.when((lead == bare_lead) | word(F.col("bare"), 1).isNull(), bare_lead))
+    is_check = told.contains(" ...")
+    outcome = F.substring_index(told, " ... ", -1)
+    stated = F.when(is_check & ~told.endswith("..."), F.when(outcome.rlike("^[A-Z]+$"), F.struct(before_last(told, " ... ").alias("name"), outcome.alias("word"))))
     waiting = F.when(is_check & told.endswith(" ..."), before_last(told, " ..."))
-    noise = matches(line, r"^[.:!]+\s*[.:!]*$")
-    lines = lines.select("run_id", "part", "seq", lead_word.alias("word"), stated.alias("stated"), waiting.alias("waiting"), noise.alias("noise"))
-    lines = lines.where("word is not null or stated is not null or waiting is not null or noise")
+    lines = bind(lines, "run_id", "part", "seq", "noise", word=lead_word, stated=stated, waiting=waiting)
+    lines = share(lines.where("word is not null or stated is not null or waiting is not null or noise"))
 
     # The stretch of a line: the place of the latest word at or above it.
     within = Window.partitionBy("run_id", "part").orderBy("seq")
@@ -332,15 +346,21 @@ def read_dune(runs: DataFrame) -> DataFrame:
     meet by number, one small row each.
     """
     header = f"(?:{ANNOUNCED_RUN}|{OUTPUT_OF_RUN})"
-    cut = sections(runs, header).withColumn("head", strip(first_line(F.col("body"))))
+    cut = bind(sections(runs, header), head=strip(first_line(F.col("body"))))
     head = F.col("head")
-    is_run, is_output = matches(head, f"^{ANNOUNCED_RUN}"), matches(head, f"^{OUTPUT_OF_RUN}")
+    may_run, may_output = head.startswith("Running["), head.startswith("Output[")
+    cut = bind(cut, is_run=F.when(may_run, matches(head, f"^{ANNOUNCED_RUN}")).otherwise(False), is_output=F.when(may_output, matches(head, f"^{OUTPUT_OF_RUN}")).otherwise(False))
+    is_run, is_output = F.col("is_run"), F.col("is_output")
     number = F.ltrim(F.regexp_extract(head, r"\[(\d+)\]", 1), F.lit("0"))
     command = strip(F.substring_index(F.regexp_extract(head, r"\((.*)\)$", 1), "&&", -1))
     command = strip(F.when(command.startswith("exec "), F.substr(command, F.lit(6))).otherwise(command))
     command = F.when(command.startswith("./"), F.substr(command, F.lit(3))).otherwise(command)
+    cut = bind(cut, number=F.when(is_run | is_output, number), command=F.when(is_run, command))
+    number, command = F.col("number"), F.col("command")
     name = F.coalesce(F.nullif(F.substring_index(word(command, 0), "/", -1), F.lit("")), F.concat(F.lit("run_"), number))
     said = F.filter(F.transform(F.split("body", LINE_FEED), lambda x: F.upper(strip(x))), lambda x: x != "")
+    cut = bind(cut, "run_id", "part", "section", "is_run", "is_output", "number", "command", said=said)
+    said = F.col("said")
     said = F.when(is_run | is_output, F.slice(said, 2, F.size(said))).otherwise(said)
     pieces = cut.select(
         "run_id", "part",
@@ -355,7 +375,7 @@ def read_dune(runs: DataFrame) -> DataFrame:
     steps = pieces.where("at is not null").groupBy("run_id", "at").agg(F.max("opens").alias("opens"), F.max("said").alias("said"), F.max("failed").alias("failed"), F.max("skipped").alias("skipped"))
     verdict = F.when(F.col("opens.is_run") | ~F.col("said"), None).when(F.col("failed"), FAILED).when(F.col("skipped"), SKIPPED).otherwise(PASSED)
     steps = steps.select("run_id", F.col("at.part").alias("part"), F.col("at.section").alias("seq"), F.col("opens.number").alias("id"), F.col("opens.is_run").alias("is_run"), F.col("opens.name").alias("announced"), verdict.alias("verdict"))
-    steps = latest_start(steps, F.col("is_run"), F.col("announced"), "name")
+    steps = latest_start(share(steps), F.col("is_run"), F.col("announced"), "name")
     return emit(steps.where("verdict is not null and name is not null"), ranked(F.col("name"), F.col("verdict"), WORST, sign=1), certain=True)
 
 
