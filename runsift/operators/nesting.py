@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from runsift.functions.binding import bind, share
+
 STATE = "struct<paths: array<array<string>>, kept: array<int>, end_levels: array<int>, end_names: array<string>, kept_at_end: int>"
 
 
@@ -104,6 +106,8 @@ def _begun(states: DataFrame) -> DataFrame:
 def _with_paths(rows: DataFrame, walked: Column, chosen: DataFrame | None, indent: Column | None, by_level: bool) -> DataFrame:
     """rows(run_id, part, way, sure, items) -> one row for each wanted item, with its path and place."""
     walked_rows = rows.withColumn("w", walked)
+    if indent is not None:
+        walked_rows = share(bind(rows, "run_id", "part", "way", "sure", items=F.col("items")).withColumn("w", walked))
     keys = ["run_id", "part", "way"]
     size = F.size("items")
 
