@@ -5,6 +5,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from runsift.functions.binding import bind, share
 from runsift.functions.nesting import sub_cases
 from runsift.operators.dialects.base import Dialect, emit_log, event_columns, strong, unreadable
 from runsift.operators.dialects.parts import from_earlier
@@ -196,11 +197,9 @@ def read_doctest(runs: DataFrame) -> DataFrame:
     the log unreadable. A report's tags are walked within its row.
     """
     body = F.col("body")
-    documents = documents_of(runs, DOCTEST)
-    good = body.endswith("</doctest>") & is_well_formed(body)
-    broken = documents.where(~good).select("run_id", "part", "document")
+    documents = bind(documents_of(runs, DOCTEST), good=F.when(body.endswith("</doctest>"), is_well_formed(body)).otherwise(False))
 
-    tags = F.regexp_extract_all(without_hidden_text(body), F.lit(DOCTEST_TAG), F.lit(0))
+    tags = F.when(F.col("good"), F.regexp_extract_all(without_hidden_text(body), F.lit(DOCTEST_TAG), F.lit(0)))
     # What a tag is, whether it closes or opens one, and its attributes.
     item = lambda t: F.struct(
         F.regexp_extract(t, r"^</?(\w+)", 1).alias("kind"),
@@ -208,11 +207,15 @@ def read_doctest(runs: DataFrame) -> DataFrame:
         (~t.startswith("<Expression") & ~t.startswith("</") & ~t.endswith("/>")).alias("opens"),
         F.when(~t.startswith("</"), F.from_xml(F.regexp_replace(t, "/?>$", "/>"), TAG, XML_OPTIONS)).alias("x"),
     )
-    read = documents.where(good).select("run_id", "part", "document", F.transform(tags, item).alias("items"))
-    found = read.select("run_id", "part", "document", F.posexplode(sub_cases(F.col("items.kind"), F.col("items.closes"), F.col("items.opens"), F.col("items.x._name"), F.col("items.x._success"))).alias("place", "f"))
+    read = bind(documents, "run_id", "part", "document", "good", items=F.transform(tags, item))
+    cases = sub_cases(F.col("items.kind"), F.col("items.closes"), F.col("items.opens"), F.col("items.x._name"), F.col("items.x._success"))
+    # No text goes further than this: sub-cases with their outcome, one row for each document.
+    told = share(read.select("run_id", "part", "document", "good", cases.alias("cases")))
+    first = of_first(told, told)
+    found = first.where("good").select("run_id", "part", F.posexplode("cases").alias("place", "f"))
     key = F.concat("f.case", F.lit(" > "), "f.name")
-    events = of_first(found, documents).select("run_id", "part", F.col("place").cast("bigint").alias("seq"), F.lit(0).alias("sub"), strong(key, F.when(F.col("f.failed"), FAILED).otherwise(PASSED)).alias("e"))
-    return event_columns(events.select("run_id", "part", "seq", "sub", "e.*")).unionByName(emit_log(of_first(broken, documents), F.array(unreadable())))
+    events = found.select("run_id", "part", F.col("place").cast("bigint").alias("seq"), F.lit(0).alias("sub"), strong(key, F.when(F.col("f.failed"), FAILED).otherwise(PASSED)).alias("e"))
+    return event_columns(events.select("run_id", "part", "seq", "sub", "e.*")).unionByName(emit_log(first.where(~F.col("good")), F.array(unreadable())))
 
 
 DIALECTS = (

@@ -126,7 +126,7 @@ def test_a_backlog_is_read_in_a_bounded_number_of_batches(spark, tmp_path):
     assert files.groupBy("batch", "bucket").count().where("count > 1").count() == 0
 
 
-@pytest.mark.parametrize("name", ["r_v2", "ocaml_v2", "junit", "java_mvn", "haskell_v2"])
+@pytest.mark.parametrize("name", ["r_v2", "ocaml_v2", "junit", "doctest", "haskell_v2", "java_mvn"])
 def test_what_lines_say_is_computed_once_for_all_branches(spark, name):
     runs = spark.createDataFrame([("r", name, 0, "x\n"), ("r", name, 1, "y\n")], "run_id STRING, parser STRING, part BIGINT, log STRING")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
