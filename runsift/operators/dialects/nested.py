@@ -6,12 +6,11 @@ stand in; what a part leaves open for later parts is one small row (`nesting`).
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from runsift.functions.binding import share
+from runsift.functions.binding import bind, share
 from runsift.functions.text import LINE_END, before_last, matches, remove, rstrip, strip
 from runsift.functions.variants import as_text, is_true
-from runsift.operators.context import latest_start
 from runsift.operators.dialects.base import (
     LINE_FEED,
     Dialect,
@@ -225,58 +224,44 @@ def read_braced_tap(runs: DataFrame) -> DataFrame:
 def read_dart_events(runs: DataFrame) -> DataFrame:
     """`testStart` gives an id its name, `testDone` gives it a result.
 
-    Only these two kinds of events, a few fields each, meet by id: within their
-    part, and by one row for each id and part beyond it.
+    Only these two kinds of events, a few fields each, leave their row: they meet by id.
     """
-    lines = log_lines(runs, LINE_END).withColumn("line", strip(F.col("line")))
+    # Every step is computed once: a text is parsed once, and fields are read for the kind of event that has them.
+    lines = bind(log_lines(runs, LINE_END), "run_id", "part", "seq", line=strip(F.col("line")))
     lines = lines.where((F.col("line").startswith("{") | F.col("line").startswith("[")) & F.col("line").contains("test"))
-    value = F.try_parse_json("line")
-    lines = lines.withColumn("value", value).where(F.col("value").isNotNull())
-    items = F.when(F.schema_of_variant("value").startswith("ARRAY"), F.try_variant_get("value", "$", "array<variant>")).otherwise(
-        F.array("value")
-    )
-    events = lines.select("run_id", "part", "seq", F.posexplode(items).alias("sub", "e"))
+    is_list = F.col("line").startswith("[")
+    values = bind(lines, "run_id", "part", "seq", is_list=is_list, value=F.try_parse_json("line")).where("value is not null")
+    items = F.when(F.col("is_list"), F.try_variant_get("value", "$", "array<variant>")).otherwise(F.array("value"))
+    events = values.select("run_id", "part", "seq", F.posexplode(items).alias("sub", "e"))
 
     def at(path: str) -> Column:
         return F.try_variant_get("e", path, "variant")
 
-    name = at("$.test.name")
-    events = events.select(
-        "run_id",
-        "part",
-        "seq",
-        "sub",
-        as_text(F.col("e"), "$.type").alias("type"),
-        F.to_json(at("$.test.id")).alias("start_id"),
-        F.to_json(at("$.testID")).alias("done_id"),
-        name.alias("name"),
-        as_text(F.col("e"), "$.result").alias("result"),
-        is_true(at("$.hidden")).alias("hidden"),
-        is_true(at("$.skipped")).alias("skipped"),
-    )
-    is_start = (
-        (F.col("type") == "testStart")
-        & (F.col("start_id") != "null")
-        & is_true(F.col("name"))
-        & ~F.coalesce(as_text(F.col("name")).startswith("loading "), F.lit(False))
-    )
-    is_done = (F.col("type") == "testDone") & (F.col("done_id") != "null") & ~F.col("hidden")
-    is_broken = is_start & (F.schema_of_variant("name") != "STRING")
+    place = ("run_id", "part", "seq", "sub")
+    events = bind(events, *place, "e", type=as_text(F.col("e"), "$.type")).where(F.col("type").isin("testStart", "testDone"))
+    starts = F.col("type") == "testStart"
+    events = bind(
+        events, *place, starts=starts, id=F.to_json(F.when(starts, at("$.test.id")).otherwise(at("$.testID"))),
+        name=F.when(starts, at("$.test.name")), result=F.when(~starts, as_text(F.col("e"), "$.result")),
+        hidden=F.when(~starts, at("$.hidden")), skipped=F.when(~starts, at("$.skipped")),
+    ).where(F.col("id") != "null")
+    starts, result = F.col("starts"), F.col("result")
+    events = bind(
+        events, *place, "starts", "id", "result", "hidden", "skipped",
+        kind=F.schema_of_variant("name"), said=as_text(F.col("name")), true=F.when(starts, is_true(F.col("name"))).otherwise(False),
+    )
+    is_start = starts & F.col("true") & ~F.coalesce(F.col("said").startswith("loading "), F.lit(False))
+    is_done = ~starts & (F.col("hidden").isNull() | ~is_true(F.col("hidden")))
+    skipped = F.when(F.col("skipped").isNotNull(), F.when(is_true(F.col("skipped")), SKIPPED))
+    status = F.coalesce(lookup(result, {"success": PASSED, "failure": FAILED, "error": ERROR}), skipped)
     events = events.where(is_start | is_done).select(
-        "run_id", "part", "seq", "sub",
-        F.when(is_start, F.col("start_id")).otherwise(F.col("done_id")).alias("id"),
-        F.when(is_start, as_text(F.col("name"))).alias("name"),
-        F.when(
-            is_done,
-            F.coalesce(
-                lookup(F.col("result"), {"success": PASSED, "failure": FAILED, "error": ERROR}),
-                F.when(F.col("skipped"), SKIPPED),
-            ),
-        ).alias("status"),
-        is_broken.alias("broken"),
+        *place, "id", F.when(starts, F.col("said")).alias("name"), F.when(~starts, status).alias("status"),
+        (starts & (F.col("kind") != "STRING")).alias("broken"),
     )
-    started = latest_start(events, F.col("name").isNotNull(), F.col("name"), "announced", order=("seq", "sub"))
-    events = started.withColumn("name", F.coalesce("name", "announced")).where("broken or (status is not null and name is not null)")
+    # The events of an id, a few fields each, meet in one shuffle; an event that lacks a key belongs to nothing.
+    before = Window.partitionBy("run_id", "id").orderBy("part", "seq", "sub").rowsBetween(Window.unboundedPreceding, -1)
+    events = events.where("run_id is not null and part is not null").withColumn("name", F.coalesce("name", F.last("name", ignorenulls=True).over(before)))
+    events = events.where("broken or (status is not null and name is not null)")
     one = F.when(F.col("broken"), unreadable()).otherwise(strong(F.col("name"), F.col("status")))
     told = events.select("run_id", "part", F.col("seq").cast("bigint").alias("seq"), "sub", one.alias("e"))
     return event_columns(told.select("run_id", "part", "seq", "sub", "e.*"))
