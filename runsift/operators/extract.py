@@ -5,6 +5,7 @@ from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType
 
 from runsift.operators.conflicts import settle
 from runsift.operators.dialects import base, line_rules, nested, python_tests, suites, tables, xml_reports
@@ -129,6 +130,8 @@ def extract_events(runs: DataFrame, dialects: Iterable[str] | None = None) -> Da
         raise ValueError(f"unknown dialects: {unknown}")
     accepted = parser_names()
     shares = []
+    # Not cast where it is one already: an alias would make branches of a union differ that are the same.
+    part = F.col("part") if runs.schema["part"].dataType == LongType() else F.col("part").cast("bigint").alias("part")
     if dialects is None:
         # Runs whose parser nobody knows cannot be read; the log is not touched.
         lost = runs.where(dialect_of(F.col("parser")).isNull())
@@ -142,7 +145,7 @@ def extract_events(runs: DataFrame, dialects: Iterable[str] | None = None) -> Da
         dialect = None
         for d, each in known.items():
             dialect = (F if dialect is None else dialect).when(F.col("parser").isin(each), d)
-        return mine.select("run_id", F.col("part").cast("bigint").alias("part"), "log", dialect.alias("dialect"))
+        return mine.select("run_id", part, "log", dialect.alias("dialect"))
 
     by_line = {name: REGISTRY.entries[name].lines for name in names if REGISTRY.entries[name].lines}
     if by_line:

@@ -61,7 +61,8 @@ def _walked(make: Callable, *columns: Column) -> Column:
         rows = [dict(zip(("paths", "kept", "end_levels", "end_names", "kept_at_end"), walk(*row))) for row in zip(*(a.to_pylist() for a in arrays))]
         return pa.array(rows, type=kind)
 
-    return F.arrow_udf(run, STATE)(*columns)
+    # Said to be non-deterministic, as Spark then evaluates it once, whatever refers to its result.
+    return F.arrow_udf(run, STATE).asNondeterministic()(*columns)
 
 
 def _begun(states: DataFrame) -> DataFrame:
@@ -105,35 +106,39 @@ def _begun(states: DataFrame) -> DataFrame:
 
 def _with_paths(rows: DataFrame, walked: Column, chosen: DataFrame | None, indent: Column | None, by_level: bool) -> DataFrame:
     """rows(run_id, part, way, sure, items) -> one row for each wanted item, with its path and place."""
-    walked_rows = rows.withColumn("w", walked)
-    if indent is not None:
-        walked_rows = share(bind(rows, "run_id", "part", "way", "sure", items=F.col("items")).withColumn("w", walked))
-    keys = ["run_id", "part", "way"]
+    # The items are walked once: the wanted ones and what a part leaves open meet in one exchange, one row for each part and way.
     size = F.size("items")
+    first = F.lit(None).cast("int") if indent is None else F.when(size > 0, F.try_element_at(indent, F.lit(1)))
+    bound = bind(rows, "run_id", "part", "way", "sure", items=F.col("items")).withColumns({"n": size, "first": first})
+    bound = bound.withColumn("w", walked)
+    zipped = F.arrays_zip(F.sequence(F.lit(0), size - 1).alias("seq"), F.col("items").alias("item"), F.col("w.paths").alias("inside"), F.col("w.kept").alias("kept"))
+    wanted = F.when(size > 0, F.filter(zipped, lambda z: z["item"]["wanted"])).otherwise(F.slice(zipped, 1, 0))
+    # A column of its own: a filter on the part would go below the exchange in one branch and split it in two.
+    is_first = F.coalesce(F.col("part") == 0, F.lit(False)).alias("_first")
+    walked_rows = share(bound.select("run_id", "part", is_first, "way", "sure", "n", "first", wanted.alias("told"), "w.end_levels", "w.end_names", "w.kept_at_end"))
+    keys = ["run_id", "part", "_first", "way"]
 
     def of_chosen(table: DataFrame) -> DataFrame:
         if chosen is None:
             return table
-        return table.where("sure").unionByName(table.where("not sure").join(chosen, keys, "left_semi"))
+        ways = chosen.groupBy("run_id", "part").agg(F.collect_set("way").alias("_ways"))
+        return table.join(ways, ["run_id", "part"], "left").where(F.col("sure") | F.array_contains("_ways", F.col("way"))).drop("_ways")
 
-    is_last = F.lit(False) if indent is None else F.col("seq") + 1 == F.col("n")
-    told = walked_rows.select(*keys, "sure", size.alias("n"), F.posexplode(F.arrays_zip(F.col("items").alias("item"), F.col("w.paths").alias("inside"), F.col("w.kept").alias("kept"))).alias("seq", "z"))
-    told = told.where("z.item.wanted").select(*keys, "sure", "seq", is_last.alias("is_last"), "z.item.*", "z.inside", "z.kept")
+    is_last = F.lit(False) if indent is None else F.col("z.seq") + 1 == F.col("n")
+    told = walked_rows.select(*keys, "sure", "n", F.explode("told").alias("z"))
+    told = told.select(*keys, "sure", "z.seq", is_last.alias("is_last"), "z.item.*", "z.inside", "z.kept")
     told = of_chosen(told)
-    asked = F.array_distinct(F.transform(F.filter(F.arrays_zip(F.col("items").alias("item"), F.col("w.kept").alias("kept")), lambda z: z["item"]["wanted"]), lambda z: z["kept"]))
-    first = F.lit(None).cast("int") if indent is None else F.when(size > 0, F.try_element_at(indent, F.lit(1)))
-    states = walked_rows.select(*keys, "sure", F.lit(by_level).alias("by_level"), F.when(F.col("part") > 0, asked).otherwise(F.array().cast("array<int>")).alias("asked"), first.alias("first"), "w.end_levels", "w.end_names", "w.kept_at_end")
-    begun = _begun(of_chosen(states).drop("way", "sure"))
+    asked = F.array_distinct("told.kept")
+    states = walked_rows.select(*keys, "sure", F.lit(by_level).alias("by_level"), F.when(F.col("part") > 0, asked).otherwise(F.array().cast("array<int>")).alias("asked"), "first", "end_levels", "end_names", "kept_at_end")
+    begun = _begun(of_chosen(states).drop("_first", "way", "sure"))
 
-    alone = (F.col("part") == 0) & ~F.col("is_last")
-    here = told.where(alone).withColumn("path", F.col("inside"))
-    far = told.where(~alone).join(begun, ["run_id", "part"], "left")
+    alone = F.col("_first") & ~F.col("is_last")
     place = F.array_position("asked", F.col("kept")).cast("int")
     prefix = F.when(place > 0, F.try_element_at("prefixes", place)).otherwise(F.array().cast("array<string>"))
-    far = far.withColumn("path", F.concat(prefix, "inside"))
+    found = told.join(begun, ["run_id", "part"], "left").withColumn("path", F.when(alone, F.col("inside")).otherwise(F.concat(prefix, "inside")))
     if indent is not None:
-        far = far.where(~F.col("is_last") | F.col("follows").isNull() | (F.col("follows") <= F.col("indent")))
-    return here.unionByName(far.select(here.columns)).drop("inside", "kept", "is_last", "way", "sure")
+        found = found.where(alone | ~F.col("is_last") | F.col("follows").isNull() | (F.col("follows") <= F.col("indent")))
+    return found.drop("inside", "kept", "is_last", "way", "sure", "_first", "asked", "prefixes", "follows")
 
 
 def with_level_paths(rows: DataFrame, chosen: DataFrame | None = None, leaves_by: str | None = None) -> DataFrame:

@@ -136,3 +136,21 @@ def test_what_lines_say_is_computed_once_for_all_branches(spark, name):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     shared = [line for line in plan.splitlines() if "ReusedExchange" in line and "_shared" in line]
     assert shared, plan
+
+
+@pytest.mark.parametrize("name", ["dart", "calypso", "js_3"])
+def test_what_branches_use_is_read_once(spark, name):
+    rows = [("r", name, n, "x\n", None) for n in range(2)]
+    runs = spark.createDataFrame(rows, "run_id STRING, parser STRING, part BIGINT, log STRING, exit_code INT")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = extract_test_results(runs, [name])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    if name == "dart":
+        readings = [line for line in plan.splitlines() if "posexplode" in line and "split(log" in line]
+        assert len(readings) == 1, plan
+        return
+    assert any("ReusedExchange" in line and "_shared" in line for line in plan.splitlines()), plan
+    assert sum("REPARTITION_BY_COL" in line and "part#" in line and "ReusedExchange" not in line for line in plan.splitlines()) == 1, plan
+    assert sum("EvalPython" in line for line in plan.splitlines()) <= 1, plan
