@@ -243,17 +243,80 @@ def enough_shared(shared: str, n: str, nb: str) -> Column:
     return similar_sizes(n, nb) & (F.col(shared) + F.greatest(left(n), left(nb)) >= least)
 
 
+def least_shared(n: Column, nb: Column) -> Column:
+    """How many of their chosen tokens linked sets of sizes n and nb share at least.
+
+    Of two linked sets let x be the one whose chosen tokens end first. What of
+    these the other does not share, it does not hold at all; so the
+    intersection is at most what they share and x's tokens beyond the chosen.
+    """
+    left = lambda n: F.greatest(F.ceil(n * NUMBER / OF) - SHARED, F.lit(0))
+    return F.ceil((n + nb) * NUMBER / (OF + NUMBER)) - F.greatest(left(n), left(nb))
+
+
+def enough_shared(shared: str, n: str, nb: str) -> Column:
+    """Whether sets of sizes n and nb that share so many of their chosen tokens can be linked."""
+    return similar_sizes(n, nb) & (F.col(shared) >= least_shared(F.col(n), F.col(nb)))
+
+
+def enough_for_some(shared: Column, n: str, low: str, high: str) -> Column:
+    """Whether a set of size n that shares so many chosen tokens can be linked with any set of a size from low to high.
+
+    What is needed grows up to the size n and falls beyond it, so it is least at an
+    end; rounding can make it one less in between.
+    """
+    low = F.greatest(F.col(low), F.ceil(F.col(n) * NUMBER / OF))
+    high = F.least(F.col(high), F.floor(F.col(n) * OF / NUMBER))
+    least = F.least(least_shared(F.col(n), low), least_shared(F.col(n), high))
+    return (low <= high) & (shared >= F.when(low < high, least - 1).otherwise(least))
+
+
 def opened(met: DataFrame, members: DataFrame) -> DataFrame:
     """Pairs (a, b) of the sets in met with members of the groups they met, as far as sizes and shared tokens allow."""
     return met.join(members, "g").where(enough_shared("shared", "n", "nb")).select(F.col("sig").alias("a"), "b")
 
 
+def placed_sets(tokens: DataFrame, grouped: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(token, sig, grp, size, n, c): tokens with the size of the set's group, its own, and how many of its tokens cross groups.
+
+    A set shares no other of its chosen tokens with sets of other groups; one with too few of them has no more links.
+    """
+    sizes = grouped.groupBy(F.col("root").alias("grp")).agg(F.count(F.lit(1)).alias("size"))
+    own = tokens.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).join(nodes.select("sig", "n"), "sig")
+    own = own.where(F.col("c") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * NUMBER / OF)))
+    placed = tokens.join(own, "sig").join(sizes, "grp", "left")
+    return saved(placed.select("token", "sig", "grp", F.coalesce("size", F.lit(1)).alias("size"), "n", "c"))
+
+
+def met_groups(placed: DataFrame) -> DataFrame:
+    """(sig, n, g, shared): sets with larger groups of several sets whose unions hold enough of their tokens."""
+    unions = placed.where("size > 1").groupBy("token", F.col("grp").alias("g"), F.col("size").alias("g_size"))
+    unions = unions.agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("c").alias("most"))
+    met = placed.join(unions, "token").where("grp <> g and (size < g_size or (size = g_size and grp < g))")
+    met = met.where(enough_for_some(F.least("c", "most"), "n", "low", "high"))
+    met = met.groupBy("sig", "n", "g").agg(F.count(F.lit(1)).alias("shared"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return met.where(enough_for_some(F.col("shared"), "n", "low", "high")).select("sig", "n", "g", "shared")
+
+
+def met_alone(placed: DataFrame, whole: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets that were alone in their groups and are still in different ones, if they share enough tokens."""
+    rows = placed.where("size = 1").select("token", "sig", "n").join(whole.withColumnRenamed("node", "sig"), "sig", "left")
+    rows = rows.select("token", "sig", "n", F.coalesce("root", "sig").alias("grp"))
+    apart = rows.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high")
+    rows = saved(rows.join(apart.select("token"), "token", "left_semi"))
+    rows = rows.join(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("c")), "sig").where(F.col("c") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * NUMBER / OF)))
+    other = rows.select("token", F.col("sig").alias("b"), F.col("grp").alias("g"), F.col("n").alias("nb"), F.col("c").alias("cb"))
+    met = rows.join(other, "token").where("sig < b and grp <> g").withColumn("most", F.least("c", "cb")).where(enough_shared("most", "n", "nb"))
+    met = met.groupBy("sig", "b", "n", "nb").agg(F.count(F.lit(1)).alias("shared"))
+    return met.where(enough_shared("shared", "n", "nb")).select(F.col("sig").alias("a"), "b")
+
+
 def crossing(tokens: DataFrame, grouped: DataFrame) -> DataFrame:
     """(token, sig, grp) of the tokens that stand in more than one group."""
     placed = tokens.select("token", "sig").join(grouped.withColumnRenamed("node", "sig"), "sig", "left")
     placed = saved(placed.select("token", "sig", F.coalesce("root", "sig").alias("grp")))
     apart = placed.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high")
-    return saved(placed.join(saved(apart.select("token")), "token", "left_semi"))
+    return saved(placed.join(apart.select("token"), "token", "left_semi"))
 
 
 def likely(tokens: DataFrame, grouped: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
@@ -306,25 +369,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         links = links.unionAll(found)
         grouped = saved(components(links))
         tokens = crossing(tokens, grouped)
-    sizes = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    sized = tokens.join(sizes.withColumnRenamed("root", "grp"), "grp", "left").join(nodes.select("sig", "n"), "sig")
-    sized = saved(sized.select("token", "sig", "grp", "n", F.coalesce("size", F.lit(1)).alias("size")))
-    unions = sized.select("token", F.col("grp").alias("g"), F.col("size").alias("g_size")).distinct()
-    # The smaller group's sets are the queries. Their tokens in the other's union bound the overlap.
-    met = sized.join(unions, "token").where("grp <> g and (size < g_size or (size = g_size and grp < g))")
-    met = met.groupBy("sig", "n", "g", "g_size").agg(F.count(F.lit(1)).alias("shared"))
-    met = saved(met.where(F.col("shared") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * NUMBER / OF))))
-    members = nodes.select(F.col("sig").alias("b"), F.col("n").alias("nb")).join(grouped.withColumnRenamed("node", "b"), "b", "left").select("b", "nb", F.coalesce("root", "b").alias("g"))
+    # The smaller group's sets are the queries. Their tokens in the union of a group of several bound the overlap.
+    placed = placed_sets(tokens, grouped, nodes)
+    met = saved(met_groups(placed))
+    members = nodes.select(F.col("sig").alias("b"), F.col("n").alias("nb")).join(grouped.withColumnRenamed("node", "b"), "b").select("b", "nb", F.col("root").alias("g"))
     members = saved(members.withColumn("slot", F.pmod(F.hash("b"), F.lit(SCOUTS))))
     # First a few members of each group, as most sets that belong to a large one are linked with any of them; then all others.
     scouts = saved(members.groupBy("g", "slot").agg(F.min(F.struct("b", "nb")).alias("scout")).select("g", "slot", "scout.b", "scout.nb"))
-    links = links.unionAll(verified(opened(met, scouts), nodes, docs))
+    found = verified(opened(met, scouts), nodes, docs)
+    joined = found.select(F.col("a").alias("sig"), "b").join(members.select("b", "g"), "b").select("sig", "g").distinct()
+    apart = saved(met.join(joined, ["sig", "g"], "left_anti"))
+    others = saved(members.join(scouts.select("g", "slot", "b"), ["g", "slot", "b"], "left_anti"))
+    links = links.unionAll(found).unionAll(verified(opened(apart, others), nodes, docs))
     whole = saved(components(links))
-    others = members.join(scouts.select("g", "slot", "b"), ["g", "slot", "b"], "left_anti")
-    roots = whole.select(F.col("node").alias("sig"), F.col("root").alias("q_root"))
-    apart = met.where("g_size > 1").join(roots, "sig", "left").join(roots.select(F.col("sig").alias("g"), F.col("q_root").alias("g_root")), "g", "left")
-    apart = saved(apart.where("coalesce(q_root, sig) <> coalesce(g_root, g)").select("sig", "n", "g", "shared"))
-    more = verified(opened(apart, saved(others)), nodes, docs)
+    more = verified(met_alone(placed, whole), nodes, docs)
     if more.take(1):
         whole = saved(components(links.unionAll(more)))
     named = nodes.select("sig", "rep").join(whole.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "rep", F.coalesce("root", "sig").alias("root"))

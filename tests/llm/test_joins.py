@@ -6,8 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from runsift.llm import jaccard
 from runsift.llm.graph import components
-from runsift.llm.jaccard import near_duplicates, one_of_each
+from runsift.llm.jaccard import near_duplicates, one_of_each, verified
 from runsift.llm.topk import top_k
 from tests.llm.conftest import prose
 
@@ -106,3 +107,30 @@ def test_components_of_hubs_and_chains(spark):
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert all(got[i] == 0 for i in range(400)) and all(got[1000 + i] == 1000 for i in range(61)) and got[2000] == 1999
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_sets_that_share_a_passage_only_meet_nobody(spark, frame, monkeypatch):
+    """Each text has a passage of all and a few words of its own: no two are linked, and no two are compared."""
+    rng = random.Random(8)
+    passage = prose(rng, 120, 9000)
+    rows = [(i, f"{passage} " + " ".join(f"own{i}x{k}" for k in range(16 + i % 3)), "en", "a") for i in range(60)]
+    # Near copies, linked only through one that stood alone; and a text that is alone.
+    rows += [(100 + i, prose(random.Random(2), 60, 5000) + f" end{i}", "en", "a") for i in range(4)] + [(200, prose(rng, 50, 5000), "en", "a")]
+    compared = []
+
+    def counted(pairs, nodes, docs):
+        compared.append(pairs.distinct().count())
+        return verified(pairs, nodes, docs)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    got = near_duplicates(frame(rows)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got) == plain_components(rows)
+    assert compared[-1] == 0 and sum(compared[1:]) <= len(rows)
+
+
+def test_bounds_on_shared_tokens_hold_for_sizes_in_between(spark):
+    """What a range of sizes needs is never more than what one of its sizes needs."""
+    rows = spark.range(1, 90).selectExpr("id as n").crossJoin(spark.range(1, 90).selectExpr("id as low")).crossJoin(spark.range(0, 40, 7).selectExpr("id as width"))
+    rows = rows.withColumn("high", F.expr("low + width")).withColumn("nb", F.explode(F.sequence("low", "high"))).crossJoin(spark.range(1, 14).selectExpr("id as shared"))
+    lost = rows.where(jaccard.enough_shared("shared", "n", "nb") & ~jaccard.enough_for_some(F.col("shared"), "n", "low", "high"))
+    assert lost.count() == 0
