@@ -35,12 +35,12 @@ def shard_layout(rows: DataFrame) -> DataFrame:
 def with_raw_index(rows: DataFrame) -> DataFrame:
     """Number rows from 0 in shard order: shard offset + place in the file.
 
-    The layout has one row per file; Spark broadcasts it if it is small and
-    joins by path otherwise.
+    The layout has one row per file, as the driver's own list of files has; it is
+    broadcast, because by path all rows of a file would meet in one task.
     """
     layout = shard_layout(rows).select(F.col("path").alias("_path"), F.col("offset").alias("_offset"))
     placed = rows.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_row"))
-    joined = placed.join(layout, "_path")
+    joined = placed.join(F.broadcast(layout), "_path")
     return joined.withColumn("raw_index", F.col("_offset") + F.col("_row")).drop("_path", "_row", "_offset")
 
 

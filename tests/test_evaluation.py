@@ -330,3 +330,15 @@ def exchange_nodes(plan):
 
 def outputs_of(node):
     return [node.output().apply(i).toString() for i in range(node.output().size())]
+
+
+def test_numbering_does_not_gather_the_rows_of_a_file(spark, tmp_path):
+    spark.range(40).selectExpr("id as o_orderkey").coalesce(1).write.parquet(str(tmp_path / "orders"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        numbered = with_raw_index(spark.read.parquet(str(tmp_path / "orders")))
+        assert "hashpartitioning(_path" not in numbered._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, numbered.collect())) == [(i, i) for i in range(40)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
