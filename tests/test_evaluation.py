@@ -342,3 +342,20 @@ def test_numbering_does_not_gather_the_rows_of_a_file(spark, tmp_path):
         assert sorted(map(tuple, numbered.collect())) == [(i, i) for i in range(40)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_states_of_normalised_results_need_no_further_shuffle(spark):
+    runs = spark.createDataFrame([("r", "t", 0), (None, "t", 0)], "run_id string, instance_id string, exit_code int")
+    listed = [("t", "F2P", "a"), ("t", "P2P", "a"), ("t", "F2P", "a"), ("t", "P2P", "b"), ("t", "P2P", None), ("u", "F2P", "z")]
+    expected = spark.createDataFrame(listed, "instance_id string, grp string, norm_id string")
+    seen = [("r", "a", "PASSED"), ("r", "c", "FAILED"), (None, "b", "ERROR")]
+    results = spark.createDataFrame(seen, "run_id string, test_id string, status string").withColumn("first_pos", F.lit(1))
+    states = expected_states(runs, expected, normalize_results(results, 1))
+    above_union = states._jdf.queryExecution().executedPlan().toString().partition("Union")[0]
+    assert "Exchange" not in above_union
+    got = {(r.run_id, r.test_id): (r.in_f2p, r.in_p2p, r.status, r.seen) for r in states.collect()}
+    assert got == {
+        ("r", "a"): (2, 1, "PASSED", True), ("r", "b"): (0, 1, "NOT_FOUND", False), ("r", None): (0, 1, "NOT_FOUND", False),
+        ("r", "c"): (0, 0, None, True),
+        (None, "a"): (2, 1, "NOT_FOUND", False), (None, "b"): (0, 1, "ERROR", True), (None, None): (0, 1, "NOT_FOUND", False),
+    }
