@@ -77,6 +77,16 @@ def map_arrow(rows: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
     return rows.mapInArrow(run, schema)
 
 
+#: Rows of a batch that are Python objects at a time.
+AT_A_TIME = 256
+
+
+def values(column: pa.Array) -> Iterator:
+    """A column's values in order, without a second copy of all its texts in memory."""
+    for first in range(0, len(column), AT_A_TIME):
+        yield from column.slice(first, AT_A_TIME).to_pylist()
+
+
 def sample_ids(rows: DataFrame, key: str, limit: int) -> DataFrame:
     """At most limit rows, those whose ids hash lowest: the same rows in every run.
 

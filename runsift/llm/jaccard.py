@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from runsift.llm.bitset import bitset, only_keys
-from runsift.llm.common import Memo, map_arrow, saved
+from runsift.llm.common import Memo, map_arrow, saved, values
 from runsift.llm.graph import components
 
 SHINGLE, NUMBER, OF = 5, 80, 100
@@ -94,7 +94,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts, waiting, size, seen = np.zeros(COUNTERS, np.int64), [], 0, set()
     for batch in batches:
         n, sig, keys = [], [], []
-        for text in batch.column("text").to_pylist():
+        for text in values(batch.column("text")):
             s = shingles(text)
             n.append(len(s))
             if not len(s):
@@ -162,7 +162,7 @@ def matrix_tokens(docs: DataFrame, counts: np.ndarray, buckets: int) -> DataFram
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, size, seen = [], 0, set()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in values(batch.column(0)):
                 s = shingles(text)
                 if not len(s) or (sig := signature(s)) in seen:
                     continue
@@ -219,7 +219,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
             return sets[sig]
 
         keep = []
-        for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in range(4))):
+        for a, b, x, y in zip(*(values(batch.column(k)) for k in range(4))):
             x, y = of(a, x), of(b, y)
             if len(x) > len(y):
                 x, y = y, x

@@ -28,7 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from runsift.llm.common import in_use, map_arrow, saved
+from runsift.llm.common import in_use, map_arrow, saved, values
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
 #: Words of a generation, and the length from which a word is not kept.
@@ -61,6 +61,12 @@ def parts_letters(settings: dict) -> bool:
     return bool(cut and not signs["add_prefix_space"] and not signs["use_regex"])
 
 
+def settings_of(tokenizer) -> dict:
+    """A tokenizer's steps before the model, and the model's kind: not its words and merges, which are most of its text."""
+    steps = {name: json.loads(step.__getstate__()) for name in ("normalizer", "pre_tokenizer") if (step := getattr(tokenizer, name))}
+    return {**steps, "model": {"type": type(tokenizer.model).__name__}}
+
+
 def sign_of_byte() -> dict[int, str]:
     """Bytes that can't be seen stand as signs from 256 on, in order; all others as themselves."""
     seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -102,7 +108,7 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = np.array(self.encode(self.MARK), "<u4")
-        self.parts = parts_letters(json.loads(self.tokenizer.to_str()))
+        self.parts = parts_letters(settings_of(self.tokenizer))
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -195,14 +201,15 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id
     def pieces(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = _WORDS.get(tokenizer) or _WORDS.setdefault(tokenizer, WordIds(tokenizer))
         where, piece, start, length, crc = [], [], [], [], []
-        texts = batch.column(1).cast(pa.binary()).to_pylist()
+        texts = values(batch.column(1).cast(pa.binary()))
         at = 0
-        while at < len(texts):
+        while at < batch.num_rows:
             some, read = [], 0
-            while at + len(some) < len(texts) and read < TOGETHER:
-                text = texts[at + len(some)]
+            for text in texts:
                 read += len(text or b"")
                 some.append(text.split() if text else [])
+                if read >= TOGETHER:
+                    break
             words.learn(set().union(*some))
             for i, split in enumerate(some, at):
                 ids = words.ids(split) + end

@@ -1,6 +1,7 @@
 """Line dedup, decontamination and packing, held against plain versions."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -193,3 +194,33 @@ def test_copied_secrets_of_further_kinds_are_kept(frame):
     one = {r.doc_id: r for r in secret_scan(frame(rows), repo_col="lang").collect()}
     assert one[0].spans == got[0].spans and (one[0].copied_spans, one[0].n_copied, one[0].n_live) == ("", 0, 2)
     assert (got[11].spans, got[11].copied_spans, got[11].n_copied, got[11].n_live, got[11].n_repos) == (f"pem:0:{len(pem)}", "", 0, 1, 1)
+
+
+def test_settings_of_a_tokenizer_are_read_without_its_words():
+    from runsift.llm.packing import parts_letters, settings_of
+    from runsift.llm.queries import tokenizer_path
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    whole = json.loads(tokenizer.to_str())
+    got = settings_of(tokenizer)
+    assert got["normalizer"] == whole["normalizer"] and got["pre_tokenizer"] == whole["pre_tokenizer"]
+    assert got["model"] == {"type": whole["model"]["type"]} and parts_letters(got) == parts_letters(whole)
+    tokenizer.normalizer = None
+    assert "normalizer" not in settings_of(tokenizer)
+
+
+def test_values_come_some_at_a_time():
+    import pyarrow as pa
+
+    from runsift.llm.common import AT_A_TIME, values
+
+    taken = []
+
+    class Column(list):
+        def slice(self, first, n):
+            taken.append(n)
+            return pa.array(self[first : first + n])
+
+    texts = [None if i % 7 == 0 else f"t{i}" for i in range(2 * AT_A_TIME + 3)]
+    assert list(values(Column(texts))) == texts and list(values(pa.array([], pa.string()))) == []
+    assert taken == [AT_A_TIME] * 3
