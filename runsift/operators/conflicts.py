@@ -77,7 +77,9 @@ def normalize_results(results: DataFrame, passes: int = 1) -> DataFrame:
         # After the last pass the name is the final one.
         keys = ["run_id", "final_id"]
         if left:
-            rows = rows.withColumn("test_id", normalize_test_name(F.col("test_id")))
+            # Most names are final after one pass; null says so, and no name travels twice.
+            name = normalize_test_name(F.coalesce("test_id", "final_id"))
+            rows = rows.withColumn("test_id", F.nullif(name, F.col("final_id")))
             keys.append("test_id")
         rows = rows.groupBy(*keys).agg(
             F.max(F.struct("first_pos", "status")).getField("status").alias("status"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from runsift import extract_test_results, grade_runs, register_extractor
 from runsift.operators.extract import REGISTRY
 from runsift.operators.assess import assess_detail, assess_phases, expected_states
+from runsift.functions.text import normalize_test_name
 from runsift.operators.conflicts import dedupe, normalize_results
 from runsift.operators.context import carry, leaf_lines, section_gate
 from runsift.operators.scoring import expected_tests
@@ -359,3 +360,26 @@ def test_states_of_normalised_results_need_no_further_shuffle(spark):
         ("r", "c"): (0, 0, None, True),
         (None, "a"): (2, 1, "NOT_FOUND", False), (None, "b"): (0, 1, "ERROR", True), (None, None): (0, 1, "NOT_FOUND", False),
     }
+
+
+def test_names_that_need_one_pass_or_two_meet_as_before(spark):
+    """Of names that fall together, the first pass decides among its own names before the second does."""
+    names = ["x", "x [2 ms]", "x [2 ms] (1s)", "x (1s)", "y [1 ms] (3s)", "y (3s)", " y", "", None, "z (1s) [2 ms] (4s)", "z [9 ms] (1s)"]
+    rows = [(run, name, f"S{i}{run}", i * 7 % 11) for run in ("r", None) for i, name in enumerate(names)]
+    results = spark.createDataFrame(rows, "run_id string, test_id string, status string, first_pos int")
+    once = {r[0]: r[1] for r in spark.createDataFrame([(n,) for n in names], "n string").select("n", normalize_test_name(F.col("n"))).collect()}
+    twice = {r[0]: r[1] for r in spark.createDataFrame([(n,) for n in names], "n string").select("n", normalize_test_name(F.col("n"), 2)).collect()}
+    assert any(once[n] != twice[n] for n in names)
+    expected = {}
+    for run in ("r", None):
+        of_run = [r for r in rows if r[0] == run]
+        steps = {}
+        for _, name, status, at in of_run:
+            steps.setdefault((twice[name], once[name]), []).append((at, status))
+        finals = {}
+        for (final, _), seen in steps.items():
+            finals.setdefault(final, []).append((min(seen)[0], max(seen)[1]))
+        expected |= {(run, final): (max(seen)[1], min(seen)[0]) for final, seen in finals.items()}
+    got = normalize_results(results, 2)
+    assert {(r.run_id, r.test_id): (r.status, r.first_pos) for r in got.collect()} == expected
+    assert "nullif(" in got._jdf.queryExecution().logical().toString()
