@@ -11,16 +11,49 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from runsift.session import shared_folder
 
 
+def _write(rows: DataFrame) -> tuple[DataFrame, str]:
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/rows-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path), path
+
+
 def saved(rows: DataFrame) -> DataFrame:
     """Write rows to the cluster's shared folder and read them back.
 
     Cuts the lineage in a way that survives the loss of executors, and fixes the
     rows, so that a later pass sees the same ones.
     """
-    spark = rows.sparkSession
-    path = f"{shared_folder(spark)}/rows-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return _write(rows)[0]
+
+
+class Shelf:
+    """Stored tables that are removed at the end of a step, as nothing reads them any more.
+
+    What a step returns must be stored outside of its shelf, or not depend on it.
+    """
+
+    def __init__(self):
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def saved(self, rows: DataFrame) -> DataFrame:
+        self.tables.append(_write(rows))
+        return self.tables[-1][0]
+
+    def only(self, *kept: DataFrame) -> None:
+        """Removes all tables but these."""
+        for table, path in self.tables:
+            if not any(table is k for k in kept):
+                spark = table.sparkSession
+                folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        self.tables = [(table, path) for table, path in self.tables if any(table is k for k in kept)]
+
+    def __enter__(self) -> Shelf:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.only()
 
 
 def fold(doc_id: Column, n: int) -> Column:

@@ -20,7 +20,7 @@ are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from runsift.llm.bitset import bitset, only_keys
-from runsift.llm.common import Memo, map_arrow, saved, values
+from runsift.llm.common import Memo, Shelf, map_arrow, saved, values
 from runsift.llm.graph import components
 
 SHINGLE, NUMBER, OF = 5, 80, 100
@@ -201,34 +201,35 @@ def matrix_tokens(docs: DataFrame, counts: np.ndarray, buckets: int) -> DataFram
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of signatures whose sets are close enough, by their whole texts."""
-    pairs = saved(pairs.distinct())
-    wanted = pairs.select(F.col("a").alias("sig")).unionAll(pairs.select("b")).distinct()
-    which = saved(nodes.select("sig", "rep").join(wanted, "sig").select("sig", F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th")))
-    texts = only_keys(docs.select("doc_id", "th", "text"), "th", bitset(which, "rep_th"))
-    texts = texts.join(which, (F.col("th") == F.col("rep_th")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("sig", "text")
-    texts = saved(texts.groupBy("sig").agg(F.first("text").alias("text")))
-    both = pairs.join(texts.select(F.col("sig").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(texts.select(F.col("sig").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-
-    def close(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets: dict[int, np.ndarray] = {}  # of this batch
-
-        def of(sig: int, text: str) -> np.ndarray:
-            if sig not in sets:
-                sets[sig] = shingles(text)
-            return sets[sig]
-
-        keep = []
-        for a, b, x, y in zip(*(values(batch.column(k)) for k in range(4))):
-            x, y = of(a, x), of(b, y)
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            both = int(np.count_nonzero(y[at] == x))
-            keep.append(OF * both >= NUMBER * (len(x) + len(y) - both))
-        return batch.select(["a", "b"]).filter(pa.array(keep))
-
-    return saved(map_arrow(both, close, "a long, b long"))
+    with Shelf() as shelf:
+        pairs = shelf.saved(pairs.distinct())
+        wanted = pairs.select(F.col("a").alias("sig")).unionAll(pairs.select("b")).distinct()
+        which = shelf.saved(nodes.select("sig", "rep").join(wanted, "sig").select("sig", F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th")))
+        texts = only_keys(docs.select("doc_id", "th", "text"), "th", bitset(which, "rep_th"))
+        texts = texts.join(which, (F.col("th") == F.col("rep_th")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("sig", "text")
+        texts = shelf.saved(texts.groupBy("sig").agg(F.first("text").alias("text")))
+        both = pairs.join(texts.select(F.col("sig").alias("a"), F.col("text").alias("text_a")), "a")
+        both = both.join(texts.select(F.col("sig").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+
+        def close(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets: dict[int, np.ndarray] = {}  # of this batch
+
+            def of(sig: int, text: str) -> np.ndarray:
+                if sig not in sets:
+                    sets[sig] = shingles(text)
+                return sets[sig]
+
+            keep = []
+            for a, b, x, y in zip(*(values(batch.column(k)) for k in range(4))):
+                x, y = of(a, x), of(b, y)
+                if len(x) > len(y):
+                    x, y = y, x
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                both = int(np.count_nonzero(y[at] == x))
+                keep.append(OF * both >= NUMBER * (len(x) + len(y) - both))
+            return batch.select(["a", "b"]).filter(pa.array(keep))
+
+        return saved(map_arrow(both, close, "a long, b long"))
 
 
 def enough_shared(shared: str, n: str, nb: str) -> Column:
@@ -276,7 +277,7 @@ def opened(met: DataFrame, members: DataFrame) -> DataFrame:
     return met.join(members, "g").where(enough_shared("shared", "n", "nb")).select(F.col("sig").alias("a"), "b")
 
 
-def placed_sets(tokens: DataFrame, grouped: DataFrame, nodes: DataFrame) -> DataFrame:
+def placed_sets(tokens: DataFrame, grouped: DataFrame, nodes: DataFrame, save: Callable = saved) -> DataFrame:
     """(token, sig, grp, size, n, c): tokens with the size of the set's group, its own, and how many of its tokens cross groups.
 
     A set shares no other of its chosen tokens with sets of other groups; one with too few of them has no more links.
@@ -285,7 +286,7 @@ def placed_sets(tokens: DataFrame, grouped: DataFrame, nodes: DataFrame) -> Data
     own = tokens.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).join(nodes.select("sig", "n"), "sig")
     own = own.where(F.col("c") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * NUMBER / OF)))
     placed = tokens.join(own, "sig").join(sizes, "grp", "left")
-    return saved(placed.select("token", "sig", "grp", F.coalesce("size", F.lit(1)).alias("size"), "n", "c"))
+    return save(placed.select("token", "sig", "grp", F.coalesce("size", F.lit(1)).alias("size"), "n", "c"))
 
 
 def met_groups(placed: DataFrame) -> DataFrame:
@@ -298,12 +299,12 @@ def met_groups(placed: DataFrame) -> DataFrame:
     return met.where(enough_for_some(F.col("shared"), "n", "low", "high")).select("sig", "n", "g", "shared")
 
 
-def met_alone(placed: DataFrame, whole: DataFrame) -> DataFrame:
+def met_alone(placed: DataFrame, whole: DataFrame, shelf: Shelf) -> DataFrame:
     """Pairs (a, b) of sets that were alone in their groups and are still in different ones, if they share enough tokens."""
     rows = placed.where("size = 1").select("token", "sig", "n").join(whole.withColumnRenamed("node", "sig"), "sig", "left")
     rows = rows.select("token", "sig", "n", F.coalesce("root", "sig").alias("grp"))
     apart = rows.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high")
-    rows = saved(rows.join(apart.select("token"), "token", "left_semi"))
+    rows = shelf.saved(rows.join(apart.select("token"), "token", "left_semi"))
     rows = rows.join(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("c")), "sig").where(F.col("c") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * NUMBER / OF)))
     other = rows.select("token", F.col("sig").alias("b"), F.col("grp").alias("g"), F.col("n").alias("nb"), F.col("c").alias("cb"))
     met = rows.join(other, "token").where("sig < b and grp <> g").withColumn("most", F.least("c", "cb")).where(enough_shared("most", "n", "nb"))
@@ -311,25 +312,26 @@ def met_alone(placed: DataFrame, whole: DataFrame) -> DataFrame:
     return met.where(enough_shared("shared", "n", "nb")).select(F.col("sig").alias("a"), "b")
 
 
-def crossing(tokens: DataFrame, grouped: DataFrame) -> DataFrame:
-    """(token, sig, grp) of the tokens that stand in more than one group."""
-    placed = tokens.select("token", "sig").join(grouped.withColumnRenamed("node", "sig"), "sig", "left")
-    placed = saved(placed.select("token", "sig", F.coalesce("root", "sig").alias("grp")))
-    apart = placed.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high")
-    return saved(placed.join(apart.select("token"), "token", "left_semi"))
+def crossing(tokens: DataFrame, grouped: DataFrame, save: Callable = saved) -> DataFrame:
+    """(token, sig, grp) of the tokens that stand in more than one group; stored by `save`."""
+    with Shelf() as shelf:
+        placed = tokens.select("token", "sig").join(grouped.withColumnRenamed("node", "sig"), "sig", "left")
+        placed = shelf.saved(placed.select("token", "sig", F.coalesce("root", "sig").alias("grp")))
+        apart = placed.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high")
+        return save(placed.join(apart.select("token"), "token", "left_semi"))
 
 
-def likely(tokens: DataFrame, grouped: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
+def likely(tokens: DataFrame, grouped: DataFrame, nodes: DataFrame, turn: int, shelf: Shelf) -> DataFrame:
     """At most one likely link for each set, to merge large families before the whole matrix is searched.
 
     On each token one member of its largest group leads; a set is paired with
     the leader it meets most often. As many rows as tokens, however large groups are.
     """
     sizes = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("size")).withColumnRenamed("root", "grp")
-    placed = saved(tokens.join(sizes, "grp", "left").select("token", "sig", "grp", F.coalesce("size", F.lit(1)).alias("size")))
+    placed = shelf.saved(tokens.join(sizes, "grp", "left").select("token", "sig", "grp", F.coalesce("size", F.lit(1)).alias("size")))
     cells = placed.groupBy("token", "grp", "size").agg(F.min_by("sig", F.hash("sig", F.lit(turn))).alias("pick"))
     leaders = cells.groupBy("token").agg(F.max(F.struct("size", "grp", "pick")).alias("lead"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    leaders = saved(leaders.select("token", F.col("lead.pick").alias("b"), F.col("lead.grp").alias("b_grp")))
+    leaders = shelf.saved(leaders.select("token", F.col("lead.pick").alias("b"), F.col("lead.grp").alias("b_grp")))
     met = placed.join(leaders, "token").where("grp <> b_grp").groupBy("sig", "b").agg(F.count(F.lit(1)).alias("shared"))
     met = met.groupBy("sig").agg(F.max(F.struct("shared", "b")).alias("most")).select("sig", "most.shared", "most.b")
     sized = met.join(nodes.select("sig", "n"), "sig").join(nodes.select(F.col("sig").alias("b"), F.col("n").alias("nb")), "b")
@@ -340,54 +342,68 @@ def similar_sizes(x: str, y: str):
     return (OF * F.least(x, y)) >= (NUMBER * F.greatest(x, y))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of docs: doc_id, th (the text's hash), n_shingles, component_id and keep_th.
-
-    The row with the smallest id of a component, and among these the smallest
-    hash keep_th, stands for it.
-    """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    first = saved(docs.mapInArrow(_first_pass, _FIRST_TYPES))
-    rows = first.where("counts is null")
-    some = rows.where("n > 0")
-    nodes = saved(some.groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th")).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+def linked_sets(docs: DataFrame, first: DataFrame, nodes: DataFrame, shelf: Shelf) -> DataFrame:
+    """(node, root) of the sets that are linked with another one, on the shelf."""
+    some = first.where("n > 0")
 
     # Groups: what a leader of the same band key is linked with.
     banded = nodes.select("sig", "n", F.explode("keys").alias("key"))
-    leaders = saved(banded.groupBy("key").agg(F.min(F.struct("sig", "n")).alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", F.col("lead.sig").alias("b"), F.col("lead.n").alias("nb")))
+    leaders = shelf.saved(banded.groupBy("key").agg(F.min(F.struct("sig", "n")).alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", F.col("lead.sig").alias("b"), F.col("lead.n").alias("nb")))
     pairs = banded.join(leaders, "key").where((F.col("sig") != F.col("b")) & similar_sizes("n", "nb")).select(F.col("sig").alias("a"), "b")
     links = verified(pairs, nodes, docs)
-    grouped = saved(components(links))
+    grouped = components(links, shelf.saved)
 
     # The matrix, of tokens that stand in different groups.
     total = some.agg(F.sum(F.least("n", F.col("n") - F.ceil(F.col("n") * NUMBER / OF) + SHARED))).first()[0] or 0
-    tokens = crossing(saved(matrix_tokens(docs, shingle_counts(first), max(1, -(-int(total) // BUCKET)))), grouped)
-    for turn in range(TURNS):
-        found = verified(likely(tokens, grouped, nodes, turn), nodes, docs)
-        if not found.take(1):
-            break
-        links = links.unionAll(found)
-        grouped = saved(components(links))
-        tokens = crossing(tokens, grouped)
-    # The smaller group's sets are the queries. Their tokens in the union of a group of several bound the overlap.
-    placed = placed_sets(tokens, grouped, nodes)
-    met = saved(met_groups(placed))
+    with Shelf() as matrix:
+        tokens = matrix.saved(matrix_tokens(docs, shingle_counts(first), max(1, -(-int(total) // BUCKET))))
+        tokens = crossing(tokens, grouped, matrix.saved)
+        matrix.only(tokens)
+        for turn in range(TURNS):
+            with Shelf() as step:
+                found = verified(likely(tokens, grouped, nodes, turn, step), nodes, docs)
+            if not found.take(1):
+                break
+            links = links.unionAll(found)
+            grouped = components(links, shelf.saved)
+            tokens = crossing(tokens, grouped, matrix.saved)
+            matrix.only(tokens)
+        # The smaller group's sets are the queries. Their tokens in the union of a group of several bound the overlap.
+        placed = placed_sets(tokens, grouped, nodes, shelf.saved)
+    met = shelf.saved(met_groups(placed))
     members = nodes.select(F.col("sig").alias("b"), F.col("n").alias("nb")).join(grouped.withColumnRenamed("node", "b"), "b").select("b", "nb", F.col("root").alias("g"))
-    members = saved(members.withColumn("slot", F.pmod(F.hash("b"), F.lit(SCOUTS))))
+    members = shelf.saved(members.withColumn("slot", F.pmod(F.hash("b"), F.lit(SCOUTS))))
     # First a few members of each group, as most sets that belong to a large one are linked with any of them; then all others.
-    scouts = saved(members.groupBy("g", "slot").agg(F.min(F.struct("b", "nb")).alias("scout")).select("g", "slot", "scout.b", "scout.nb"))
+    scouts = shelf.saved(members.groupBy("g", "slot").agg(F.min(F.struct("b", "nb")).alias("scout")).select("g", "slot", "scout.b", "scout.nb"))
     found = verified(opened(met, scouts), nodes, docs)
     joined = found.select(F.col("a").alias("sig"), "b").join(members.select("b", "g"), "b").select("sig", "g").distinct()
-    apart = saved(met.join(joined, ["sig", "g"], "left_anti"))
-    others = saved(members.join(scouts.select("g", "slot", "b"), ["g", "slot", "b"], "left_anti"))
+    apart = shelf.saved(met.join(joined, ["sig", "g"], "left_anti"))
+    others = shelf.saved(members.join(scouts.select("g", "slot", "b"), ["g", "slot", "b"], "left_anti"))
     links = links.unionAll(found).unionAll(verified(opened(apart, others), nodes, docs))
-    whole = saved(components(links))
-    more = verified(met_alone(placed, whole), nodes, docs)
+    whole = components(links, shelf.saved)
+    with Shelf() as step:
+        more = verified(met_alone(placed, whole, step), nodes, docs)
     if more.take(1):
-        whole = saved(components(links.unionAll(more)))
-    named = nodes.select("sig", "rep").join(whole.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "rep", F.coalesce("root", "sig").alias("root"))
-    lowest = saved(named.groupBy("root").agg(F.min("rep").alias("keep")))
-    of_sig = saved(named.join(lowest, "root").select("sig", "keep"))
+        whole = components(links.unionAll(more), shelf.saved)
+    return whole
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each row of docs: doc_id, th (the text's hash), n_shingles, component_id and keep_th.
+
+    The row with the smallest id of a component, and among these the smallest
+    hash keep_th, stands for it.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    first = saved(docs.mapInArrow(_first_pass, _FIRST_TYPES))
+    rows = first.where("counts is null")
+    some = rows.where("n > 0")
+    with Shelf() as shelf:
+        nodes = shelf.saved(some.groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th")).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+        whole = linked_sets(docs, first, nodes, shelf)
+        named = nodes.select("sig", "rep").join(whole.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "rep", F.coalesce("root", "sig").alias("root"))
+        lowest = shelf.saved(named.groupBy("root").agg(F.min("rep").alias("keep")))
+        of_sig = saved(named.join(lowest, "root").select("sig", "keep"))
     out = some.join(of_sig, "sig").select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("keep.doc_id").alias("component_id"), F.col("keep.th").alias("keep_th"))
     return out.unionAll(rows.where("n = 0").select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("th").alias("keep_th")))
 
@@ -405,10 +421,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Only rows that may have to go, by a bit set of their keys, meet the decisions in a join.
     """
-    every = saved(classes(docs, id_col, text_col).groupBy("doc_id", "th").agg(F.first("component_id").alias("component_id"), F.first("keep_th").alias("keep_th"), F.count(F.lit(1)).alias("n")))
+    shelf = Shelf()
+    every = shelf.saved(classes(docs, id_col, text_col).groupBy("doc_id", "th").agg(F.first("component_id").alias("component_id"), F.first("keep_th").alias("keep_th"), F.count(F.lit(1)).alias("n")))
     stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("th") == F.col("keep_th"))
     touched = bitset(every.where(~stays | (F.col("n") > 1)), "th")
     kept = saved(every.where(stays).select(F.col("doc_id").alias("_kept_id"), F.col("th").alias("_kept_th")))
+    shelf.only()
     rows = docs.withColumn("_kept_key", F.xxhash64(text_col))
     doubtful = only_keys(rows, "_kept_key", touched)
     out = doubtful.join(kept.hint("merge"), (F.col("_kept_key") == F.col("_kept_th")) & F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")))

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from runsift.llm import jaccard
+from runsift.llm import common, jaccard
 from runsift.llm.graph import components
 from runsift.llm.jaccard import near_duplicates, one_of_each, verified
 from runsift.llm.topk import top_k
@@ -134,3 +134,19 @@ def test_bounds_on_shared_tokens_hold_for_sizes_in_between(spark):
     rows = rows.withColumn("high", F.expr("low + width")).withColumn("nb", F.explode(F.sequence("low", "high"))).crossJoin(spark.range(1, 14).selectExpr("id as shared"))
     lost = rows.where(jaccard.enough_shared("shared", "n", "nb") & ~jaccard.enough_for_some(F.col("shared"), "n", "low", "high"))
     assert lost.count() == 0
+
+
+def test_a_step_leaves_no_tables_but_its_result(spark, tmp_path, monkeypatch):
+    """Links that take several rounds: all tables on the way are gone, and the result can still be read."""
+    monkeypatch.setattr(common, "shared_folder", lambda _: str(tmp_path))
+    found = components(spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long"))
+    assert len(list(tmp_path.iterdir())) <= 1
+    assert {tuple(r) for r in found.collect()} == {(i, 0) for i in range(21)}
+
+
+def test_documents_leave_few_tables(frame, copies, tmp_path, monkeypatch):
+    """The first pass, the components by set and the links found in each of at most six steps; not the matrix of tokens."""
+    monkeypatch.setattr(common, "shared_folder", lambda _: str(tmp_path))
+    got = near_duplicates(frame(copies))
+    assert len(list(tmp_path.iterdir())) <= 8
+    assert got.count() == len(copies)
