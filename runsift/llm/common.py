@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -11,10 +12,29 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from runsift.session import shared_folder
 
 
+#: Most bytes of a batch that goes from the JVM to Python; both sides hold some batches at a time.
+BATCH_BYTES = 4 << 20
+_MOST_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """While tables are written, workers get their rows in small batches, unless the session says how large they are."""
+    if spark.conf.get(_MOST_BYTES, None) is not None:
+        yield
+        return
+    spark.conf.set(_MOST_BYTES, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_MOST_BYTES)
+
+
 def _write(rows: DataFrame) -> tuple[DataFrame, str]:
     spark = rows.sparkSession
     path = f"{shared_folder(spark)}/rows-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
+    with small_batches(spark):
+        rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path), path
 
 

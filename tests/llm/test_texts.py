@@ -8,10 +8,13 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from runsift.llm.common import BATCH_BYTES, map_arrow, saved
 from runsift.llm.decontam import EXCHANGED, SPAN, WINDOW, decontaminated, leaks
 from runsift.llm.line_dedup import without_shared_lines
 from runsift.llm.packing import best_fit, pack, plan
@@ -224,3 +227,13 @@ def test_values_come_some_at_a_time():
     texts = [None if i % 7 == 0 else f"t{i}" for i in range(2 * AT_A_TIME + 3)]
     assert list(values(Column(texts))) == texts and list(values(pa.array([], pa.string()))) == []
     assert taken == [AT_A_TIME] * 3
+
+
+def test_stored_tables_reach_workers_in_small_batches(spark):
+    """Long texts come some at a time, and the session's setting is as before."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    texts = spark.range(0, 120, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
+    sizes = saved(map_arrow(texts, lambda b: pa.record_batch([pa.array([b.nbytes], pa.int64())], ["size"]), "size long"))
+    assert sizes.agg(F.max("size")).first()[0] < 1.5 * BATCH_BYTES
+    assert spark.conf.get(setting) == before
