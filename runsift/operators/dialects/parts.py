@@ -6,12 +6,51 @@ header, say, or whether it opened a gate), and joined to the few events that wai
 it. So no log text takes part in a shuffle, however a log was cut.
 """
 
+from collections.abc import Iterator
+from typing import Protocol
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from runsift.functions.binding import share
 from runsift.functions.text import rx
 
 
+class PartReader(Protocol):
+    """Reads the logs of a batch of parts, one after the other."""
+
+    #: Columns of what it finds: names and Arrow types.
+    fields: tuple
+
+    def add(self, run_id: str | None, part: int | None, log: str) -> None: ...
+
+    def arrays(self) -> list[pa.Array]: ...
+
+
+def read_parts(runs: DataFrame, *readers: type[PartReader]) -> DataFrame:
+    """runs -> one small row for each part: run_id, part and what the readers find in its log.
+
+    A log is taken up once for all readers, and the row is computed once for all that use it.
+    """
+    schema = pa.schema([("run_id", pa.string()), ("part", pa.int64()), *[field for reader in readers for field in reader.fields]])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [reader() for reader in readers]
+            logs = batch.column("log")
+            # Texts are made one at a time, so that a batch is not in memory twice.
+            logs = logs.cast(pa.large_binary() if pa.types.is_large_string(logs.type) else pa.binary())
+            for place, of in enumerate(zip(batch.column("run_id").to_pylist(), batch.column("part").to_pylist())):
+                log = (logs[place].as_py() or b"").decode("utf-8", "replace")
+                for each in found:
+                    each.add(*of, log)
+            columns = [batch.column("run_id"), batch.column("part"), *[array for each in found for array in each.arrays()]]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return share(runs.select("run_id", "part", "log").mapInArrow(read, from_arrow_schema(schema)))
+
+
 def from_earlier(runs: DataFrame, **values: Column) -> DataFrame:
     """(run_id, part, names of values...): the latest value that is not null of the parts before each part.
 
@@ -23,6 +62,13 @@ def from_earlier(runs: DataFrame, **values: Column) -> DataFrame:
     return found.where("part > 0")
 
 
+def with_earlier(rows: DataFrame, name: str) -> DataFrame:
+    """One small row for each part, with column `name` as the latest earlier part of the run has it; null in part 0 and where run or part are unknown."""
+    before = Window.partitionBy("run_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    later = (F.col("part") > 0) & F.col("run_id").isNotNull()
+    return rows.withColumn(name, F.last(name, ignorenulls=True).over(before)).withColumn(name, F.when(later, F.col(name)))
+
+
 def from_next(runs: DataFrame, **values: Column) -> DataFrame:
     """(run_id, part, names of values...): the values of the part that follows, if there is one."""
     follow = Window.partitionBy("run_id").orderBy("part")

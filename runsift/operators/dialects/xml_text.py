@@ -1,309 +1,388 @@
 """Test cases of XML reports that are read as text, across the parts of a log.
 
 A case may begin in one part of a log and end in another, even within its tag. Every
-part but the first is read in each way in which it may begin: outside of cases (`out`),
-inside a case's tag (`tag`), or inside a case that waits for its end (`wait`). One
+part but the first is read in each way in which it may begin: outside of cases (OUT),
+inside a case's tag (TAG), or inside a case that waits for its end (WAIT). Most cases of a
+part are the same in all ways, so a case is kept once, with the ways that hold it. One
 small row for each part says how it would leave off after each way; in the order of
 parts these tell the way that holds, and what the cases between parts came to.
 """
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 
-from runsift.functions.binding import bind, let, share
-from runsift.functions.text import strip
-from runsift.operators.dialects.base import emit_each, event
+from runsift.functions.binding import share
+from runsift.operators.dialects.base import event, event_columns
+from runsift.operators.dialects.parts import read_parts
 from runsift.schema import ERROR, FAILED, PASSED, SKIPPED
 
 # Fixed value: how far an unclosed test case is looked into.
 UNCLOSED_WINDOW = 4096
 # Children that decide about a case, the first that is there.
 CHILDREN = (("<failure", FAILED), ("<error", ERROR), ("<skipped", SKIPPED))
-END = "</testcase>"
+BEGIN, END = "<testcase", "</testcase>"
 
-#: A tag that closes itself; one without a name; a case up to its end; a tag whose case has no end.
-TEXT_CASE = (
-    r"(?dUs)<testcase\b[^>]*/[\s\x1c-\x1f]*>"
-    r'|<testcase\b(?![^>]*\bname="[^"]+")[^>]*>'
-    r"|<testcase\b[^>]*>.*?</testcase>"
-    rf"|<testcase\b[^>]*>(?=(.{{0,{UNCLOSED_WINDOW}}}))"
-)
-ATTRIBUTE = r'(?U)(\w+)="([^"]*)"'
-TAG = r"^<testcase\b[^>]*>"
+CASE = re.compile(r"<testcase\b")
+NAMED = re.compile(r'[^>]*\bname="[^"]+"')
+ATTRIBUTE = re.compile(r'\b(\w+)="([^"]*)"')
 
+#: Ways in which a part may begin; NONE: it holds no case of its own.
+OUT, TAG, WAIT, NONE = 1, 2, 4, 0
 
-def text_attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute in the text of a tag; the last one if repeated."""
-    return attribute(pairs_of(tag), name)
 
+def name_and_owner(text: str) -> tuple[str | None, str | None]:
+    """Name and class name in the text of a tag; the last ones if repeated."""
+    name = owner = None
+    if 'name="' in text:
+        for attribute, value in ATTRIBUTE.findall(text):
+            if attribute == "name":
+                name = value
+            elif attribute == "classname":
+                owner = value
+    return name, owner
 
-def pairs_of(tag: Column) -> Column:
-    return F.arrays_zip(
-        F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(1)).alias("k"),
-        F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(2)).alias("v"),
-    )
 
+def case_key(name: str | None, owner: str | None) -> str | None:
+    if not owner or not name:
+        return None if owner else name or None
+    return f"{owner} {name}".strip()
 
-def attribute(pairs: Column, name: str) -> Column:
-    return F.try_element_at(F.filter(pairs, lambda p: p["k"] == name), F.lit(-1))["v"]
 
+def flags(text: str, start: int = 0, end: int | None = None) -> int:
+    """Which children a stretch of text holds, one bit each."""
+    found, bit = 0, 1
+    for child, _ in CHILDREN:
+        if text.find(child, start, end) >= 0:
+            found |= bit
+        bit <<= 1
+    return found
 
-def case_key(name: Column, owner: Column) -> Column:
-    name, owner = F.nullif(name, F.lit("")), F.nullif(owner, F.lit(""))
-    return F.when(owner.isNull(), name).otherwise(strip(F.concat(owner, F.lit(" "), name)))
 
+#: Status by children that are there.
+STATUS = [next((status for at, (_, status) in enumerate(CHILDREN) if found >> at & 1), PASSED) for found in range(1 << len(CHILDREN))]
 
-def status_of(text: Column) -> Column:
-    chosen = F
-    for child, status in CHILDREN:
-        chosen = chosen.when(text.contains(child), status)
-    return chosen.otherwise(PASSED)
 
+class _Cases:
+    """The cases of a log, from any place on.
 
-def cases_of(text: Column) -> Column:
-    """Array of (key, status, open, rest): cases in order; open: no end comes behind, rest: how much text the window had."""
-    found = F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(TEXT_CASE), F.lit(0)).alias("text"), F.regexp_extract_all(text, F.lit(TEXT_CASE), F.lit(1)).alias("window")
-    )
-
-    def of_case(case: Column) -> Column:
-        return let(F.regexp_extract(case["text"], TAG, 0), lambda tag: let(pairs_of(tag), lambda pairs: of_tag(case, tag, pairs)))
-
-    def of_tag(case: Column, tag: Column, pairs: Column) -> Column:
-        content = F.concat(F.substr(case["text"], F.char_length(tag) + 1), case["window"])
-        key = case_key(attribute(pairs, "name"), attribute(pairs, "classname"))
-        return let(key, lambda key: F.struct(key.alias("key"), status_of(content).alias("status"), (key.isNotNull() & ~tag.rlike(r"/\s*>$") & ~case["text"].endswith(END)).alias("open"), F.char_length(case["window"]).alias("seen")))
-
-    return F.when(text.contains("<testcase"), F.transform(found, of_case))
-
-
-def behind(text: Column, mark: str) -> Column:
-    """Text behind the first `mark`; null if there is none."""
-    at = F.instr(text, mark)
-    return F.when(at > 0, F.substr(text, at + len(mark)))
-
-
-def flags(text: Column) -> Column:
-    return F.array(*[text.contains(child) for child, _ in CHILDREN])
-
-
-NO_CASES = "array<struct<key: string, status: string, open: boolean, seen: int>>"
-#: The children behind the first open tag (no end follows it), and a tag that the part does not finish.
-WAITING = r"(?dUs)<testcase\b(?![^>]*/\s*>)(?=[^>]*\bname=\"[^\"]+\")[^>]*>(.*)$"
-CUT_TAG = r"(?dUs)<testcase\b[^>]*\z"
-
-
-def read_way(name: Column, text: Column) -> Column:
-    """What a text says that begins outside of cases."""
-    has_case = text.contains("<testcase")
-    # Behind the last end; the rest of the text holds no open case.
-    waiting = F.when(has_case, F.regexp_extract(F.substring_index(text, END, -1), WAITING, 1)).otherwise("")
-    tail = F.when(has_case, F.regexp_extract(text, CUT_TAG, 0)).otherwise("")
-    cases = F.coalesce(cases_of(text), F.array().cast(NO_CASES))
-
-    def told(cases: Column, tail: Column, pairs: Column) -> Column:
-        first_open = F.array_position(F.transform(cases, lambda c: c["open"]), True).cast("int")
-        return F.struct(
-            name.alias("way"), cases.alias("cases"), first_open.alias("first_open"), flags(F.coalesce(waiting, F.lit(""))).alias("open_flags"),
-            (tail != "").alias("in_tag"), attribute(pairs, "name").alias("tail_name"), attribute(pairs, "classname").alias("tail_owner"),
-        )
-
-    return let(cases, lambda c: let(tail, lambda t: let(pairs_of(t), lambda p: told(c, t, p))))
-
-
-def read_ways(runs: DataFrame) -> DataFrame:
-    """runs -> (run_id, part, ways, what a case that began earlier finds here): one row for each part, with every way in which it may begin.
-
-    The row is computed once for all that use it, and holds names and outcomes only.
+    A tag that closes itself is a case, and so is all up to the next end. A tag without a name is none. A named tag
+    behind which no end comes (open) sees a window of text.
     """
-    log = F.col("log")
-    way = lambda name, text: F.struct(F.lit(name).alias("way"), text.alias("text"))
-    texts = F.when(F.col("part") == 0, F.array(way("out", log))).otherwise(F.array(way("out", log), way("tag", behind(log, ">")), way("wait", behind(log, END))))
-    later = F.col("part") > 0
-    # The tag's end and attributes up to it; of interest only in parts that may begin within a tag.
-    head = F.when(later, F.substring_index(log, ">", 1))
-    told = bind(runs.where(later | log.contains("<testcase")), "run_id", "part", "log", texts=texts, behind_close=behind(log, ">"), head=head, pairs=pairs_of(head))
-    window = F.left(F.coalesce("behind_close", F.lit("")), F.lit(UNCLOSED_WINDOW))
-    told = bind(
-        told, "run_id", "part",
-        ways=F.transform("texts", lambda w: read_way(w["way"], w["text"])),
-        has_end=log.contains(END), to_end=flags(F.substring_index(log, END, 1)), in_all=flags(log),
-        has_close=log.contains(">"), behind_tag=flags(F.coalesce(F.substring_index("behind_close", END, 1), F.lit(""))),
-        window_flags=flags(window), seen=F.char_length(window),
-        head_name=attribute(F.col("pairs"), "name"), head_owner=attribute(F.col("pairs"), "classname"), head_closes=F.rtrim("head").endswith("/"),
-    )
-    return share(told)
-
-
-SPAN = "array<struct<at: long, name: string, owner: string, key: string, flags: array<boolean>, seen: int>>"
-SPANNED = f"run_id string, part long, way string, spans {SPAN}, open_way string, loose {SPAN}"
-_SPAN = pa.list_(pa.struct([("at", pa.int64()), ("name", pa.string()), ("owner", pa.string()), ("key", pa.string()), ("flags", pa.list_(pa.bool_())), ("seen", pa.int32())]))
-_SPANNED = pa.schema([("run_id", pa.string()), ("part", pa.int64()), ("way", pa.string()), ("spans", _SPAN), ("open_way", pa.string()), ("loose", _SPAN)])
 
+    def __init__(self, log: str):
+        self.log, self.last_end = log, log.rfind(END)
+
+    def at(self, start: int) -> tuple[int, str | None, str, bool, int, int] | None:
+        """(end, key, status, open, text seen in the window, where what waits for an end begins) of a case; None if its tag is cut."""
+        log = self.log
+        close = log.find(">", start + len(BEGIN))
+        if close < 0:
+            return None
+        behind = close + 1
+        tag = log[start:behind]
+        name, owner = name_and_owner(tag)
+        key = case_key(name, owner)
+        if tag[len(BEGIN) : -1].rstrip().endswith("/"):
+            return behind, key, PASSED, False, 0, -1
+        if not name and not NAMED.match(log, start + len(BEGIN)):
+            return behind, None, PASSED, False, 0, -1
+        if behind <= self.last_end:
+            end = log.find(END, behind) + len(END)
+            return end, key, STATUS[flags(log, behind, end)], False, 0, -1
+        until = min(len(log), behind + UNCLOSED_WINDOW)
+        return behind, key, STATUS[flags(log, behind, until)], key is not None and not tag.endswith(END), until - behind, behind
+
+    def find(self, start: int, known: dict[int, int]) -> tuple[list[tuple], int]:
+        """Cases from a place on, each with its start, up to the first known one; and that one's number."""
+        found = []
+        while begin := CASE.search(self.log, start):
+            at = begin.start()
+            if at in known:
+                return found, known[at]
+            case = self.at(at)
+            if case is None:
+                break
+            found.append((at, *case))
+            start = case[0]
+        return found, len(known)
+
+
+_CASE = pa.struct([("key", pa.string()), ("status", pa.string()), ("open", pa.bool_()), ("seen", pa.int32()), ("ways", pa.int32())])
+# Facts about a part, by bits: a case's end, the end of a tag, the head of a tag closes itself, the part ends in a tag, ...
+HAS_END, HAS_CLOSE, HEAD_CLOSES, IN_TAG = 1, 2, 4, 8
+# ... and children up to the first end, in all, behind the first tag's end up to a case's end, in the window behind it,
+# and behind the case that is open at the end, for each way: three bits each.
+TO_END, IN_ALL, BEHIND_TAG, IN_WINDOW = 4, 7, 10, 13
+OPEN = {OUT: 16, TAG: 19, WAIT: 22}
+
+
+class CaseReader:
+    """What parts say about test cases: small rows, with names and outcomes only."""
+
+    fields = (
+        ("cases", pa.list_(_CASE)), ("first_out", pa.int32()), ("first_tag", pa.int32()), ("first_wait", pa.int32()),
+        ("facts", pa.int32()), ("seen", pa.int32()), ("head_name", pa.string()), ("head_owner", pa.string()),
+        ("tail_name", pa.string()), ("tail_owner", pa.string()), ("size", pa.int64()), *[(f"next_{i}", pa.int64()) for i in range(len(CHILDREN))],
+    )
 
-def _span(at: int, name: str | None, owner: str | None, key: str | None, found: list[bool], seen: int | None = None) -> dict:
-    return {"at": at, "name": name, "owner": owner, "key": key, "flags": found, "seen": seen}
+    def __init__(self):
+        self.offsets, self.cases, self.rows = [0], [], []
+
+    def add(self, run_id: str | None, part: int | None, log: str) -> None:
+        firsts, facts, seen, head, tail = (None, None, None), 0, 0, (None, None), (None, None)
+        starts = {OUT: 0}
+        close, end = log.find(">"), log.find(END)
+        children = [log.find(child) for child, _ in CHILDREN]
+        if part != 0:
+            if end >= 0:
+                starts[WAIT] = end + len(END)
+            if close >= 0:
+                starts[TAG] = close + 1
+            facts, seen, head = self._beginning(log, close, end, children)
+        if BEGIN in log:
+            firsts, opened = self._read(log, starts)
+            cut = CASE.search(log, log.rfind(">") + 1)
+            tail = name_and_owner(log[cut.start() :]) if cut else tail
+            facts |= opened | (IN_TAG if cut else 0)
+        self.offsets.append(len(self.cases))
+        self.rows.append((*firsts, facts, seen, *head, *tail, len(log), *[at + 1 if at >= 0 else None for at in children]))
+
+    def _beginning(self, log: str, close: int, end: int, children: list[int]) -> tuple[int, int, tuple]:
+        """What a case finds here that began earlier."""
+        head = log if close < 0 else log[:close]
+        facts = (HAS_END if end >= 0 else 0) | (HAS_CLOSE if close >= 0 else 0) | (HEAD_CLOSES if head.rstrip(" ").endswith("/") else 0)
+        seen = 0 if close < 0 else min(UNCLOSED_WINDOW, len(log) - close - 1)
+        if max(children) >= 0:
+            for at, place in enumerate(children):
+                if place >= 0:
+                    facts |= 1 << at + IN_ALL | (1 << at + TO_END if end < 0 or place < end else 0)
+            if close >= 0:
+                to = log.find(END, close + 1)
+                facts |= flags(log, close + 1, to if to >= 0 else None) << BEHIND_TAG | flags(log, close + 1, close + 1 + seen) << IN_WINDOW
+        return facts, seen, name_and_owner(head)
+
+    def _read(self, log: str, starts: dict[int, int]) -> tuple[tuple, int]:
+        """Adds a part's cases; the first open one of each way, and what is behind it."""
+        text = _Cases(log)
+        out, _ = text.find(0, {})
+        ways, common, extra = {OUT: out}, {OUT: 0}, {}
+        if len(starts) > 1:
+            numbers = {case[0]: n for n, case in enumerate(out)}
+            for way in (TAG, WAIT):
+                if way in starts:
+                    own, common[way] = text.find(starts[way], numbers)
+                    for case in own:
+                        extra[case[0]] = (case, way | (extra[case[0]][1] if case[0] in extra else NONE))
+                    ways[way] = own + out[common[way] :]
+        tag, wait = common.get(TAG, len(out)), common.get(WAIT, len(out))
+        held = [(case, OUT | (TAG if n >= tag else NONE) | (WAIT if n >= wait else NONE)) for n, case in enumerate(out)]
+        if extra:
+            held = sorted(held + list(extra.values()))
+        first: dict[int, int] = {}
+        kept = 0
+        for (_, _, key, status, is_open, seen, _), of in held:
+            if key is None:
+                continue
+            if is_open:
+                for way in starts:
+                    if of & way:
+                        first.setdefault(way, kept)
+            self.cases.append((key, status, is_open, seen, of))
+            kept += 1
+        opened, past = 0, text.last_end + len(END) if text.last_end >= 0 else 0
+        for way in first:
+            waits = next((case[6] for case in ways[way] if case[6] >= 0 and case[0] >= past), None)
+            opened |= flags(log, waits) << OPEN[way] if waits is not None else 0
+        return (first.get(OUT), first.get(TAG), first.get(WAIT)), opened
+
+    def arrays(self) -> list[pa.Array]:
+        kinds = [kind for _, kind in self.fields]
+        flat = zip(*self.cases) if self.cases else [[] for _ in _CASE]
+        cases = pa.StructArray.from_arrays([pa.array(list(c), f.type) for c, f in zip(flat, _CASE)], fields=list(_CASE))
+        columns = zip(*self.rows) if self.rows else [[] for _ in kinds[1:]]
+        return [pa.ListArray.from_arrays(pa.array(self.offsets, pa.int32()), cases), *[pa.array(list(c), kind) for c, kind in zip(columns, kinds[1:])]]
+
+
+_FOUND = pa.list_(pa.struct([("part", pa.int64()), ("seq", pa.int64()), ("test_id", pa.string()), ("status", pa.string())]))
+_ALONG = pa.schema([("run_id", pa.string()), ("part", pa.int64()), ("way", pa.int32()), ("open_way", pa.int32()), ("from_first", pa.bool_()), *[(f"next_{i}", pa.int64()) for i in range(len(CHILDREN))], ("found", _FOUND)])
+ALONG = "run_id string, part long, way int, open_way int, from_first boolean, next_0 long, next_1 long, next_2 long, found array<struct<part: long, seq: long, test_id: string, status: string>>"
+
+
+def beyond(found: int, is_open: bool, seen: int, after: list[int | None]) -> str:
+    """Status of a case that no end follows: own children decide in their order; those of later parts count if they lie wholly within the window."""
+    for at, (child, status) in enumerate(CHILDREN):
+        if found >> at & 1 or is_open and after[at] is not None and seen + after[at] - 1 + len(child) <= UNCLOSED_WINDOW:
+            return status
+    return PASSED
 
 
 class _Along:
     """Walks the parts of a run in order.
 
     state: None outside of cases, ("tag", part, name, owner) inside a tag, or
-    ("case", part, name, owner, key, flags) inside a case that waits for its end. Parts since that
+    ("case", part, key, flags) inside a case that waits for its end. Parts since that
     case began wait for the answer to whether an end comes: if none does, their tags stand
     for themselves, and so do tags that are cut between them (cut: name, owner).
     """
 
-    def __init__(self, run_id: str):
+    def __init__(self, run_id: str | None):
         self.run_id, self.state, self.cut, self.waiting = run_id, None, None, []
 
     def end(self, unclosed: bool) -> list[tuple]:
-        rows = [(self.run_id, part, way, spans, open_way if unclosed else None, loose if unclosed else []) for part, way, spans, open_way, loose in self.waiting]
-        self.waiting, self.cut = [], None
-        return rows
-
-    def leave(self, part: int, end: dict | None) -> None:
+        """Rows of the parts that wait. A part that begins outside of cases, and nothing else, needs none."""
+        waiting, self.waiting, self.cut = self.waiting, [], None
+        if not unclosed:
+            return [row for part, way, spans, *_ in waiting for row in self.row(part, way, spans)]
+        rows: list[tuple] = []
+        after: list[int | None] = [None] * len(CHILDREN)
+        for part, way, spans, open_way, loose, size, here in reversed(waiting):
+            if loose and loose[0] is not None and self.run_id is not None and part is not None:
+                key, found, seen = loose
+                spans = [*spans, (part, 1, key, beyond(found, seen is not None, seen or 0, after))]
+            from_first = open_way is None
+            rows.append((self.run_id, part, way, way if from_first else open_way, from_first, *after, spans))
+            after = [at if at is not None else None if far is None else size + far for at, far in zip(here, after)]
+        return rows[::-1]
+
+    def row(self, part: int | None, way: int, spans: list[tuple]) -> list[tuple]:
+        return [(self.run_id, part, way, None, False, None, None, None, spans)] if way != OUT or spans else []
+
+    def leave(self, part: int | None, facts: int, key: str | None, way: int, tail: tuple) -> None:
         """The state behind text that begins outside of cases."""
-        if end and end["open_key"]:
-            self.state = ("case", part, None, None, end["open_key"], end["open_flags"])
-        elif end and end["in_tag"]:
-            self.state = ("tag", part, end["tail_name"], end["tail_owner"])
+        self.cut = None
+        if key:
+            self.state = ("case", part, key, facts >> OPEN[way] & 7)
+            self.cut = tail if facts & IN_TAG else None
+        elif facts & IN_TAG:
+            self.state = ("tag", part, *tail)
         else:
             self.state = None
-        self.cut = (end["tail_name"], end["tail_owner"]) if end and end["open_key"] and end["in_tag"] else None
 
-    def step(self, row: dict) -> list[tuple]:
-        part, ways, out = row["part"], {w["way"]: w for w in row["ways"]}, []
-        state, spans, loose = self.state, [], []
-        way = open_way = "first"
+    def step(self, part, facts, seen, head_name, head_owner, tail_name, tail_owner, key_out, key_tag, key_wait, size, *here) -> list[tuple]:
+        out, spans, loose, tail = [], [], None, (tail_name, tail_owner)
+        # open_way: how the part is read if no end comes; None: as it holds, from the first open case on.
+        state, way, open_way = self.state, OUT, None
         if state is None:
-            way = "out"
-            self.leave(part, ways["out"])
+            self.leave(part, facts, key_out, OUT, tail)
         elif state[0] == "tag":
-            name, owner = row["head_name"] or state[2], row["head_owner"] or state[3]
-            if not row["has_close"]:
-                way, open_way, self.state = "none", "none", ("tag", state[1], name, owner)
-            elif row["head_closes"] or not name:
-                way = "tag"
-                spans = [_span(state[1], name, owner, None, [False] * 3)] if name else []
+            name, owner = head_name or state[2], head_owner or state[3]
+            if not facts & HAS_CLOSE:
+                way, open_way, self.state = NONE, NONE, ("tag", state[1], name, owner)
+            elif facts & HEAD_CLOSES or not name:
+                way = TAG
+                spans = [(state[1], 1, case_key(name, owner), PASSED)] if name else []
                 out += self.end(False)
-                self.leave(part, ways["tag"])
-            elif row["has_end"]:
-                way, spans = "wait", [_span(state[1], name, owner, None, row["behind_tag"])]
+                self.leave(part, facts, key_tag, TAG, tail)
+            elif facts & HAS_END:
+                way, spans = WAIT, [(state[1], 1, case_key(name, owner), STATUS[facts >> BEHIND_TAG & 7])]
                 out += self.end(False)
-                self.leave(part, ways["wait"])
+                self.leave(part, facts, key_wait, WAIT, tail)
             else:
-                way, open_way, loose = "none", "tag", [_span(state[1], name, owner, None, row["window_flags"], row["seen"])]
-                self.state = ("case", state[1], name, owner, None, row["behind_tag"])
-                self.cut = (ways["tag"]["tail_name"], ways["tag"]["tail_owner"]) if ways["tag"]["in_tag"] else None
-        elif row["has_end"]:
-            found = [x or y for x, y in zip(state[5], row["to_end"])]
-            way, spans = "wait", [_span(*state[1:5], found)]
+                key = case_key(name, owner)
+                way, open_way, loose = NONE, TAG, (key, facts >> IN_WINDOW & 7, seen)
+                self.state = ("case", state[1], key, facts >> BEHIND_TAG & 7)
+                self.cut = tail if facts & IN_TAG else None
+        elif facts & HAS_END:
+            way, spans = WAIT, [(state[1], 1, state[2], STATUS[state[3] | facts >> TO_END & 7])]
             out += self.end(False)
-            self.leave(part, ways["wait"])
+            self.leave(part, facts, key_wait, WAIT, tail)
         else:
-            way, open_way = "none", "out"
-            self.state = (*state[:5], [x or y for x, y in zip(state[5], row["in_all"])])
+            way, open_way = NONE, OUT
+            self.state = ("case", state[1], state[2], state[3] | facts >> IN_ALL & 7)
             if self.cut:
-                name, owner = row["head_name"] or self.cut[0], row["head_owner"] or self.cut[1]
-                if not row["has_close"]:
-                    open_way, self.cut = "none", (name, owner)
+                name, owner = head_name or self.cut[0], head_owner or self.cut[1]
+                if not facts & HAS_CLOSE:
+                    open_way, self.cut = NONE, (name, owner)
                 else:
-                    open_way = "tag"
+                    open_way = TAG
                     if name:
-                        closed = row["head_closes"]
-                        loose = [_span(part, name, owner, None, [False] * 3 if closed else row["window_flags"], None if closed else row["seen"])]
-            if open_way != "none":
-                self.cut = (ways[open_way]["tail_name"], ways[open_way]["tail_owner"]) if ways[open_way]["in_tag"] else None
+                        key = case_key(name, owner)
+                        loose = (key, 0, None) if facts & HEAD_CLOSES else (key, facts >> IN_WINDOW & 7, seen)
+            if open_way != NONE:
+                self.cut = tail if facts & IN_TAG else None
         if self.state is None:
-            return out + self.end(False) + [(self.run_id, part, way, spans, None, [])]
-        self.waiting.append((part, way, spans, open_way, loose))
+            return out + self.end(False) + self.row(part, way, spans)
+        self.waiting.append((part, way, spans, open_way, loose, size, here))
         return out
 
 
 def _along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of parts, in order -> the way in which each begins, the cases that end in it after beginning earlier, and how it is read if its run's last case has no end."""
-    walk = None
+    """Rows of parts, in order -> the way in which each begins if not outside of cases, the cases that end in it after beginning earlier, and how it is read if its run's last case has no end."""
+    walk = _Along(None)
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), _SPANNED.types)], schema=_SPANNED)
+        columns = list(zip(*rows))
+        found = [[dict(zip(("part", "seq", "test_id", "status"), span)) for span in spans] for spans in columns[-1]]
+        return pa.record_batch([pa.array(c, t) for c, t in zip([*columns[:-1], found], _ALONG.types)], schema=_ALONG)
 
     for batch in batches:
+        starts = batch.column("starts")
+        if walk.state is None and not pc.any(starts).as_py():
+            continue  # no case reaches over the parts of this batch
         done: list[tuple] = []
-        for row in batch.to_pylist():
-            if walk is None or row["run_id"] != walk.run_id:
-                done += walk.end(True) if walk else []
-                walk = _Along(row["run_id"])
-            done += walk.step(row)
+        for run_id, start, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if run_id != walk.run_id:
+                done += walk.end(True)
+                walk = _Along(run_id)
+            if start or walk.state is not None:
+                done += walk.step(*row)
         if done:
             yield batch_of(done)
-    if walk and (rows := walk.end(True)):
+    if rows := walk.end(True):
         yield batch_of(rows)
 
 
 def read_junit_text(runs: DataFrame) -> DataFrame:
     """`<testcase>` elements wherever they stand; a part's own cases, and those that reach over parts."""
-    told = read_ways(runs)
-    same = ("has_end", "to_end", "in_all", "has_close", "behind_tag", "window_flags", "seen", "head_name", "head_owner", "head_closes")
-    open_key = lambda w: F.when(w["first_open"] > 0, F.get(w["cases"], w["first_open"] - 1)["key"])
-    ends = F.transform("ways", lambda w: F.struct(w["way"].alias("way"), open_key(w).alias("open_key"), *[w[c].alias(c) for c in ("open_flags", "in_tag", "tail_name", "tail_owner")]))
-    parts = told.select("run_id", "part", ends.alias("ways"), *same)
-    along = share(parts.repartition("run_id").sortWithinPartitions("run_id", "part").mapInArrow(_along, SPANNED))
-    ways = told.select("run_id", "part", F.inline("ways"))
-
-    sure = F.col("part") == 0
-    is_open = F.col("first_open") > 0
-    closed_cases = F.when(is_open, F.slice("cases", F.lit(1), F.col("first_open") - 1)).otherwise(F.col("cases"))
-    plain = lambda c: event(c["key"], c["status"])
-    here = emit_each(ways.where(sure).withColumn("seq", F.lit(0)), F.transform(closed_cases, plain))
-
-    chosen = along.select("run_id", "part", F.col("way").alias("holds"))
-    later = ways.where(~sure).join(chosen, ["run_id", "part"]).where(F.col("way") == F.col("holds"))
-    later = emit_each(later.withColumn("seq", F.lit(0)), F.transform(closed_cases, plain))
-
-    spans = along.select("run_id", F.col("part").alias("ended"), F.explode("spans").alias("s")).select("run_id", "ended", "s.*")
-    status = F
-    for at, (_, word) in enumerate(CHILDREN):
-        status = status.when(F.col("flags")[at], word)
-    # A case stands at the end of the part in which it begins.
-    spanned = spans.select("run_id", F.col("at").alias("part"), F.lit(1).alias("seq"), F.coalesce("key", case_key(F.col("name"), F.col("owner"))).alias("test_id"), status.otherwise(PASSED).alias("found"))
-    spanned = emit_each(spanned, F.array(event(F.col("test_id"), F.col("found"))))
-    return here.unionByName(later).unionByName(spanned).unionByName(unclosed_cases(runs, ways, along))
+    return case_events(read_parts(runs.where((F.col("part") > 0) | F.col("log").contains(BEGIN)), CaseReader))
 
 
-def unclosed_cases(runs: DataFrame, ways: DataFrame, along: DataFrame) -> DataFrame:
-    """Cases behind which no end comes in the whole run: each tag stands for itself and sees a window of text behind it.
+def case_events(parts: DataFrame) -> DataFrame:
+    """Rows of parts (`CaseReader`) -> events."""
+    key_of = lambda first: F.get("cases", F.col(first))["key"]
+    told = parts.select(
+        "run_id", "part", "facts", "seen", "head_name", "head_owner", "tail_name", "tail_owner",
+        key_of("first_out").alias("key_out"), key_of("first_tag").alias("key_tag"), key_of("first_wait").alias("key_wait"),
+        "size", "next_0", "next_1", "next_2",
+    )
+    starts = F.col("key_out").isNotNull() | (F.col("facts").bitwiseAND(IN_TAG) != 0)
+    told = told.select("run_id", starts.alias("starts"), *told.columns[1:])
+    along = share(told.repartition("run_id").sortWithinPartitions("run_id", "part").mapInArrow(_along, ALONG))
+
+    rows = parts.where("size(cases) > 0").select("run_id", "part", "first_out", "first_tag", "first_wait", "cases")
+    # Compared null-safe, so that the two sides ask for the same exchanges as all others do: Spark would else keep null keys out of this one.
+    ways = along.drop("found").withColumnsRenamed({"run_id": "of_run", "part": "of_part"})
+    rows = rows.join(ways, F.col("run_id").eqNullSafe(F.col("of_run")) & F.col("part").eqNullSafe(F.col("of_part")), "left").drop("of_run", "of_part")
+    # A part without a row in `along` begins outside of cases; where run or part are unknown, none but the first part can be told.
+    known = F.col("run_id").isNotNull() & F.col("part").isNotNull()
+    rows = rows.withColumn("holds", F.when(F.col("part") == 0, OUT).when(known, F.coalesce("way", F.lit(OUT))).otherwise(NONE))
+    rows = rows.withColumn("open_way", F.when(known, F.col("open_way")))
+
+    def first_of(way: Column) -> Column:
+        return F.when(way == OUT, F.col("first_out")).when(way == TAG, F.col("first_tag")).when(way == WAIT, F.col("first_wait"))
+
+    rows = rows.select(
+        "run_id", "part", "holds", first_of(F.col("holds")).alias("until"), "open_way", F.when(F.col("from_first"), first_of(F.col("open_way"))).otherwise(0).alias("since"),
+        "next_0", "next_1", "next_2", F.posexplode("cases").alias("place", "c"),
+    )
+    held = lambda way: F.col("c.ways").bitwiseAND(F.col(way)) != 0
+    here = held("holds") & (F.col("until").isNull() | (F.col("place") < F.col("until")))
+    # Cases behind which no end comes in the whole run: each tag stands for itself and sees a window of text behind it.
+    unclosed = held("open_way") & (F.col("place") >= F.col("since"))
+    status = F
+    for at, (child, word) in enumerate(CHILDREN):
+        reaches = F.col("c.open") & (F.col("c.seen") + F.col(f"next_{at}") - 1 + len(child) <= UNCLOSED_WINDOW)
+        status = status.when((F.col("c.status") == word) | F.coalesce(reaches, F.lit(False)), word)
+    status = F.when(F.col("here"), F.col("c.status")).otherwise(status.otherwise(PASSED))
+    rows = rows.withColumn("here", F.coalesce(here, F.lit(False))).where(F.col("here") | unclosed)
+    seq, sub = F.when(F.col("here"), 0).otherwise(F.col("place") + 2), F.when(F.col("here"), F.col("place")).otherwise(0)
+    own = rows.select("run_id", "part", seq.cast("bigint").alias("seq"), sub.alias("sub"), event(F.col("c.key"), status).alias("e"))
 
-    Where the window reaches beyond its part, the first children of later parts are found
-    by their places in the run, from one small row for each part.
-    """
-    log = F.col("log")
-    at_end = along.where("open_way is not null").select("run_id", "part", F.col("way").alias("holds"), "open_way", "loose")
-    # Where the waiting begins, cases from the first open one on; below, all cases.
-    rows = ways.join(at_end.drop("loose"), ["run_id", "part"]).where(F.col("way") == F.when(F.col("open_way") == "first", F.col("holds")).otherwise(F.col("open_way")))
-    cases = F.when(F.col("open_way") != "first", F.col("cases")).when(F.col("first_open") > 0, F.slice("cases", F.col("first_open"), F.size("cases")))
-    rows = rows.select("run_id", "part", F.posexplode(cases).alias("place", "c"))
-    cut = at_end.select("run_id", F.col("part").alias("ended"), F.explode("loose").alias("s"))
-    found = F
-    for at, (_, word) in enumerate(CHILDREN):
-        found = found.when(F.col("s.flags")[at], word)
-    of_cut = F.struct(case_key(F.col("s.name"), F.col("s.owner")).alias("key"), found.otherwise(PASSED).alias("status"), F.col("s.seen").isNotNull().alias("open"), F.coalesce("s.seen", F.lit(0)).alias("seen"))
-    rows = rows.unionByName(cut.select("run_id", F.col("ended").alias("part"), F.lit(-1).alias("place"), of_cut.alias("c")))
-
-    first = {f"next_{i}": F.nullif(F.instr(log, child), F.lit(0)) for i, (child, _) in enumerate(CHILDREN)}
-    small = runs.select("run_id", "part", F.char_length(log).cast("long").alias("size"), *[c.cast("long").alias(n) for n, c in first.items()])
-    order = Window.partitionBy("run_id").orderBy("part")
-    small = small.withColumn("upto", F.sum("size").over(order))
-    after = order.rowsBetween(1, Window.unboundedFollowing)
-    small = small.select("run_id", "part", *[(F.min(F.col("upto") - F.col("size") + F.col(n)).over(after) - F.col("upto")).alias(n) for n in first])
-    rows = rows.join(small, ["run_id", "part"])
-    seen = F.col("c.seen")
-    beyond = F
-    for i, (child, status) in enumerate(CHILDREN):
-        # Own children decide in their order; those of later parts count if they lie wholly within the window.
-        own = F.col("c.status") == status
-        reaches = F.col("c.open") & (seen + F.col(f"next_{i}") - 1 + len(child) <= UNCLOSED_WINDOW)
-        beyond = beyond.when(own | F.coalesce(reaches, F.lit(False)), status)
-    return emit_each(rows.withColumn("seq", F.col("place") + 2), F.array(event(F.col("c.key"), beyond.otherwise(PASSED))))
+    # A case stands at the end of the part in which it begins.
+    spans = along.select("run_id", F.inline("found")).where("test_id is not null")
+    spans = spans.select("run_id", "part", "seq", F.lit(0).alias("sub"), event(F.col("test_id"), F.col("status")).alias("e"))
+    return event_columns(own.unionByName(spans).select("run_id", "part", "seq", "sub", "e.*"))

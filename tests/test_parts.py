@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from runsift.operators.dialects.xml_text import OUT, TAG, WAIT, CaseReader
 from runsift.operators.extract import extract_test_results
 from runsift.operators.nesting import with_bracket_paths, with_level_paths
 from runsift.schema import RUNS
@@ -154,3 +155,43 @@ def test_what_branches_use_is_read_once(spark, name):
     assert any("ReusedExchange" in line and "_shared" in line for line in plan.splitlines()), plan
     assert sum("REPARTITION_BY_COL" in line and "part#" in line and "ReusedExchange" not in line for line in plan.splitlines()) == 1, plan
     assert sum("EvalPython" in line for line in plan.splitlines()) <= 1, plan
+
+
+@pytest.mark.parametrize("name", ["junit"])
+def test_logs_are_read_in_one_pass_for_all_branches(spark, name):
+    runs = spark.createDataFrame([("r", name, n, "x\n") for n in range(2)], "run_id STRING, parser STRING, part BIGINT, log STRING")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        plan = extract_test_results(runs, [name])._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert sum("MapInArrow read(" in line for line in plan) == 1, plan
+    # The walk along the parts is shared as well.
+    walks = sum("MapInArrow _along(" in line for line in plan) - sum("ReusedExchange" in line and "way#" in line for line in plan)
+    assert walks <= 1, plan
+    # Nothing but the reader looks into a log.
+    assert not [line for line in plan if "Generate" in line and "log#" in line], plan
+
+
+def read_alone(reader, log, part=1):
+    each = reader()
+    each.add("r", part, log)
+    return {name: column.to_pylist()[0] for (name, _), column in zip(reader.fields, each.arrays())}
+
+
+def test_a_case_is_kept_once_with_the_ways_that_hold_it():
+    log = '<testcase name="a"/>\n<testcase name="b">\n<testcase name="c"><error/></testcase>\n<testcase name="d"/>\n<testcase name="e"><skipped/>'
+    found = read_alone(CaseReader, log)
+    # b holds c: a part that begins in a tag finds b up to the same end; one that waits for an end begins behind it.
+    assert [(c["key"], c["status"], c["open"], c["ways"]) for c in found["cases"]] == [
+        ("a", "PASSED", False, OUT), ("b", "ERROR", False, OUT | TAG), ("d", "PASSED", False, OUT | TAG | WAIT), ("e", "SKIPPED", True, OUT | TAG | WAIT),
+    ]
+    assert (found["first_out"], found["first_tag"], found["first_wait"]) == (3, 3, 3)
+    nested = read_alone(CaseReader, '<testcase name="a">\n<testcase name="b">\n</testcase>')
+    assert [(c["key"], c["ways"]) for c in nested["cases"]] == [("a", OUT), ("b", TAG)]
+    first = read_alone(CaseReader, log, part=0)
+    assert {c["ways"] for c in first["cases"]} == {OUT} and first["first_tag"] is None
