@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from runsift.functions.binding import bind, share
+from runsift.functions.binding import bind
 from runsift.functions.text import LINE_END, before_last, matches, remove, rstrip, strip
 from runsift.functions.variants import as_text, is_true
 from runsift.operators.dialects.base import (
@@ -24,9 +24,9 @@ from runsift.operators.dialects.base import (
     weak,
 )
 from runsift.operators.dialects.line_rules import JS_TIMING, OK_NOT
-from runsift.operators.dialects.parts import from_earlier
-from runsift.operators.dialects.suites import announced_classes, read_builds, read_class_counters
-from runsift.operators.dialects.xml_text import read_junit_text
+from runsift.operators.dialects.parts import from_earlier, read_parts
+from runsift.operators.dialects.suites import BuildReader, CounterReader, announced_classes, build_events, counter_events
+from runsift.operators.dialects.xml_text import CaseReader, case_events
 from runsift.operators.nesting import with_bracket_paths, with_level_paths
 from runsift.schema import ERROR, FAILED, PASSED, SKIPPED
 
@@ -273,11 +273,13 @@ def read_dart_events(runs: DataFrame) -> DataFrame:
 def read_surefire(runs: DataFrame) -> DataFrame:
     """Surefire lines first; reports and single builds fill in what is unknown.
 
-    A run that yields nothing else has its announced classes as passed.
+    A run that yields nothing else has its announced classes as passed. All are read in one pass over the logs.
     """
-    found = read_class_counters(runs).unionByName(read_junit_text(runs)).unionByName(read_builds(runs, prio=0))
-    found = share(found)
-    bare = announced_classes(runs).join(found.select("run_id").distinct(), "run_id", "left_anti")
+    parts = read_parts(runs, CounterReader, CaseReader, BuildReader)
+    found = counter_events(parts).unionByName(case_events(parts)).unionByName(build_events(parts, prio=0))
+    # Compared null-safe, so that both sides use the one exchange of parts: Spark would else keep null keys out of it on one side.
+    runs_found = found.select(F.col("run_id").alias("of_run")).distinct()
+    bare = announced_classes(parts).join(runs_found, F.col("run_id").eqNullSafe(F.col("of_run")) & F.col("run_id").isNotNull(), "left_anti")
     return found.unionByName(bare.select(found.columns))
 
 

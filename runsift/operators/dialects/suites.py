@@ -5,8 +5,10 @@ carried down by the cut itself. Lines above the first header of a part inherit t
 last header of the parts before it (`parts.inherit`).
 """
 
+import re
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from runsift.functions.binding import bind, share
@@ -20,6 +22,7 @@ from runsift.operators.dialects.base import (
     emit_each,
     emit_log,
     event,
+    event_columns,
     log_lines,
     lookup,
     one_line_per_feed,
@@ -31,7 +34,7 @@ from runsift.operators.dialects.base import (
     weak,
 )
 from runsift.operators.dialects.line_rules import WORST
-from runsift.operators.dialects.parts import inherit, last_like
+from runsift.operators.dialects.parts import inherit, last_like, read_parts, with_earlier
 from runsift.schema import ERROR, FAILED, PASSED, SKIPPED
 
 
@@ -93,25 +96,70 @@ def read_ruby_tests(runs: DataFrame) -> DataFrame:
 
 # --- Maven, one test per build ----------------------------------------------
 
-BUILD_WORDS = {"SUCCESS": PASSED, "FAILURE": FAILED}
+BUILD_WORDS = {"BUILD SUCCESS": PASSED, "BUILD FAILURE": FAILED}
 NO_TEST_NAME = "---NO TEST NAME FOUND YET---"
 TEST_OPTION = "-Dtest="
-BUILD_OF_TEST = rf".*{TEST_OPTION}\S.*"
+HAS_TEST = re.compile(rf"{TEST_OPTION}\S")
 
+#: Events of a part in order, and what waits for a name from earlier parts.
+FOUND = pa.list_(pa.struct([("seq", pa.int64()), ("sub", pa.int32()), ("test_id", pa.string()), ("status", pa.string()), ("prio", pa.int32()), ("sign", pa.int32())]))
+WAITING = pa.list_(pa.struct([("seq", pa.int64()), ("status", pa.string())]))
 
-def read_builds(runs: DataFrame, prio: int = 1) -> DataFrame:
+
+def tested(line: str) -> str | None:
+    """The test that a line with the option names: the word behind the last option."""
+    return next(iter(line.rpartition(TEST_OPTION)[2].split(None, 1)), None)
+
+
+class BuildReader:
+    """`-Dtest=name` lines, and below each lines that end with BUILD SUCCESS or FAILURE.
+
+    Of lines that wait for a name the first and the last are kept: they share the name, and the last one counts.
+    """
+
+    fields = (("builds", FOUND), ("nameless", WAITING), ("last_test", pa.string()))
+
+    def __init__(self):
+        self.rows = []
+
+    def add(self, run_id: str | None, part: int | None, log: str) -> None:
+        builds, nameless, name, last = [], [], None, None
+        if TEST_OPTION in log or "BUILD " in log:
+            section = row = 0
+            for place, line in enumerate(log.split("\n")):
+                if TEST_OPTION in line and HAS_TEST.search(line):
+                    section, row = section + (place > 0), 0
+                    name = last = tested(line)
+                if "BUILD " in line and (status := BUILD_WORDS.get(line.rstrip()[-13:])):
+                    seq = section * 2**31 + row
+                    if name is not None:
+                        builds.append({"seq": seq, "sub": 0, "test_id": name, "status": status, "prio": 1, "sign": 1})
+                    else:
+                        nameless = [*nameless[:1], {"seq": seq, "status": status}]
+                row += 1
+        self.rows.append((builds, nameless, last))
+
+    def arrays(self) -> list[pa.Array]:
+        return columns_of(self.rows, self.fields)
+
+
+def columns_of(rows: list[tuple], fields: tuple) -> list[pa.Array]:
+    return [pa.array([row[at] for row in rows], kind) for at, (_, kind) in enumerate(fields)]
+
+
+def read_builds(runs: DataFrame) -> DataFrame:
     """`-Dtest=name` lines, and below each lines that end with BUILD SUCCESS or FAILURE."""
+    return build_events(read_parts(runs, BuildReader))
 
-    def test_name(head: Column) -> Column:
-        return F.when(matches(head, f"^{BUILD_OF_TEST}"), word(F.substring_index(head, TEST_OPTION, -1), 0))
 
-    cut = sections(runs.where(F.col("log").contains("BUILD ")), BUILD_OF_TEST, any_line_end=False)
-    lines = section_lines(cut.withColumn("name", test_name(first_line(F.col("body")))), "name")
-    word_at_end = last_word(F.col("line"))
-    lines = lines.where(F.col("line").contains("BUILD ") & word_at_end.isin(*BUILD_WORDS) & rstrip(F.col("line")).endswith(F.concat(F.lit("BUILD "), word_at_end)))
-    lines = lines.select("run_id", "part", "seq", "name", lookup(word_at_end, BUILD_WORDS).alias("status"))
-    lines = inherit(lines, runs, "name", test_name(last_like(F.col("log"), BUILD_OF_TEST)))
-    return emit(lines, event(F.coalesce("name", F.lit(NO_TEST_NAME)), F.col("status"), prio), certain=True)
+def build_events(parts: DataFrame, prio: int = 1) -> DataFrame:
+    """Rows of parts (`BuildReader`) -> events."""
+    found = parts.select("run_id", "part", F.inline("builds"))
+    waits = with_earlier(parts.select("run_id", "part", "nameless", "last_test"), "last_test")
+    waits = waits.select("run_id", "part", "last_test", F.inline(F.when(F.col("part").isNotNull(), F.col("nameless"))))
+    name = F.coalesce("last_test", F.lit(NO_TEST_NAME))
+    waits = waits.select("run_id", "part", "seq", F.lit(0).alias("sub"), event(name, F.col("status")).alias("e")).select("run_id", "part", "seq", "sub", "e.*")
+    return event_columns(found.unionByName(waits).withColumn("prio", F.lit(prio)))
 
 
 # --- Surefire: `Running class`, then a line of counters ----------------------
@@ -153,49 +201,86 @@ def read_kotlin(runs: DataFrame) -> DataFrame:
 
 
 CLASS = r"[\w.$]+"
-ANNOUNCED = rf"\s*(?:\[INFO\]\s+)?Running\s+({CLASS})\s*$"
-METHOD_FAILED = rf"^\[ERROR\]\s+({CLASS})\.({CLASS}?)(?::\d+)?\b"
+ANNOUNCED = re.compile(rf"\s*(?:\[INFO\]\s+)?Running\s+({CLASS})\s*")
+METHOD_FAILED = re.compile(rf"\[ERROR\]\s+({CLASS})\.({CLASS}?)(?::\d+)?\b")
+COUNTED = re.compile(COUNTERS)
 
 
-def announced_class(line: Column) -> Column:
-    return F.nullif(F.regexp_extract(line, rx(f"^{ANNOUNCED}"), 1), F.lit(""))
+def is_positive(digits: str) -> bool:
+    """Whether a count is over 0; one that no decimal of 38 digits holds is not known."""
+    return digits != "0" and 0 < len("".join(str(int(d)) for d in digits).lstrip("0")) <= 38
 
 
-def read_class_counters(runs: DataFrame) -> DataFrame:
-    """Class counters and failure lines.
+class CounterReader:
+    """Class counters, failure lines and announced classes.
 
     `[ERROR] class.method` overwrites and makes the class FAILED where nothing
     is known; counters count only where nothing is known. Counters without
-    ` in class` belong to the class announced before, if they come first.
+    ` in class` belong to the class announced before, if they come first. Where a part
+    counts anything, the announced classes of its run, if that has an id, are of no use.
     """
-    cut = sections(runs, ANNOUNCED).withColumn("running", announced_class(first_line(F.col("body"))))
-    text = F.transform(F.split("body", LINE_FEED), strip)
-    told = F.filter(text, lambda x: x.rlike(rx(METHOD_FAILED)) | x.rlike(rx(COUNTERS)))
-    kinds = F.transform(told, lambda x: F.struct(x.alias("line"), x.rlike(rx(METHOD_FAILED)).alias("failed")))
-    counted = F.array_position(F.transform(kinds, lambda k: k["failed"]), False)
-    rows = cut.withColumn("kinds", kinds).withColumn("counted", counted).select("run_id", "part", "section", "running", "counted", F.posexplode("kinds").alias("row", "k"))
-    line = F.col("k.line")
-    named = F.when(line.contains(" in "), F.rtrim(strip(F.substring_index(line, " in ", -1)), F.lit(".:;")))
-    owner, method = F.regexp_extract(line, rx(METHOD_FAILED), 1), F.regexp_extract(line, rx(METHOD_FAILED), 2)
-    first = F.col("row") + 1 == F.col("counted")
-    rows = rows.select(
-        "run_id", "part", (F.col("section").cast("bigint") * 2**31 + F.col("row")).alias("seq"), F.col("k.failed").alias("failed"),
-        # Counters with a name, or behind the first ones, need no class from above.
-        F.when(F.col("k.failed") | named.isNotNull() | ~first, F.coalesce(named, F.lit(""))).otherwise(F.col("running")).alias("owner"),
-        F.when(F.col("k.failed"), F.concat(owner, F.lit("."), method)).alias("method"), owner.alias("class"),
-        F.when(~F.col("k.failed"), class_status(*counter_values(line)[1:]))
-        .when(line.contains("Exception") & ~line.contains("AssertionError"), ERROR).otherwise(FAILED).alias("status"),
-    )
-    latest = last_like(one_line_per_feed(F.col("log")), rf"(?:{ANNOUNCED}|.*{COUNTERS}.*)")
-    rows = inherit(rows, runs, "owner", F.when(latest.isNotNull(), F.coalesce(announced_class(latest), F.lit(""))))
-    of_method = F.array(event(F.col("method"), F.col("status"), prio=3), event(F.col("class"), FAILED, prio=2, sign=-1))
-    of_class = F.array(event(F.nullif("owner", F.lit("")), F.col("status"), prio=2, sign=-1))
-    return emit_each(rows, F.when(F.col("failed"), of_method).otherwise(of_class))
-
 
-def announced_classes(runs: DataFrame) -> DataFrame:
-    names = F.regexp_extract_all(one_line_per_feed(F.col("log")), F.lit(rx(f"^{ANNOUNCED}", lines=True)), F.lit(1))
-    return emit_log(runs.where(F.col("log").contains("Running")), F.transform(names, lambda name: strong(name, PASSED)))
+    #: unowned: the counters that wait for a class from an earlier part; last_class: who would own counters below, empty if the class is used up.
+    fields = (("counted", FOUND), ("unowned", WAITING), ("last_class", pa.string()), ("announced", pa.list_(pa.string())))
+
+    def __init__(self):
+        self.rows = []
+
+    def add(self, run_id: str | None, part: int | None, log: str) -> None:
+        found, unowned, last, announced = [], [], None, []
+        if "Running" in log or "Tests run:" in log or "[ERROR]" in log:
+            section = row = 0
+            running, first = None, True
+
+            def add(sub: int, key: str, status: str, prio: int, sign: int) -> None:
+                found.append({"seq": section * 2**31 + row, "sub": sub, "test_id": key, "status": status, "prio": prio, "sign": sign})
+
+            for place, raw in enumerate(log.splitlines()):
+                if "Running" in raw and (head := ANNOUNCED.fullmatch(raw)):
+                    section, row, first = section + (place > 0), 0, True
+                    running = last = head[1]
+                    announced.append(running)
+                    continue
+                line = raw.strip()
+                counts = COUNTED.search(line) if "Tests run:" in line else None
+                if counts:
+                    last = ""
+                if line.startswith("[ERROR]") and (failed := METHOD_FAILED.match(line)):
+                    add(0, f"{failed[1]}.{failed[2]}", ERROR if "Exception" in line and "AssertionError" not in line else FAILED, 3, 1)
+                    add(1, failed[1], FAILED, 2, -1)
+                elif counts:
+                    _, failures, errors, skipped = counts.groups()
+                    status = FAILED if is_positive(failures) or is_positive(errors) else SKIPPED if is_positive(skipped) else PASSED
+                    if " in " in line:
+                        owner = line.rpartition(" in ")[2].strip().rstrip(".:;")
+                    else:
+                        owner = running if first else ""
+                    if owner:
+                        add(0, owner, status, 2, -1)
+                    elif owner is None:
+                        unowned.append({"seq": section * 2**31 + row, "status": status})
+                    first = False
+                else:
+                    continue
+                row += 1
+        self.rows.append((found, unowned, last, [] if found and run_id is not None else announced))
+
+    def arrays(self) -> list[pa.Array]:
+        return columns_of(self.rows, self.fields)
+
+
+def counter_events(parts: DataFrame) -> DataFrame:
+    """Rows of parts (`CounterReader`) -> events of counters and failure lines."""
+    found = parts.select("run_id", "part", F.inline("counted"))
+    waits = with_earlier(parts.select("run_id", "part", "unowned", "last_class"), "last_class")
+    waits = waits.where("last_class <> ''").select("run_id", "part", "last_class", F.inline("unowned"))
+    waits = waits.select("run_id", "part", "seq", F.lit(0).alias("sub"), event(F.col("last_class"), F.col("status"), prio=2, sign=-1).alias("e"))
+    return event_columns(found.unionByName(waits.select("run_id", "part", "seq", "sub", "e.*")))
+
+
+def announced_classes(parts: DataFrame) -> DataFrame:
+    """Rows of parts (`CounterReader`) -> announced classes as passed, of parts that count nothing."""
+    return emit_log(parts.where("size(announced) > 0"), F.transform("announced", lambda name: strong(name, PASSED)))
 
 
 MODULE_WORDS = {"SUCCESS": PASSED, "FAILURE": FAILED, "SKIPPED": SKIPPED}

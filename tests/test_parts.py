@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from runsift.operators.dialects.suites import BuildReader, CounterReader
 from runsift.operators.dialects.xml_text import OUT, TAG, WAIT, CaseReader
 from runsift.operators.extract import extract_test_results
 from runsift.operators.nesting import with_bracket_paths, with_level_paths
@@ -157,7 +158,7 @@ def test_what_branches_use_is_read_once(spark, name):
     assert sum("EvalPython" in line for line in plan.splitlines()) <= 1, plan
 
 
-@pytest.mark.parametrize("name", ["junit"])
+@pytest.mark.parametrize("name", ["junit", "java_mvn", "maven"])
 def test_logs_are_read_in_one_pass_for_all_branches(spark, name):
     runs = spark.createDataFrame([("r", name, n, "x\n") for n in range(2)], "run_id STRING, parser STRING, part BIGINT, log STRING")
     settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
@@ -195,3 +196,13 @@ def test_a_case_is_kept_once_with_the_ways_that_hold_it():
     assert [(c["key"], c["ways"]) for c in nested["cases"]] == [("a", OUT), ("b", TAG)]
     first = read_alone(CaseReader, log, part=0)
     assert {c["ways"] for c in first["cases"]} == {OUT} and first["first_tag"] is None
+
+
+def test_a_part_has_one_small_row_however_many_lines_wait():
+    waiting = read_alone(BuildReader, "BUILD SUCCESS\n" * 1000 + "[INFO] BUILD FAILURE\n-Dtest=x\nBUILD SUCCESS\n")
+    assert [w["status"] for w in waiting["nameless"]] == ["PASSED", "FAILED"] and [b["test_id"] for b in waiting["builds"]] == ["x"] and waiting["last_test"] == "x"
+    counted = read_alone(CounterReader, "Tests run: 1, Failures: 0, Errors: 0, Skipped: 0\n" * 1000 + "[INFO] Running c.A\n")
+    assert len(counted["unowned"]) == 1 and counted["counted"] == [] and counted["announced"] == ["c.A"] and counted["last_class"] == "c.A"
+    # Announced classes of a run without an id stay, as nothing tells that it has results.
+    both = "[INFO] Running c.A\nTests run: 1, Failures: ٣, Errors: 0, Skipped: 0\n"
+    assert read_alone(CounterReader, both)["announced"] == [] and [e["status"] for e in read_alone(CounterReader, both)["counted"]] == ["FAILED"]
