@@ -6,7 +6,8 @@ header, say, or whether it opened a gate), and joined to the few events that wai
 it. So no log text takes part in a shuffle, however a log was cut.
 """
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import accumulate
 from typing import Protocol
 
 import pyarrow as pa
@@ -22,10 +23,25 @@ class PartReader(Protocol):
 
     #: Columns of what it finds: names and Arrow types.
     fields: tuple
+    #: What it found, one row for each part; lists of records hold tuples.
+    rows: list[tuple]
 
     def add(self, run_id: str | None, part: int | None, log: str) -> None: ...
 
-    def arrays(self) -> list[pa.Array]: ...
+
+def columns_of(found: PartReader) -> list[pa.Array]:
+    columns = zip(*found.rows) if found.rows else [()] * len(found.fields)
+    return [array_of(column, kind) for column, (_, kind) in zip(columns, found.fields)]
+
+
+def array_of(values: Sequence, kind: pa.DataType) -> pa.Array:
+    """An Arrow array; lists of records are laid out by column, which is faster than by record."""
+    if not (pa.types.is_list(kind) and pa.types.is_struct(kind.value_type)):
+        return pa.array(values, kind)
+    flat = [record for each in values for record in each]
+    columns = zip(*flat) if flat else [()] * kind.value_type.num_fields
+    records = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind.value_type)], fields=list(kind.value_type))
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, values))], pa.int32()), records)
 
 
 def read_parts(runs: DataFrame, *readers: type[PartReader]) -> DataFrame:
@@ -45,7 +61,7 @@ def read_parts(runs: DataFrame, *readers: type[PartReader]) -> DataFrame:
                 log = (logs[place].as_py() or b"").decode("utf-8", "replace")
                 for each in found:
                     each.add(*of, log)
-            columns = [batch.column("run_id"), batch.column("part"), *[array for each in found for array in each.arrays()]]
+            columns = [batch.column("run_id"), batch.column("part"), *[array for each in found for array in columns_of(each)]]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return share(runs.select("run_id", "part", "log").mapInArrow(read, from_arrow_schema(schema)))

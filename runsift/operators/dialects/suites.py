@@ -133,19 +133,12 @@ class BuildReader:
                 if "BUILD " in line and (status := BUILD_WORDS.get(line.rstrip()[-13:])):
                     seq = section * 2**31 + row
                     if name is not None:
-                        builds.append({"seq": seq, "sub": 0, "test_id": name, "status": status, "prio": 1, "sign": 1})
+                        builds.append((seq, 0, name, status, 1, 1))
                     else:
-                        nameless = [*nameless[:1], {"seq": seq, "status": status}]
+                        nameless = [*nameless[:1], (seq, status)]
                 row += 1
         self.rows.append((builds, nameless, last))
 
-    def arrays(self) -> list[pa.Array]:
-        return columns_of(self.rows, self.fields)
-
-
-def columns_of(rows: list[tuple], fields: tuple) -> list[pa.Array]:
-    return [pa.array([row[at] for row in rows], kind) for at, (_, kind) in enumerate(fields)]
-
 
 def read_builds(runs: DataFrame) -> DataFrame:
     """`-Dtest=name` lines, and below each lines that end with BUILD SUCCESS or FAILURE."""
@@ -233,7 +226,7 @@ class CounterReader:
             running, first = None, True
 
             def add(sub: int, key: str, status: str, prio: int, sign: int) -> None:
-                found.append({"seq": section * 2**31 + row, "sub": sub, "test_id": key, "status": status, "prio": prio, "sign": sign})
+                found.append((section * 2**31 + row, sub, key, status, prio, sign))
 
             for place, raw in enumerate(log.splitlines()):
                 if "Running" in raw and (head := ANNOUNCED.fullmatch(raw)):
@@ -258,16 +251,13 @@ class CounterReader:
                     if owner:
                         add(0, owner, status, 2, -1)
                     elif owner is None:
-                        unowned.append({"seq": section * 2**31 + row, "status": status})
+                        unowned.append((section * 2**31 + row, status))
                     first = False
                 else:
                     continue
                 row += 1
         self.rows.append((found, unowned, last, [] if found and run_id is not None else announced))
 
-    def arrays(self) -> list[pa.Array]:
-        return columns_of(self.rows, self.fields)
-
 
 def counter_events(parts: DataFrame) -> DataFrame:
     """Rows of parts (`CounterReader`) -> events of counters and failure lines."""

@@ -130,10 +130,10 @@ class CaseReader:
     )
 
     def __init__(self):
-        self.offsets, self.cases, self.rows = [0], [], []
+        self.rows = []
 
     def add(self, run_id: str | None, part: int | None, log: str) -> None:
-        firsts, facts, seen, head, tail = (None, None, None), 0, 0, (None, None), (None, None)
+        cases, firsts, facts, seen, head, tail = [], (None, None, None), 0, 0, (None, None), (None, None)
         starts = {OUT: 0}
         close, end = log.find(">"), log.find(END)
         children = [log.find(child) for child, _ in CHILDREN]
@@ -144,12 +144,11 @@ class CaseReader:
                 starts[TAG] = close + 1
             facts, seen, head = self._beginning(log, close, end, children)
         if BEGIN in log:
-            firsts, opened = self._read(log, starts)
+            cases, firsts, opened = self._read(log, starts)
             cut = CASE.search(log, log.rfind(">") + 1)
             tail = name_and_owner(log[cut.start() :]) if cut else tail
             facts |= opened | (IN_TAG if cut else 0)
-        self.offsets.append(len(self.cases))
-        self.rows.append((*firsts, facts, seen, *head, *tail, len(log), *[at + 1 if at >= 0 else None for at in children]))
+        self.rows.append((cases, *firsts, facts, seen, *head, *tail, len(log), *[at + 1 if at >= 0 else None for at in children]))
 
     def _beginning(self, log: str, close: int, end: int, children: list[int]) -> tuple[int, int, tuple]:
         """What a case finds here that began earlier."""
@@ -165,8 +164,8 @@ class CaseReader:
                 facts |= flags(log, close + 1, to if to >= 0 else None) << BEHIND_TAG | flags(log, close + 1, close + 1 + seen) << IN_WINDOW
         return facts, seen, name_and_owner(head)
 
-    def _read(self, log: str, starts: dict[int, int]) -> tuple[tuple, int]:
-        """Adds a part's cases; the first open one of each way, and what is behind it."""
+    def _read(self, log: str, starts: dict[int, int]) -> tuple[list, tuple, int]:
+        """A part's cases; the first open one of each way, and what is behind it."""
         text = _Cases(log)
         out, _ = text.find(0, {})
         ways, common, extra = {OUT: out}, {OUT: 0}, {}
@@ -182,29 +181,21 @@ class CaseReader:
         held = [(case, OUT | (TAG if n >= tag else NONE) | (WAIT if n >= wait else NONE)) for n, case in enumerate(out)]
         if extra:
             held = sorted(held + list(extra.values()))
+        cases: list[tuple] = []
         first: dict[int, int] = {}
-        kept = 0
         for (_, _, key, status, is_open, seen, _), of in held:
             if key is None:
                 continue
             if is_open:
                 for way in starts:
                     if of & way:
-                        first.setdefault(way, kept)
-            self.cases.append((key, status, is_open, seen, of))
-            kept += 1
+                        first.setdefault(way, len(cases))
+            cases.append((key, status, is_open, seen, of))
         opened, past = 0, text.last_end + len(END) if text.last_end >= 0 else 0
         for way in first:
             waits = next((case[6] for case in ways[way] if case[6] >= 0 and case[0] >= past), None)
             opened |= flags(log, waits) << OPEN[way] if waits is not None else 0
-        return (first.get(OUT), first.get(TAG), first.get(WAIT)), opened
-
-    def arrays(self) -> list[pa.Array]:
-        kinds = [kind for _, kind in self.fields]
-        flat = zip(*self.cases) if self.cases else [[] for _ in _CASE]
-        cases = pa.StructArray.from_arrays([pa.array(list(c), f.type) for c, f in zip(flat, _CASE)], fields=list(_CASE))
-        columns = zip(*self.rows) if self.rows else [[] for _ in kinds[1:]]
-        return [pa.ListArray.from_arrays(pa.array(self.offsets, pa.int32()), cases), *[pa.array(list(c), kind) for c, kind in zip(columns, kinds[1:])]]
+        return cases, (first.get(OUT), first.get(TAG), first.get(WAIT)), opened
 
 
 _FOUND = pa.list_(pa.struct([("part", pa.int64()), ("seq", pa.int64()), ("test_id", pa.string()), ("status", pa.string())]))

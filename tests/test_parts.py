@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from runsift.operators.dialects.parts import columns_of
 from runsift.operators.dialects.suites import BuildReader, CounterReader
 from runsift.operators.dialects.xml_text import OUT, TAG, WAIT, CaseReader
 from runsift.operators.extract import extract_test_results
@@ -181,7 +182,7 @@ def test_logs_are_read_in_one_pass_for_all_branches(spark, name):
 def read_alone(reader, log, part=1):
     each = reader()
     each.add("r", part, log)
-    return {name: column.to_pylist()[0] for (name, _), column in zip(reader.fields, each.arrays())}
+    return {name: column.to_pylist()[0] for (name, _), column in zip(reader.fields, columns_of(each))}
 
 
 def test_a_case_is_kept_once_with_the_ways_that_hold_it():
